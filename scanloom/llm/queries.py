@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, neighbours
+from . import bpe, chat_format, decontaminate, fingerprint, langid, neighbours, quality, token_counts
 from ._rt import documents, written
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -101,5 +101,40 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op3_decontaminate": op3_decontaminate, "op6_fingerprint": op6_fingerprint}
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = langid.learn_profiles(docs.where(~held_out()).select("text", "lang"))
+    return langid.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), profiles).drop("text")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decode=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out().alias("held_out"), "text")
+    stats = written(quality.with_statistics(docs, ["doc_id", "held_out"]), "statistics")
+    marks = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("y"))
+    out = quality.score(stats, quality.fit(stats.where("not held_out").join(marks, "doc_id")), ["doc_id", "held_out"])
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_token_counts": op4_token_counts,
+    "op6_fingerprint": op6_fingerprint,
+    "op8_language": op8_language,
+    "op9_bpe": op9_bpe,
+    "op10_quality": op10_quality,
+}
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_decontaminate": OP3_SQL}
