@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, fingerprint, langid, neighbours, quality, token_counts
+from . import bpe, chat_format, decontaminate, fingerprint, langid, neighbours, quality, substring_dedup, token_counts
 from ._rt import documents, written
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -105,6 +105,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
@@ -128,13 +133,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT k, i, w[i:i + 34] AS win FROM (SELECT k, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+twice AS (SELECT win FROM win GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT k, unnest(range(i, i + 35)) AS p FROM win SEMI JOIN twice USING (win)),
+words AS (SELECT k, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT k, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (k, p) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)
+"""
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_counts": op4_token_counts,
     "op6_fingerprint": op6_fingerprint,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_decontaminate": OP3_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_decontaminate": OP3_SQL, "op7_substring_dedup": OP7_SQL}
