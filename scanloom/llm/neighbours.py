@@ -19,7 +19,8 @@ class Order:
     def __init__(self, docs: DataFrame):
         """docs: doc_id (an integer) and text."""
         self.docs = docs
-        parts = 4 * shuffle_partitions(docs.sparkSession)
+        self.tasks = 4 * shuffle_partitions(docs.sparkSession)
+        parts = 4 * self.tasks
         points = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"]
         self.bounds = sorted(set(points or []))
         tops = docs.select(self._pid().alias("pid"), "doc_id").groupBy("pid").agg(F.max("doc_id").alias("top"))
@@ -31,13 +32,21 @@ class Order:
         self.heads = spark.createDataFrame(self.tops, "pid int, _top long")
 
     def _pid(self) -> Column:
-        bounds = F.array(*[F.lit(b) for b in self.bounds]).cast("array<bigint>")
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))))
+        """How many bounds are not above the id, found in two steps: which group of bounds, then which bound in it."""
+        if not self.bounds:
+            return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
+        group = max(1, int(len(self.bounds) ** 0.5))
+        groups = [self.bounds[i : i + group] for i in range(0, len(self.bounds), group)]
+        longs = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
+        up_to = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("doc_id")))
+        coarse = up_to(longs([g[0] for g in groups]))
+        fine = up_to(F.get(F.array(*map(longs, groups)), coarse - 1))
+        return F.when(F.col("doc_id").isNull(), -1).when(F.col("doc_id") < self.bounds[0], 0).otherwise((coarse - 1) * group + fine)
 
     def rows(self) -> DataFrame:
         """pid, rn, doc_id, text, and following: the next row's text."""
         w = Window.partitionBy("pid").orderBy(F.col("doc_id").desc_nulls_last(), row_hash(F.col("text")).desc())
-        rows = self.docs.select(self._pid().alias("pid"), "doc_id", "text").withColumn("rn", F.row_number().over(w)).withColumn("_next", F.lead("text").over(w))
+        rows = self.docs.select(self._pid().alias("pid"), "doc_id", "text").repartition(self.tasks, "pid").withColumn("rn", F.row_number().over(w)).withColumn("_next", F.lead("text").over(w))
         # the first text of each part, for the row that stands before it
         first = (
             self.docs.select(self._pid().alias("pid"), "doc_id", "text")

@@ -84,10 +84,12 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.floor(n / 3).cast("int")
     rows = rows.select("pid", "rn", "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - third), F.substring("following", F.lit(1), third)).alias("edited"))
     base = rows.select("pid", "rn", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    both = rows.select("pid", "rn", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x")).select("pid", "rn", "x.kind", "x.text")
-    sig = fingerprint.signatures(fingerprint.term_counts(both, ["pid", "rn", "kind"]), ["pid", "rn", "kind"], params)
-    pick = lambda kind: F.first(F.when(F.col("kind") == kind, F.col("sig")), ignorenulls=True)
-    sig = sig.groupBy("pid", "rn").agg(pick(0).alias("sig"), pick(1).alias("edited_sig"))
+    # what both texts share, up to the end of a word
+    both = F.regexp_extract(F.substring("text", F.lit(1), n - third), r"^(?s)(.*[\x09-\x0D\x20])", 1)
+    pairs = rows.select("pid", "rn", "text", "edited", both.alias("both"))
+    rest = lambda c: F.substring(c, F.length("both") + 1, F.length(c))
+    pairs = pairs.select("pid", "rn", "both", rest("text").alias("a"), rest("edited").alias("b"))
+    sig = fingerprint.pair_signatures(pairs, ["pid", "rn"], params).select("pid", "rn", F.col("sig_a").alias("sig"), F.col("sig_b").alias("edited_sig"))
     # a small table: the samples of all rows, read again by the row before each
     out = order.with_next(written(base.join(sig, ["pid", "rn"], "left"), "fingerprints"), "sig", "next_sig")
     return out.select(

@@ -127,3 +127,12 @@ def test_order_with_nulls_and_repeats(spark):
     assert sorted(got, key=str) == sorted([(3, "c", "a"), (1, "a", "a"), (1, "a", "n"), (None, "n", "c")], key=str)
     one = neighbours.Order(df.limit(0))
     assert one.rows().count() == 0
+
+
+def test_pair_signatures_equal_separate_ones(spark):
+    rows = [(1, "a b b ", "c d", "c c b"), (2, "", "x", ""), (3, "p q ", "", ""), (4, "", "", ""), (5, "k ", "k", "k k")]
+    df = spark.createDataFrame(rows, "id long, both string, a string, b string")
+    got = {r["id"]: r for r in fingerprint.pair_signatures(df, ["id"]).collect()}
+    for side in "ab":
+        alone = fingerprint.fingerprint(df.selectExpr("id", f"both || {side} AS text"), ["id"]).collect()
+        assert {r["id"]: r["sig"] for r in alone} == {k: r[f"sig_{side}"] for k, r in got.items() if r[f"sig_{side}"] is not None}
