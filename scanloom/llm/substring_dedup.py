@@ -252,7 +252,8 @@ def substring_dedup(docs: DataFrame, params: SubstringParams = SubstringParams()
     base = base.select("doc_id", _rt.row_hash(F.col("text")).alias("th"), "text")
     w = params.window
     every = _rt.written(_runs_of(base, params), "runs")
-    twice = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # a table of its own, so that the join below reads two plain shuffles and Spark can split a frequent anchor
+    twice = _rt.written(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "twice")
     shared = _rt.written(every.join(twice, "key", "left_semi"), "shared")
     regions = _rt.written(shared.groupBy("key", "region").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "p", "n")).alias("one")), "regions")
     # all runs of a whole region that occurs twice
