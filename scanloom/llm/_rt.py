@@ -187,3 +187,23 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return z, z
     starts = np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
     return starts, np.diff(np.concatenate((starts, [n])))
+
+
+# ---------------------------------------------------------------- bitmaps
+#: A bitmap of 2 ** BITMAP_BITS places (4 MB): what is sent to all workers has this size for any input.
+BITMAP_BITS = 25
+
+
+def bitmap(df: DataFrame, hash_col: str) -> np.ndarray:
+    """Marks the hashes (longs) of a column.  What is not marked is surely absent; the fuller it gets, the more is let through."""
+    h = F.shiftrightunsigned(F.col(hash_col), 64 - BITMAP_BITS)
+    words = df.select(F.shiftright(h, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    h = hashes >> _U(64 - BITMAP_BITS)
+    return (bits[(h >> _U(6)).astype(np.int64)] >> (h & _U(63))) & _U(1) == 1

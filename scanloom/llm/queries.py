@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, fingerprint, langid, neighbours, quality, substring_dedup, token_counts
+from . import bpe, chat_format, decontaminate, fingerprint, langid, line_dedup, neighbours, quality, substring_dedup, token_counts
 from ._rt import documents, written
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -55,6 +55,11 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.array_join("removed", ","), 256).alias("removed_sha256"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -148,6 +153,7 @@ FROM d LEFT JOIN kept USING (k)
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_counts": op4_token_counts,
     "op6_fingerprint": op6_fingerprint,
