@@ -14,7 +14,9 @@ from . import _rt
 
 END = "</w>"
 #: Words whose encoding a worker keeps between batches; past it, it starts anew (results do not depend on it).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Pairs of tokens of which a worker remembers whether they are stable.
+CACHE_PAIRS = 300_000
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _LATIN = r"a-zA-ZÀ-ÖØ-öø-ɏ"
@@ -114,21 +116,21 @@ class Bpe:
             self.halves[a + b] = (a, b)
         self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
         self.split = Splitter(list(self.special_ids))
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._stable: dict[str, bool] = {}
+        #: Tokens that merging their own symbols gives.
+        self.stable_ids = {t: i for t, i in self.vocab.items() if self._is_stable(t)}
+        del self._stable
         self.ids: dict[str, str] = {}
 
-    def stable(self, t: str) -> bool:
-        """Whether merging the token's own symbols gives the token."""
+    def _is_stable(self, t: str) -> bool:
         known = self._stable.get(t)
         if known is None:
-            if t not in self.vocab:
-                known = False
-            elif t not in self.halves:
-                known = len(t.removesuffix(END)) == 1
-            else:
+            if t in self.halves:
                 a, b = self.halves[t]
-                known = self.stable(a) and self.stable(b) and self._uncrossed(a, b, self.made[t])
+                known = self._is_stable(a) and self._is_stable(b) and self._uncrossed(a, b, self.made[t])
+            else:
+                known = len(t.removesuffix(END)) == 1
             self._stable[t] = known
         return known
 
@@ -151,19 +153,21 @@ class Bpe:
                 limit = min(limit, rb + 1)
                 b = halves[b][0]
 
-    def joins(self, a: str, b: str) -> bool:
-        known = self._pairs.get((a, b))
+    def joins(self, a: int, b: int) -> bool:
+        """Whether two stable tokens stay apart side by side."""
+        key = a << 20 | b
+        known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) >= CACHE_PAIRS:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self._uncrossed(a, b, float("inf"))
+            known = self._pairs[key] = self._uncrossed(self.tokens[a], self.tokens[b], float("inf"))
         return known
 
-    def encode_words(self, words) -> dict[str, list[str]]:
-        """Tokens of each word (of byte characters)."""
-        stable, joins, longest = self.stable, self.joins, self.longest
-        out: dict[str, list[str]] = {}
-        last = [0]  # last[i]: length of the last token of the current word's prefix of length i
+    def encode_words(self, words) -> dict[str, list[int]]:
+        """Token ids of each word (of byte characters)."""
+        stable, joins, longest = self.stable_ids.get, self.joins, self.longest
+        out: dict[str, list[int]] = {}
+        size_of, last = [0], [-1]  # the last token of each prefix of the current word: its length and id
         before = ""
         for word in sorted(words):
             n = len(word)
@@ -172,21 +176,23 @@ class Bpe:
                 if x != y:
                     break
                 keep += 1
-            del last[min(keep, n - 1) + 1 :]
+            keep = min(keep, n - 1) + 1
+            del size_of[keep:], last[keep:]
             for i in range(len(last), n):
                 for size in range(min(i, longest), 0, -1):
-                    t = word[i - size : i]
-                    if stable(t) and (size == i or joins(word[i - size - last[i - size] : i - size], t)):
-                        last.append(size)
+                    t = stable(word[i - size : i])
+                    if t is not None and (size == i or joins(last[i - size], t)):
+                        size_of.append(size)
+                        last.append(t)
                         break
             for size in range(min(n, longest), 0, -1):
-                t = word[n - size :] + END
-                if stable(t) and (size == n or joins(word[n - size - last[n - size] : n - size], t)):
+                t = stable(word[n - size :] + END)
+                if t is not None and (size == n or joins(last[n - size], t)):
                     break
             chain, i = [t], n - size
             while i:
-                chain.append(word[i - last[i] : i])
-                i -= last[i]
+                chain.append(last[i])
+                i -= size_of[i]
             out[word] = chain[::-1]
             before = word
         return out
@@ -197,10 +203,9 @@ class Bpe:
         if len(self.ids) + len(new) > CACHE_WORDS:
             self.ids.clear()
             new = {w: "".join(map(self.bytes.__getitem__, w.encode())) for w in words}
-        tokens = self.encode_words(set(new.values()))
-        vocab = self.vocab
+        chains = self.encode_words(set(new.values()))
         for w, b in new.items():
-            self.ids[w] = " ".join([str(vocab[t]) for t in tokens[b]])
+            self.ids[w] = " ".join(map(str, chains[b]))
 
     def encode_batch(self, texts: list[str | None]) -> list[str]:
         """Ids of each text as decimal numbers joined by a space; null is an empty text."""

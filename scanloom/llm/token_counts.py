@@ -10,7 +10,7 @@ from . import _rt
 from .bpe import END, Splitter, Vocabulary, byte_chars
 
 #: Words whose count a worker keeps between batches; past it, it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 class Automaton:
@@ -24,8 +24,8 @@ class Automaton:
         """first, rest: sequences of symbols; rest is the same set if it is not given."""
         self.edges: list[dict[int, int]] = [{}, {}]
         whole = [False, False]
-        first = list(first)
-        for root, pieces in ((0, first), (1, first if rest is None else rest)):
+        self.start = 1 if rest is None else 0
+        for root, pieces in ((1, first),) if rest is None else ((0, first), (1, rest)):
             for piece in pieces:
                 at = root
                 for s in piece:
@@ -56,7 +56,7 @@ class Automaton:
     def count(self, word) -> int:
         """How many pieces greedy longest match takes, or -1 if it cannot take all of the word."""
         edges, fail, popped = self.edges, self.fail, self.popped
-        at = taken = 0
+        at, taken = self.start, 0
         for s in word:
             to = edges[at].get(s)
             while to is None:
