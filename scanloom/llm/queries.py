@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, fingerprint, langid, line_dedup, neighbours, quality, substring_dedup, token_counts
+from . import bpe, chat_format, decontaminate, fingerprint, langid, line_dedup, minhash, neighbours, quality, substring_dedup, token_counts
 from ._rt import documents, written
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -80,6 +80,12 @@ FROM d LEFT JOIN covered USING (k) LEFT JOIN items USING (k)
 """
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with its class: the least doc_id of its near-duplicates."""
+    out = minhash.near_duplicates(minhash.with_keys(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", F.col("class_doc_id").alias("class_id"), "n_links", "kept")
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and of their edited forms, and their likeness."""
     params = fingerprint.FingerprintParams()
@@ -156,6 +162,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_counts": op4_token_counts,
+    "op5_minhash": op5_minhash,
     "op6_fingerprint": op6_fingerprint,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language": op8_language,
