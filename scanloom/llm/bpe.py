@@ -245,26 +245,26 @@ class Vocabulary:
         return _rt.worker_state(self.name, lambda: Bpe(self.spec.value))
 
 
-def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", decode: bool = False) -> DataFrame:
-    """All columns but the text, with n_tokens, ids (decimal ids joined by a space) and, if asked for, decoded.
+def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", decode: bool = False, keep_text: bool = True) -> DataFrame:
+    """All columns, with n_tokens, ids (decimal ids joined by a space) and, if asked for, decoded.
 
     Equal to the tokenizers library's encode without added special tokens: strings of special tokens inside a
     text are special tokens.  Null and empty texts have no tokens.  Columns of the input that have one of the
     new names are replaced; other columns, repeated rows and null ids pass through.  Nothing is shuffled."""
-    return _mapped(docs, path, text_col, True, decode)
+    return _mapped(docs, path, text_col, True, decode, keep_text)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """All columns, with decoded: the tokens that `ids` names, joined by a space (null: empty)."""
-    return _mapped(encoded, path, ids_col, False, True)
+    return _mapped(encoded, path, ids_col, False, True, True)
 
 
-def _mapped(df: DataFrame, path: str | None, col: str, encodes: bool, decodes: bool) -> DataFrame:
+def _mapped(df: DataFrame, path: str | None, col: str, encodes: bool, decodes: bool, keep: bool) -> DataFrame:
     import pyspark.sql.types as T
 
     vocabulary = Vocabulary.load(df.sparkSession, path)
     new = (["n_tokens", "ids"] if encodes else []) + (["decoded"] if decodes else [])
-    fields = [f for f in df.schema.fields if f.name not in new and not (encodes and f.name == col)]
+    fields = [f for f in df.schema.fields if f.name not in new and (keep or f.name != col)]
     types = {"n_tokens": T.LongType(), "ids": T.StringType(), "decoded": T.StringType()}
     schema = T.StructType(fields + [T.StructField(n, types[n]) for n in new])
     source = df.select(*[f"`{f.name}`" for f in fields if f.name != col], df[col].cast("string").alias("_given_text"))

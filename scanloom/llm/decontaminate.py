@@ -50,7 +50,7 @@ def _sized(df: DataFrame, n: int) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams = DecontaminateParams()) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit (words inside any occurrence of a window of an item),
+    """Per document: doc_id, th (its text's hash), n_words, n_hit (words inside any occurrence of a window of an item),
     n_items, item_ids (array of strings, sorted), contaminated.
 
     A window holds all its shingles wherever it occurs, so its rarest shingle (by its count in all the
@@ -120,6 +120,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: DecontaminatePa
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return joined.select(
         "doc_id",
+        "th",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),

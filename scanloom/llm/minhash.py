@@ -70,7 +70,7 @@ def bag_min_hash(doc: np.ndarray, h: np.ndarray, count: np.ndarray, texts: int,
         pieces.append((doc, h, count, np.full(len(h), low), np.full(len(h), low)))
         low *= 2
     doc, h, count, low, width = (np.concatenate(x) for x in zip(*pieces))
-    state = _rt.mix(h + low.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(params.seed))
+    state = _rt.mix(h ^ _rt.mix(low.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(params.seed)))
     time = np.zeros(len(h))
     out = np.full(texts * m, np.inf)
     while len(state):

@@ -134,7 +134,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decode=True)
+    out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decode=True, keep_text=False)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

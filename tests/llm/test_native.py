@@ -79,7 +79,7 @@ def test_decontaminate_edge_cases(spark):
     docs = [(1, "x " + p + " y"), (2, "ALPHA, beta! gamma"), (3, None), (4, ""), (5, p.replace("w7", "z7")), (6, p), (6, p), (6, "other"), (None, "solo"), (7, "beta alpha"), (8, " ".join(["the"] * 40)), (9, "w0 " * 3), (10, p + " " + " ".join(f"v{i}" for i in range(600)))]
     d = spark.createDataFrame([(a, b, "x", 1) for a, b in docs], "doc_id long, text string, item_id string, n_words int")
     b = spark.createDataFrame([(a, t, 1) for a, t in items], "item_id long, text string, doc_id int")
-    got = sorted([(r[0], r[1], r[2], r[3], ",".join(r[4]), r[5]) for r in decontaminate.decontaminate(d, b).collect()], key=str)
+    got = sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], ",".join(r["item_ids"]), r["contaminated"]) for r in decontaminate.decontaminate(d, b).collect()], key=str)
     assert got == brute_contamination(docs, items)
     assert decontaminate.decontaminate(d.limit(0), b).count() == 0
     clean = decontaminate.decontaminate(d, b.limit(0)).collect()

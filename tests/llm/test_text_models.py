@@ -45,7 +45,7 @@ def test_bpe_shares_prefixes(model):
 def test_bpe_columns(spark):
     df = spark.createDataFrame([(i, t, "x", 7) for i, t in enumerate(ODD)] + [(None, "a b", None, None)], "doc_id long, text string, ids string, n_tokens int")
     out = bpe.encode(df, decode=True)
-    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    assert out.columns == ["doc_id", "text", "n_tokens", "ids", "decoded"]
     rows = {r["doc_id"]: r for r in out.collect()}
     assert rows[0]["n_tokens"] == 0 and rows[1]["ids"] == "" and rows[None]["n_tokens"] == 2
     again = {r["doc_id"]: r["decoded"] for r in bpe.decode(out.drop("decoded")).collect()}
