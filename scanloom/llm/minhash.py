@@ -30,10 +30,10 @@ class NearDupParams:
         return self.bands * self.rows
 
 
-def shingles(batch, params: NearDupParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def shingles(batch, params: NearDupParams, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(text, shingle, count) of each distinct shingle, and the number of texts.  A text of fewer words, but not
     none, is one shingle."""
-    data, offsets = _rt.text_buffers(batch.column("text"))
+    data, offsets = _rt.text_buffers(batch.column(text_col))
     s, e, doc = _rt.word_spans(data, offsets, _rt.separators(_rt.ASCII_SPACE))
     texts = len(offsets) - 1
     empty = np.zeros(0, np.int64)
@@ -118,38 +118,84 @@ def _signed(docs: DataFrame, params: NearDupParams) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, th long, a long, b long, size long, bands array<long>")
 
 
-def _bags(docs: DataFrame, wanted, params: NearDupParams) -> DataFrame:
-    """a, b and the shingles, as distinct numbers for each time one occurs, of texts marked as wanted."""
+def _texts(docs: DataFrame, wanted, params: NearDupParams) -> DataFrame:
+    """v (names of the multiset) and the text of rows whose key is marked as wanted (a few others may come along)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            kept = whole.filter(pa.array(_rt.marked(wanted.value, whole.column("k").to_numpy().view(_U))))
+            for batch in _rt.slices(kept, "text"):
+                a, b = _names(*shingles(batch, params))
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]), batch.column("text")], names=["v", "text"])
+
+    return docs.select(_row_key("doc_id", "th").alias("k"), "text").mapInArrow(run, "v struct<a:long,b:long>, text string")
+
+
+def _row_key(doc_id: str, th: str) -> Column:
+    return F.xxhash64(doc_id, th)
+
+
+def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
+    """The texts of all nodes (v, w) of the pairs, written once for both sides."""
+    used = pairs.select("v").unionAll(pairs.select("w")).distinct()
+    keys = nodes.join(used, "v", "left_semi").select(_row_key("first.doc_id", "first.th").alias("k"))
+    wanted = docs.sparkSession.sparkContext.broadcast(_rt.bitmap(keys, "k"))
+    return _rt.written(_texts(docs, wanted, params), "texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, params: NearDupParams) -> DataFrame:
+    """The pairs (v, w) whose multisets of shingles overlap enough, counted on the texts."""
+    both = pairs.join(texts.select("v", F.col("text").alias("vt")), "v").join(texts.select(F.col("v").alias("w"), F.col("text").alias("wt")), "w")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in _rt.slices(whole, "vt"):
+                found = []
+                for col in ("vt", "wt"):
+                    row, h, count, n = shingles(batch, params, col)
+                    found.append((_rt.mix(h + row.astype(_U) * _U(0xD6E8FEB86659FD93)), row, count, np.bincount(row, count, minlength=n)))
+                (x, row, c, n), (y, _, d, m) = found
+                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                common = np.bincount(row[i], np.minimum(c[i], d[j]), minlength=len(n))
+                yield batch.filter(pa.array(common * (params.num + params.den) >= (n + m) * params.num)).select(["v", "w"])
+
+    return both.select("v", "w", "vt", "wt").mapInArrow(run, "v struct<a:long,b:long>, w struct<a:long,b:long>").distinct()
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, params: NearDupParams) -> DataFrame:
+    """All pairs (v < w) of the nodes (v, root) of different classes that may match, by an exact prefix filter.
+
+    A node's shingles, each occurrence for itself, are ordered by how many of these nodes have them; of two that
+    match, one of the first n - ceil(n num / den) + 1 of each is common.  Nodes of which much is found nowhere else
+    drop out, so a crowd that shares a part too small for a match makes no pairs."""
 
     def run(batches):
         import pyarrow as pa
 
         for whole in batches:
             for batch in _rt.slices(whole, "text"):
-                doc, h, count, texts = shingles(batch, params)
-                a, b = _names(doc, h, count, texts)
-                keep = _rt.marked(wanted.value, a) & (np.bincount(doc, minlength=texts) > 0)
-                on = keep[doc]
-                doc, h, count = doc[on], h[on], count[on]
-                order = np.argsort(doc, kind="stable")
-                doc, h, count = doc[order], h[order], count[order]
+                row, h, count, n = shingles(batch, params)
                 ends = np.cumsum(count)
                 nth = np.arange(int(count.sum())) - np.repeat(ends - count, count)
                 each = _rt.mix(np.repeat(h, count) + nth.astype(_U) * _U(0xD1342543DE82EF95))
-                size = np.bincount(doc, count, minlength=texts).astype(np.int64)[keep]
-                offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(each.view(np.int64)))], names=["a", "b", "bag"])
-
-    return docs.select("text").mapInArrow(run, "a long, b long, bag array<long>")
-
-
-def _verified(pairs: DataFrame, bags: DataFrame, params: NearDupParams) -> DataFrame:
-    """The pairs (v, w) of names whose multisets overlap enough."""
-    one = bags.select(F.col("v"), F.col("bag").alias("vbag"))
-    two = bags.select(F.col("v").alias("w"), F.col("bag").alias("wbag"))
-    both = pairs.join(two, "w").join(one, "v")
-    common = F.size(F.array_intersect("vbag", "wbag"))
-    return both.where(common * (params.num + params.den) >= (F.size("vbag") + F.size("wbag")) * params.num).select("v", "w")
+                of = np.repeat(row, count)
+                yield pa.RecordBatch.from_arrays([batch.column("v").take(pa.array(of)), pa.array(each.view(np.int64)), pa.array(np.bincount(row, count, minlength=n).astype(np.int32)[of])], names=["v", "e", "n"])
+
+    each = texts.join(nodes.select("v"), "v", "left_semi").dropDuplicates(["v"]).mapInArrow(run, "v struct<a:long,b:long>, e long, n int")
+    each = _rt.written(each, "elements")
+    counted = each.join(each.groupBy("e").agg(F.count("*").alias("c")), "e")
+    ordered = counted.groupBy("v").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "e"))).alias("es"))
+    most = (F.col("n") - F.ceil(F.col("n") * params.num / params.den) + 1).cast("int")
+    prefix = ordered.select("v", "n", F.posexplode(F.slice("es", F.lit(1), most)).alias("pos", "x")).where("x.c > 1").select("v", "n", "pos", "x.e")
+    prefix = _rt.written(prefix.join(nodes, "v"), "prefixes")
+    other = prefix.select("e", F.col("v").alias("w"), F.col("root").alias("wroot"), F.col("n").alias("m"), F.col("pos").alias("wpos"))
+    sizes = (F.col("n") * params.den >= F.col("m") * params.num) & (F.col("m") * params.den >= F.col("n") * params.num)
+    places = (1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("wpos")) - 1) * (params.num + params.den) >= (F.col("n") + F.col("m")) * params.num
+    return prefix.join(other, "e").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("wroot")) & sizes & places).select("v", "w").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -175,45 +221,49 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
 
     Texts with the same multiset of shingles are one node.  Nodes that share a bucket of a band are candidates: in
     each round every bucket is held against the text that shares the most buckets, and texts already in its class
-    are left out; pairs that are left after the rounds are all compared.  Links are exact: the counts of all
-    shingles are compared.  Classes are the connected components of links; a pair of likeness 0.8 shares no bucket
-    in 2 of 10,000 cases, and a class is then kept together by its other links, if it has any.
+    are left out.  Texts of buckets that the rounds leave with several classes are joined once more by an exact
+    prefix filter.  Links are exact: the counts of all shingles are compared.  Classes are the connected components
+    of links; a pair of likeness 0.8 shares no bucket in 2 of 10,000 cases, and a class is then kept together by its
+    other links, if it has any.
 
     Null and empty texts, and texts of white space, stand alone.  Rows that repeat doc_id and text share their
     result.  docs: doc_id, th, text."""
     signed = _rt.written(_signed(docs, params), "signed")
     v = F.struct("a", "b").alias("v")
-    nodes = _rt.written(signed.where("size > 0").groupBy(v).agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("bands").alias("bands")), "nodes")
-    buckets = nodes.select("v", F.explode("bands").alias("bucket"))
+    nodes = _rt.written(signed.where("size > 0").groupBy(v).agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("bands").alias("bands"), F.first("size").alias("size")), "nodes")
+    buckets = nodes.select("v", "size", F.explode("bands").alias("bucket"))
     full = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     in_full = _rt.written(buckets.join(_rt.written(full, "buckets"), "bucket"), "members")
-    weight = in_full.groupBy("v").agg(F.sum("c").alias("weight"))
-    members = _rt.written(in_full.select("bucket", "v").join(weight, "v"), "weighed")
-    wanted = docs.sparkSession.sparkContext.broadcast(_rt.bitmap(members.select("v.a"), "a"))
-    bags = _rt.written(_bags(docs, wanted, params).groupBy(v).agg(F.first("bag").alias("bag")), "bags")
+    weight = _rt.written(in_full.groupBy("v").agg(F.sum("c").alias("weight")), "weights")
+    members = in_full.select("bucket", "v", "size").join(weight, "v")
+    fits = (F.col("size") * params.den >= F.col("lead.size") * params.num) & (F.col("lead.size") * params.den >= F.col("size") * params.num)
 
-    links = tested = roots = None
-    for k in range(params.rounds + 1):
+    links = tested = roots = led = None
+    for _ in range(params.rounds):
         named = members.withColumn("root", F.col("v")) if roots is None else members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        if k:  # only buckets that still hold more than one class
-            open_buckets = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-            named = named.join(open_buckets, "bucket", "left_semi")
-        if k < params.rounds:
-            # the heaviest text that has not led yet; a text leads for all its buckets at once
-            fresh = named if tested is None else named.join(tested.select(F.col("w").alias("v")).distinct(), "v", "left_anti")
-            lead = fresh.groupBy("bucket").agg(F.max(F.struct("weight", "v", "root")).alias("lead"))
-            pairs = named.join(lead, "bucket").where("root != lead.root").select("v", F.col("lead.v").alias("w")).distinct()
-        else:
-            other = named.select("bucket", F.col("v").alias("w"), F.col("root").alias("wroot"))
-            pairs = named.join(other, "bucket").where("v < w AND root != wroot").select("v", "w").distinct()
+        # the heaviest text that has not led this bucket yet
+        fresh = named if led is None else named.join(led, ["bucket", "v"], "left_anti")
+        lead = _rt.written(fresh.groupBy("bucket").agg(F.max(F.struct("weight", "v", "root", "size")).alias("lead")), "leads")
+        now = lead.select("bucket", F.col("lead.v").alias("v"))
+        led = now if led is None else led.unionByName(now)
+        pairs = named.join(lead, "bucket").where((F.col("root") != F.col("lead.root")) & fits).select("v", F.col("lead.v").alias("w")).distinct()
         if tested is not None:
             known = tested.unionByName(tested.select(F.col("w").alias("v"), F.col("v").alias("w")))
             pairs = pairs.join(known, ["v", "w"], "left_anti")
         pairs = _rt.written(pairs, "pairs")
-        found = _rt.written(_verified(pairs, bags, params), "found")
+        found = _rt.written(_verified(pairs, _texts_of(pairs, nodes, docs, params), params), "found")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         roots = components(links)
+    # what has not led a bucket, where that is of several classes
+    named = members.join(led, ["bucket", "v"], "left_anti").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    still_open = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
+    rest = _rt.written(named.join(still_open, "bucket", "left_semi").select("v", "root").distinct(), "rest")
+    if rest.limit(1).count():
+        texts = _texts_of(rest.select("v", F.col("v").alias("w")), nodes, docs, params)
+        pairs = _rt.written(_prefix_pairs(rest, texts, params), "pairs")
+        links = links.unionByName(_rt.written(_verified(pairs, texts, params), "found"))
+        roots = components(links)
     ends = links.select("v").unionByName(links.select(F.col("w").alias("v"))).groupBy("v").agg(F.count("*").alias("n_links"))
     of_node = nodes.select("v", "first").join(roots, "v", "left").join(ends, "v", "left").select("v", "first", F.coalesce("root", "v").alias("root"), "n_links")
     heads = of_node.groupBy("root").agg(F.min("first").alias("head"))
