@@ -103,9 +103,31 @@ def _set_names(line: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return at, n, np.add.reduceat(_rt.mix(h + _U(0x51ED270B)), at), np.add.reduceat(_rt.mix(h ^ _U(0xA24BAED4963EE407)), at)
 
 
+def _prefix_keys(line, h, rank, at, n, shared, params: LineDedupParams):
+    """(place among the words, key, pos) of the rarest words of which any match must have one.
+
+    Words of each line run from rare to frequent.  A match has one of the first `most` words in common.  If the first
+    common word is one of the frequent ones, so are all that follow, and the next common word is among the first
+    most + 1: such a word is keyed together with each later one, which keeps the groups of frequent words small."""
+    most = np.where(n < params.num, 0, n - params.needed(n + -(-n * params.num // params.den)) + 1)
+    pos = np.arange(len(h)) - np.repeat(at, n)
+    limit = np.repeat(most, n)
+    rare = np.flatnonzero((pos < limit) & (rank == 0))
+    rare = rare[_rt.marked(shared, h[rare])]
+    where, keys, places = [rare], [h[rare]], [pos[rare]]
+    hot = np.flatnonzero((pos < limit) & (rank > 0))
+    later = np.minimum(limit, np.repeat(n, n) - 1)[hot] - pos[hot]  # how many later words up to place `most`
+    first = np.repeat(hot, later)
+    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later) - later, later)
+    where.append(first)
+    keys.append(_rt.mix(h[first] * _U(3) + _rt.mix(h[second])))
+    places.append(pos[first])
+    return tuple(np.concatenate(x) for x in (where, keys, places))
+
+
 def _lines(docs: DataFrame, order, shared_words, params: LineDedupParams) -> DataFrame:
-    """A row for each line that has words: doc_id, th, line, n (words), a and b (names of its set), and prefix: the
-    places and words of the rarest words of which any match must have one, where they are in another line too."""
+    """A row for each line that has words: doc_id, th, line, n (words), a and b (names of its set), bits (one of 64 for
+    each word), and keys: for the join, the hash of the key and the place of its word."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -115,25 +137,98 @@ def _lines(docs: DataFrame, order, shared_words, params: LineDedupParams) -> Dat
             for batch in _rt.slices(whole, "text"):
                 line, h, doc, place = _line_words(batch)
                 at, n, a, b = _set_names(line, h)
-                # words of each line from rare to frequent
+                if not len(at):
+                    continue
+                bits = np.bitwise_or.reduceat(_U(1) << (_rt.mix(h) & _U(63)), at)
                 rank = order.value.ranks(h)
-                by = np.lexsort((h, rank, line)) if len(h) else at
-                h = h[by]
-                pos = np.arange(len(h)) - np.repeat(at, n)
-                # the smallest partner has ceil(n num / den) words
-                most = n - params.needed(n + -(-n * params.num // params.den)) + 1
-                use = pos < np.repeat(np.where(n < params.num, 0, most), n)
-                use[use] = _rt.marked(shared_words.value, h[use])
-                per = np.add.reduceat(use.astype(np.int64), at) if len(at) else at
-                offsets = pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32))
-                prefix = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(h[use].view(np.int64)), pa.array(pos[use].astype(np.int32))], names=["word", "pos"]))
+                by = np.lexsort((h, rank, line))
+                where, key, pos = _prefix_keys(line, h[by], rank[by], at, n, shared_words.value, params)
+                sort = np.argsort(where, kind="stable")
+                where, key, pos = where[sort], key[sort], pos[sort]
+                offsets = pa.array(np.searchsorted(line[where], np.arange(len(at) + 1)).astype(np.int32))
+                packed = (key & _U(0xFFFFFFFF00000000)) | np.minimum(pos, 0xFFFFFFFF).astype(_U)
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), prefix],
-                    names=["doc_id", "th", "line", "n", "a", "b", "prefix"],
+                    [batch.column("doc_id").take(take), batch.column("th").take(take), *(pa.array(x) for x in (place.astype(np.int32), n.astype(np.int32), a.view(np.int64), b.view(np.int64), bits.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(packed.view(np.int64)))],
+                    names=["doc_id", "th", "line", "n", "a", "b", "bits", "keys"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, th long, line int, n int, a long, b long, prefix array<struct<word:long,pos:int>>")
+    return docs.mapInArrow(run, f"doc_id {kind}, th long, line int, n int, a long, b long, bits long, keys array<long>")
+
+
+#: Lines of one key that are compared at a time.
+BLOCK = 1 << 10
+
+
+def _pairs(lines: DataFrame, params: LineDedupParams) -> DataFrame:
+    """a, xa: names of two different sets that share a key and, by their sizes, by the places of the key and by the
+    bits in which they differ, may match.  Equal sets count once.
+
+    Rows are dealt by key and sorted; a key's rows pass in blocks, so a task holds one key's rows, 24 bytes each."""
+    rows = lines.select(F.explode("keys").alias("k"), "a", "n", "bits")
+    rows = rows.select(F.shiftright("k", 32).cast("int").alias("key"), F.col("k").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "a", "n", "bits")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "a")
+
+    def compare(x, y):
+        """Pairs of rows of two blocks (a, n, pos, bits) that may match."""
+        n, m = x[1][:, None], y[1][None, :]
+        total = n + m
+        least = params.needed(total)
+        ok = (n * params.den >= m * params.num) & (m * params.den >= n * params.num) & (1 + np.minimum(n - x[2][:, None], m - y[2][None, :]) - 1 >= least)
+        i, j = np.nonzero(ok)
+        differ = np.bitwise_count(x[3][i] ^ y[3][j]).astype(np.int64)
+        keep = (x[1][i] + y[1][j] - differ) // 2 >= least[i, j]
+        return x[0][i[keep]], y[0][j[keep]]
+
+    def run(batches):
+        import pyarrow as pa
+
+        done: list = []  # full blocks of the key at hand
+        rest = None
+        for batch in batches:
+            key, pos, a, n, bits = (batch.column(c).to_numpy() for c in ("key", "pos", "a", "n", "bits"))
+            part = [a, n.astype(np.int64), pos.astype(np.int64), bits.view(_U)]
+            if rest is not None:
+                key, part = np.concatenate((rest[0], key)), [np.concatenate(z) for z in zip(rest[1], part)]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (part[0][1:] != part[0][:-1])))
+            key, part = key[new], [z[new] for z in part]
+            starts, size = _rt.runs(key)
+            found = []
+            several = size[:-1] > 1
+            for s, c in zip(starts[:-1][several].tolist(), size[:-1][several].tolist()):
+                block = [z[s : s + c] for z in part]
+                for k in range(0, c, BLOCK):
+                    mine = [z[k : k + BLOCK] for z in block]
+                    found += [compare(mine, old) for old in (done if s == 0 else [])]
+                    found += [compare(mine, [z[o : o + BLOCK] for z in block]) for o in range(0, k + 1, BLOCK)]
+            if len(starts) > 1 and not several[0]:
+                found += [compare([z[:1] for z in part], old) for old in done]
+            last = int(starts[-1])
+            if len(starts) > 1:
+                done = []
+            tail = [z[last:] for z in part]
+            while len(tail[0]) > 2 * BLOCK:  # a long key: what is full is compared now and kept for what comes
+                mine = [z[:BLOCK] for z in tail]
+                found += [compare(mine, old) for old in [*done, mine]]
+                done.append(mine)
+                tail = [z[BLOCK:] for z in tail]
+            rest = (key[len(key) - len(tail[0]) :], tail)
+            if found:
+                yield out(found)
+        if rest is not None:
+            tail = rest[1]
+            found = [compare(tail, old) for old in [*done, tail]]
+            yield out(found)
+
+    def out(found):
+        import pyarrow as pa
+
+        x, y = (np.concatenate(z) for z in zip(*found))
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        both = np.unique(np.stack((low, high), axis=1)[low != high], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)], names=["a", "xa"])
+
+    return dealt.mapInArrow(run, "a long, xa long").distinct()
 
 
 def _word_sets(docs: DataFrame, wanted) -> DataFrame:
@@ -153,15 +248,7 @@ def _word_sets(docs: DataFrame, wanted) -> DataFrame:
                 offsets = pa.array(np.concatenate(([0], np.cumsum(n[keep]))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64)))], names=["a", "b", "words"])
 
-    return docs.select("text").mapInArrow(run, "a long, b long, words array<long>")
-
-
-def _matched(pairs: DataFrame, words: DataFrame, params: LineDedupParams) -> DataFrame:
-    """The sets (a, b) of the pairs' later sides that match the earlier side exactly."""
-    x = words.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("words").alias("xw"))
-    both = pairs.distinct().join(x, ["xa", "xb"]).join(words, ["a", "b"])
-    common = F.size(F.array_intersect("words", "xw"))
-    return both.where(common * (params.num + params.den) >= (F.size("words") + F.size("xw")) * params.num).select("a", "b").distinct()
+    return docs.select("text").mapInArrow(run, "a long, b long, words array<long>").groupBy("a", "b").agg(F.first("words").alias("words"))
 
 
 def find_duplicate_lines(docs: DataFrame, params: LineDedupParams = LineDedupParams()) -> DataFrame:
@@ -172,32 +259,23 @@ def find_duplicate_lines(docs: DataFrame, params: LineDedupParams = LineDedupPar
     order = sc.broadcast(Order(top.column("word").to_numpy().view(_U), top.column("n").to_numpy()))
     shared_words = sc.broadcast(_rt.bitmap(counts.where("n > 1"), "word"))
     lines = _rt.written(_lines(docs, order, shared_words, params), "lines")
+
+    pairs = _rt.written(_pairs(lines, params), "pairs")
+    wanted = sc.broadcast(_rt.bitmap(pairs.select(F.explode(F.array("a", "xa")).alias("a")), "a"))
+    words = _rt.written(_word_sets(docs, wanted), "sets")
+    x = words.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("words").alias("xw"))
+    common = F.size(F.array_intersect("words", "xw"))
+    match = common * (params.num + params.den) >= (F.size("words") + F.size("xw")) * params.num
+    links = _rt.written(pairs.join(words, "a").join(x, "xa").where(match).select("a", "b", "xa", "xb"), "links")
+
+    # each set's first line, and the earliest first line among the sets that it matches
     place = F.struct("doc_id", "th", "line")
-    sets = _rt.written(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
-
-    # sets that share a word of their prefixes with another set
-    prefix = sets.where("size(prefix) > 0").select("a", "b", "first", "n", F.explode("prefix").alias("p")).select("a", "b", "first", "n", "p.word", "p.pos")
-    leaders = _rt.written(prefix.groupBy("word").agg(F.count("*").alias("c"), F.min(F.struct("first", "a", "b", "n", "pos")).alias("x")).where("c > 1").select("word", "x"), "leaders")
-    groups = _rt.written(prefix.join(leaders.select("word"), "word", "left_semi"), "prefixes")
-    wanted = sc.broadcast(_rt.bitmap(groups.select("a"), "a"))
-    words = _rt.written(_word_sets(docs, wanted).groupBy("a", "b").agg(F.first("words").alias("words")), "sets-of-words")
-
-    def near(x):
-        """Earlier, and by size and place still able to match."""
-        n, m = F.col("n"), x("n")
-        left = 1 + F.least(n - 1 - F.col("pos"), m - 1 - x("pos"))
-        return (x("first") < F.col("first")) & (n * params.den >= m * params.num) & (m * params.den >= n * params.num) & (left * (params.num + params.den) >= (n + m) * params.num)
-
-    of = lambda c: F.col(f"x.{c}")
-    names = [F.col("a"), F.col("b"), of("a").alias("xa"), of("b").alias("xb")]
-    # first each set against the earliest one of each of its words, then what is left against all
-    one = _rt.written(_matched(groups.join(leaders, "word").where(near(of)).select(*names), words, params), "matched")
-    rest = groups.join(one, ["a", "b"], "left_anti")
-    everything = groups.select("word", F.struct("first", "a", "b", "n", "pos").alias("x"))
-    two = _matched(rest.join(everything, "word").where(near(of)).select(*names), words, params)
-    later = one.unionByName(two).select("a", "b", F.lit(True).alias("later"))
-    marks = sets.select("a", "b", "first").join(later, ["a", "b"], "left")
-    return lines.select("doc_id", "th", "line", "a", "b").join(marks, ["a", "b"]).where(F.col("later") | (F.struct("doc_id", "th", "line") != F.col("first"))).select("doc_id", "th", "line")
+    sets = _rt.written(lines.groupBy("a", "b").agg(F.min(place).alias("first")), "firsts")
+    both = links.unionByName(links.select(F.col("xa").alias("a"), F.col("xb").alias("b"), F.col("a").alias("xa"), F.col("b").alias("xb")))
+    other = sets.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("first").alias("x"))
+    earliest = both.join(other, ["xa", "xb"]).groupBy("a", "b").agg(F.min("x").alias("x"))
+    marks = sets.join(earliest, ["a", "b"], "left").select("a", "b", F.least("first", F.coalesce("x", "first")).alias("first"))
+    return lines.select("doc_id", "th", "line", "a", "b").join(marks, ["a", "b"]).where(F.col("first") < place).select("doc_id", "th", "line")
 
 
 def line_dedup(docs: DataFrame, params: LineDedupParams = LineDedupParams(), text_col: str = "text") -> DataFrame:
