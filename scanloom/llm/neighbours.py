@@ -34,14 +34,15 @@ class Order:
     def _pid(self) -> Column:
         """How many bounds are not above the id, found in two steps: which group of bounds, then which bound in it."""
         if not self.bounds:
-            return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
+            return F.coalesce(F.when(F.col("doc_id").isNull(), -1).otherwise(0), F.lit(-1))
         group = max(1, int(len(self.bounds) ** 0.5))
         groups = [self.bounds[i : i + group] for i in range(0, len(self.bounds), group)]
         longs = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
         up_to = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("doc_id")))
         coarse = up_to(longs([g[0] for g in groups]))
         fine = up_to(F.get(F.array(*map(longs, groups)), coarse - 1))
-        return F.when(F.col("doc_id").isNull(), -1).when(F.col("doc_id") < self.bounds[0], 0).otherwise((coarse - 1) * group + fine)
+        part = F.when(F.col("doc_id").isNull(), -1).when(F.col("doc_id") < self.bounds[0], 0).otherwise((coarse - 1) * group + fine)
+        return F.coalesce(part, F.lit(-1))  # never null, so no filter sets one use of the shuffled texts apart from another
 
     def rows(self) -> DataFrame:
         """pid, rn, doc_id, text, and following: the next row's text."""
