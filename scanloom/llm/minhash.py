@@ -22,8 +22,8 @@ class NearDupParams:
     bands: int = 16
     rows: int = 4
     seed: int = 1
-    #: Rounds in which each bucket is held against one of its texts, before all that is left is compared.
-    rounds: int = 3
+    #: Rounds in which each bucket is held against one of its texts, before what is left is joined.
+    rounds: int = 1
 
     @property
     def slots(self) -> int:
