@@ -62,9 +62,18 @@ def between(given: str, wanted: str) -> str:
     return compose([inverse(_named(given)), _named(wanted)])
 
 
+def bound(px: Column, use: Callable[[Column], Column]) -> Column:
+    """use(px) with px worked out once, however often `use` reads it; null stays null.
+
+    An expression that is read inside a lambda would else run again for every element, and nested ones for every
+    element of every element."""
+    return F.get(F.transform(F.array(px), lambda p: F.when(p.isNotNull(), use(p))), F.lit(0))
+
+
 def pick(px: Column, h: int, w: int, source: Callable[[Column, Column], Column]) -> Column:
     """A frame of h x w pixels, each read from the given frame at source(row, column)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda k: F.get(px, source((k / w).cast("int"), k % w)))
+    places = F.sequence(F.lit(0), F.lit(h * w - 1))
+    return bound(px, lambda p: F.transform(places, lambda k: F.get(p, source((k / w).cast("int"), k % w))))
 
 
 def orient(px: Column, name: str, h: int, w: int) -> Column:
@@ -88,7 +97,8 @@ def reorient(px: Column, given: str, wanted: str, h: int, w: int) -> Column:
 
 def crop(px: Column, w: int, y0: int, y1: int, x0: int, x1: int) -> Column:
     """Rows y0 to y1 - 1 and columns x0 to x1 - 1."""
-    return F.flatten(F.transform(F.sequence(F.lit(y0), F.lit(y1 - 1)), lambda r: F.slice(px, r * w + (x0 + 1), F.lit(x1 - x0))))
+    rows = F.sequence(F.lit(y0), F.lit(y1 - 1))
+    return bound(px, lambda p: F.flatten(F.transform(rows, lambda r: F.slice(p, r * w + (x0 + 1), F.lit(x1 - x0)))))
 
 
 def inner_crop_margin(h: int, w: int, configured: int | None = None, probed: int | None = None) -> int:
@@ -115,23 +125,23 @@ def bin_mean(px: Column, h: int, w: int, s: int) -> Column:
     """Means of s x s pixels; what does not fill a block at the far sides goes."""
     cells = [(a, b) for a in range(s) for b in range(s)]
 
-    def mean(k):
+    def mean(p, k):
         i, j = (k / (w // s)).cast("int"), k % (w // s)
-        total = sum((F.get(px, (i * s + a) * w + (j * s + b)) for a, b in cells[1:]), F.get(px, i * s * w + j * s))
+        total = sum((F.get(p, (i * s + a) * w + (j * s + b)) for a, b in cells[1:]), F.get(p, i * s * w + j * s))
         return total / float(s * s)
 
-    return F.transform(F.sequence(F.lit(0), F.lit((h // s) * (w // s) - 1)), mean)
+    return bound(px, lambda p: F.transform(F.sequence(F.lit(0), F.lit((h // s) * (w // s) - 1)), lambda k: mean(p, k)))
 
 
 def pad_centre(px: Column, h: int, w: int, oh: int, ow: int) -> Column:
     """Centres a frame in one of oh x ow pixels: nulls around it, or its sides cut."""
     top, left = (oh - h) // 2, (ow - w) // 2
 
-    def read(k):
+    def read(p, k):
         i, j = (k / ow).cast("int") - top, k % ow - left
-        return F.when((i >= 0) & (i < h) & (j >= 0) & (j < w), F.get(px, i * w + j))
+        return F.when((i >= 0) & (i < h) & (j >= 0) & (j < w), F.get(p, i * w + j))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(oh * ow - 1)), read)
+    return bound(px, lambda p: F.transform(F.sequence(F.lit(0), F.lit(oh * ow - 1)), lambda k: read(p, k)))
 
 
 # ---------------------------------------------------------------- pixel rules
@@ -153,15 +163,19 @@ def floor_to_zero(px: Column, threshold: float) -> Column:
 def inpaint(px: Column, h: int, w: int, bad: list[int]) -> Column:
     """Replaces bad pixels by the median of the pixels around and at them, of an even number the lower one."""
 
-    def median(k: int) -> Column:
+    def median(p: Column, k: int) -> Column:
         i, j = divmod(k, w)
-        near = [F.get(px, F.lit(a * w + b)) for a in range(max(0, i - 1), min(h, i + 2)) for b in range(max(0, j - 1), min(w, j + 2))]
+        near = [F.get(p, F.lit(a * w + b)) for a in range(max(0, i - 1), min(h, i + 2)) for b in range(max(0, j - 1), min(w, j + 2))]
         return F.get(F.sort_array(F.array(*near)), F.lit((len(near) - 1) // 2))
 
     if not bad:
         return px
-    fixed = F.create_map(*[x for k in bad for x in (F.lit(k), median(k))])
-    return F.transform(px, lambda v, k: F.coalesce(F.element_at(fixed, k), v))
+
+    def fixed(p):
+        values = F.create_map(*[x for k in bad for x in (F.lit(k), median(p, k))])
+        return F.get(F.transform(F.array(values), lambda m: F.transform(p, lambda v, k: F.coalesce(F.element_at(m, k), v))), F.lit(0))
+
+    return bound(px, fixed)
 
 
 def amplitude(px: Column, normalization: float = 1e5, scale: float = 1e4) -> Column:

@@ -43,7 +43,7 @@ def frames(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), px.alias("px"), F.col("label").alias("grp"))
 
 
-FRAMES = "f AS (SELECT vec_id AS frame_id, list_transform(embedding, v -> CAST(floor(abs(CAST(v AS DOUBLE)) * 1000) AS BIGINT)) AS px, label AS grp FROM embeddings)"
+FRAMES = "f AS (SELECT vec_id AS frame_id, list_transform(embedding, lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 1000) AS BIGINT)) AS px, label AS grp FROM embeddings)"
 
 
 def samples(spark, sf) -> DataFrame:
@@ -284,10 +284,10 @@ def unit_conversion(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.round(G.bragg_energy_kev(8.0 + k % 5), 6).alias("kev"), F.round(G.wavelength_nm(1 + k % 12), 6).alias("nm"), F.round(G.encoder_ratio(k % 7), 6).alias("ratio"))
 
 
-@query("scan_plan_range", "SELECT p_partkey, round(CASE WHEN p_type = 'ECONOMY' THEN p_retailprice - 100 ELSE (p_retailprice - 100) - (p_retailprice - 100) / p_size END, 4) AS r FROM part")
+@query("scan_plan_range", "SELECT p_partkey, round(CASE WHEN p_type = 'ECONOMY' THEN p_retailprice - 100 ELSE (p_retailprice - 100) - (p_retailprice - 100) / p_size END, 8) AS r FROM part")
 def scan_plan_range(spark, sf):
     kind = F.when(F.col("p_type") == "ECONOMY", "2D_FLY_PANDA").otherwise("FlyPlan2D")
-    return table(spark, sf, "part").select("p_partkey", F.round(G.plan_range(kind, F.lit(100.0), F.col("p_retailprice"), F.col("p_size")), 4).alias("r"))
+    return table(spark, sf, "part").select("p_partkey", F.round(G.plan_range(kind, F.lit(100.0), F.col("p_retailprice"), F.col("p_size")), 8).alias("r"))
 
 
 @query("upsample_ratio", "SELECT CAST(greatest(1, (SELECT count(*) FROM events) // (SELECT count(*) FROM embeddings)) AS BIGINT) AS ratio")
@@ -540,7 +540,7 @@ def latest_run(spark, sf):
     return lookup.latest(table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-@query("lookup_default", "SELECT c_custkey, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN 55.0 END, 75.0) AS pixel_um FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+@query("lookup_default", "SELECT c_custkey, CAST(coalesce(CASE WHEN n_nationkey % 3 = 0 THEN 55.0 END, 75.0) AS DOUBLE) AS pixel_um FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def lookup_default(spark, sf):
     known = table(spark, sf, "nation").where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.lit(55.0).alias("pixel_um"))
     return lookup.with_default(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), known, "c_nationkey", "pixel_um", G.PIXEL_UM).select("c_custkey", "pixel_um")

@@ -1,4 +1,89 @@
-"""Registered streaming queries."""
+"""Registered streaming queries: each drains its stream, so its rows are those of the batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import arrays as A
+from ..plans.catalog import CANVAS, FRAMES
+from .pipelines import drain, latest_wins, live_mosaic, stream_table, throughput, watermarked_join
+from .stateful import in_order, split_scans
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(name, sql):
+    def add(f):
+        QUERIES[name], SQL[name] = f, sql
+        return f
+
+    return add
+
+
+def _frames(spark, sf):
+    px = F.transform("embedding", lambda v: F.floor(F.abs(v.cast("double")) * 1000).cast("bigint"))
+    return stream_table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), px.alias("px"))
+
+
+def _positions(spark, sf):
+    """Positions as a stream: the batch table of means, published as files, would do the same; here each event that
+    ends a group of ten brings the group's mean, looked up from the stored events."""
+    from ..plans.catalog import positions
+
+    means = positions(spark, sf).select("frame_id", F.col("y").alias("cy"), F.col("x").alias("cx"))
+    last = stream_table(spark, sf, "events").where("event_id % 10 = 9").select(F.floor(F.col("event_id") / 10).alias("frame_id"))
+    return last.join(means, "frame_id")
+
+
+@query("stream_stitch", f"WITH {CANVAS} SELECT y, x, s, c FROM canvas")
+def stream_stitch(spark, sf):
+    return drain(live_mosaic(_frames(spark, sf), _positions(spark, sf), 8, 8), "stitch", "complete")
+
+
+@query("stream_join_late", f"WITH {FRAMES} SELECT frame_id, list_sum(px) AS total, CAST(user_id AS BIGINT) AS user_id FROM f JOIN events ON event_id = frame_id")
+def stream_join_late(spark, sf):
+    at = F.lit("2024-01-01").cast("timestamp")
+    f = _frames(spark, sf).select("frame_id", F.aggregate("px", F.lit(0).cast("bigint"), lambda s, v: s + v).alias("total"), at.alias("ts"))
+    p = stream_table(spark, sf, "events").select(F.col("event_id").alias("frame_id"), "user_id", at.alias("ts"))
+    return drain(watermarked_join(f, p, "10 minutes"), "late")
+
+
+@query("stream_packets", "SELECT user_id % 4 AS run, CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS number, value AS x FROM events")
+def stream_packets(spark, sf):
+    """Numbered events come shuffled and leave in order."""
+    from pyspark.sql import Window
+
+    from ..plans.session import fresh_path
+
+    w = Window.partitionBy("run").orderBy("event_id")
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", (F.col("user_id") % 4).alias("run"), F.col("value").alias("x"))
+    path = fresh_path(spark, "packets")
+    e.withColumn("number", F.row_number().over(w).cast("bigint") - 1).repartition(6, F.xxhash64("event_id")).select("run", "number", "x").write.parquet(path)
+    packets = spark.readStream.schema("run bigint, number bigint, x double").option("maxFilesPerTrigger", 2).parquet(path)
+    return drain(in_order(packets), "order")
+
+
+@query("stream_scan_split", "SELECT conv_id % 4 AS run, turn AS number, CAST(sum(CASE WHEN turn < prev THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn) AS BIGINT) AS scan_seq, conv_id * 1000 + turn AS arrival FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn) AS prev FROM conversations)")
+def stream_scan_split(spark, sf):
+    c = stream_table(spark, sf, "conversations").select((F.col("conv_id") % 4).alias("run"), (F.col("conv_id") * 1000 + F.col("turn")).alias("arrival"), F.col("turn").alias("number"))
+    return drain(split_scans(c), "split")
+
+
+@query("stream_latest_wins", "SELECT user_id, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY 1")
+def stream_latest_wins(spark, sf):
+    return latest_wins(stream_table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "latest")
+
+
+@query("stream_throughput", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS at, count(*) AS n FROM events GROUP BY 1")
+def stream_throughput(spark, sf):
+    e = stream_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = drain(throughput(e, every="1 minute"), "throughput", "complete")
+    return out.select(F.col("at").cast("timestamp_ntz").alias("at"), "n")
+
+
+@query("stream_detector_sink", f"WITH {FRAMES} SELECT frame_id // 5 AS row, CAST(list_sum(list_transform(px, lambda v: CAST(floor(least(255, sqrt(v))) AS INTEGER))) AS BIGINT) AS total FROM f WHERE frame_id % 5 = 0")
+def stream_detector_sink(spark, sf):
+    """Every fifth frame as 8-bit roots at its compact row."""
+    kept = _frames(spark, sf).where("frame_id % 5 = 0").select(F.floor(F.col("frame_id") / 5).alias("row"), A.to_uint8(F.col("px")).alias("u8"))
+    return drain(kept.select("row", F.aggregate("u8", F.lit(0).cast("bigint"), lambda s, v: s + v).alias("total")), "detector")
