@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from . import _rt
 
 END = "</w>"
-#: Words whose encoding a worker keeps between batches; past it, it starts anew (results do not depend on it).
-CACHE_WORDS = 200_000
+#: Words whose encoding a worker keeps between batches, in an older and a newer half (results do not depend on it).
+CACHE_WORDS = 300_000
+#: Bytes of text whose new words are encoded together: the more, the more prefixes they share.
+SLICE_BYTES = 4 << 20
 #: Pairs of tokens of which a worker remembers whether they are stable.
 CACHE_PAIRS = 300_000
 
@@ -114,14 +116,23 @@ class Bpe:
             self.rank[a, b] = r
             self.made[a + b] = r
             self.halves[a + b] = (a, b)
-        self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
         self.split = Splitter(list(self.special_ids))
         self._pairs: dict[int, bool] = {}
         self._stable: dict[str, bool] = {}
         #: Tokens that merging their own symbols gives.
         self.stable_ids = {t: i for t, i in self.vocab.items() if self._is_stable(t)}
         del self._stable
+        #: Lengths of the stable tokens that end with two given characters, the longest first; the same for word ends.
+        self.sizes, self.end_sizes = self._sizes(False), self._sizes(True)
         self.ids: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+
+    def _sizes(self, ends: bool) -> dict[str, tuple[int, ...]]:
+        found: dict[str, set[int]] = {}
+        for t in self.stable_ids:
+            if t.endswith(END) == ends and len(t := t.removesuffix(END)) > 1:
+                found.setdefault(t[-2:], set()).add(len(t))
+        return {k: (*sorted(v, reverse=True), 1) for k, v in found.items()}
 
     def _is_stable(self, t: str) -> bool:
         known = self._stable.get(t)
@@ -165,7 +176,8 @@ class Bpe:
 
     def encode_words(self, words) -> dict[str, list[int]]:
         """Token ids of each word (of byte characters)."""
-        stable, joins, longest = self.stable_ids.get, self.joins, self.longest
+        stable, joins, pairs = self.stable_ids.get, self.joins, self._pairs
+        sizes, end_sizes, single = self.sizes.get, self.end_sizes.get, (1,)
         out: dict[str, list[int]] = {}
         size_of, last = [0], [-1]  # the last token of each prefix of the current word: its length and id
         before = ""
@@ -179,15 +191,31 @@ class Bpe:
             keep = min(keep, n - 1) + 1
             del size_of[keep:], last[keep:]
             for i in range(len(last), n):
-                for size in range(min(i, longest), 0, -1):
+                for size in sizes(word[i - 2 : i], single) if i > 1 else single:
+                    if size > i:
+                        continue
                     t = stable(word[i - size : i])
-                    if t is not None and (size == i or joins(last[i - size], t)):
-                        size_of.append(size)
-                        last.append(t)
-                        break
-            for size in range(min(n, longest), 0, -1):
+                    if t is None:
+                        continue
+                    if size < i:
+                        a = last[i - size]
+                        known = pairs.get(a << 20 | t)
+                        if known is False or (known is None and not joins(a, t)):
+                            continue
+                    size_of.append(size)
+                    last.append(t)
+                    break
+            for size in end_sizes(word[n - 2 :], single) if n > 1 else single:
+                if size > n:
+                    continue
                 t = stable(word[n - size :] + END)
-                if t is not None and (size == n or joins(last[n - size], t)):
+                if t is None:
+                    continue
+                if size == n:
+                    break
+                a = last[n - size]
+                known = pairs.get(a << 20 | t)
+                if known or (known is None and joins(a, t)):
                     break
             chain, i = [t], n - size
             while i:
@@ -198,14 +226,21 @@ class Bpe:
         return out
 
     def learn(self, words) -> None:
-        """Keeps the ids, as text, of words that are not yet known."""
-        new = {w: "".join(map(self.bytes.__getitem__, w.encode())) for w in words if w not in self.ids}
-        if len(self.ids) + len(new) > CACHE_WORDS:
-            self.ids.clear()
-            new = {w: "".join(map(self.bytes.__getitem__, w.encode())) for w in words}
+        """Keeps the ids, as text, of the words: new ones are encoded, old ones move up from the older half."""
+        if len(self.ids) > CACHE_WORDS // 2:
+            self.ids, self.older = {}, self.ids
+        ids, older, byte = self.ids, self.older, self.bytes.__getitem__
+        new = {}
+        for w in words:
+            if w not in ids:
+                known = older.get(w)
+                if known is None:
+                    new[w] = "".join(map(byte, w.encode()))
+                else:
+                    ids[w] = known
         chains = self.encode_words(set(new.values()))
         for w, b in new.items():
-            self.ids[w] = " ".join(map(str, chains[b]))
+            ids[w] = " ".join(map(str, chains[b]))
 
     def encode_batch(self, texts: list[str | None]) -> list[str]:
         """Ids of each text as decimal numbers joined by a space; null is an empty text."""
@@ -275,7 +310,7 @@ def _mapped(df: DataFrame, path: str | None, col: str, encodes: bool, decodes: b
 
         bpe = vocabulary.bpe()
         for whole in batches:
-            for batch in _rt.slices(whole, "_given_text"):
+            for batch in _rt.slices(whole, "_given_text", SLICE_BYTES):
                 given = batch.column("_given_text")
                 texts = given.to_pylist()
                 made = {}
