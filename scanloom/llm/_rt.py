@@ -40,34 +40,60 @@ def set_checkpoint_dir(spark: SparkSession) -> str:
     return configured or "/tmp/checkpoints"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Intermediate tables of this session that release() may delete.
+_SCRATCH: list[str] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes a table into the shared folder and reads it back, which cuts lineage.
 
-    The table belongs to this run only; it is dropped when the session ends."""
-    import atexit
+    The table is deleted by release(), unless it is to be kept, or when the session's JVM ends."""
     import uuid
 
     spark = df.sparkSession
     path = f"{set_checkpoint_dir(spark).rstrip('/')}/scanloom-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    try:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).deleteOnExit(at)
-    except Exception:  # the folder then stays for the cluster's own clean-up
-        atexit.register(lambda: None)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if not keep:
+        _SCRATCH.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables written so far: for callers whose results no longer read them."""
+    while _SCRATCH:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _home():
+    return sys.modules.setdefault("_scanloom_worker_state", types.ModuleType("_scanloom_worker_state"))
+
+
 def worker_state(name: str, build):
     """What a Python worker keeps between tasks."""
-    home = sys.modules.setdefault("_scanloom_worker_state", types.ModuleType("_scanloom_worker_state"))
+    home = _home()
     if not hasattr(home, name):
         setattr(home, name, build())
     return getattr(home, name)
 
 
+def large_state(name: str, build):
+    """As worker_state, for what takes over 50 MB: a worker holds one such thing, and other operators drop it."""
+    home = _home()
+    held = getattr(home, "large", None)
+    if held is None or held[0] != name:
+        home.large = held = None
+        home.large = held = (name, build())
+    return held[1]
+
+
+def drop_large() -> None:
+    _home().large = None
+
+
 # ---------------------------------------------------------------- hashing
 _U = np.uint64
 #: Odd 64-bit bases of the two polynomial hashes.
@@ -104,7 +130,7 @@ def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
     if have is None or len(have) < n:
         base = pow(BASE[which], -1, 1 << 64) if inverse else BASE[which]
         have = _powers(base, 1 << max(16, (n - 1).bit_length()))
-        if n <= 4 * SLICE_BYTES:
+        if n <= 2 * SLICE_BYTES:
             tables[(which, inverse)] = have
     return have[:n]
 

@@ -16,7 +16,7 @@ END = "</w>"
 #: Words whose encoding a worker keeps between batches, in an older and a newer half (results do not depend on it).
 CACHE_WORDS = 300_000
 #: Bytes of text whose new words are encoded together: the more, the more prefixes they share.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Pairs of tokens of which a worker remembers whether they are stable.
 CACHE_PAIRS = 300_000
 
@@ -277,7 +277,7 @@ class Vocabulary:
         return Vocabulary("bpe_" + hashlib.md5(text.encode()).hexdigest(), spark.sparkContext.broadcast(text))
 
     def bpe(self) -> Bpe:
-        return _rt.worker_state(self.name, lambda: Bpe(self.spec.value))
+        return _rt.large_state(self.name, lambda: Bpe(self.spec.value))
 
 
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", decode: bool = False, keep_text: bool = True) -> DataFrame:

@@ -58,6 +58,7 @@ def _count_words(docs: DataFrame) -> DataFrame:
             at, _ = _rt.runs(h[order])
             return h[order][at], np.add.reduceat(np.concatenate([p[1] for p in parts])[order], at)
 
+        _rt.drop_large()
         held, size = [], 0
         for whole in batches:
             for batch in _rt.slices(whole, "text"):
@@ -133,6 +134,7 @@ def _lines(docs: DataFrame, order, shared_words, params: LineDedupParams) -> Dat
     def run(batches):
         import pyarrow as pa
 
+        _rt.drop_large()
         for whole in batches:
             for batch in _rt.slices(whole, "text"):
                 line, h, doc, place = _line_words(batch)

@@ -102,6 +102,7 @@ def _signed(docs: DataFrame, params: NearDupParams) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        _rt.drop_large()
         for whole in batches:
             for batch in _rt.slices(whole, "text"):
                 doc, h, count, texts = shingles(batch, params)

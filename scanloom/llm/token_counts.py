@@ -115,7 +115,7 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         import numpy as np
         import pyarrow as pa
 
-        counter = _rt.worker_state("counter_" + vocabulary.name, lambda: Counter(vocabulary.spec.value))
+        counter = _rt.large_state("counter_" + vocabulary.name, lambda: Counter(vocabulary.spec.value))
         for whole in batches:
             for batch in _rt.slices(whole, "text"):
                 made = np.array(counter.count_batch(batch.column("text").to_pylist()), np.int64).reshape(-1, 3)

@@ -201,7 +201,7 @@ def stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("text", F.when(F.col("doc_id") == 3, None).otherwise(F.col("text")))
     out = [("input", docs.toPandas())]
     for name, stage in pipeline.STAGES:
-        docs = written(stage(spark, docs, SF), name)
+        docs = written(stage(spark, docs, SF), name, keep=True)
         out.append((name, docs.toPandas()))
     return out
 
