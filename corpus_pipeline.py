@@ -1,6 +1,7 @@
 """A text corpus in five stages, each on all rows that the stage before it kept.
 
-Every stage takes (spark, docs, sf_dir) and returns documents of the same columns; the last one adds tokens.
+Every stage takes (spark, docs, sf_dir) and returns documents of the same columns; the last one adds tokens.  A stage
+first deletes what earlier stages wrote for themselves: their results have been stored by then.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm import bpe, decontaminate, langid, line_dedup, minhash
-from scanloom.llm._rt import row_hash, text_or_empty, written
+from scanloom.llm._rt import release, row_hash, text_or_empty, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sets lang to the predicted language; documents without a language (no letters) go.
 
     Profiles are learned from the documents' own labels."""
+    release(spark)
     profiles = langid.learn_profiles(docs.select("text", "lang"))
     found = langid.identify(docs, profiles).where(F.col("lang_pred") != langid.UNDETERMINED)
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
@@ -25,17 +27,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later matches of lines; n_chars follows the text.  Documents stay, if need be with an empty text."""
+    release(spark)
     out = line_dedup.line_dedup(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near-duplicates."""
+    release(spark)
     return minhash.near_dedup(docs).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that hold passages of the benchmark."""
+    release(spark)
     marks = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = marks.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
     keyed = docs.withColumn("_key", row_hash(text_or_empty()))
@@ -44,6 +49,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with n_tokens, ids (as text), and the text decoded from the ids."""
+    release(spark)
     return bpe.decode(bpe.encode(docs))
 
 
@@ -64,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
