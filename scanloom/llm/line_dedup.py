@@ -12,7 +12,7 @@ from . import _rt
 
 _U = np.uint64
 #: The most frequent words, whose counts all workers get: a list of this length for any input.  The others count as rarer.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -127,8 +127,8 @@ def _prefix_keys(line, h, rank, at, n, shared, params: LineDedupParams):
 
 
 def _lines(docs: DataFrame, order, shared_words, params: LineDedupParams) -> DataFrame:
-    """A row for each line that has words: doc_id, th, line, n (words), a and b (names of its set), bits (one of 64 for
-    each word), and keys: for the join, the hash of the key and the place of its word."""
+    """A row for each line that has words: doc_id, th, line, n (words), a and b (names of its set), bits (each word
+    flips one of 64), and keys: for the join, the hash of the key and the place of its word."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -141,7 +141,7 @@ def _lines(docs: DataFrame, order, shared_words, params: LineDedupParams) -> Dat
                 at, n, a, b = _set_names(line, h)
                 if not len(at):
                     continue
-                bits = np.bitwise_or.reduceat(_U(1) << (_rt.mix(h) & _U(63)), at)
+                bits = np.bitwise_xor.reduceat(_U(1) << (_rt.mix(h) & _U(63)), at)
                 rank = order.value.ranks(h)
                 by = np.lexsort((h, rank, line))
                 where, key, pos = _prefix_keys(line, h[by], rank[by], at, n, shared_words.value, params)
@@ -164,7 +164,7 @@ BLOCK = 1 << 10
 
 def _pairs(lines: DataFrame, params: LineDedupParams) -> DataFrame:
     """a, xa: names of two different sets that share a key and, by their sizes, by the places of the key and by the
-    bits in which they differ, may match.  Equal sets count once.
+    bits in which they differ (no more than the words in which they do), may match.  Equal sets count once.
 
     Rows are dealt by key and sorted; a key's rows pass in blocks, so a task holds one key's rows, 24 bytes each."""
     rows = lines.select(F.explode("keys").alias("k"), "a", "n", "bits")
