@@ -371,6 +371,34 @@ def prefix_release(spark, sf):
     return align.prefix_release(f, positions(spark, sf).where("frame_id % 50 != 49")).select("frame_id", "arrival")
 
 
+@query("frame_lead", f"WITH {POSITIONS} SELECT (SELECT max(vec_id) FROM embeddings) AS newest, count(*) AS placed, (SELECT max(vec_id) FROM embeddings) - count(*) AS lead FROM p")
+def frame_lead(spark, sf):
+    from ..streaming.pipelines import lead
+
+    return lead(frames(spark, sf), positions(spark, sf))
+
+
+@query("finite_object", "SELECT vec_id AS frame_id, CAST(list_sum(list_transform(embedding, lambda v: CASE WHEN isfinite(v) THEN 1 ELSE 0 END)) AS BIGINT) AS finite FROM embeddings")
+def finite_object(spark, sf):
+    good = lambda v: ~F.isnan(v) & (F.abs(v) != float("inf"))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), F.size(F.filter("embedding", good)).cast("bigint").alias("finite"))
+
+
+@query("live_result_guard", "SELECT count(*) AS written FROM embeddings WHERE NOT list_bool_or(list_transform(embedding, lambda v: NOT isfinite(v)))")
+def live_result_guard(spark, sf):
+    from ..sources.sinks import sound
+
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, sf, "embeddings").where(sound(e, e, e, e)).agg(F.count("*").alias("written"))
+
+
+@query("sample_pixel", "SELECT s_suppkey, round(1e-10 * (1 + s_suppkey % 3) * 0.5 / (64 * (55 + s_suppkey % 2 * 20) * 1e-6) * 1e9, 6) AS nm FROM supplier")
+def sample_pixel(spark, sf):
+    k = F.col("s_suppkey")
+    px = G.sample_pixel_m((k % 3 + 1) * 1e-10, F.lit(0.5), 64, (k % 2 * 20 + 55).cast("double"))
+    return table(spark, sf, "supplier").select("s_suppkey", F.round(px * 1e9, 6).alias("nm"))
+
+
 @query("compare_positions", f"WITH {POSITIONS}, q AS (SELECT event_id // 10 AS frame_id, min(value) AS x FROM events GROUP BY 1) SELECT count(*) AS n, round(avg(p.x - q.x), 6) AS mean, round(stddev_pop(p.x - q.x), 6) AS sd, round(max(abs(p.x - q.x)), 6) AS most, round(regr_slope(p.x, q.x), 6) AS slope, round(regr_intercept(p.x, q.x), 6) AS intercept FROM p JOIN q USING (frame_id)")
 def compare_positions(spark, sf):
     q = samples(spark, sf).groupBy(F.floor(F.col("sample") / 10).cast("bigint").alias("frame_id")).agg(F.min("x").alias("x"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import mosaic
 from ..plans.session import fresh_path
@@ -63,6 +66,37 @@ def throughput(stream: DataFrame, ts: str = "ts", every: str = "1 second", late:
     return stream.withWatermark(ts, late).groupBy(F.window(ts, every).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("at"), "n")
 
 
+class Progress(StreamingQueryListener):
+    """Rows and rates of the queries of a session, a stamp at most every `every` seconds: stamp(name, rows, rate)."""
+
+    def __init__(self, stamp, every: float = 1.0):
+        self.stamp, self.every, self.rows, self.last = stamp, every, {}, {}
+
+    def onQueryStarted(self, event):
+        self.rows[str(event.id)] = 0
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        key, now = str(p.id), time.monotonic()
+        self.rows[key] = self.rows.get(key, 0) + p.numInputRows
+        if now - self.last.get(key, -self.every) >= self.every:
+            self.last[key] = now
+            self.stamp(p.name or key, self.rows[key], p.processedRowsPerSecond)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.rows.pop(str(event.id), None)
+
+
+def lead(frames: DataFrame, positions: DataFrame) -> DataFrame:
+    """How far the newest frame is ahead of the positions: a figure to watch, as a keyed join needs no brake."""
+    a = frames.agg(F.max("frame_id").alias("newest"))
+    b = positions.agg(F.count("*").alias("placed"))
+    return a.crossJoin(F.broadcast(b)).select("newest", "placed", (F.col("newest") - F.col("placed")).alias("lead"))
+
+
 def fan_out(stream: DataFrame, first, second, checkpoint: str):
     """One source, two writers (functions of a batch and its number) that see the same rows."""
 

@@ -167,6 +167,15 @@ def test_solver_matches_numpy(spark):
     assert np.roll(spot, recon.roll_centroid(spot), axis=(0, 1))[4, 4] == 1
 
 
+def test_probe_propagation_and_clearing(spark):
+    p = np.exp(-((np.mgrid[0:16, 0:16] - 7.5) ** 2).sum(axis=0) / 8).astype(complex)
+    there = recon.propagate(p, 1e-4, 1e-10, 1e-7)
+    assert np.abs(recon.propagate(there, -1e-4, 1e-10, 1e-7) - p).max() < 1e-9
+    w = spark.createDataFrame([(2, 3), (10, 1)], "y0 int, x0 int")
+    config = recon.SolverConfig(8, 40, 30)
+    assert recon.region_to_clear(w, config, 10) == (2, 18, 1, 11) and recon.region_to_clear(w, config, 1000) is None
+
+
 def test_decoding(spark):
     f = spark.createDataFrame([(1, [1, 2, 3, 65535]), (2, [0, 0, 256, 7])], "frame_id long, px array<bigint>")
     m = S.encode_frames(f, 2, 2)
