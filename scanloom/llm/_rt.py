@@ -68,6 +68,18 @@ def release(spark: SparkSession) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of a batch that a worker gets at once; Spark's own default of 10,000 long texts is too much to hold.
+BATCH_ROWS = 1000
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow over batches of at most BATCH_ROWS rows.  The setting is the session's; a lower one is kept."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def _home():
     return sys.modules.setdefault("_scanloom_worker_state", types.ModuleType("_scanloom_worker_state"))
 
@@ -91,7 +103,17 @@ def large_state(name: str, build):
 
 
 def drop_large() -> None:
-    _home().large = None
+    """Gives back what a large state took, to the system too where its C library can do that."""
+    import ctypes
+    import gc
+
+    home = _home()
+    if getattr(home, "large", None) is not None:
+        home.large = None
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 # ---------------------------------------------------------------- hashing

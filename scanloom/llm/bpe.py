@@ -14,7 +14,7 @@ from . import _rt
 
 END = "</w>"
 #: Words whose encoding a worker keeps between batches, in an older and a newer half (results do not depend on it).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Bytes of text whose new words are encoded together: the more, the more prefixes they share.
 SLICE_BYTES = 2 << 20
 #: Pairs of tokens of which a worker remembers whether they are stable.
@@ -325,4 +325,4 @@ def _mapped(df: DataFrame, path: str | None, col: str, encodes: bool, decodes: b
                 columns = [given if n == col else batch.column(n) for n in names] + [made[n] for n in new]
                 yield pa.RecordBatch.from_arrays(columns, names=names + new)
 
-    return source.mapInArrow(run, schema)
+    return source.transform(_rt.in_batches, run, schema)

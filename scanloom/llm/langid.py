@@ -110,7 +110,7 @@ def gram_counts(docs: DataFrame, params: LangIdParams) -> DataFrame:
             gram, n = merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    return docs.select("lang", _rt.text_or_empty().alias("text")).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", _rt.text_or_empty().alias("text")).transform(_rt.in_batches, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def learn_profiles(docs: DataFrame, params: LangIdParams = LangIdParams()) -> dict[str, list[int]]:
@@ -186,4 +186,4 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], params: LangIdPara
                     lang, score = model.predict(part.column("_given_text"))
                     yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.transform(_rt.in_batches, run, schema)

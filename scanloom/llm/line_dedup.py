@@ -77,7 +77,7 @@ def _count_words(docs: DataFrame) -> DataFrame:
             h, n = total(held)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").transform(_rt.in_batches, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Order:
@@ -155,7 +155,7 @@ def _lines(docs: DataFrame, order, shared_words, params: LineDedupParams) -> Dat
                     names=["doc_id", "th", "line", "n", "a", "b", "bits", "keys"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, th long, line int, n int, a long, b long, bits long, keys array<long>")
+    return docs.transform(_rt.in_batches, run, f"doc_id {kind}, th long, line int, n int, a long, b long, bits long, keys array<long>")
 
 
 #: Lines of one key that are compared at a time.
@@ -230,7 +230,7 @@ def _pairs(lines: DataFrame, params: LineDedupParams) -> DataFrame:
         both = np.unique(np.stack((low, high), axis=1)[low != high], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)], names=["a", "xa"])
 
-    return dealt.mapInArrow(run, "a long, xa long").distinct()
+    return dealt.transform(_rt.in_batches, run, "a long, xa long").distinct()
 
 
 def _word_sets(docs: DataFrame, wanted) -> DataFrame:
@@ -250,7 +250,7 @@ def _word_sets(docs: DataFrame, wanted) -> DataFrame:
                 offsets = pa.array(np.concatenate(([0], np.cumsum(n[keep]))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64)))], names=["a", "b", "words"])
 
-    return docs.select("text").mapInArrow(run, "a long, b long, words array<long>").groupBy("a", "b").agg(F.first("words").alias("words"))
+    return docs.select("text").transform(_rt.in_batches, run, "a long, b long, words array<long>").groupBy("a", "b").agg(F.first("words").alias("words"))
 
 
 def find_duplicate_lines(docs: DataFrame, params: LineDedupParams = LineDedupParams()) -> DataFrame:

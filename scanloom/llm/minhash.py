@@ -116,7 +116,7 @@ def _signed(docs: DataFrame, params: NearDupParams) -> DataFrame:
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(band.view(np.int64)), params.bands).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(size), lists], names=["doc_id", "th", "a", "b", "size", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, th long, a long, b long, size long, bands array<long>")
+    return docs.transform(_rt.in_batches, run, f"doc_id {kind}, th long, a long, b long, size long, bands array<long>")
 
 
 def _texts(docs: DataFrame, wanted, params: NearDupParams) -> DataFrame:
@@ -131,7 +131,7 @@ def _texts(docs: DataFrame, wanted, params: NearDupParams) -> DataFrame:
                 a, b = _names(*shingles(batch, params))
                 yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]), batch.column("text")], names=["v", "text"])
 
-    return docs.select(_row_key("doc_id", "th").alias("k"), "text").mapInArrow(run, "v struct<a:long,b:long>, text string")
+    return docs.select(_row_key("doc_id", "th").alias("k"), "text").transform(_rt.in_batches, run, "v struct<a:long,b:long>, text string")
 
 
 def _row_key(doc_id: str, th: str) -> Column:
@@ -164,7 +164,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, params: NearDupParams) -> Data
                 common = np.bincount(row[i], np.minimum(c[i], d[j]), minlength=len(n))
                 yield batch.filter(pa.array(common * (params.num + params.den) >= (n + m) * params.num)).select(["v", "w"])
 
-    return both.select("v", "w", "vt", "wt").mapInArrow(run, "v struct<a:long,b:long>, w struct<a:long,b:long>").distinct()
+    return both.select("v", "w", "vt", "wt").transform(_rt.in_batches, run, "v struct<a:long,b:long>, w struct<a:long,b:long>").distinct()
 
 
 def _prefix_pairs(nodes: DataFrame, texts: DataFrame, params: NearDupParams) -> DataFrame:
@@ -186,7 +186,7 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame, params: NearDupParams) ->
                 of = np.repeat(row, count)
                 yield pa.RecordBatch.from_arrays([batch.column("v").take(pa.array(of)), pa.array(each.view(np.int64)), pa.array(np.bincount(row, count, minlength=n).astype(np.int32)[of])], names=["v", "e", "n"])
 
-    each = texts.join(nodes.select("v"), "v", "left_semi").dropDuplicates(["v"]).mapInArrow(run, "v struct<a:long,b:long>, e long, n int")
+    each = texts.join(nodes.select("v"), "v", "left_semi").dropDuplicates(["v"]).transform(_rt.in_batches, run, "v struct<a:long,b:long>, e long, n int")
     each = _rt.written(each, "elements")
     counted = each.join(each.groupBy("e").agg(F.count("*").alias("c")), "e")
     ordered = counted.groupBy("v").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "e"))).alias("es"))

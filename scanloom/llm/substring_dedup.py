@@ -166,7 +166,7 @@ def _runs_of(docs: DataFrame, params: SubstringParams) -> DataFrame:
                         names=["key", "region", "doc_id", "th", "p", "n"],
                     )
 
-    return docs.mapInArrow(run, f"key long, region long, doc_id {kind}, th long, p int, n int")
+    return docs.transform(_rt.in_batches, run, f"key long, region long, doc_id {kind}, th long, p int, n int")
 
 
 def _windows_of(docs_with_runs: DataFrame, params: SubstringParams) -> DataFrame:
@@ -195,7 +195,7 @@ def _windows_of(docs_with_runs: DataFrame, params: SubstringParams) -> DataFrame
                     names=["key", "window", "doc_id", "th", "p"],
                 )
 
-    return docs_with_runs.mapInArrow(run, f"key long, window long, doc_id {kind}, th long, p int")
+    return docs_with_runs.transform(_rt.in_batches, run, f"key long, window long, doc_id {kind}, th long, p int")
 
 
 def _cut(docs_with_spans: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def _cut(docs_with_spans: DataFrame) -> DataFrame:
                 text = pa.LargeStringArray.from_buffers(len(count), pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(removed.astype(np.int64)), text], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs_with_spans.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return docs_with_spans.transform(_rt.in_batches, run, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def substring_dedup(docs: DataFrame, params: SubstringParams = SubstringParams(), text_col: str = "text") -> DataFrame:

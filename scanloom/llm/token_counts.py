@@ -121,4 +121,4 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
                 made = np.array(counter.count_batch(batch.column("text").to_pylist()), np.int64).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(made[:, i]) for i in range(3))], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
+    return rows.transform(_rt.in_batches, run, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
