@@ -162,75 +162,78 @@ def _lines(docs: DataFrame, order, shared_words, params: LineDedupParams) -> Dat
 BLOCK = 1 << 10
 
 
-def _pairs(lines: DataFrame, params: LineDedupParams) -> DataFrame:
-    """a, xa: names of two different sets that share a key and, by their sizes, by the places of the key and by the
-    bits in which they differ (no more than the words in which they do), may match.  Equal sets count once.
-
-    Rows are dealt by key and sorted; a key's rows pass in blocks, so a task holds one key's rows, 24 bytes each."""
-    rows = lines.select(F.explode("keys").alias("k"), "a", "n", "bits")
-    rows = rows.select(F.shiftright("k", 32).cast("int").alias("key"), F.col("k").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "a", "n", "bits")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "a")
+def _pairs(lines: DataFrame, params: LineDedupParams, only=None) -> DataFrame:
+    """a, xa, more: of each set a candidate xa for an earlier match, and whether there are others.
+
+    Candidates share a key and, by their sizes, by the places of the key and by the bits in which they differ (no more
+    than the words in which they do), may match; the order is that of doc_id.  Without `only`, a set gets the earliest
+    candidate that each block of a key has, so a crowd of like lines makes a few pairs each; with it (a bitmap of
+    names), the marked sets get all.  Equal sets count once.  Rows are dealt by key; a task holds one key's rows, 32
+    bytes each, and compares them in blocks."""
+    rows = lines.select(F.explode("keys").alias("k"), "a", "n", "bits", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("at"))
+    rows = rows.select(F.shiftright("k", 32).cast("int").alias("key"), F.col("k").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "a", "n", "bits", "at")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "at")
 
     def compare(x, y):
-        """Pairs of rows of two blocks (a, n, pos, bits) that may match."""
+        """(a, xa, more) for rows of block x against earlier rows of block y; both in order."""
         n, m = x[1][:, None], y[1][None, :]
-        total = n + m
-        least = params.needed(total)
-        ok = (n * params.den >= m * params.num) & (m * params.den >= n * params.num) & (1 + np.minimum(n - x[2][:, None], m - y[2][None, :]) - 1 >= least)
+        least = params.needed(n + m)
+        ok = (n * params.den >= m * params.num) & (m * params.den >= n * params.num) & (np.minimum(n - x[2][:, None], m - y[2][None, :]) >= least)
+        ok &= x[0][:, None] != y[0][None, :]
+        tied = x[4][:, None] == y[4][None, :]
+        if x is y:
+            ok &= np.tri(len(x[0]), k=-1, dtype=bool)
+        if only is not None:
+            ok &= _rt.marked(only.value, x[0].view(_U))[:, None] | (tied & _rt.marked(only.value, y[0].view(_U))[None, :])
         i, j = np.nonzero(ok)
         differ = np.bitwise_count(x[3][i] ^ y[3][j]).astype(np.int64)
         keep = (x[1][i] + y[1][j] - differ) // 2 >= least[i, j]
-        return x[0][i[keep]], y[0][j[keep]]
+        i, j = i[keep], j[keep]
+        if only is not None:
+            return x[0][i], y[0][j], np.zeros(len(i), bool)
+        # of each row the first candidate of an earlier document, and all of its own document, where lines have no order yet
+        own = tied[i, j]
+        at, size = _rt.runs(i[~own])
+        a, b = i[~own][at], j[~own][at]
+        return np.concatenate((x[0][a], x[0][i[own]])), np.concatenate((y[0][b], y[0][j[own]])), np.concatenate((size > 1, np.zeros(int(own.sum()), bool)))
+
+    def group(rows_of_key):
+        """All comparisons of one key's rows."""
+        blocks = [[z[k : k + BLOCK] for z in rows_of_key] for k in range(0, len(rows_of_key[0]), BLOCK)]
+        return [compare(x, y) for b, x in enumerate(blocks) for y in blocks[: b + 1]]
 
     def run(batches):
         import pyarrow as pa
 
-        done: list = []  # full blocks of the key at hand
-        rest = None
+        held, held_key = [], None
+
+        def out(found):
+            a, xa, more = (np.concatenate(z) for z in zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(xa), pa.array(more)], names=["a", "xa", "more"])
+
+        def closed():
+            part = [np.concatenate(z) for z in zip(*held)]
+            _, first = np.unique(part[0], return_index=True)  # equal sets: the earliest
+            return group([z[np.sort(first)] for z in part])
+
         for batch in batches:
-            key, pos, a, n, bits = (batch.column(c).to_numpy() for c in ("key", "pos", "a", "n", "bits"))
-            part = [a, n.astype(np.int64), pos.astype(np.int64), bits.view(_U)]
-            if rest is not None:
-                key, part = np.concatenate((rest[0], key)), [np.concatenate(z) for z in zip(rest[1], part)]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (part[0][1:] != part[0][:-1])))
-            key, part = key[new], [z[new] for z in part]
+            key, pos, a, n, bits, at = (batch.column(c).to_numpy() for c in ("key", "pos", "a", "n", "bits", "at"))
+            part = [a, n.astype(np.int64), pos.astype(np.int64), bits.view(_U), at]
             starts, size = _rt.runs(key)
             found = []
-            several = size[:-1] > 1
-            for s, c in zip(starts[:-1][several].tolist(), size[:-1][several].tolist()):
-                block = [z[s : s + c] for z in part]
-                for k in range(0, c, BLOCK):
-                    mine = [z[k : k + BLOCK] for z in block]
-                    found += [compare(mine, old) for old in (done if s == 0 else [])]
-                    found += [compare(mine, [z[o : o + BLOCK] for z in block]) for o in range(0, k + 1, BLOCK)]
-            if len(starts) > 1 and not several[0]:
-                found += [compare([z[:1] for z in part], old) for old in done]
-            last = int(starts[-1])
-            if len(starts) > 1:
-                done = []
-            tail = [z[last:] for z in part]
-            while len(tail[0]) > 2 * BLOCK:  # a long key: what is full is compared now and kept for what comes
-                mine = [z[:BLOCK] for z in tail]
-                found += [compare(mine, old) for old in [*done, mine]]
-                done.append(mine)
-                tail = [z[BLOCK:] for z in tail]
-            rest = (key[len(key) - len(tail[0]) :], tail)
+            for s, c in zip(starts.tolist(), size.tolist()):
+                if key[s] != held_key:
+                    if held and sum(len(h[0]) for h in held) > 1:
+                        found += closed()
+                    held, held_key = [], key[s]
+                held.append([z[s : s + c] for z in part])
             if found:
                 yield out(found)
-        if rest is not None:
-            tail = rest[1]
-            found = [compare(tail, old) for old in [*done, tail]]
-            yield out(found)
-
-    def out(found):
-        import pyarrow as pa
-
-        x, y = (np.concatenate(z) for z in zip(*found))
-        low, high = np.minimum(x, y), np.maximum(x, y)
-        both = np.unique(np.stack((low, high), axis=1)[low != high], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)], names=["a", "xa"])
+        if held and sum(len(h[0]) for h in held) > 1:
+            yield out(closed())
 
-    return dealt.transform(_rt.in_batches, run, "a long, xa long").distinct()
+    made = dealt.transform(_rt.in_batches, run, "a long, xa long, more boolean")
+    return made.groupBy("a", "xa").agg(F.max("more").alias("more"))
 
 
 def _word_sets(docs: DataFrame, wanted) -> DataFrame:
@@ -262,22 +265,34 @@ def find_duplicate_lines(docs: DataFrame, params: LineDedupParams = LineDedupPar
     shared_words = sc.broadcast(_rt.bitmap(counts.where("n > 1"), "word"))
     lines = _rt.written(_lines(docs, order, shared_words, params), "lines")
 
-    pairs = _rt.written(_pairs(lines, params), "pairs")
-    wanted = sc.broadcast(_rt.bitmap(pairs.select(F.explode(F.array("a", "xa")).alias("a")), "a"))
-    words = _rt.written(_word_sets(docs, wanted), "sets")
-    x = words.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("words").alias("xw"))
-    common = F.size(F.array_intersect("words", "xw"))
-    match = common * (params.num + params.den) >= (F.size("words") + F.size("xw")) * params.num
-    links = _rt.written(pairs.join(words, "a").join(x, "xa").where(match).select("a", "b", "xa", "xb"), "links")
-
-    # each set's first line, and the earliest first line among the sets that it matches
+    # each set's first line
     place = F.struct("doc_id", "th", "line")
     sets = _rt.written(lines.groupBy("a", "b").agg(F.min(place).alias("first")), "firsts")
-    both = links.unionByName(links.select(F.col("xa").alias("a"), F.col("xb").alias("b"), F.col("a").alias("xa"), F.col("b").alias("xb")))
-    other = sets.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("first").alias("x"))
-    earliest = both.join(other, ["xa", "xb"]).groupBy("a", "b").agg(F.min("x").alias("x"))
-    marks = sets.join(earliest, ["a", "b"], "left").select("a", "b", F.least("first", F.coalesce("x", "first")).alias("first"))
-    return lines.select("doc_id", "th", "line", "a", "b").join(marks, ["a", "b"]).where(F.col("first") < place).select("doc_id", "th", "line")
+
+    def removed(pairs: DataFrame) -> DataFrame:
+        """a, b of the sets that match, exactly, a set whose first line is earlier."""
+        wanted = sc.broadcast(_rt.bitmap(pairs.select(F.explode(F.array("a", "xa")).alias("a")), "a"))
+        words = _rt.written(_word_sets(docs, wanted).join(sets, ["a", "b"]), "sets")
+        x = words.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("first").alias("xfirst"), F.col("words").alias("xw"))
+        common = F.size(F.array_intersect("words", "xw"))
+        match = common * (params.num + params.den) >= (F.size("words") + F.size("xw")) * params.num
+        # candidates of one document may stand in either order
+        both = pairs.select("a", "xa").join(words, "a").join(x, "xa").where(match & (F.col("first") != F.col("xfirst")))
+        later = F.when(F.col("xfirst") < F.col("first"), F.struct("a", "b")).otherwise(F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")))
+        return _rt.written(both.select(later.alias("s")).select("s.a", "s.b").distinct(), "removed")
+
+    # each set against its earliest candidates, then those with more candidates that are still there against all
+    pairs = _rt.written(_pairs(lines, params), "pairs")
+    gone = removed(pairs)
+    open_sets = _rt.written(pairs.where("more").select("a").distinct().join(gone, "a", "left_anti"), "open")
+    if open_sets.limit(1).count():
+        only = sc.broadcast(_rt.bitmap(open_sets, "a"))
+        keys = lines.join(open_sets, "a", "left_semi").select(F.explode("keys").alias("k")).select(F.shiftright("k", 32).cast("int").alias("key")).distinct()
+        those = lines.select("doc_id", "a", "n", "bits", F.explode("keys").alias("k")).withColumn("key", F.shiftright("k", 32).cast("int")).join(keys, "key", "left_semi")
+        rest = _rt.written(_pairs(those.select("doc_id", "a", "n", "bits", F.array("k").alias("keys")), params, only), "pairs")
+        gone = gone.unionByName(removed(rest)).distinct()
+    marks = sets.join(gone.withColumn("later", F.lit(True)), ["a", "b"], "left")
+    return lines.select("doc_id", "th", "line", "a", "b").join(marks, ["a", "b"]).where(F.coalesce("later", F.lit(False)) | (F.col("first") < place)).select("doc_id", "th", "line")
 
 
 def line_dedup(docs: DataFrame, params: LineDedupParams = LineDedupParams(), text_col: str = "text") -> DataFrame:
