@@ -142,6 +142,7 @@ def _lines(docs: DataFrame, order, shared_words, params: LineDedupParams) -> Dat
                 if not len(at):
                     continue
                 bits = np.bitwise_xor.reduceat(_U(1) << (_rt.mix(h) & _U(63)), at)
+                sketch = _sketches(line, h, n)
                 rank = order.value.ranks(h)
                 by = np.lexsort((h, rank, line))
                 where, key, pos = _prefix_keys(line, h[by], rank[by], at, n, shared_words.value, params)
@@ -151,11 +152,28 @@ def _lines(docs: DataFrame, order, shared_words, params: LineDedupParams) -> Dat
                 packed = (key & _U(0xFFFFFFFF00000000)) | np.minimum(pos, 0xFFFFFFFF).astype(_U)
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("th").take(take), *(pa.array(x) for x in (place.astype(np.int32), n.astype(np.int32), a.view(np.int64), b.view(np.int64), bits.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(packed.view(np.int64)))],
-                    names=["doc_id", "th", "line", "n", "a", "b", "bits", "keys"],
+                    [batch.column("doc_id").take(take), batch.column("th").take(take), *(pa.array(x) for x in (place.astype(np.int32), n.astype(np.int32), a.view(np.int64), b.view(np.int64), bits.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(packed.view(np.int64))), sketch],
+                    names=["doc_id", "th", "line", "n", "a", "b", "bits", "keys", "sketch"],
                 )
 
-    return docs.transform(_rt.in_batches, run, f"doc_id {kind}, th long, line int, n int, a long, b long, bits long, keys array<long>")
+    return docs.transform(_rt.in_batches, run, f"doc_id {kind}, th long, line int, n int, a long, b long, bits long, keys array<long>, sketch array<long>")
+
+
+#: Lines of more words than this have a wide sketch beside their 64 bits.
+LONG = 48
+
+
+def _sketches(line: np.ndarray, h: np.ndarray, n: np.ndarray):
+    """For long lines 512 bits, as eight numbers, of which each word flips one; none for others."""
+    import pyarrow as pa
+
+    long = n > LONG
+    at = np.cumsum(long) - 1
+    on = np.repeat(long, n)
+    bit = _rt.mix(h[on] + _U(0x2545F4914F6CDD1D)) & _U(511)
+    out = np.zeros(int(long.sum()) * 8, _U)
+    np.bitwise_xor.at(out, np.repeat(at, n)[on] * 8 + (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(long * 8))).astype(np.int32)), pa.array(out.view(np.int64)))
 
 
 #: Lines of one key that are compared at a time.
@@ -170,7 +188,7 @@ def _pairs(lines: DataFrame, params: LineDedupParams, only=None) -> DataFrame:
     candidate that each block of a key has, so a crowd of like lines makes a few pairs each; with it (a bitmap of
     names), the marked sets get all.  Equal sets count once.  Rows are dealt by key; a task holds one key's rows, 32
     bytes each, and compares them in blocks."""
-    rows = lines.select(F.explode("keys").alias("k"), "a", "n", "bits", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("at"))
+    rows = lines.select(F.explode("keys").alias("k"), "a", "n", "bits", F.coalesce(F.col("doc_id").try_cast("long"), F.lit(-(1 << 62))).alias("at"))
     rows = rows.select(F.shiftright("k", 32).cast("int").alias("key"), F.col("k").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "a", "n", "bits", "at")
     dealt = rows.repartition("key").sortWithinPartitions("key", "at")
 
@@ -267,12 +285,18 @@ def find_duplicate_lines(docs: DataFrame, params: LineDedupParams = LineDedupPar
 
     # each set's first line
     place = F.struct("doc_id", "th", "line")
-    sets = _rt.written(lines.groupBy("a", "b").agg(F.min(place).alias("first")), "firsts")
+    sets = _rt.written(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "firsts")
 
     def removed(pairs: DataFrame) -> DataFrame:
         """a, b of the sets that match, exactly, a set whose first line is earlier."""
+        # the wide sketches of long lines sift the pairs before any words are moved
+        mine, other = sets.select("a", "n", "sketch"), sets.select(F.col("a").alias("xa"), F.col("n").alias("m"), F.col("sketch").alias("xsketch"))
+        flipped = F.aggregate(F.zip_with("sketch", "xsketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        total = F.col("n") + F.col("m")
+        may = (F.size("sketch") == 0) | (F.size("xsketch") == 0) | ((total - flipped) * (params.num + params.den) >= total * (2 * params.num))
+        pairs = _rt.written(pairs.select("a", "xa").join(mine, "a").join(other, "xa").where(may).select("a", "xa").distinct(), "sifted")
         wanted = sc.broadcast(_rt.bitmap(pairs.select(F.explode(F.array("a", "xa")).alias("a")), "a"))
-        words = _rt.written(_word_sets(docs, wanted).join(sets, ["a", "b"]), "sets")
+        words = _rt.written(_word_sets(docs, wanted).join(sets.select("a", "b", "first"), ["a", "b"]), "sets")
         x = words.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("first").alias("xfirst"), F.col("words").alias("xw"))
         common = F.size(F.array_intersect("words", "xw"))
         match = common * (params.num + params.den) >= (F.size("words") + F.size("xw")) * params.num
@@ -291,7 +315,7 @@ def find_duplicate_lines(docs: DataFrame, params: LineDedupParams = LineDedupPar
         those = lines.select("doc_id", "a", "n", "bits", F.explode("keys").alias("k")).withColumn("key", F.shiftright("k", 32).cast("int")).join(keys, "key", "left_semi")
         rest = _rt.written(_pairs(those.select("doc_id", "a", "n", "bits", F.array("k").alias("keys")), params, only), "pairs")
         gone = gone.unionByName(removed(rest)).distinct()
-    marks = sets.join(gone.withColumn("later", F.lit(True)), ["a", "b"], "left")
+    marks = sets.select("a", "b", "first").join(gone.withColumn("later", F.lit(True)), ["a", "b"], "left")
     return lines.select("doc_id", "th", "line", "a", "b").join(marks, ["a", "b"]).where(F.coalesce("later", F.lit(False)) | (F.col("first") < place)).select("doc_id", "th", "line")
 
 
