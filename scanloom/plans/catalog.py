@@ -649,7 +649,7 @@ def decode_raw(spark, sf):
 def packet_parse(spark, sf):
     from ..sources.frames import packet_messages, parse_packets, samples_of
 
-    channels = ("/INENC1", "/INENC2")
+    channels = ("/fast", "/slow")
     return samples_of(parse_packets(packet_messages(samples(spark, sf), 41, channels), channels), 41)
 
 
