@@ -176,82 +176,143 @@ def _sketches(line: np.ndarray, h: np.ndarray, n: np.ndarray):
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(long * 8))).astype(np.int32)), pa.array(out.view(np.int64)))
 
 
-#: Lines of one key that are compared at a time.
+#: Sets of one key that are compared at a time.
 BLOCK = 1 << 10
+#: About as many sets of one key go into a task; a key with more is cut into parts, and each two parts are dealt for themselves.
+SPLIT = 1 << 13
+#: One set in SAMPLE is looked at to find the keys to cut.
+SAMPLE = 64
 
 
-def _pairs(lines: DataFrame, params: LineDedupParams, only=None) -> DataFrame:
-    """a, xa, more: of each set a candidate xa for an earlier match, and whether there are others.
+def _sets(lines: DataFrame) -> DataFrame:
+    """A row for each set of words: a, b, n, bits, keys, sketch, its first place, and ord, which grows with that place."""
+    rows = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"), *[F.first(c).alias(c) for c in ("n", "bits", "keys", "sketch")])
+    return rows.orderBy("first").withColumn("ord", F.monotonically_increasing_id())
+
+
+def _key_rows(sets: DataFrame, marked=None) -> DataFrame:
+    """key, ord, bits and pn, for each key of each set: the place of the key's word, whether the set is marked, and n."""
+    mark = F.lit(0) if marked is None else F.when(marked, 1).otherwise(0)
+    rows = sets.select("ord", "bits", F.shiftleft(mark.cast("long"), 31).bitwiseOR(F.col("n").cast("long")).alias("mn"), F.explode("keys").alias("k"))
+    return rows.select(F.shiftright("k", 32).cast("int").alias("key"), "ord", "bits", F.shiftleft("k", 32).bitwiseOR(F.col("mn")).alias("pn"))
+
+
+def _hot_keys(sets: DataFrame) -> DataFrame:
+    """key and parts of the keys that more than about SPLIT sets have, estimated from a sample by name."""
+    key = F.shiftright("k", 32).cast("int").alias("key")
+    counted = sets.where(F.pmod("a", F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("k")).groupBy(key).agg((F.count("*") * SAMPLE).alias("c"))
+    return counted.where(F.col("c") > SPLIT).select("key", F.ceil(F.col("c") / SPLIT).cast("int").alias("parts"))
+
+
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of hot keys, once for each unit (two parts, or one with itself) of their part, and side: which of the two."""
+    part = rows.join(hot, "key").withColumn("part", F.pmod(F.xxhash64("ord"), F.col("parts").cast("long")))
+    each = part.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("with"))
+    unit = F.least("part", "with") * F.col("parts") + F.greatest("part", "with")
+    return each.select("key", unit.alias("unit"), (F.col("part") > F.col("with")).alias("side"), "ord", "bits", "pn")
+
+
+def _pairs(rows: DataFrame, hot: DataFrame | None, params: LineDedupParams, every: bool = False) -> DataFrame:
+    """ord, xord, more: of each set a candidate xord for an earlier match, and whether there are others.
 
     Candidates share a key and, by their sizes, by the places of the key and by the bits in which they differ (no more
-    than the words in which they do), may match; the order is that of doc_id.  Without `only`, a set gets the earliest
-    candidate that each block of a key has, so a crowd of like lines makes a few pairs each; with it (a bitmap of
-    names), the marked sets get all.  Equal sets count once.  Rows are dealt by key; a task holds one key's rows, 32
-    bytes each, and compares them in blocks."""
-    rows = lines.select(F.explode("keys").alias("k"), "a", "n", "bits", F.coalesce(F.col("doc_id").try_cast("long"), F.lit(-(1 << 62))).alias("at"))
-    rows = rows.select(F.shiftright("k", 32).cast("int").alias("key"), F.col("k").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "a", "n", "bits", "at")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "at")
+    than the words in which they do), may match.  A set gets the earliest candidate that each block of a key has, so a
+    crowd of like lines makes a few pairs each; with `every`, the marked sets get all.  Rows are dealt by key, those of
+    hot keys by unit, and a task holds those of one key or unit, 32 bytes each, and compares them in blocks."""
 
     def compare(x, y):
-        """(a, xa, more) for rows of block x against earlier rows of block y; both in order."""
+        """(ord, xord, more) for rows of block x and block y; both in order."""
         n, m = x[1][:, None], y[1][None, :]
         least = params.needed(n + m)
         ok = (n * params.den >= m * params.num) & (m * params.den >= n * params.num) & (np.minimum(n - x[2][:, None], m - y[2][None, :]) >= least)
-        ok &= x[0][:, None] != y[0][None, :]
-        tied = x[4][:, None] == y[4][None, :]
         if x is y:
             ok &= np.tri(len(x[0]), k=-1, dtype=bool)
-        if only is not None:
-            ok &= _rt.marked(only.value, x[0].view(_U))[:, None] | (tied & _rt.marked(only.value, y[0].view(_U))[None, :])
+        if every:
+            ok &= x[4][:, None] | y[4][None, :]
         i, j = np.nonzero(ok)
         differ = np.bitwise_count(x[3][i] ^ y[3][j]).astype(np.int64)
         keep = (x[1][i] + y[1][j] - differ) // 2 >= least[i, j]
         i, j = i[keep], j[keep]
-        if only is not None:
-            return x[0][i], y[0][j], np.zeros(len(i), bool)
-        # of each row the first candidate of an earlier document, and all of its own document, where lines have no order yet
-        own = tied[i, j]
-        at, size = _rt.runs(i[~own])
-        a, b = i[~own][at], j[~own][at]
-        return np.concatenate((x[0][a], x[0][i[own]])), np.concatenate((y[0][b], y[0][j[own]])), np.concatenate((size > 1, np.zeros(int(own.sum()), bool)))
-
-    def group(rows_of_key):
-        """All comparisons of one key's rows."""
-        blocks = [[z[k : k + BLOCK] for z in rows_of_key] for k in range(0, len(rows_of_key[0]), BLOCK)]
-        return [compare(x, y) for b, x in enumerate(blocks) for y in blocks[: b + 1]]
+        later = x[0][i] > y[0][j]
+        turn = np.flatnonzero(~later)
+        turn = turn[np.argsort(j[turn], kind="stable")]
+        for one, i, j, other in ((x, i[later], j[later], y), (y, j[turn], i[turn], x)):
+            if every:
+                on = one[4][i]
+                i, j = i[on], j[on]
+                more = np.zeros(len(i), bool)
+            else:
+                at, size = _rt.runs(i)
+                i, j, more = i[at], j[at], size > 1
+            if len(i):
+                yield one[0][i], other[0][j], more
+
+    def blocks(z):
+        return [[c[k : k + BLOCK] for c in z] for k in range(0, len(z[0]), BLOCK)]
+
+    def group(parts):
+        """All comparisons of one key's or unit's rows."""
+        z = [np.concatenate(c) for c in zip(*parts)]
+        first = np.concatenate(([True], z[0][1:] != z[0][:-1]))  # keys that fall together: the first word's
+        side, z = z[5][first], [c[first] for c in z[:5]]
+        if side.any():
+            xs, ys = (blocks([c[side == k] for c in z]) for k in (False, True))
+            for x in xs:
+                for y in ys:
+                    yield from compare(x, y)
+        elif len(z[0]) > 1:
+            xs = blocks(z)
+            for b, x in enumerate(xs):
+                for y in xs[: b + 1]:
+                    yield from compare(x, y)
 
     def run(batches):
         import pyarrow as pa
 
-        held, held_key = [], None
-
         def out(found):
             a, xa, more = (np.concatenate(z) for z in zip(*found))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(xa), pa.array(more)], names=["a", "xa", "more"])
-
-        def closed():
-            part = [np.concatenate(z) for z in zip(*held)]
-            _, first = np.unique(part[0], return_index=True)  # equal sets: the earliest
-            return group([z[np.sort(first)] for z in part])
-
-        for batch in batches:
-            key, pos, a, n, bits, at = (batch.column(c).to_numpy() for c in ("key", "pos", "a", "n", "bits", "at"))
-            part = [a, n.astype(np.int64), pos.astype(np.int64), bits.view(_U), at]
-            starts, size = _rt.runs(key)
-            found = []
-            for s, c in zip(starts.tolist(), size.tolist()):
-                if key[s] != held_key:
-                    if held and sum(len(h[0]) for h in held) > 1:
-                        found += closed()
-                    held, held_key = [], key[s]
-                held.append([z[s : s + c] for z in part])
-            if found:
-                yield out(found)
-        if held and sum(len(h[0]) for h in held) > 1:
-            yield out(closed())
-
-    made = dealt.transform(_rt.in_batches, run, "a long, xa long, more boolean")
-    return made.groupBy("a", "xa").agg(F.max("more").alias("more"))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(xa), pa.array(more)], names=["ord", "xord", "more"])
+
+        def groups():
+            held, name = [], None
+            for batch in batches:
+                columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+                key, pn = columns["key"], columns["pn"]
+                unit = columns.get("unit", key)
+                low = pn & 0xFFFFFFFF
+                part = [columns["ord"], low & 0x7FFFFFFF, pn >> 32, columns["bits"].view(_U), low >> 31 == 1, columns.get("side", np.zeros(len(key), bool))]
+                if not len(key):
+                    continue
+                starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (unit[1:] != unit[:-1]))))
+                size = np.diff(np.append(starts, len(key)))
+                inner = size > 1
+                inner[[0, -1]] = True  # others of one row end within the batch
+                for s, c in zip(starts[inner].tolist(), size[inner].tolist()):
+                    if (key[s], unit[s]) != name:
+                        if sum(len(h[0]) for h in held) > 1:
+                            yield held
+                        held, name = [], (key[s], unit[s])
+                    held.append([z[s : s + c] for z in part])
+            if sum(len(h[0]) for h in held) > 1:
+                yield held
+
+        found, size = [], 0
+        for parts in groups():
+            for pairs in group(parts):
+                found.append(pairs)
+                size += len(pairs[0])
+                if size > 1 << 16:
+                    yield out(found)
+                    found, size = [], 0
+        if found:
+            yield out(found)
+
+    schema = "ord long, xord long, more boolean"
+    cold = rows if hot is None else rows.join(hot, "key", "left_anti")
+    made = cold.repartition("key").sortWithinPartitions("key", "ord", "pn").transform(_rt.in_batches, run, schema)
+    if hot is not None:
+        made = made.unionByName(_dealt(rows, hot).repartition("key", "unit").sortWithinPartitions("key", "unit", "ord", "pn").transform(_rt.in_batches, run, schema))
+    return made.groupBy("ord", "xord").agg(F.max("more").alias("more"))
 
 
 def _word_sets(docs: DataFrame, wanted) -> DataFrame:
@@ -283,40 +344,38 @@ def find_duplicate_lines(docs: DataFrame, params: LineDedupParams = LineDedupPar
     shared_words = sc.broadcast(_rt.bitmap(counts.where("n > 1"), "word"))
     lines = _rt.written(_lines(docs, order, shared_words, params), "lines")
 
-    # each set's first line
-    place = F.struct("doc_id", "th", "line")
-    sets = _rt.written(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "firsts")
+    sets = _rt.written(_sets(lines), "firsts")
+    hot = _rt.written(_hot_keys(sets), "hot")
+    hot = hot if hot.limit(1).count() else None
 
     def removed(pairs: DataFrame) -> DataFrame:
-        """a, b of the sets that match, exactly, a set whose first line is earlier."""
+        """ord of the sets that match, exactly, a set whose first line is earlier."""
         # the wide sketches of long lines sift the pairs before any words are moved
-        mine, other = sets.select("a", "n", "sketch"), sets.select(F.col("a").alias("xa"), F.col("n").alias("m"), F.col("sketch").alias("xsketch"))
+        mine, other = sets.select("ord", "a", "n", "sketch"), sets.select(F.col("ord").alias("xord"), F.col("a").alias("xa"), F.col("n").alias("m"), F.col("sketch").alias("xsketch"))
         flipped = F.aggregate(F.zip_with("sketch", "xsketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         total = F.col("n") + F.col("m")
         may = (F.size("sketch") == 0) | (F.size("xsketch") == 0) | ((total - flipped) * (params.num + params.den) >= total * (2 * params.num))
-        pairs = _rt.written(pairs.select("a", "xa").join(mine, "a").join(other, "xa").where(may).select("a", "xa").distinct(), "sifted")
+        pairs = _rt.written(pairs.select("ord", "xord").join(mine, "ord").join(other, "xord").where(may).select("ord", "xord", "a", "xa"), "sifted")
         wanted = sc.broadcast(_rt.bitmap(pairs.select(F.explode(F.array("a", "xa")).alias("a")), "a"))
-        words = _rt.written(_word_sets(docs, wanted).join(sets.select("a", "b", "first"), ["a", "b"]), "sets")
-        x = words.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("first").alias("xfirst"), F.col("words").alias("xw"))
+        words = _rt.written(_word_sets(docs, wanted).join(sets.select("a", "b", "ord"), ["a", "b"]).select("ord", "words"), "sets")
+        x = words.select(F.col("ord").alias("xord"), F.col("words").alias("xw"))
         common = F.size(F.array_intersect("words", "xw"))
         match = common * (params.num + params.den) >= (F.size("words") + F.size("xw")) * params.num
-        # candidates of one document may stand in either order
-        both = pairs.select("a", "xa").join(words, "a").join(x, "xa").where(match & (F.col("first") != F.col("xfirst")))
-        later = F.when(F.col("xfirst") < F.col("first"), F.struct("a", "b")).otherwise(F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")))
-        return _rt.written(both.select(later.alias("s")).select("s.a", "s.b").distinct(), "removed")
+        both = pairs.select("ord", "xord").join(words, "ord").join(x, "xord").where(match)
+        return _rt.written(both.select("ord").distinct(), "removed")
 
     # each set against its earliest candidates, then those with more candidates that are still there against all
-    pairs = _rt.written(_pairs(lines, params), "pairs")
+    pairs = _rt.written(_pairs(_key_rows(sets), hot, params), "pairs")
     gone = removed(pairs)
-    open_sets = _rt.written(pairs.where("more").select("a").distinct().join(gone, "a", "left_anti"), "open")
+    open_sets = _rt.written(pairs.where("more").select("ord").distinct().join(gone, "ord", "left_anti"), "open")
     if open_sets.limit(1).count():
-        only = sc.broadcast(_rt.bitmap(open_sets, "a"))
-        keys = lines.join(open_sets, "a", "left_semi").select(F.explode("keys").alias("k")).select(F.shiftright("k", 32).cast("int").alias("key")).distinct()
-        those = lines.select("doc_id", "a", "n", "bits", F.explode("keys").alias("k")).withColumn("key", F.shiftright("k", 32).cast("int")).join(keys, "key", "left_semi")
-        rest = _rt.written(_pairs(those.select("doc_id", "a", "n", "bits", F.array("k").alias("keys")), params, only), "pairs")
+        keys = _key_rows(sets.join(open_sets, "ord", "left_semi")).select("key").distinct()
+        marks = sets.join(open_sets.withColumn("marked", F.lit(True)), "ord", "left")
+        rest = _rt.written(_pairs(_key_rows(marks, F.col("marked")).join(keys, "key", "left_semi"), hot, params, every=True), "pairs")
         gone = gone.unionByName(removed(rest)).distinct()
-    marks = sets.select("a", "b", "first").join(gone.withColumn("later", F.lit(True)), ["a", "b"], "left")
-    return lines.select("doc_id", "th", "line", "a", "b").join(marks, ["a", "b"]).where(F.coalesce("later", F.lit(False)) | (F.col("first") < place)).select("doc_id", "th", "line")
+    marks = sets.select("a", "b", "ord", "first").join(gone.withColumn("later", F.lit(True)), "ord", "left")
+    place = F.struct("doc_id", "th", "line")
+    return lines.select("doc_id", "th", "line", "a", "b").join(marks.drop("ord"), ["a", "b"]).where(F.coalesce("later", F.lit(False)) | (F.col("first") < place)).select("doc_id", "th", "line")
 
 
 def line_dedup(docs: DataFrame, params: LineDedupParams = LineDedupParams(), text_col: str = "text") -> DataFrame:

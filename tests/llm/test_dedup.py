@@ -74,6 +74,53 @@ def test_line_dedup_repeats_and_nothing(spark):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+def written_counts(monkeypatch):
+    """Rows of each intermediate table that is written from here on."""
+    counts, write = [], line_dedup._rt.written
+
+    def spy(df, name, keep=False):
+        out = write(df, name, keep)
+        counts.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup._rt, "written", spy)
+    return counts
+
+
+def test_line_dedup_like_lines_of_one_document(spark, monkeypatch):
+    """Lines of one document, and documents whose ids are no numbers, have an order: no pairs of all with all."""
+    base = words(20)
+    counts = written_counts(monkeypatch)
+    one = [(1, "\n".join(" ".join([*base, f"q{i}"]) for i in range(200)))]
+    assert {r["doc_id"]: list(r["removed"]) for r in line_dedup.line_dedup(frame(spark, one)).collect()} == brute_lines(one)
+    named = [(f"n{i:03d}", " ".join([*base, f"q{i}"])) for i in range(200)]
+    got = line_dedup.line_dedup(spark.createDataFrame(named, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: list(r["removed"]) for r in got} == {f"n{i:03d}": [0] if i else [] for i in range(200)}
+    made = [n for name, n in counts if name == "pairs"]
+    assert made and max(made) < 200 * 10
+
+
+def test_line_dedup_cuts_large_keys(spark, monkeypatch):
+    """A key of many sets is dealt as pairs of parts, copies count once, and results stay exact."""
+    for name, value in (("SPLIT", 16), ("SAMPLE", 1), ("BLOCK", 8)):
+        monkeypatch.setattr(line_dedup, name, value)
+    rnd = random.Random(12)
+    base = words(20)
+    docs = [(i, " ".join(w if rnd.random() > 0.08 else f"q{rnd.randrange(1000)}" for w in base)) for i in range(120)]
+    docs += [(i, docs[0][1]) for i in range(120, 400)]
+    dealt, deal = [], line_dedup._dealt
+
+    def spy(rows, hot):
+        out = deal(rows, hot)
+        dealt.append((rows.groupBy("key").count().agg(F.max("count")).first()[0], out.groupBy("key", "unit").count().agg(F.max("count")).first()[0], out.select("key", "unit").distinct().count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "_dealt", spy)
+    assert {r["doc_id"]: list(r["removed"]) for r in line_dedup.line_dedup(frame(spark, docs)).collect()} == brute_lines(docs)
+    in_key, in_unit, units = dealt[0]
+    assert in_key <= 120 and in_unit < 64 and units > 10
+
+
 # ---------------------------------------------------------------- substrings
 def brute_substrings(docs, w=35):
     place = {}
