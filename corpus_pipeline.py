@@ -16,13 +16,13 @@ from scanloom.llm._rt import release, row_hash, text_or_empty, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sets lang to the predicted language; documents without a language (no letters) go.
+    """Sets lang to the predicted language; documents without letters go.
 
-    Profiles are learned from the documents' own labels."""
+    Profiles are learned from the documents' own labels; where there are none to learn from, lang stays null."""
     release(spark)
     profiles = langid.learn_profiles(docs.select("text", "lang"))
-    found = langid.identify(docs, profiles).where(F.col("lang_pred") != langid.UNDETERMINED)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = langid.identify(docs, profiles, letters_col="_letters").where("_letters")
+    return found.withColumn("lang", F.col("lang_pred") if profiles else F.lit(None).cast("string")).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,8 +134,8 @@ class Profiles:
         for i, name in enumerate(self.names):
             self.ranks[i, np.searchsorted(self.grams, profiles[name])] = np.arange(len(profiles[name]))
 
-    def predict(self, column) -> tuple[list[str], np.ndarray]:
-        """The language of each text, and how near it is: 1 for the profile itself, 0 for nothing in common."""
+    def predict(self, column) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language of each text, how near it is (1 for the profile itself, 0 for nothing in common), and whether it has letters."""
         n, top = len(column), self.params.top
         doc, gram, count = gram_keys(column, self.params.longest)
         order = np.argsort(doc << 32 | ((1 << 31) - np.minimum(count, (1 << 31) - 1)), kind="stable")  # ties: the lower code first
@@ -148,7 +148,7 @@ class Profiles:
         doc, gram, rank = doc[kept], gram[kept], rank[kept]
         size = np.bincount(doc, minlength=n)
         if not self.names:
-            return [UNDETERMINED] * n, np.zeros(n)
+            return [UNDETERMINED] * n, np.zeros(n), size > 0
         place = np.searchsorted(self.grams, gram)
         place[place < len(self.grams)] = np.where(self.grams[np.minimum(place, len(self.grams) - 1)] == gram, place, len(self.grams))[place < len(self.grams)]
         far = np.empty((len(self.names), n))
@@ -158,20 +158,21 @@ class Profiles:
         best = far.argmin(axis=0)  # of equal distances, the first name
         score = 1 - far[best, np.arange(n)] / np.maximum(1, size * top)
         known = size > 0
-        return [self.names[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, score, 0.0)
+        return [self.names[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, score, 0.0), known
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], params: LangIdParams = LangIdParams(), text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, list[int]], params: LangIdParams = LangIdParams(), text_col: str = "text", letters_col: str | None = None) -> DataFrame:
     """All columns of docs, with lang_pred and score (0 to 1); columns of these names are replaced.
 
     The nearest profile by the out-of-place distance of the text's own most frequent n-grams wins.  A text that
     is null or has no letter is `und` with score 0, as is any text if there is no profile.  Other columns, null
-    ids and repeated rows pass through; nothing is shuffled."""
+    ids and repeated rows pass through; nothing is shuffled.  If letters_col names a column, it says whether the text
+    has letters, which lang_pred does not where there is no profile."""
     import pyspark.sql.types as T
 
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", letters_col)]
     names = [f.name for f in fields]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(letters_col, T.BooleanType())] if letters_col else [])])
     source = docs.select(*[f"`{n}`" for n in names], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_given_text"))
 
     def run(batches):
@@ -183,7 +184,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], params: LangIdPara
             for batch in _rt.slices(whole, "_given_text", SLICE_BYTES):
                 for at in range(0, batch.num_rows, 1 << 15):
                     part = batch.slice(at, 1 << 15)
-                    lang, score = model.predict(part.column("_given_text"))
-                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+                    lang, score, letters = model.predict(part.column("_given_text"))
+                    found = [pa.array(lang, pa.string()), pa.array(score), *([pa.array(letters)] if letters_col else [])]
+                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *found], names=schema.names)
 
     return source.transform(_rt.in_batches, run, schema)

@@ -279,3 +279,13 @@ def test_pipeline_run(spark, stages):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "слова", None)], "doc_id long, text string, lang string")
+    out = corpus_pipeline.language_id(spark, docs, SF).collect()
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in out) == [(1, "some words", None), (4, "слова", None)]
+    out = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.when(F.col("doc_id") == 1, "en")), SF).collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in out) == [(1, "en"), (4, "en")]
