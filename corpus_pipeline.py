@@ -1,7 +1,7 @@
 """A text corpus in five stages, each on all rows that the stage before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns documents of the same columns; the last one adds tokens.  A stage
-first deletes what earlier stages wrote for themselves: their results have been stored by then.
+first deletes what the stage before it wrote for itself: that result has been stored by then.
 """
 
 from __future__ import annotations
@@ -12,44 +12,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm import bpe, decontaminate, langid, line_dedup, minhash
-from scanloom.llm._rt import release, row_hash, text_or_empty, written
+from scanloom.llm._rt import Scratch, fresh, row_hash, text_or_empty
+
+
+#: The intermediate tables of the latest stage of each corpus.
+_LATEST: dict[str, Scratch] = {}
+
+
+def _own(spark: SparkSession, sf_dir: str) -> Scratch:
+    """A stage's tables; those of the stage before it go, as that stage's result has been stored."""
+    if sf_dir in _LATEST:
+        _LATEST.pop(sf_dir).release()
+    _LATEST[sf_dir] = Scratch(spark)
+    return _LATEST[sf_dir]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sets lang to the predicted language; documents without letters go.
+    """Sets lang to the predicted language; documents without letters go, null and empty texts with them.
 
-    Profiles are learned from the documents' own labels; where there are none to learn from, lang stays null."""
-    release(spark)
+    Profiles are learned from the documents' own labels; where there are none to learn from, lang stays null.
+    Repeated rows stay."""
+    _own(spark, sf_dir)
     profiles = langid.learn_profiles(docs.select("text", "lang"))
-    found = langid.identify(docs, profiles, letters_col="_letters").where("_letters")
+    (letters,) = fresh(docs.columns, "letters")
+    found = langid.identify(docs, profiles, letters_col=letters).where(F.col(letters))
     return found.withColumn("lang", F.col("lang_pred") if profiles else F.lit(None).cast("string")).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes later matches of lines; n_chars follows the text.  Documents stay, if need be with an empty text."""
-    release(spark)
-    out = line_dedup.line_dedup(docs)
+    """Removes later matches of lines; n_chars follows the text.  Documents stay, if need be with an empty text; a null
+    text stays null, with null n_chars.  Rows that repeat doc_id and text lose the same lines."""
+    out = line_dedup.line_dedup(docs, scratch=_own(spark, sf_dir))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates."""
-    release(spark)
-    return minhash.near_dedup(docs).select(*docs.columns)
+    """Keeps one document of each class of near-duplicates; null and empty texts stay, as do rows that repeat the kept one's
+    doc_id and text."""
+    return minhash.near_dedup(docs, scratch=_own(spark, sf_dir)).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold passages of the benchmark."""
-    release(spark)
+    """Removes documents that hold passages of the benchmark; null and empty texts stay."""
+    _own(spark, sf_dir)
     marks = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = marks.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    keyed = docs.withColumn("_key", row_hash(text_or_empty()))
-    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left_anti").select(*docs.columns)
+    d, t, h = fresh(docs.columns, "gone_id", "gone_th", "th")
+    gone = marks.where("contaminated").select(F.col("doc_id").alias(d), F.col("th").alias(t)).distinct()
+    keyed = docs.withColumn(h, row_hash(text_or_empty()))
+    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left_anti").select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with n_tokens, ids (as text), and the text decoded from the ids."""
-    release(spark)
+    """The documents with n_tokens, ids (as text), and the text decoded from the ids; a null text counts as empty."""
+    _own(spark, sf_dir)
     return bpe.decode(bpe.encode(docs))
 
 
@@ -68,7 +83,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, stored = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name, keep=True)
+        docs = stored.write(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

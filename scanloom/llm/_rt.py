@@ -31,53 +31,71 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def set_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured or "/tmp/checkpoints")
-    return configured or "/tmp/checkpoints"
-
-
-#: Intermediate tables of this session that release() may delete.
-_SCRATCH: list[str] = []
-
-
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Writes a table into the shared folder and reads it back, which cuts lineage.
-
-    The table is deleted by release(), unless it is to be kept, or when the session's JVM ends."""
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{set_checkpoint_dir(spark).rstrip('/')}/scanloom-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    if not keep:
-        _SCRATCH.append(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes the intermediate tables written so far: for callers whose results no longer read them."""
-    while _SCRATCH:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-#: Rows of a batch that a worker gets at once; Spark's own default of 10,000 long texts is too much to hold.
-BATCH_ROWS = 1000
-
-
-def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow over batches of at most BATCH_ROWS rows.  The setting is the session's; a lower one is kept."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; one of this machine's own only where there is no cluster and none is set."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/checkpoints"
+
+
+#: While an intermediate table is written: its shuffles go once it is there, and batches for Python are small.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+class Scratch:
+    """Intermediate tables of one result, in the shared folder; the rest of them goes with the session's JVM."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes a table and reads it back, which cuts lineage.  The session's settings are as before afterwards."""
+        import uuid
+
+        spark = self.spark
+        path = f"{scratch_dir(spark)}/scanloom-{name}-{uuid.uuid4().hex}"
+        schema = df.schema
+        before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
+        try:
+            for k, v in _WHILE_WRITING.items():
+                spark.conf.set(k, v)
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        self._fs(path)[0].deleteOnExit(self._fs(path)[1])
+        out = spark.read.schema(schema).parquet(path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that write() returned and that nothing reads any more."""
+        for table in tables:
+            _, path = self._paths.pop(id(table))
+            fs, at = self._fs(path)
+            fs.delete(at, True)
+
+    def release(self) -> None:
+        """Deletes all that is left: for callers who have stored the result."""
+        self.drop(*[table for table, _ in self._paths.values()])
+
+
+def fresh(taken, *names: str) -> tuple[str, ...]:
+    """The names, each with underscores before it until no column is called that, whatever the case of its letters."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return tuple(out)
 
 
 def _home():
@@ -198,6 +216,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[
     return s, np.flatnonzero(end) + 1, np.searchsorted(offsets, s, side="right") - 1
 
 
+def word_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the words of all texts, where ASCII white space stands between words."""
+    n = len(data)
+    space = (data == 0x20) | (data - np.uint8(0x09) < 5)
+    start, end = ~space, ~space
+    start[1:] &= space[:-1]
+    end[:-1] &= space[1:]
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < n)]
+    start[inner] = ~space[inner]  # a text's first byte begins a word, whatever lies before it
+    end[inner - 1] = ~space[inner - 1]
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column (null: empty), without a copy where it has no nulls."""
     import pyarrow as pa

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from . import _rt
 
 _U = np.uint64
-#: The most frequent words, whose counts all workers get: a list of this length for any input.  The others count as rarer.
-FREQUENT = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -21,384 +19,466 @@ class LineDedupParams:
 
     num: int = 4
     den: int = 5
+    #: Words that occur more often than this are keyed together with a later word of their line.
+    frequent: int = 1024
+    #: The counts of words are kept by 2 ** cell_bits cells of their hashes: a byte each is what all workers get.
+    cell_bits: int = 24
+    #: Of each key a set is held against so many of the earliest candidates first, and against all only where these do not decide.
+    first: int = 8
+    #: About as many sets of one pair of frequent words make a part, of which a task holds one.
+    split: int = 1 << 13
 
     def needed(self, total):
         """The least overlap of two sets with `total` words together: ceil(total num / (num + den))."""
         return -(-total * self.num // (self.num + self.den))
 
 
-def _line_words(batch) -> tuple[np.ndarray, ...]:
-    """Distinct words of each line of a batch: (line id, hash), and for each line id its text and place in it."""
-    data, offsets = _rt.text_buffers(batch.column("text"))
-    s, e, doc = _rt.word_spans(data, offsets, _rt.separators(_rt.ASCII_SPACE))
-    empty = np.zeros(0, np.int64)
-    if not len(s):
-        return empty, empty.astype(_U), empty, empty
-    breaks = np.concatenate(([0], np.cumsum(data == 0x0A)))
-    at = breaks[s] - breaks[offsets[doc]]
-    new = np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])))
-    line = np.cumsum(new) - 1
-    h = _rt.spans_hash(data, s, e)
-    both = _rt.mix(h + line.astype(_U) * _U(0xD6E8FEB86659FD93))
-    order = np.argsort(both)
-    first = np.concatenate(([True], both[order][1:] != both[order][:-1]))
-    kept = np.sort(order[first])
-    return line[kept], h[kept], doc[new], at[new]
-
-
-def _count_words(docs: DataFrame) -> DataFrame:
-    """word (hash) and in how many lines it is."""
+# ---------------------------------------------------------------- rarity
+#: Cells whose counts are added up together.
+_RANGE = 1 << 16
 
-    def run(batches):
-        import pyarrow as pa
 
-        def total(parts):
-            h = np.concatenate([p[0] for p in parts])
-            order = np.argsort(h)
-            at, _ = _rt.runs(h[order])
-            return h[order][at], np.add.reduceat(np.concatenate([p[1] for p in parts])[order], at)
+def level(count):
+    """A count in steps of a quarter of a power of two, from 1 up; 0 for what occurs once, or never."""
+    return np.where(count > 1, np.minimum(4 * np.log2(np.maximum(count, 1)) - 2, 255).astype(np.int64), 0)
+
+
+def _cells(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> _U(64 - bits)).astype(np.int64)
+
+
+def word_levels(docs: DataFrame, params: LineDedupParams) -> np.ndarray:
+    """The level of each cell's count over all texts, one byte each.
+
+    A task adds up its words in one array and sends it by ranges of cells, so a word is one number of each task
+    however often it occurs; the driver gets the bytes, as many for any input."""
+    bits = params.cell_bits
+    size = min(_RANGE, 1 << bits)
+
+    def count(batches):
+        import pyarrow as pa
 
-        _rt.drop_large()
-        held, size = [], 0
+        total = np.zeros(1 << bits, np.uint32)
         for whole in batches:
             for batch in _rt.slices(whole, "text"):
-                h = np.sort(_line_words(batch)[1])
-                at, n = _rt.runs(h)
-                if len(at):
-                    held.append((h[at], n))
-                    size += len(at)
-                if size > 1 << 21:
-                    held = [total(held)]
-                    size = len(held[0][0])
-                    if size > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["word", "n"])
-                        held, size = [], 0
-        if held:
-            h, n = total(held)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-    return docs.select("text").transform(_rt.in_batches, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class Order:
-    """From rare to frequent: words outside the list of frequent ones first, by hash; then the list by its counts."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
-        rank = np.empty(len(words), np.int64)
-        rank[np.lexsort((words, counts))] = np.arange(1, len(words) + 1)
-        order = np.argsort(words)
-        self.words, self.rank = words[order], rank[order]
-
-    def ranks(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.rank[at], 0)
-
-
-def _set_names(line: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Starts and sizes of the lines' sets, and two hashes of each set, whatever the order of its words."""
-    at, n = _rt.runs(line)
-    if not len(at):
-        return at, n, at.astype(_U), at.astype(_U)
-    return at, n, np.add.reduceat(_rt.mix(h + _U(0x51ED270B)), at), np.add.reduceat(_rt.mix(h ^ _U(0xA24BAED4963EE407)), at)
-
-
-def _prefix_keys(line, h, rank, at, n, shared, params: LineDedupParams):
-    """(place among the words, key, pos) of the rarest words of which any match must have one.
-
-    Words of each line run from rare to frequent.  A match has one of the first `most` words in common.  If the first
-    common word is one of the frequent ones, so are all that follow, and the next common word is among the first
-    most + 1: such a word is keyed together with each later one, which keeps the groups of frequent words small."""
-    most = np.where(n < params.num, 0, n - params.needed(n + -(-n * params.num // params.den)) + 1)
+                data, offsets = _rt.text_buffers(batch.column("text"))
+                s, e = _rt.word_ends(data, offsets)
+                at = np.sort(_cells(_rt.spans_hash(data, s, e), bits).astype(np.uint32))
+                first, n = _rt.runs(at)
+                total[at[first]] += n.astype(np.uint32)
+        for part in range((1 << bits) // size):
+            own = total[part * size : (part + 1) * size]
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([own[at].tobytes()], pa.binary())], names=["part", "at", "n"]
+                )
+
+    def add(batches):
+        import pyarrow as pa
+
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, at, n in zip(batch.column("part").to_pylist(), batch.column("at"), batch.column("n"), strict=True):
+                own = totals.setdefault(part, np.zeros(size, np.uint64))
+                own[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint32)
+        for part, own in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level(own.astype(float)).astype(np.uint8).tobytes()], pa.binary())], names=["part", "levels"])
+
+    counted = docs.select("text").mapInArrow(count, "part int, at binary, n binary").repartition("part").mapInArrow(add, "part int, levels binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for part, levels in zip(*(c.to_pylist() for c in counted.toArrow().columns), strict=True):
+        out[part * size : (part + 1) * size] = np.frombuffer(levels, np.uint8)
+    return out
+
+
+# ---------------------------------------------------------------- lines
+def _line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where lines start (a text's last line, if empty, falls together with the next text), and the first line of each text."""
+    starts = np.union1d(offsets[:-1], np.flatnonzero(data == 0x0A) + 1)
+    return starts, np.searchsorted(starts, offsets[:-1])
+
+
+def rare_first(line: np.ndarray, h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each line from rare to frequent: (line, hash, level), by level and then by hash."""
+    clash = True
+    if len(h) and line[-1] < 1 << 20:  # one number holds line, level and a part of the hash
+        key = line.astype(_U) << _U(44) | levels.astype(_U) << _U(36) | h & _U((1 << 36) - 1)
+        by = np.argsort(key)
+        same = key[by][1:] == key[by][:-1]
+        clash = bool((same & (h[by][1:] != h[by][:-1])).any())
+    if clash:
+        by = np.lexsort((h, levels, line))
+    line, h, levels = line[by], h[by], levels[by]
+    first = np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
+    return line[first], h[first], levels[first]
+
+
+def prefix(n, params: LineDedupParams):
+    """How many of a set's rarest words hold at least one that any match has too."""
+    return np.where(n < params.num, 0, n - params.needed(n + -(-n * params.num // params.den)) + 1)
+
+
+def _prefix_keys(line, h, levels, at, n, params: LineDedupParams):
+    """Of each line: how many of its rarest words occur nowhere else; the words of which a match must have one, from
+    there on, as indexes; and (index, key, pos) of pairs for the frequent ones among the first `prefix` words.
+
+    If the first common word is frequent, so are all that follow, and the next common word is among the first
+    prefix + 1: such a word is keyed together with each later one, which keeps the groups of frequent words small."""
+    frequent = level(np.array([float(params.frequent)]))[0]
+    most = prefix(n, params)
     pos = np.arange(len(h)) - np.repeat(at, n)
-    limit = np.repeat(most, n)
-    rare = np.flatnonzero((pos < limit) & (rank == 0))
-    rare = rare[_rt.marked(shared, h[rare])]
-    where, keys, places = [rare], [h[rare]], [pos[rare]]
-    hot = np.flatnonzero((pos < limit) & (rank > 0))
-    later = np.minimum(limit, np.repeat(n, n) - 1)[hot] - pos[hot]  # how many later words up to place `most`
+    inside = pos < np.repeat(most, n)
+    single = np.flatnonzero(inside & (levels > 0) & (levels <= frequent))
+    skip = np.bincount(line[inside & (levels == 0)], minlength=len(at))
+    hot = np.flatnonzero(inside & (levels > frequent))
+    later = np.minimum(most, n - 1)[line[hot]] - pos[hot]  # how many later words up to place `prefix`
     first = np.repeat(hot, later)
     second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later) - later, later)
-    where.append(first)
-    keys.append(_rt.mix(h[first] * _U(3) + _rt.mix(h[second])))
-    places.append(pos[first])
-    return tuple(np.concatenate(x) for x in (where, keys, places))
+    return skip, single, first, _rt.mix(h[first] * _U(3) + _rt.mix(h[second])), pos[first]
 
 
-def _lines(docs: DataFrame, order, shared_words, params: LineDedupParams) -> DataFrame:
+def _lines(docs: DataFrame, levels, params: LineDedupParams) -> DataFrame:
     """A row for each line that has words: doc_id, th, line, n (words), a and b (names of its set), bits (each word
-    flips one of 64), and keys: for the join, the hash of the key and the place of its word."""
+    flips one of 64), skip (words that are nowhere else), keys (of the words that follow in the prefix, in order) and
+    pairs (key and place of pairs of frequent words)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        _rt.drop_large()
+        def lists(of, values, lines):
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(lines + 1)).astype(np.int32)), pa.array(values))
+
         for whole in batches:
             for batch in _rt.slices(whole, "text"):
-                line, h, doc, place = _line_words(batch)
-                at, n, a, b = _set_names(line, h)
-                if not len(at):
+                data, offsets = _rt.text_buffers(batch.column("text"))
+                s, e = _rt.word_ends(data, offsets)
+                if not len(s):
                     continue
-                bits = np.bitwise_xor.reduceat(_U(1) << (_rt.mix(h) & _U(63)), at)
-                sketch = _sketches(line, h, n)
-                rank = order.value.ranks(h)
-                by = np.lexsort((h, rank, line))
-                where, key, pos = _prefix_keys(line, h[by], rank[by], at, n, shared_words.value, params)
-                sort = np.argsort(where, kind="stable")
-                where, key, pos = where[sort], key[sort], pos[sort]
-                offsets = pa.array(np.searchsorted(line[where], np.arange(len(at) + 1)).astype(np.int32))
-                packed = (key & _U(0xFFFFFFFF00000000)) | np.minimum(pos, 0xFFFFFFFF).astype(_U)
+                starts, firsts = _line_starts(data, offsets)
+                where = np.searchsorted(starts, s, side="right") - 1
+                new = np.concatenate(([True], where[1:] != where[:-1]))
+                doc = np.searchsorted(offsets, s[new], side="right") - 1
+                place = where[new] - firsts[doc]
+                h = _rt.spans_hash(data, s, e)
+                line, h, lev = rare_first(np.cumsum(new) - 1, h, levels.value[_cells(h, params.cell_bits)])
+                at, n = _rt.runs(line)
+                mixed = _rt.mix(h + _U(0x51ED270B))
+                a, b = np.add.reduceat(mixed, at), np.add.reduceat(_rt.mix(h ^ _U(0xA24BAED4963EE407)), at)
+                bits = np.bitwise_xor.reduceat(_U(1) << (mixed & _U(63)), at)
+                skip, single, first, key, pos = _prefix_keys(line, h, lev, at, n, params)
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("th").take(take), *(pa.array(x) for x in (place.astype(np.int32), n.astype(np.int32), a.view(np.int64), b.view(np.int64), bits.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(packed.view(np.int64))), sketch],
-                    names=["doc_id", "th", "line", "n", "a", "b", "bits", "keys", "sketch"],
+                    [
+                        batch.column("doc_id").take(take),
+                        batch.column("th").take(take),
+                        *(pa.array(x.astype(np.int32)) for x in (place, n)),
+                        *(pa.array(x.view(np.int64)) for x in (a, b, bits)),
+                        pa.array(skip.astype(np.int32)),
+                        lists(line[single], h[single].astype(np.uint32).view(np.int32), len(at)),
+                        lists(line[first], (key & _U(0xFFFFFFFF00000000) | pos.astype(_U)).view(np.int64), len(at)),
+                    ],
+                    names=["doc_id", "th", "line", "n", "a", "b", "bits", "skip", "keys", "pairs"],
                 )
 
-    return docs.transform(_rt.in_batches, run, f"doc_id {kind}, th long, line int, n int, a long, b long, bits long, keys array<long>, sketch array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, th long, line int, n int, a long, b long, bits long, skip int, keys array<int>, pairs array<long>")
 
 
-#: Lines of more words than this have a wide sketch beside their 64 bits.
-LONG = 48
+# ---------------------------------------------------------------- candidates
+def _sets(lines: DataFrame) -> DataFrame:
+    """a, b, first (the place of a set's first line) and ord, which grows with that place."""
+    return lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th", "line")).alias("first")).orderBy("first").withColumn("ord", F.monotonically_increasing_id())
 
 
-def _sketches(line: np.ndarray, h: np.ndarray, n: np.ndarray):
-    """For long lines 512 bits, as eight numbers, of which each word flips one; none for others."""
-    import pyarrow as pa
+def _at_first(lines: DataFrame, sets: DataFrame) -> DataFrame:
+    """ord and the keys of each set's first line."""
+    s = sets.select(F.col("a").alias("sa"), F.col("b").alias("sb"), "first", "ord")
+    here = (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")) & F.struct("doc_id", "th", "line").eqNullSafe(F.col("first"))
+    return lines.join(s, here).select("ord", "n", "bits", "skip", "keys", "pairs")
 
-    long = n > LONG
-    at = np.cumsum(long) - 1
-    on = np.repeat(long, n)
-    bit = _rt.mix(h[on] + _U(0x2545F4914F6CDD1D)) & _U(511)
-    out = np.zeros(int(long.sum()) * 8, _U)
-    np.bitwise_xor.at(out, np.repeat(at, n)[on] * 8 + (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(long * 8))).astype(np.int32)), pa.array(out.view(np.int64)))
 
+def _key_rows(at_first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, ord, bits and pn (the place of the key's word, and n), with `wanted` if it is there: for each word, and for
+    each pair of frequent words."""
+    marks = [c for c in at_first.columns if c == "wanted"]
+    pn = lambda pos: F.shiftleft(pos.cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn")
+    words = at_first.select("ord", "bits", "n", "skip", *marks, F.posexplode("keys").alias("i", "key")).select("key", "ord", "bits", pn(F.col("i") + F.col("skip")), *marks)
+    pairs = at_first.select("ord", "bits", "n", *marks, F.explode("pairs").alias("k"))
+    pairs = pairs.select(F.shiftright("k", 32).cast("int").alias("key"), "ord", "bits", pn(F.col("k").bitwiseAND(F.lit(0xFFFFFFFF))), *marks)
+    return words, pairs
 
-#: Sets of one key that are compared at a time.
-BLOCK = 1 << 10
-#: About as many sets of one key go into a task; a key with more is cut into parts, and each two parts are dealt for themselves.
-SPLIT = 1 << 13
-#: One set in SAMPLE is looked at to find the keys to cut.
-SAMPLE = 64
 
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of hot keys with `unit`, the part of the key they fall into.  Rows that are `wanted` go into the other
+    parts too, as guests: they are held against that part's own rows."""
+    part = rows.join(hot, "key").withColumn("part", F.pmod(F.xxhash64("ord"), F.col("parts")))
+    if "wanted" not in rows.columns:
+        return part.select(*rows.columns, F.col("part").alias("unit"))
+    units = F.when(F.col("wanted"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))
+    return part.withColumn("unit", F.explode(units)).select(*rows.columns, "unit", (F.col("unit") != F.col("part")).alias("guest"))
 
-def _sets(lines: DataFrame) -> DataFrame:
-    """A row for each set of words: a, b, n, bits, keys, sketch, its first place, and ord, which grows with that place."""
-    rows = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"), *[F.first(c).alias(c) for c in ("n", "bits", "keys", "sketch")])
-    return rows.orderBy("first").withColumn("ord", F.monotonically_increasing_id())
 
+#: Groups of up to so many sets are compared together, larger ones in blocks of BLOCK.
+SMALL = 256
+BLOCK = 1 << 10
+#: About as many rows, and pairs, are looked at together.
+_ROWS, _PAIRS = 1 << 17, 1 << 20
+
+
+class Sieve:
+    """Candidates among rows of whole groups, in the order of ord within each: by size, by the places of the key,
+    and by the bits in which two sets differ (no more than the words in which they do)."""
+
+    def __init__(self, columns: dict, keys: tuple[str, ...], params: LineDedupParams):
+        """A column `wanted` marks the sets whose candidates are wanted, all of them; without it, all sets' earliest ones."""
+        self.ord, self.bits = columns["ord"], columns["bits"].view(_U)
+        self.n, self.pos = columns["pn"] & 0xFFFFFFFF, columns["pn"] >> 32
+        self.params, self.wanted, self.guest = params, columns.get("wanted"), columns.get("guest")
+        self.starts = np.concatenate(([0], np.flatnonzero(_changes(columns, keys)) + 1))
+        self.sizes = np.diff(np.append(self.starts, len(self.ord)))
+
+    def _passing(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the rows i, j that may match; j stands before i."""
+        p = self.params
+        n, m = self.n[i], self.n[j]
+        keep = np.flatnonzero((n * p.den >= m * p.num) & (m * p.den >= n * p.num) & (self.ord[j] < self.ord[i]))
+        i, j, n, m = i[keep], j[keep], n[keep], m[keep]
+        least = p.needed(n + m)
+        keep = np.flatnonzero(np.minimum(n - self.pos[i], m - self.pos[j]) >= least)
+        i, j, n, m, least = i[keep], j[keep], n[keep], m[keep], least[keep]
+        differ = np.bitwise_count(self.bits[i] ^ self.bits[j]).astype(np.int64)
+        keep = (n + m - differ) // 2 >= least
+        return i[keep], j[keep]
+
+    def _small(self):
+        """(i, j) of all groups of up to SMALL rows, by i and then by j."""
+        of = np.flatnonzero((self.sizes > 1) & (self.sizes <= SMALL))
+        starts, sizes = self.starts[of], self.sizes[of]
+        count = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # rows before each in its group
+        rows = np.repeat(starts, sizes) + count
+        if self.wanted is not None:
+            count, rows = count[self.wanted[rows]], rows[self.wanted[rows]]
+        total = np.concatenate(([0], np.cumsum(count)))
+        lo = 0
+        while lo < len(rows):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + _PAIRS, side="right")) - 1)
+            c = count[lo:hi]
+            i = np.repeat(rows[lo:hi], c)
+            j = np.repeat(rows[lo:hi] - c - (np.cumsum(c) - c), c) + np.arange(len(i))
+            if self.guest is not None:
+                own = ~self.guest[j]
+                i, j = i[own], j[own]
+            yield self._passing(i, j)
+            lo = hi
+
+    def pairs(self):
+        """(ord, earlier ord, whether there may be more) of the first candidates of each set and key, or of all."""
+        most = self.params.first
+        for i, j in self._small():
+            if self.wanted is not None:
+                yield self.ord[i], self.ord[j], np.zeros(len(i), bool)
+                continue
+            at, size = _rt.runs(i)
+            keep = np.arange(len(i)) - np.repeat(at, size) < most
+            yield self.ord[i[keep]], self.ord[j[keep]], np.repeat(size > most, size)[keep]
+        for k in np.flatnonzero(self.sizes > SMALL):
+            group = np.arange(self.starts[k], self.starts[k] + self.sizes[k])
+            others = group if self.guest is None else group[~self.guest[group]]
+            mine = group if self.wanted is None else group[self.wanted[group]]
+            for x in range(0, len(mine), BLOCK):
+                rows = mine[x : x + BLOCK]
+                before = np.searchsorted(others, rows)  # how many of the others stand before each row
+                got = np.zeros(len(rows), np.int64)
+                for y in range(0, int(before[-1]), BLOCK):
+                    on = np.flatnonzero((before > y) & ((got < most) | (self.wanted is not None)))  # in a crowd a set has enough after a block or two
+                    if not len(on):
+                        break
+                    count = np.minimum(before[on] - y, BLOCK)
+                    each = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                    i, j = self._passing(np.repeat(rows[on], count), others[each + y])
+                    if self.wanted is not None:
+                        yield self.ord[i], self.ord[j], np.zeros(len(i), bool)
+                        continue
+                    of = np.searchsorted(rows, i)
+                    at, size = _rt.runs(of)
+                    keep = np.arange(len(of)) - np.repeat(at, size) < np.repeat(most - got[of[at]], size)
+                    got[of[at]] += size
+                    yield self.ord[i[keep]], self.ord[j[keep]], got[of[keep]] >= most
+
+
+def _changes(columns: dict, keys: tuple[str, ...]) -> np.ndarray:
+    """Whether a group ends behind each row but the last."""
+    out = columns[keys[0]][1:] != columns[keys[0]][:-1]
+    for k in keys[1:]:
+        out = out | (columns[k][1:] != columns[k][:-1])
+    return out
+
+
+def _whole_groups(batches, keys: tuple[str, ...]):
+    """The columns of about _ROWS rows at a time, cut between groups."""
+    held, size = [], 0
+    for batch in batches:
+        held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
+        size += batch.num_rows
+        if size >= _ROWS:
+            both = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+            ends = np.flatnonzero(_changes(both, keys))
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            if cut:
+                yield {c: v[:cut] for c, v in both.items()}
+            held, size = [{c: v[cut:] for c, v in both.items()}], size - cut
+    if size:
+        yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+
+def _pairs(rows: DataFrame, keys: tuple[str, ...], params: LineDedupParams) -> DataFrame:
+    """ord, xord, more: of each set the earliest candidates xord of each of its keys, and whether there may be others.
+
+    Where rows have a column `wanted`, all candidates of the sets it marks.  A task holds a group's rows, of 40 bytes."""
 
-def _key_rows(sets: DataFrame, marked=None) -> DataFrame:
-    """key, ord, bits and pn, for each key of each set: the place of the key's word, whether the set is marked, and n."""
-    mark = F.lit(0) if marked is None else F.when(marked, 1).otherwise(0)
-    rows = sets.select("ord", "bits", F.shiftleft(mark.cast("long"), 31).bitwiseOR(F.col("n").cast("long")).alias("mn"), F.explode("keys").alias("k"))
-    return rows.select(F.shiftright("k", 32).cast("int").alias("key"), "ord", "bits", F.shiftleft("k", 32).bitwiseOR(F.col("mn")).alias("pn"))
+    def run(batches):
+        import pyarrow as pa
 
+        for columns in _whole_groups(batches, keys):
+            for a, xa, more in Sieve(columns, keys, params).pairs():
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(xa), pa.array(more)], names=["ord", "xord", "more"])
 
-def _hot_keys(sets: DataFrame) -> DataFrame:
-    """key and parts of the keys that more than about SPLIT sets have, estimated from a sample by name."""
-    key = F.shiftright("k", 32).cast("int").alias("key")
-    counted = sets.where(F.pmod("a", F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("k")).groupBy(key).agg((F.count("*") * SAMPLE).alias("c"))
-    return counted.where(F.col("c") > SPLIT).select("key", F.ceil(F.col("c") / SPLIT).cast("int").alias("parts"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "ord").mapInArrow(run, "ord long, xord long, more boolean")
 
 
-def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """The rows of hot keys, once for each unit (two parts, or one with itself) of their part, and side: which of the two."""
-    part = rows.join(hot, "key").withColumn("part", F.pmod(F.xxhash64("ord"), F.col("parts").cast("long")))
-    each = part.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("with"))
-    unit = F.least("part", "with") * F.col("parts") + F.greatest("part", "with")
-    return each.select("key", unit.alias("unit"), (F.col("part") > F.col("with")).alias("side"), "ord", "bits", "pn")
-
-
-def _pairs(rows: DataFrame, hot: DataFrame | None, params: LineDedupParams, every: bool = False) -> DataFrame:
-    """ord, xord, more: of each set a candidate xord for an earlier match, and whether there are others.
-
-    Candidates share a key and, by their sizes, by the places of the key and by the bits in which they differ (no more
-    than the words in which they do), may match.  A set gets the earliest candidate that each block of a key has, so a
-    crowd of like lines makes a few pairs each; with `every`, the marked sets get all.  Rows are dealt by key, those of
-    hot keys by unit, and a task holds those of one key or unit, 32 bytes each, and compares them in blocks."""
-
-    def compare(x, y):
-        """(ord, xord, more) for rows of block x and block y; both in order."""
-        n, m = x[1][:, None], y[1][None, :]
-        least = params.needed(n + m)
-        ok = (n * params.den >= m * params.num) & (m * params.den >= n * params.num) & (np.minimum(n - x[2][:, None], m - y[2][None, :]) >= least)
-        if x is y:
-            ok &= np.tri(len(x[0]), k=-1, dtype=bool)
-        if every:
-            ok &= x[4][:, None] | y[4][None, :]
-        i, j = np.nonzero(ok)
-        differ = np.bitwise_count(x[3][i] ^ y[3][j]).astype(np.int64)
-        keep = (x[1][i] + y[1][j] - differ) // 2 >= least[i, j]
-        i, j = i[keep], j[keep]
-        later = x[0][i] > y[0][j]
-        turn = np.flatnonzero(~later)
-        turn = turn[np.argsort(j[turn], kind="stable")]
-        for one, i, j, other in ((x, i[later], j[later], y), (y, j[turn], i[turn], x)):
-            if every:
-                on = one[4][i]
-                i, j = i[on], j[on]
-                more = np.zeros(len(i), bool)
-            else:
-                at, size = _rt.runs(i)
-                i, j, more = i[at], j[at], size > 1
-            if len(i):
-                yield one[0][i], other[0][j], more
-
-    def blocks(z):
-        return [[c[k : k + BLOCK] for c in z] for k in range(0, len(z[0]), BLOCK)]
-
-    def group(parts):
-        """All comparisons of one key's or unit's rows."""
-        z = [np.concatenate(c) for c in zip(*parts)]
-        first = np.concatenate(([True], z[0][1:] != z[0][:-1]))  # keys that fall together: the first word's
-        side, z = z[5][first], [c[first] for c in z[:5]]
-        if side.any():
-            xs, ys = (blocks([c[side == k] for c in z]) for k in (False, True))
-            for x in xs:
-                for y in ys:
-                    yield from compare(x, y)
-        elif len(z[0]) > 1:
-            xs = blocks(z)
-            for b, x in enumerate(xs):
-                for y in xs[: b + 1]:
-                    yield from compare(x, y)
+def _candidates(at_first: DataFrame, hot: DataFrame | None, params: LineDedupParams, wanted: DataFrame | None = None) -> DataFrame:
+    """Candidates of all sets, or all candidates of the wanted ones (ord).  Without wanted, sets of hot keys are held
+    against those in their part of the key only."""
+    if wanted is not None:
+        at_first = at_first.join(wanted.select("ord", F.lit(True).alias("wanted")), "ord", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+    words, pairs = _key_rows(at_first)
+    rows = words.unionByName(pairs if hot is None else pairs.join(hot, "key", "left_anti"))
+    if wanted is not None:
+        rows = rows.join(rows.where("wanted").select("key").distinct(), "key", "left_semi")
+    found = _pairs(rows, ("key",), params)
+    if hot is not None:
+        found = found.unionByName(_pairs(_dealt(pairs, hot), ("key", "unit"), params))
+    return found.groupBy("ord", "xord").agg(F.max("more").alias("more"))
 
-    def run(batches):
-        import pyarrow as pa
 
-        def out(found):
-            a, xa, more = (np.concatenate(z) for z in zip(*found))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(xa), pa.array(more)], names=["ord", "xord", "more"])
-
-        def groups():
-            held, name = [], None
-            for batch in batches:
-                columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-                key, pn = columns["key"], columns["pn"]
-                unit = columns.get("unit", key)
-                low = pn & 0xFFFFFFFF
-                part = [columns["ord"], low & 0x7FFFFFFF, pn >> 32, columns["bits"].view(_U), low >> 31 == 1, columns.get("side", np.zeros(len(key), bool))]
-                if not len(key):
-                    continue
-                starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (unit[1:] != unit[:-1]))))
-                size = np.diff(np.append(starts, len(key)))
-                inner = size > 1
-                inner[[0, -1]] = True  # others of one row end within the batch
-                for s, c in zip(starts[inner].tolist(), size[inner].tolist()):
-                    if (key[s], unit[s]) != name:
-                        if sum(len(h[0]) for h in held) > 1:
-                            yield held
-                        held, name = [], (key[s], unit[s])
-                    held.append([z[s : s + c] for z in part])
-            if sum(len(h[0]) for h in held) > 1:
-                yield held
-
-        found, size = [], 0
-        for parts in groups():
-            for pairs in group(parts):
-                found.append(pairs)
-                size += len(pairs[0])
-                if size > 1 << 16:
-                    yield out(found)
-                    found, size = [], 0
-        if found:
-            yield out(found)
-
-    schema = "ord long, xord long, more boolean"
-    cold = rows if hot is None else rows.join(hot, "key", "left_anti")
-    made = cold.repartition("key").sortWithinPartitions("key", "ord", "pn").transform(_rt.in_batches, run, schema)
-    if hot is not None:
-        made = made.unionByName(_dealt(rows, hot).repartition("key", "unit").sortWithinPartitions("key", "unit", "ord", "pn").transform(_rt.in_batches, run, schema))
-    return made.groupBy("ord", "xord").agg(F.max("more").alias("more"))
+# ---------------------------------------------------------------- verification
+def _line_key(doc_id: str, th: str, line: str):
+    return F.xxhash64(doc_id, th).bitwiseXOR(F.shiftleft(F.col(line).cast("long"), 64 - _rt.BITMAP_BITS))
 
 
-def _word_sets(docs: DataFrame, wanted) -> DataFrame:
-    """a, b and the words of each line whose set is marked as wanted (a few others may come along)."""
+def _line_texts(docs: DataFrame, wanted) -> DataFrame:
+    """doc_id, th, line and text of the lines that are marked (a few others may come along)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         for whole in batches:
             for batch in _rt.slices(whole, "text"):
-                line, h, _, _ = _line_words(batch)
-                at, n, a, b = _set_names(line, h)
-                if not len(at):
+                data, offsets = _rt.text_buffers(batch.column("text"))
+                starts, firsts = _line_starts(data, offsets)
+                doc = np.searchsorted(offsets, starts, side="right") - 1
+                inside = (starts < len(data)) & (doc < len(firsts))
+                starts, doc, at = starts[inside], doc[inside], np.flatnonzero(inside)
+                place = at - firsts[doc]
+                row = batch.column("k").to_numpy().view(_U)[doc]
+                own = np.flatnonzero(_rt.marked(wanted.value, row ^ place.astype(_U) << _U(64 - _rt.BITMAP_BITS)))
+                if not len(own):
                     continue
-                keep = _rt.marked(wanted.value, a)
-                words = h[np.repeat(keep, n)]
-                offsets = pa.array(np.concatenate(([0], np.cumsum(n[keep]))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64)))], names=["a", "b", "words"])
-
-    return docs.select("text").transform(_rt.in_batches, run, "a long, b long, words array<long>").groupBy("a", "b").agg(F.first("words").alias("words"))
-
-
-def find_duplicate_lines(docs: DataFrame, params: LineDedupParams = LineDedupParams()) -> DataFrame:
-    """doc_id, th, line of each line that an earlier line matches.  docs: doc_id, th, text."""
-    sc = docs.sparkSession.sparkContext
-    counts = _rt.written(_count_words(docs), "words")
-    top = counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow()
-    order = sc.broadcast(Order(top.column("word").to_numpy().view(_U), top.column("n").to_numpy()))
-    shared_words = sc.broadcast(_rt.bitmap(counts.where("n > 1"), "word"))
-    lines = _rt.written(_lines(docs, order, shared_words, params), "lines")
-
-    sets = _rt.written(_sets(lines), "firsts")
-    hot = _rt.written(_hot_keys(sets), "hot")
-    hot = hot if hot.limit(1).count() else None
-
-    def removed(pairs: DataFrame) -> DataFrame:
-        """ord of the sets that match, exactly, a set whose first line is earlier."""
-        # the wide sketches of long lines sift the pairs before any words are moved
-        mine, other = sets.select("ord", "a", "n", "sketch"), sets.select(F.col("ord").alias("xord"), F.col("a").alias("xa"), F.col("n").alias("m"), F.col("sketch").alias("xsketch"))
-        flipped = F.aggregate(F.zip_with("sketch", "xsketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        total = F.col("n") + F.col("m")
-        may = (F.size("sketch") == 0) | (F.size("xsketch") == 0) | ((total - flipped) * (params.num + params.den) >= total * (2 * params.num))
-        pairs = _rt.written(pairs.select("ord", "xord").join(mine, "ord").join(other, "xord").where(may).select("ord", "xord", "a", "xa"), "sifted")
-        wanted = sc.broadcast(_rt.bitmap(pairs.select(F.explode(F.array("a", "xa")).alias("a")), "a"))
-        words = _rt.written(_word_sets(docs, wanted).join(sets.select("a", "b", "ord"), ["a", "b"]).select("ord", "words"), "sets")
-        x = words.select(F.col("ord").alias("xord"), F.col("words").alias("xw"))
-        common = F.size(F.array_intersect("words", "xw"))
-        match = common * (params.num + params.den) >= (F.size("words") + F.size("xw")) * params.num
-        both = pairs.select("ord", "xord").join(words, "ord").join(x, "xord").where(match)
-        return _rt.written(both.select("ord").distinct(), "removed")
-
-    # each set against its earliest candidates, then those with more candidates that are still there against all
-    pairs = _rt.written(_pairs(_key_rows(sets), hot, params), "pairs")
-    gone = removed(pairs)
-    open_sets = _rt.written(pairs.where("more").select("ord").distinct().join(gone, "ord", "left_anti"), "open")
-    if open_sets.limit(1).count():
-        keys = _key_rows(sets.join(open_sets, "ord", "left_semi")).select("key").distinct()
-        marks = sets.join(open_sets.withColumn("marked", F.lit(True)), "ord", "left")
-        rest = _rt.written(_pairs(_key_rows(marks, F.col("marked")).join(keys, "key", "left_semi"), hot, params, every=True), "pairs")
-        gone = gone.unionByName(removed(rest)).distinct()
-    marks = sets.select("a", "b", "ord", "first").join(gone.withColumn("later", F.lit(True)), "ord", "left")
+                ends = np.append(starts[1:], len(data))[own]
+                size = ends - starts[own]
+                text = np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                borders = np.concatenate(([0], np.cumsum(size)))
+                lines = pa.LargeStringArray.from_buffers(len(own), pa.py_buffer(borders.tobytes()), pa.py_buffer(data[text].tobytes())).cast(pa.string())
+                take = pa.array(doc[own])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(place[own].astype(np.int32)), lines], names=["doc_id", "th", "line", "text"])
+
+    return docs.select(F.xxhash64("doc_id", "th").alias("k"), "doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th long, line int, text string")
+
+
+def _matching(pairs: DataFrame, sets: DataFrame, docs: DataFrame, params: LineDedupParams, scratch: _rt.Scratch) -> DataFrame:
+    """ord of the sets of which a pair (ord, xord) matches: decided on the words of both lines."""
+    used = pairs.select("ord").unionAll(pairs.select(F.col("xord").alias("ord"))).distinct()
+    used = scratch.write(sets.join(used, "ord").select("ord", F.col("first.doc_id").alias("d"), F.col("first.th").alias("t"), F.col("first.line").alias("l")), "used")
+    wanted = docs.sparkSession.sparkContext.broadcast(_rt.bitmap(used.select(_line_key("d", "t", "l").alias("k")), "k"))
+    here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("line") == F.col("l"))
+    texts = scratch.write(_line_texts(docs, wanted).join(used, here).groupBy("ord").agg(F.first("text").alias("text")), "texts")
+    both = pairs.select("ord", "xord").join(texts, "ord").join(texts.select(F.col("ord").alias("xord"), F.col("text").alias("xtext")), "xord").select("ord", "text", "xtext")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lines = ([set(t.encode().split()) for t in batch.column(c).to_pylist()] for c in ("text", "xtext"))  # words between ASCII white space
+            keep = [len(x & y) * (params.num + params.den) >= (len(x) + len(y)) * params.num for x, y in zip(*lines, strict=True)]
+            yield batch.select(["ord"]).filter(pa.array(keep, pa.bool_()))
+
+    found = scratch.write(both.mapInArrow(run, "ord long").distinct(), "matching")
+    scratch.drop(used, texts)
+    return found
+
+
+def find_duplicate_lines(docs: DataFrame, params: LineDedupParams = LineDedupParams(), scratch: _rt.Scratch | None = None) -> DataFrame:
+    """doc_id, th, line of each line that an earlier line matches.  docs: doc_id, th, text.
+
+    Lines of the same words are one set, compared once.  Sets are named by two 64-bit hashes; candidates come from
+    the keys of a set's rarest words, and the words themselves decide."""
+    spark = docs.sparkSession
+    scratch = scratch or _rt.Scratch(spark)
+    levels = spark.sparkContext.broadcast(word_levels(docs, params))
+    lines = scratch.write(_lines(docs, levels, params), "lines")
+    sets = scratch.write(_sets(lines), "sets")
+    counted = lines.select(F.explode("pairs").alias("k")).groupBy(F.shiftright("k", 32).cast("int").alias("key")).count()
+    hot = scratch.write(counted.where(F.col("count") > params.split).select("key", F.ceil(F.col("count") / params.split).cast("long").alias("parts")), "hot")
+    hot_keys = hot if hot.limit(1).count() else None
+
+    pairs = scratch.write(_candidates(_at_first(lines, sets), hot_keys, params), "pairs")
+    gone = _matching(pairs, sets, docs, params, scratch)
+    # sets with more candidates, or with candidates in other parts of a key, where those so far did not decide
+    more = pairs.where("more").select("ord")
+    if hot_keys is not None:
+        more = more.unionByName(_key_rows(_at_first(lines, sets))[1].join(hot_keys, "key", "left_semi").select("ord"))
+    still_open = scratch.write(more.distinct().join(gone, "ord", "left_anti"), "open")
+    if still_open.limit(1).count():
+        rest = scratch.write(_candidates(_at_first(lines, sets), hot_keys, params, still_open).join(pairs, ["ord", "xord"], "left_anti"), "pairs")
+        gone = gone.unionByName(_matching(rest, sets, docs, params, scratch))
+    marks = sets.join(gone.withColumn("later", F.lit(True)), "ord", "left").select("a", "b", "first", "later")
     place = F.struct("doc_id", "th", "line")
-    return lines.select("doc_id", "th", "line", "a", "b").join(marks.drop("ord"), ["a", "b"]).where(F.coalesce("later", F.lit(False)) | (F.col("first") < place)).select("doc_id", "th", "line")
+    removed = lines.select("doc_id", "th", "line", "a", "b").join(marks, ["a", "b"]).where(F.coalesce("later", F.lit(False)) | (F.col("first") < place))
+    return removed.select("doc_id", "th", "line")
 
 
-def line_dedup(docs: DataFrame, params: LineDedupParams = LineDedupParams(), text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, params: LineDedupParams = LineDedupParams(), text_col: str = "text", scratch: _rt.Scratch | None = None) -> DataFrame:
     """All columns of docs with the text freed of removed lines, and n_lines, n_removed, removed (their numbers, from 0).
 
     A line is what stands between line feeds; its words are runs without ASCII white space.  It goes if the set of
     its words has a Jaccard likeness of at least 4 / 5 with that of any earlier line, kept or not, in the order of
-    doc_id (null first), the text's hash and the line's number.  Lines without words stay.  A null text stays null
-    with no lines.  Rows that repeat doc_id and text are one document here: each loses the same lines, which are
-    the ones that repeat an earlier place.  Columns named like the new ones are replaced."""
+    doc_id (of any type; null first), the text's hash and the line's number.  Lines without words stay.  A null text
+    stays null with no lines.  Rows that repeat doc_id and text are one document here: each loses the same lines,
+    which are the ones that repeat an earlier place.  Columns named like the new ones are replaced; no rows: no rows."""
+    own = scratch or _rt.Scratch(docs.sparkSession)
     new = ("n_lines", "n_removed", "removed")
-    kept = [c for c in docs.columns if c not in new]
+    kept = [c for c in docs.columns if c.lower() not in new]
     base = docs.select("doc_id", _rt.text_or_empty(text_col).alias("text"))
     base = base.select("doc_id", _rt.row_hash(F.col("text")).alias("th"), "text")
-    gone = find_duplicate_lines(base, params).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_set("line")).alias("_gone"))
-    rows = docs.select(*[f"`{c}`" for c in kept]).withColumn("_h", _rt.row_hash(_rt.text_or_empty(text_col)))
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
-    all_lines = F.split(F.col(text_col), "\n")
-    left = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(all_lines, lambda _, i: ~F.array_contains("_gone", i)), "\n"))
-    removed = F.coalesce("_gone", F.array().cast("array<int>"))
+    inner = _rt.Scratch(docs.sparkSession)
+    gone = find_duplicate_lines(base, params, inner).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    gone = own.write(gone, "removed")
+    inner.release()
+    d, t, g, h = _rt.fresh(docs.columns, "gone_id", "gone_th", "gone", "th")
+    gone = gone.select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("gone").alias(g))
+    rows = docs.select(*[f"`{c}`" for c in kept]).withColumn(h, _rt.row_hash(_rt.text_or_empty(text_col)))
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left")
+    lines = F.split(F.col(text_col), "\n")
+    # the lines are bound once, as the one element of an array
+    stay = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(g)), lambda i: F.get(ls, i))
+    left = F.when(F.col(g).isNull(), F.col(text_col)).otherwise(F.get(F.transform(F.array(lines), lambda ls: F.array_join(stay(ls), "\n")), F.lit(0)))
+    removed = F.coalesce(F.col(g), F.array().cast("array<int>"))
     return joined.select(
         *[left.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("n_lines"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.size(removed).cast("long").alias("n_removed"),
         removed.alias("removed"),
     )

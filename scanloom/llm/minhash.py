@@ -116,7 +116,7 @@ def _signed(docs: DataFrame, params: NearDupParams) -> DataFrame:
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(band.view(np.int64)), params.bands).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(size), lists], names=["doc_id", "th", "a", "b", "size", "bands"])
 
-    return docs.transform(_rt.in_batches, run, f"doc_id {kind}, th long, a long, b long, size long, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, th long, a long, b long, size long, bands array<long>")
 
 
 def _texts(docs: DataFrame, wanted, params: NearDupParams) -> DataFrame:
@@ -131,19 +131,19 @@ def _texts(docs: DataFrame, wanted, params: NearDupParams) -> DataFrame:
                 a, b = _names(*shingles(batch, params))
                 yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]), batch.column("text")], names=["v", "text"])
 
-    return docs.select(_row_key("doc_id", "th").alias("k"), "text").transform(_rt.in_batches, run, "v struct<a:long,b:long>, text string")
+    return docs.select(_row_key("doc_id", "th").alias("k"), "text").mapInArrow(run, "v struct<a:long,b:long>, text string")
 
 
 def _row_key(doc_id: str, th: str) -> Column:
     return F.xxhash64(doc_id, th)
 
 
-def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, params: NearDupParams) -> DataFrame:
+def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, params: NearDupParams, scratch: _rt.Scratch) -> DataFrame:
     """The texts of all nodes (v, w) of the pairs, written once for both sides."""
     used = pairs.select("v").unionAll(pairs.select("w")).distinct()
     keys = nodes.join(used, "v", "left_semi").select(_row_key("first.doc_id", "first.th").alias("k"))
     wanted = docs.sparkSession.sparkContext.broadcast(_rt.bitmap(keys, "k"))
-    return _rt.written(_texts(docs, wanted, params), "texts")
+    return scratch.write(_texts(docs, wanted, params), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, params: NearDupParams) -> DataFrame:
@@ -164,10 +164,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, params: NearDupParams) -> Data
                 common = np.bincount(row[i], np.minimum(c[i], d[j]), minlength=len(n))
                 yield batch.filter(pa.array(common * (params.num + params.den) >= (n + m) * params.num)).select(["v", "w"])
 
-    return both.select("v", "w", "vt", "wt").transform(_rt.in_batches, run, "v struct<a:long,b:long>, w struct<a:long,b:long>").distinct()
+    return both.select("v", "w", "vt", "wt").mapInArrow(run, "v struct<a:long,b:long>, w struct<a:long,b:long>").distinct()
 
 
-def _prefix_pairs(nodes: DataFrame, texts: DataFrame, params: NearDupParams) -> DataFrame:
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, params: NearDupParams, scratch: _rt.Scratch) -> DataFrame:
     """All pairs (v < w) of the nodes (v, root) of different classes that may match, by an exact prefix filter.
 
     A node's shingles, each occurrence for itself, are ordered by how many of these nodes have them; of two that
@@ -186,37 +186,40 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame, params: NearDupParams) ->
                 of = np.repeat(row, count)
                 yield pa.RecordBatch.from_arrays([batch.column("v").take(pa.array(of)), pa.array(each.view(np.int64)), pa.array(np.bincount(row, count, minlength=n).astype(np.int32)[of])], names=["v", "e", "n"])
 
-    each = texts.join(nodes.select("v"), "v", "left_semi").dropDuplicates(["v"]).transform(_rt.in_batches, run, "v struct<a:long,b:long>, e long, n int")
-    each = _rt.written(each, "elements")
+    each = texts.join(nodes.select("v"), "v", "left_semi").dropDuplicates(["v"]).mapInArrow(run, "v struct<a:long,b:long>, e long, n int")
+    each = scratch.write(each, "elements")
     counted = each.join(each.groupBy("e").agg(F.count("*").alias("c")), "e")
     ordered = counted.groupBy("v").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "e"))).alias("es"))
     most = (F.col("n") - F.ceil(F.col("n") * params.num / params.den) + 1).cast("int")
     prefix = ordered.select("v", "n", F.posexplode(F.slice("es", F.lit(1), most)).alias("pos", "x")).where("x.c > 1").select("v", "n", "pos", "x.e")
-    prefix = _rt.written(prefix.join(nodes, "v"), "prefixes")
+    prefix = scratch.write(prefix.join(nodes, "v"), "prefixes")
     other = prefix.select("e", F.col("v").alias("w"), F.col("root").alias("wroot"), F.col("n").alias("m"), F.col("pos").alias("wpos"))
     sizes = (F.col("n") * params.den >= F.col("m") * params.num) & (F.col("m") * params.den >= F.col("n") * params.num)
     places = (1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("wpos")) - 1) * (params.num + params.den) >= (F.col("n") + F.col("m")) * params.num
     return prefix.join(other, "e").where((F.col("v") < F.col("w")) & (F.col("root") != F.col("wroot")) & sizes & places).select("v", "w").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: _rt.Scratch) -> DataFrame:
     """v and root, the least node that links lead to, for each node of the links (v, w).
 
     Each round takes the least label among neighbours and then the label's own label; chains of n links end in
     about log n rounds.  Nothing but the number of changes comes to the driver."""
-    both = _rt.written(links.select("v", "w").unionByName(links.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct(), "links")
-    labels = _rt.written(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("root")), "labels")
+    both = scratch.write(links.select("v", "w").unionByName(links.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct(), "links")
+    labels = scratch.write(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("root")), "labels")
+    written = labels
     while True:
         near = both.join(labels.select(F.col("v").alias("w"), "root"), "w").groupBy("v").agg(F.min("root").alias("m"))
         low = labels.join(near, "v").select("v", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         of = low.select(F.col("v").alias("root"), F.col("root").alias("next"))
-        new = _rt.written(low.join(of, "root", "left").select("v", "was", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
+        new = scratch.write(low.join(of, "root", "left").select("v", "was", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
+        scratch.drop(written)
+        written = new
         if new.where("was != root").limit(1).count() == 0:
             return new.select("v", "root")
         labels = new.select("v", "root")
 
 
-def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
+def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), scratch: _rt.Scratch | None = None) -> DataFrame:
     """doc_id, th, class_doc_id and class_th (the row that stands for the class: least doc_id, null first, then
     text hash), n_links (verified links found at the row's multiset), kept (whether the row is that one).
 
@@ -229,13 +232,14 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
 
     Null and empty texts, and texts of white space, stand alone.  Rows that repeat doc_id and text share their
     result.  docs: doc_id, th, text."""
-    signed = _rt.written(_signed(docs, params), "signed")
+    scratch = scratch or _rt.Scratch(docs.sparkSession)
+    signed = scratch.write(_signed(docs, params), "signed")
     v = F.struct("a", "b").alias("v")
-    nodes = _rt.written(signed.where("size > 0").groupBy(v).agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("bands").alias("bands"), F.first("size").alias("size")), "nodes")
+    nodes = scratch.write(signed.where("size > 0").groupBy(v).agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("bands").alias("bands"), F.first("size").alias("size")), "nodes")
     buckets = nodes.select("v", "size", F.explode("bands").alias("bucket"))
     full = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    in_full = _rt.written(buckets.join(_rt.written(full, "buckets"), "bucket"), "members")
-    weight = _rt.written(in_full.groupBy("v").agg(F.sum("c").alias("weight")), "weights")
+    in_full = scratch.write(buckets.join(scratch.write(full, "buckets"), "bucket"), "members")
+    weight = scratch.write(in_full.groupBy("v").agg(F.sum("c").alias("weight")), "weights")
     members = in_full.select("bucket", "v", "size").join(weight, "v")
     fits = (F.col("size") * params.den >= F.col("lead.size") * params.num) & (F.col("lead.size") * params.den >= F.col("size") * params.num)
 
@@ -244,27 +248,27 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
         named = members.withColumn("root", F.col("v")) if roots is None else members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
         # the heaviest text that has not led this bucket yet
         fresh = named if led is None else named.join(led, ["bucket", "v"], "left_anti")
-        lead = _rt.written(fresh.groupBy("bucket").agg(F.max(F.struct("weight", "v", "root", "size")).alias("lead")), "leads")
+        lead = scratch.write(fresh.groupBy("bucket").agg(F.max(F.struct("weight", "v", "root", "size")).alias("lead")), "leads")
         now = lead.select("bucket", F.col("lead.v").alias("v"))
         led = now if led is None else led.unionByName(now)
         pairs = named.join(lead, "bucket").where((F.col("root") != F.col("lead.root")) & fits).select("v", F.col("lead.v").alias("w")).distinct()
         if tested is not None:
             known = tested.unionByName(tested.select(F.col("w").alias("v"), F.col("v").alias("w")))
             pairs = pairs.join(known, ["v", "w"], "left_anti")
-        pairs = _rt.written(pairs, "pairs")
-        found = _rt.written(_verified(pairs, _texts_of(pairs, nodes, docs, params), params), "found")
+        pairs = scratch.write(pairs, "pairs")
+        found = scratch.write(_verified(pairs, _texts_of(pairs, nodes, docs, params, scratch), params), "found")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = components(links)
+        roots = components(links, scratch)
     # what has not led a bucket, where that is of several classes
     named = members.join(led, ["bucket", "v"], "left_anti").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     still_open = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-    rest = _rt.written(named.join(still_open, "bucket", "left_semi").select("v", "root").distinct(), "rest")
+    rest = scratch.write(named.join(still_open, "bucket", "left_semi").select("v", "root").distinct(), "rest")
     if rest.limit(1).count():
-        texts = _texts_of(rest.select("v", F.col("v").alias("w")), nodes, docs, params)
-        pairs = _rt.written(_prefix_pairs(rest, texts, params), "pairs")
-        links = links.unionByName(_rt.written(_verified(pairs, texts, params), "found"))
-        roots = components(links)
+        texts = _texts_of(rest.select("v", F.col("v").alias("w")), nodes, docs, params, scratch)
+        pairs = scratch.write(_prefix_pairs(rest, texts, params, scratch), "pairs")
+        links = links.unionByName(scratch.write(_verified(pairs, texts, params), "found"))
+        roots = components(links, scratch)
     ends = links.select("v").unionByName(links.select(F.col("w").alias("v"))).groupBy("v").agg(F.count("*").alias("n_links"))
     of_node = nodes.select("v", "first").join(roots, "v", "left").join(ends, "v", "left").select("v", "first", F.coalesce("root", "v").alias("root"), "n_links")
     heads = of_node.groupBy("root").agg(F.min("first").alias("head"))
@@ -279,9 +283,13 @@ def with_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select("doc_id", _rt.row_hash(text).alias("th"), text.alias("text"))
 
 
-def near_dedup(docs: DataFrame, params: NearDupParams = NearDupParams(), text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, params: NearDupParams = NearDupParams(), text_col: str = "text", scratch: _rt.Scratch | None = None) -> DataFrame:
     """The rows of docs, all columns as they are, but one of each class of near-duplicates."""
-    classes = near_duplicates(with_keys(docs, text_col), params)
-    gone = classes.where("not kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    keyed = docs.withColumn("_key", _rt.row_hash(_rt.text_or_empty(text_col)))
-    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left_anti").drop("_key")
+    own, inner = scratch or _rt.Scratch(docs.sparkSession), _rt.Scratch(docs.sparkSession)
+    classes = near_duplicates(with_keys(docs, text_col), params, inner)
+    gone = own.write(classes.where("not kept").select("doc_id", "th").distinct(), "gone")
+    inner.release()
+    d, t, h = _rt.fresh(docs.columns, "gone_id", "gone_th", "th")
+    gone = gone.select(F.col("doc_id").alias(d), F.col("th").alias(t))
+    keyed = docs.withColumn(h, _rt.row_hash(_rt.text_or_empty(text_col)))
+    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left_anti").drop(h)

@@ -145,7 +145,7 @@ def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") ->
                 x = statistics(batch.column("_given_text"))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=[*keep, *NAMES])
 
-    return source.transform(_rt.in_batches, run, kinds + "".join(f", {n} double" for n in NAMES))
+    return source.mapInArrow(run, kinds + "".join(f", {n} double" for n in NAMES))
 
 
 def _matrix(batch) -> np.ndarray:
@@ -157,7 +157,8 @@ def fit(labelled: DataFrame, params: QualityParams = QualityParams()) -> Quality
 
     Means, the normal equations and the calibration's histogram are sums over partitions; the driver gets
     8,515 numbers, then at most `bins` rows.  Without labels every score is 0.5; with labels of one kind, that kind."""
-    table = _rt.written(labelled.where("y is not null").select(F.col("y").cast("double").alias("y"), *NAMES), "labelled")
+    scratch = _rt.Scratch(labelled.sparkSession)
+    table = scratch.write(labelled.where("y is not null").select(F.col("y").cast("double").alias("y"), *NAMES), "labelled")
     row = table.agg(F.count("*").alias("n"), *[f(n).alias(f"{k}{n}") for n in NAMES for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if not row["n"]:
         return QualityModel(params)
@@ -178,7 +179,7 @@ def fit(labelled: DataFrame, params: QualityParams = QualityParams()) -> Quality
 
     k = params.features + 2
     sums = np.zeros((k, k))
-    rows = sorted((r["at"], r["v"]) for r in table.transform(_rt.in_batches, equations, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect())
+    rows = sorted((r["at"], r["v"]) for r in table.mapInArrow(equations, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect())
     sums[np.triu_indices(k)] = [v for _, v in rows]
     sums += np.triu(sums, 1).T
     penalty = params.ridge * row["n"] * np.eye(k - 1)
@@ -196,7 +197,7 @@ def fit(labelled: DataFrame, params: QualityParams = QualityParams()) -> Quality
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at]), pa.array(total[at])], names=["bin", "n", "y"])
 
-    found = sorted((r["bin"], r["n"], r["y"]) for r in table.transform(_rt.in_batches, histogram, "bin long, n double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect())
+    found = sorted((r["bin"], r["n"], r["y"]) for r in table.mapInArrow(histogram, "bin long, n double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect())
     b, n, y = (np.array(c, float) for c in zip(*found))
     return QualityModel(params, mean, scale, model.weights, isotonic((b + 0.5) / params.bins * 2 - 0.5, n, y))
 
@@ -212,4 +213,4 @@ def score(table: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(_matrix(batch)))], names=[*keep, "score"])
 
-    return source.transform(_rt.in_batches, run, kinds + ", score double")
+    return source.mapInArrow(run, kinds + ", score double")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_format, decontaminate, fingerprint, langid, line_dedup, minhash, neighbours, quality, substring_dedup, token_counts
-from ._rt import documents, written
+from ._rt import Scratch, documents
 
 CONTROL = "</s>[INST] ok [/INST]"
 
@@ -102,7 +102,7 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = pairs.select("pid", "rn", "both", rest("text").alias("a"), rest("edited").alias("b"))
     sig = fingerprint.pair_signatures(pairs, ["pid", "rn"], params).select("pid", "rn", F.col("sig_a").alias("sig"), F.col("sig_b").alias("edited_sig"))
     # a small table: the samples of all rows, read again by the row before each
-    out = order.with_next(written(base.join(sig, ["pid", "rn"], "left"), "fingerprints"), "sig", "next_sig")
+    out = order.with_next(Scratch(spark).write(base.join(sig, ["pid", "rn"], "left"), "fingerprints"), "sig", "next_sig")
     return out.select(
         "doc_id",
         "n_chars",
@@ -140,7 +140,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out().alias("held_out"), "text")
-    stats = written(quality.with_statistics(docs, ["doc_id", "held_out"]), "statistics")
+    stats = Scratch(spark).write(quality.with_statistics(docs, ["doc_id", "held_out"]), "statistics")
     marks = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     out = quality.score(stats, quality.fit(stats.where("not held_out").join(marks, "doc_id")), ["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -166,7 +166,7 @@ def _runs_of(docs: DataFrame, params: SubstringParams) -> DataFrame:
                         names=["key", "region", "doc_id", "th", "p", "n"],
                     )
 
-    return docs.transform(_rt.in_batches, run, f"key long, region long, doc_id {kind}, th long, p int, n int")
+    return docs.mapInArrow(run, f"key long, region long, doc_id {kind}, th long, p int, n int")
 
 
 def _windows_of(docs_with_runs: DataFrame, params: SubstringParams) -> DataFrame:
@@ -195,7 +195,7 @@ def _windows_of(docs_with_runs: DataFrame, params: SubstringParams) -> DataFrame
                     names=["key", "window", "doc_id", "th", "p"],
                 )
 
-    return docs_with_runs.transform(_rt.in_batches, run, f"key long, window long, doc_id {kind}, th long, p int")
+    return docs_with_runs.mapInArrow(run, f"key long, window long, doc_id {kind}, th long, p int")
 
 
 def _cut(docs_with_spans: DataFrame) -> DataFrame:
@@ -233,10 +233,10 @@ def _cut(docs_with_spans: DataFrame) -> DataFrame:
                 text = pa.LargeStringArray.from_buffers(len(count), pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(removed.astype(np.int64)), text], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs_with_spans.transform(_rt.in_batches, run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return docs_with_spans.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
-def substring_dedup(docs: DataFrame, params: SubstringParams = SubstringParams(), text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, params: SubstringParams = SubstringParams(), text_col: str = "text", scratch: _rt.Scratch | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space).
 
     Words are runs without ASCII white space.  A word goes if it lies in a window of `window` words whose words
@@ -248,14 +248,15 @@ def substring_dedup(docs: DataFrame, params: SubstringParams = SubstringParams()
     Null and empty texts have no words; texts shorter than a window stay whole.  Rows that repeat a doc_id are
     documents of their own, equal rows are repeats of each other.  Other columns are not read.  No rows: no rows.
     """
+    scratch = scratch or _rt.Scratch(docs.sparkSession)
     base = docs.select("doc_id", _rt.text_or_empty(text_col).alias("text"))
     base = base.select("doc_id", _rt.row_hash(F.col("text")).alias("th"), "text")
     w = params.window
-    every = _rt.written(_runs_of(base, params), "runs")
+    every = scratch.write(_runs_of(base, params), "runs")
     # a table of its own, so that the join below reads two plain shuffles and Spark can split a frequent anchor
-    twice = _rt.written(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "twice")
-    shared = _rt.written(every.join(twice, "key", "left_semi"), "shared")
-    regions = _rt.written(shared.groupBy("key", "region").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "p", "n")).alias("one")), "regions")
+    twice = scratch.write(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "twice")
+    shared = scratch.write(every.join(twice, "key", "left_semi"), "shared")
+    regions = scratch.write(shared.groupBy("key", "region").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "p", "n")).alias("one")), "regions")
     # all runs of a whole region that occurs twice
     whole = shared.join(regions.where("c > 1").select("key", "region"), ["key", "region"], "left_semi").select("doc_id", "th", F.col("p").alias("a"), (F.col("p") + F.col("n") + (w - 1)).alias("b"))
     # anchors with a run that has no whole match: one run of each of their regions is taken apart
@@ -263,7 +264,7 @@ def substring_dedup(docs: DataFrame, params: SubstringParams = SubstringParams()
     apart = regions.join(mixed, "key", "left_semi").select("one.doc_id", "one.th", F.struct("key", "one.p", "one.n").alias("run")).groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
     same_row = lambda x: F.col("doc_id").eqNullSafe(F.col(f"{x}_id")) & (F.col("th") == F.col(f"{x}_th"))
     apart = apart.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "runs")
-    windows = _rt.written(_windows_of(base.join(apart, same_row("r")).select("doc_id", "th", "text", "runs"), params), "windows")
+    windows = scratch.write(_windows_of(base.join(apart, same_row("r")).select("doc_id", "th", "text", "runs"), params), "windows")
     again = windows.groupBy("key", "window").agg(F.count("*").alias("c")).where("c > 1").select("key", "window")
     single = windows.join(again, ["key", "window"], "left_semi").select("doc_id", "th", F.col("p").alias("a"), (F.col("p") + w).alias("b"))
     spans = whole.unionByName(single).groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))

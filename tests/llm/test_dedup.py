@@ -74,16 +74,44 @@ def test_line_dedup_repeats_and_nothing(spark):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_is_exact_whatever_counts_as_frequent(spark):
+    """Rare words alone, pairs of frequent words alone, and a mix; and cells that many words share."""
+    rnd = random.Random(3)
+    vocab = words(60)
+    docs = []
+    for i in range(80):
+        w = [vocab[min(59, int(rnd.expovariate(0.08)))] for _ in range(rnd.randrange(1, 25))]
+        docs.append((i, "\n".join([" ".join(w), " ".join(w[: rnd.randrange(len(w)) + 1] + rnd.sample(vocab, 1))])))
+    want = brute_lines(docs)
+    for frequent, bits in ((1, 24), (8, 24), (1 << 20, 24), (8, 3)):
+        got = line_dedup.line_dedup(frame(spark, docs), line_dedup.LineDedupParams(frequent=frequent, cell_bits=bits, first=1)).collect()
+        assert {r["doc_id"]: list(r["removed"]) for r in got} == want, (frequent, bits)
+
+
+def test_word_levels_follow_counts(spark):
+    from scanloom.llm import _rt
+    import numpy as np
+
+    docs = spark.createDataFrame([("a b b",), ("b c\nc a",), (None,), ("d",)], "text string").select(F.coalesce("text", F.lit("")).alias("text"))
+    params = line_dedup.LineDedupParams(cell_bits=20)
+    levels = line_dedup.word_levels(docs, params)
+    data = np.frombuffer(b"abcd", np.uint8)
+    h = _rt.spans_hash(np.concatenate((data, np.zeros(0, np.uint8))), np.arange(4), np.arange(1, 5))
+    want = {int(c): int(line_dedup.level(np.array([float(n)]))[0]) for c, n in zip(line_dedup._cells(h, 20), (2, 3, 2, 1))}
+    assert {int(i): int(levels[i]) for i in np.flatnonzero(levels)} == {k: v for k, v in want.items() if v}
+    assert list(line_dedup.level(np.array([0.0, 1.0, 2.0, 4.0, 1024.0]))) == [0, 0, 2, 6, 38]
+
+
 def written_counts(monkeypatch):
     """Rows of each intermediate table that is written from here on."""
-    counts, write = [], line_dedup._rt.written
+    counts, write = [], line_dedup._rt.Scratch.write
 
-    def spy(df, name, keep=False):
-        out = write(df, name, keep)
+    def spy(self, df, name):
+        out = write(self, df, name)
         counts.append((name, out.count()))
         return out
 
-    monkeypatch.setattr(line_dedup._rt, "written", spy)
+    monkeypatch.setattr(line_dedup._rt.Scratch, "write", spy)
     return counts
 
 
@@ -91,18 +119,18 @@ def test_line_dedup_like_lines_of_one_document(spark, monkeypatch):
     """Lines of one document, and documents whose ids are no numbers, have an order: no pairs of all with all."""
     base = words(20)
     counts = written_counts(monkeypatch)
-    one = [(1, "\n".join(" ".join([*base, f"q{i}"]) for i in range(200)))]
-    assert {r["doc_id"]: list(r["removed"]) for r in line_dedup.line_dedup(frame(spark, one)).collect()} == brute_lines(one)
-    named = [(f"n{i:03d}", " ".join([*base, f"q{i}"])) for i in range(200)]
+    one = [(1, "\n".join(" ".join([*base, f"q{i}"]) for i in range(20000)))]
+    assert {r["doc_id"]: list(r["removed"]) for r in line_dedup.line_dedup(frame(spark, one)).collect()} == {1: list(range(1, 20000))}
+    named = [(f"n{i:03d}", " ".join([*base, f"q{i}"])) for i in range(300)]
     got = line_dedup.line_dedup(spark.createDataFrame(named, "doc_id string, text string")).collect()
-    assert {r["doc_id"]: list(r["removed"]) for r in got} == {f"n{i:03d}": [0] if i else [] for i in range(200)}
+    assert {r["doc_id"]: list(r["removed"]) for r in got} == {f"n{i:03d}": [0] if i else [] for i in range(300)}
     made = [n for name, n in counts if name == "pairs"]
-    assert made and max(made) < 200 * 10
+    assert made and max(made) < 20000 * 10 and made[-1] < 300 * 10
 
 
 def test_line_dedup_cuts_large_keys(spark, monkeypatch):
-    """A key of many sets is dealt as pairs of parts, copies count once, and results stay exact."""
-    for name, value in (("SPLIT", 16), ("SAMPLE", 1), ("BLOCK", 8)):
+    """A pair of frequent words in many sets is dealt as pairs of parts, copies count once, and results stay exact."""
+    for name, value in (("BLOCK", 8), ("SMALL", 4)):
         monkeypatch.setattr(line_dedup, name, value)
     rnd = random.Random(12)
     base = words(20)
@@ -116,9 +144,17 @@ def test_line_dedup_cuts_large_keys(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(line_dedup, "_dealt", spy)
-    assert {r["doc_id"]: list(r["removed"]) for r in line_dedup.line_dedup(frame(spark, docs)).collect()} == brute_lines(docs)
-    in_key, in_unit, units = dealt[0]
-    assert in_key <= 120 and in_unit < 64 and units > 10
+    params = line_dedup.LineDedupParams(frequent=2, split=16, first=2)
+    assert {r["doc_id"]: list(r["removed"]) for r in line_dedup.line_dedup(frame(spark, docs), params).collect()} == brute_lines(docs)
+    (in_key, in_unit, units), (_, in_all, _) = dealt
+    assert in_key <= 120 and in_unit < 64 and units > 10 and in_all <= 120
+
+
+def test_line_dedup_names_that_clash(spark):
+    """Columns called like inner ones come back as they were; text and ids of other types too."""
+    docs = spark.createDataFrame([("a", "x y", 7, 8, 9), ("b", "x y", 1, 2, 3)], "doc_id string, text string, gone int, th int, gone_id int")
+    rows = sorted(tuple(r) for r in line_dedup.line_dedup(docs).collect())
+    assert rows == [("a", "x y", 7, 8, 9, 1, 0, []), ("b", "", 1, 2, 3, 1, 1, [0])]
 
 
 # ---------------------------------------------------------------- substrings
@@ -235,7 +271,7 @@ def test_signature_estimates_weighted_jaccard():
 
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "v long, w long")
-    got = {r["v"]: r["root"] for r in minhash.components(links).collect()}
+    got = {r["v"]: r["root"] for r in minhash.components(links, minhash._rt.Scratch(spark)).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
@@ -243,12 +279,13 @@ def test_components_of_a_chain(spark):
 @pytest.fixture(scope="module")
 def stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
-    from scanloom.llm._rt import written
+    from scanloom.llm._rt import Scratch
 
+    stored = Scratch(spark)
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("text", F.when(F.col("doc_id") == 3, None).otherwise(F.col("text")))
     out = [("input", docs.toPandas())]
     for name, stage in pipeline.STAGES:
-        docs = written(stage(spark, docs, SF), name, keep=True)
+        docs = stored.write(stage(spark, docs, SF), name)
         out.append((name, docs.toPandas()))
     return out
 
