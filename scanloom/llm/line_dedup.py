@@ -20,13 +20,13 @@ class LineDedupParams:
     num: int = 4
     den: int = 5
     #: Words that occur more often than this are keyed together with a later word of their line.
-    frequent: int = 1024
+    frequent: int = 1 << 15
     #: The counts of words are kept by 2 ** cell_bits cells of their hashes: a byte each is what all workers get.
     cell_bits: int = 24
     #: Of each key a set is held against so many of the earliest candidates first, and against all only where these do not decide.
-    first: int = 8
+    first: int = 4
     #: About as many sets of one pair of frequent words make a part, of which a task holds one.
-    split: int = 1 << 13
+    split: int = 1 << 15
 
     def needed(self, total):
         """The least overlap of two sets with `total` words together: ceil(total num / (num + den))."""
@@ -191,22 +191,22 @@ def _sets(lines: DataFrame) -> DataFrame:
     return lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th", "line")).alias("first")).orderBy("first").withColumn("ord", F.monotonically_increasing_id())
 
 
-def _at_first(lines: DataFrame, sets: DataFrame) -> DataFrame:
-    """ord and the keys of each set's first line."""
+def _at_first(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those rows of a, b, doc_id, th, line and others that are of a set's first line, with ord in place of these."""
     s = sets.select(F.col("a").alias("sa"), F.col("b").alias("sb"), "first", "ord")
     here = (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")) & F.struct("doc_id", "th", "line").eqNullSafe(F.col("first"))
-    return lines.join(s, here).select("ord", "n", "bits", "skip", "keys", "pairs")
+    return rows.join(s, here).drop("a", "b", "doc_id", "th", "line", "sa", "sb", "first")
 
 
-def _key_rows(at_first: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """key, ord, bits and pn (the place of the key's word, and n), with `wanted` if it is there: for each word, and for
-    each pair of frequent words."""
-    marks = [c for c in at_first.columns if c == "wanted"]
+_OF_LINE = ("a", "b", "doc_id", "th", "line")
+
+
+def _key_rows(lines: DataFrame, *cols: str) -> tuple[DataFrame, DataFrame]:
+    """key, bits and pn (the place of the key's word, and n), with cols: for each word, and for each pair of frequent words."""
     pn = lambda pos: F.shiftleft(pos.cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn")
-    words = at_first.select("ord", "bits", "n", "skip", *marks, F.posexplode("keys").alias("i", "key")).select("key", "ord", "bits", pn(F.col("i") + F.col("skip")), *marks)
-    pairs = at_first.select("ord", "bits", "n", *marks, F.explode("pairs").alias("k"))
-    pairs = pairs.select(F.shiftright("k", 32).cast("int").alias("key"), "ord", "bits", pn(F.col("k").bitwiseAND(F.lit(0xFFFFFFFF))), *marks)
-    return words, pairs
+    words = lines.select(*cols, "bits", "n", "skip", F.posexplode("keys").alias("i", "key")).select(*cols, "key", "bits", pn(F.col("i") + F.col("skip")))
+    pairs = lines.select(*cols, "bits", "n", F.explode("pairs").alias("k"))
+    return words, pairs.select(*cols, F.shiftright("k", 32).cast("int").alias("key"), "bits", pn(F.col("k").bitwiseAND(F.lit(0xFFFFFFFF))))
 
 
 def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -348,21 +348,33 @@ def _pairs(rows: DataFrame, keys: tuple[str, ...], params: LineDedupParams) -> D
     return rows.repartition(*keys).sortWithinPartitions(*keys, "ord").mapInArrow(run, "ord long, xord long, more boolean")
 
 
-def _candidates(at_first: DataFrame, hot: DataFrame | None, params: LineDedupParams, wanted: DataFrame | None = None) -> DataFrame:
-    """Candidates of all sets, or all candidates of the wanted ones (ord).  Without wanted, sets of hot keys are held
-    against those in their part of the key only."""
-    if wanted is not None:
-        at_first = at_first.join(wanted.select("ord", F.lit(True).alias("wanted")), "ord", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-    words, pairs = _key_rows(at_first)
-    rows = words.unionByName(pairs if hot is None else pairs.join(hot, "key", "left_anti"))
-    if wanted is not None:
-        rows = rows.join(rows.where("wanted").select("key").distinct(), "key", "left_semi")
-    found = _pairs(rows, ("key",), params)
+def _compared(words: DataFrame, pairs: DataFrame, hot: DataFrame | None, params: LineDedupParams) -> DataFrame:
+    """Candidates among the rows of the keys of words and of pairs; sets of a hot pair are held against those of their part only."""
+    found = _pairs(words.unionByName(pairs if hot is None else pairs.join(hot, "key", "left_anti")), ("key",), params)
     if hot is not None:
         found = found.unionByName(_pairs(_dealt(pairs, hot), ("key", "unit"), params))
     return found.groupBy("ord", "xord").agg(F.max("more").alias("more"))
 
 
+#: A table of keys goes to all executors only up to this many rows, of 4 bytes; beyond it, Spark shuffles both sides.
+BROADCAST_KEYS = 200_000
+
+
+def _all_candidates(lines: DataFrame, sets: DataFrame, wanted: DataFrame, hot: DataFrame | None, params: LineDedupParams, scratch: _rt.Scratch) -> DataFrame:
+    """All candidates of the wanted sets (ord): only rows of their keys are moved."""
+    own = scratch.write(sets.join(wanted, "ord"), "wanted")
+    words, pairs = _key_rows(_at_first(lines, own))
+    keys = scratch.write(words.select("key").unionAll(pairs.select("key")).distinct(), "keys")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    marks = own.select("ord", F.lit(True).alias("wanted"))
+
+    def of(rows):
+        rows = _at_first(rows.join(keys, "key", "left_semi"), sets)
+        return rows.join(marks, "ord", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+
+    return _compared(*map(of, _key_rows(lines, *_OF_LINE)), hot, params)
+
+
 # ---------------------------------------------------------------- verification
 def _line_key(doc_id: str, th: str, line: str):
     return F.xxhash64(doc_id, th).bitwiseXOR(F.shiftleft(F.col(line).cast("long"), 64 - _rt.BITMAP_BITS))
@@ -411,8 +423,12 @@ def _matching(pairs: DataFrame, sets: DataFrame, docs: DataFrame, params: LineDe
         import pyarrow as pa
 
         for batch in batches:
-            lines = ([set(t.encode().split()) for t in batch.column(c).to_pylist()] for c in ("text", "xtext"))  # words between ASCII white space
-            keep = [len(x & y) * (params.num + params.den) >= (len(x) + len(y)) * params.num for x, y in zip(*lines, strict=True)]
+            known: dict[bytes, set] = {}  # a text stands in many pairs
+            for text in (t for c in ("text", "xtext") for t in batch.column(c).cast(pa.binary()).to_pylist()):
+                if text not in known:
+                    known[text] = set(text.split())  # between ASCII white space
+            sides = ([known[t] for t in batch.column(c).cast(pa.binary()).to_pylist()] for c in ("text", "xtext"))
+            keep = [len(x & y) * (params.num + params.den) >= (len(x) + len(y)) * params.num for x, y in zip(*sides, strict=True)]
             yield batch.select(["ord"]).filter(pa.array(keep, pa.bool_()))
 
     found = scratch.write(both.mapInArrow(run, "ord long").distinct(), "matching")
@@ -434,15 +450,15 @@ def find_duplicate_lines(docs: DataFrame, params: LineDedupParams = LineDedupPar
     hot = scratch.write(counted.where(F.col("count") > params.split).select("key", F.ceil(F.col("count") / params.split).cast("long").alias("parts")), "hot")
     hot_keys = hot if hot.limit(1).count() else None
 
-    pairs = scratch.write(_candidates(_at_first(lines, sets), hot_keys, params), "pairs")
+    pairs = scratch.write(_compared(*_key_rows(_at_first(lines, sets), "ord"), hot_keys, params), "pairs")
     gone = _matching(pairs, sets, docs, params, scratch)
     # sets with more candidates, or with candidates in other parts of a key, where those so far did not decide
     more = pairs.where("more").select("ord")
     if hot_keys is not None:
-        more = more.unionByName(_key_rows(_at_first(lines, sets))[1].join(hot_keys, "key", "left_semi").select("ord"))
+        more = more.unionByName(_key_rows(_at_first(lines, sets), "ord")[1].join(hot_keys, "key", "left_semi").select("ord"))
     still_open = scratch.write(more.distinct().join(gone, "ord", "left_anti"), "open")
     if still_open.limit(1).count():
-        rest = scratch.write(_candidates(_at_first(lines, sets), hot_keys, params, still_open).join(pairs, ["ord", "xord"], "left_anti"), "pairs")
+        rest = scratch.write(_all_candidates(lines, sets, still_open, hot_keys, params, scratch).join(pairs, ["ord", "xord"], "left_anti"), "pairs")
         gone = gone.unionByName(_matching(rest, sets, docs, params, scratch))
     marks = sets.join(gone.withColumn("later", F.lit(True)), "ord", "left").select("a", "b", "first", "later")
     place = F.struct("doc_id", "th", "line")
