@@ -23,8 +23,10 @@ class LineDedupParams:
     frequent: int = 1 << 15
     #: The counts of words are kept by 2 ** cell_bits cells of their hashes: a byte each is what all workers get.
     cell_bits: int = 24
-    #: Of each key a set is held against so many of the earliest candidates first, and against all only where these do not decide.
-    first: int = 4
+    #: In a key of many sets, each is held against so many of its earliest candidates first, and against all only where these do not decide.
+    first: int = 16
+    #: Keys of up to so many sets give all candidates at once.
+    small: int = 256
     #: About as many sets of one pair of frequent words make a part, of which a task holds one.
     split: int = 1 << 15
 
@@ -187,8 +189,8 @@ def _lines(docs: DataFrame, levels, params: LineDedupParams) -> DataFrame:
 
 # ---------------------------------------------------------------- candidates
 def _sets(lines: DataFrame) -> DataFrame:
-    """a, b, first (the place of a set's first line) and ord, which grows with that place."""
-    return lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th", "line")).alias("first")).orderBy("first").withColumn("ord", F.monotonically_increasing_id())
+    """a, b, first (the place of a set's first line), c (lines) and ord, which grows with that place."""
+    return lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"), F.count("*").alias("c")).orderBy("first").withColumn("ord", F.monotonically_increasing_id())
 
 
 def _at_first(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -219,19 +221,20 @@ def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return part.withColumn("unit", F.explode(units)).select(*rows.columns, "unit", (F.col("unit") != F.col("part")).alias("guest"))
 
 
-#: Groups of up to so many sets are compared together, larger ones in blocks of BLOCK.
-SMALL = 256
+#: Larger groups are compared in blocks of so many sets.
 BLOCK = 1 << 10
 #: About as many rows, and pairs, are looked at together.
 _ROWS, _PAIRS = 1 << 17, 1 << 20
 
 
 class Sieve:
-    """Candidates among rows of whole groups, in the order of ord within each: by size, by the places of the key,
-    and by the bits in which two sets differ (no more than the words in which they do)."""
+    """Candidates among rows of whole groups, each taken in the order of ord: by size, by the places of the key, and by
+    the bits in which two sets differ (no more than the words in which they do)."""
 
     def __init__(self, columns: dict, keys: tuple[str, ...], params: LineDedupParams):
-        """A column `wanted` marks the sets whose candidates are wanted, all of them; without it, all sets' earliest ones."""
+        """A column `wanted` marks the sets whose candidates are wanted, all of them; without it, all sets' first ones."""
+        by = np.lexsort((columns["ord"], *(columns[k] for k in reversed(keys))))
+        columns = {c: v[by] for c, v in columns.items()}
         self.ord, self.bits = columns["ord"], columns["bits"].view(_U)
         self.n, self.pos = columns["pn"] & 0xFFFFFFFF, columns["pn"] >> 32
         self.params, self.wanted, self.guest = params, columns.get("wanted"), columns.get("guest")
@@ -252,8 +255,8 @@ class Sieve:
         return i[keep], j[keep]
 
     def _small(self):
-        """(i, j) of all groups of up to SMALL rows, by i and then by j."""
-        of = np.flatnonzero((self.sizes > 1) & (self.sizes <= SMALL))
+        """(i, j) of all small groups."""
+        of = np.flatnonzero((self.sizes > 1) & (self.sizes <= self.params.small))
         starts, sizes = self.starts[of], self.sizes[of]
         count = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # rows before each in its group
         rows = np.repeat(starts, sizes) + count
@@ -273,16 +276,11 @@ class Sieve:
             lo = hi
 
     def pairs(self):
-        """(ord, earlier ord, whether there may be more) of the first candidates of each set and key, or of all."""
+        """(ord, earlier ord, whether there may be more): all candidates of small keys, the earliest ones of others."""
         most = self.params.first
         for i, j in self._small():
-            if self.wanted is not None:
-                yield self.ord[i], self.ord[j], np.zeros(len(i), bool)
-                continue
-            at, size = _rt.runs(i)
-            keep = np.arange(len(i)) - np.repeat(at, size) < most
-            yield self.ord[i[keep]], self.ord[j[keep]], np.repeat(size > most, size)[keep]
-        for k in np.flatnonzero(self.sizes > SMALL):
+            yield self.ord[i], self.ord[j], np.zeros(len(i), bool)
+        for k in np.flatnonzero(self.sizes > self.params.small):
             group = np.arange(self.starts[k], self.starts[k] + self.sizes[k])
             others = group if self.guest is None else group[~self.guest[group]]
             mine = group if self.wanted is None else group[self.wanted[group]]
@@ -333,7 +331,7 @@ def _whole_groups(batches, keys: tuple[str, ...]):
 
 
 def _pairs(rows: DataFrame, keys: tuple[str, ...], params: LineDedupParams) -> DataFrame:
-    """ord, xord, more: of each set the earliest candidates xord of each of its keys, and whether there may be others.
+    """ord, xord, more: of each set the candidates xord of each of its keys, and whether there may be others.
 
     Where rows have a column `wanted`, all candidates of the sets it marks.  A task holds a group's rows, of 40 bytes."""
 
@@ -345,7 +343,7 @@ def _pairs(rows: DataFrame, keys: tuple[str, ...], params: LineDedupParams) -> D
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(xa), pa.array(more)], names=["ord", "xord", "more"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "ord").mapInArrow(run, "ord long, xord long, more boolean")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "ord long, xord long, more boolean")
 
 
 def _compared(words: DataFrame, pairs: DataFrame, hot: DataFrame | None, params: LineDedupParams) -> DataFrame:
@@ -411,27 +409,33 @@ def _line_texts(docs: DataFrame, wanted) -> DataFrame:
 
 
 def _matching(pairs: DataFrame, sets: DataFrame, docs: DataFrame, params: LineDedupParams, scratch: _rt.Scratch) -> DataFrame:
-    """ord of the sets of which a pair (ord, xord) matches: decided on the words of both lines."""
+    """ord of the sets of which a pair (ord, xord) matches: decided on the words of both lines, and for the earliest
+    candidate of each set before the others."""
     used = pairs.select("ord").unionAll(pairs.select(F.col("xord").alias("ord"))).distinct()
     used = scratch.write(sets.join(used, "ord").select("ord", F.col("first.doc_id").alias("d"), F.col("first.th").alias("t"), F.col("first.line").alias("l")), "used")
     wanted = docs.sparkSession.sparkContext.broadcast(_rt.bitmap(used.select(_line_key("d", "t", "l").alias("k")), "k"))
-    here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("line") == F.col("l"))
-    texts = scratch.write(_line_texts(docs, wanted).join(used, here).groupBy("ord").agg(F.first("text").alias("text")), "texts")
-    both = pairs.select("ord", "xord").join(texts, "ord").join(texts.select(F.col("ord").alias("xord"), F.col("text").alias("xtext")), "xord").select("ord", "text", "xtext")
+    # text hash and line deal the rows out; those of repeated documents are one
+    here = (F.col("th") == F.col("t")) & (F.col("line") == F.col("l"))
+    texts = _line_texts(docs, wanted).join(used, here).where(F.col("doc_id").eqNullSafe(F.col("d"))).groupBy("th", "line", "ord").agg(F.first("text").alias("text"))
+    texts = scratch.write(texts.select("ord", "text"), "texts")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            known: dict[bytes, set] = {}  # a text stands in many pairs
-            for text in (t for c in ("text", "xtext") for t in batch.column(c).cast(pa.binary()).to_pylist()):
-                if text not in known:
-                    known[text] = set(text.split())  # between ASCII white space
-            sides = ([known[t] for t in batch.column(c).cast(pa.binary()).to_pylist()] for c in ("text", "xtext"))
-            keep = [len(x & y) * (params.num + params.den) >= (len(x) + len(y)) * params.num for x, y in zip(*sides, strict=True)]
+            x, y = ([set(t.split()) for t in unique.to_pylist()] for unique in (batch.column(c).cast(pa.binary()).unique() for c in ("text", "xtext")))
+            i, j = (batch.column(c).dictionary_encode().indices.to_pylist() for c in ("text", "xtext"))  # between ASCII white space
+            keep = [len(x[a] & y[b]) * (params.num + params.den) >= (len(x[a]) + len(y[b])) * params.num for a, b in zip(i, j, strict=True)]
             yield batch.select(["ord"]).filter(pa.array(keep, pa.bool_()))
 
-    found = scratch.write(both.mapInArrow(run, "ord long").distinct(), "matching")
+    def decided(pairs):
+        both = pairs.join(texts, "ord").join(texts.select(F.col("ord").alias("xord"), F.col("text").alias("xtext")), "xord").select("ord", "text", "xtext")
+        return scratch.write(both.mapInArrow(run, "ord long").distinct(), "matching")
+
+    earliest = pairs.groupBy("ord").agg(F.min("xord").alias("xord"))
+    found = decided(earliest)
+    left = pairs.select("ord", "xord").join(found, "ord", "left_anti").join(earliest.select("ord", F.col("xord").alias("earliest")), "ord").where("xord != earliest")
+    found = found.unionByName(decided(left.select("ord", "xord")))
     scratch.drop(used, texts)
     return found
 
@@ -460,10 +464,11 @@ def find_duplicate_lines(docs: DataFrame, params: LineDedupParams = LineDedupPar
     if still_open.limit(1).count():
         rest = scratch.write(_all_candidates(lines, sets, still_open, hot_keys, params, scratch).join(pairs, ["ord", "xord"], "left_anti"), "pairs")
         gone = gone.unionByName(_matching(rest, sets, docs, params, scratch))
-    marks = sets.join(gone.withColumn("later", F.lit(True)), "ord", "left").select("a", "b", "first", "later")
-    place = F.struct("doc_id", "th", "line")
-    removed = lines.select("doc_id", "th", "line", "a", "b").join(marks, ["a", "b"]).where(F.coalesce("later", F.lit(False)) | (F.col("first") < place))
-    return removed.select("doc_id", "th", "line")
+    # the first lines of the sets that go, and all later lines of any set
+    heads = sets.join(gone, "ord").select("first.*")
+    again = sets.where("c > 1").select("a", "b", "first")
+    later = lines.select("doc_id", "th", "line", "a", "b").join(again, ["a", "b"]).where(F.col("first") < F.struct("doc_id", "th", "line"))
+    return heads.unionByName(later.select("doc_id", "th", "line"))
 
 
 def line_dedup(docs: DataFrame, params: LineDedupParams = LineDedupParams(), text_col: str = "text", scratch: _rt.Scratch | None = None) -> DataFrame:
