@@ -302,16 +302,17 @@ def _mapped(df: DataFrame, path: str | None, col: str, encodes: bool, decodes: b
     fields = [f for f in df.schema.fields if f.name not in new and (keep or f.name != col)]
     types = {"n_tokens": T.LongType(), "ids": T.StringType(), "decoded": T.StringType()}
     schema = T.StructType(fields + [T.StructField(n, types[n]) for n in new])
-    source = df.select(*[f"`{f.name}`" for f in fields if f.name != col], df[col].cast("string").alias("_given_text"))
     names = [f.name for f in fields]
+    (text,) = _rt.fresh(names, "given_text")
+    source = df.select(*[f"`{n}`" for n in names if n != col], df[col].cast("string").alias(text))
 
     def run(batches):
         import pyarrow as pa
 
         bpe = vocabulary.bpe()
         for whole in batches:
-            for batch in _rt.slices(whole, "_given_text", SLICE_BYTES):
-                given = batch.column("_given_text")
+            for batch in _rt.slices(whole, text, SLICE_BYTES):
+                given = batch.column(text)
                 texts = given.to_pylist()
                 made = {}
                 if encodes:

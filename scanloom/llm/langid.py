@@ -13,8 +13,8 @@ from . import _rt
 UNDETERMINED = "und"
 #: Bytes of text looked at together; their n-grams take about 150 times as much.
 SLICE_BYTES = 1 << 18
-#: Bits of a letter in an n-gram's code; letters beyond share codes, which no profile of 300 n-grams notices.
-LETTER_BITS = 15
+#: Bits of a sign in an n-gram's code: 0 where there is none, 1 for a gap, 2 + the code point for a letter.
+SIGN_BITS = 21
 
 
 @dataclass(frozen=True)
@@ -25,56 +25,66 @@ class LangIdParams:
 
 
 def _letters() -> np.ndarray:
-    """The code of each code point's lower-case letter, 0 for what is no letter."""
-    out = np.zeros(0x110000, np.int64)
+    """The sign of each code point: its lower-case letter's (of several letters, the first), or a gap."""
+    out = np.ones(0x110000, np.int64)
     for c in range(0x110000):
         x = chr(c)
         if x.isalpha():
-            low = x.lower()
-            out[c] = (ord(low[0]) & ((1 << LETTER_BITS) - 1)) or (1 << LETTER_BITS) - 1
+            out[c] = 2 + ord(x.lower()[0])
     return out
 
 
 def gram_keys(column, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, gram, count) of an Arrow column's n-grams, by text and gram.  A run of other signs is one gap;
-    n-grams may begin or end with a gap and have none inside."""
+    n-grams may begin or end with a gap and have none inside.  A gram's code holds its signs, the last one lowest."""
     data, offsets = _rt.text_buffers(column)
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     firsts = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
-    letter = _rt.worker_state("letters", _letters)[points]
-    n = len(letter)
+    sign = _rt.worker_state("letters", _letters)[points]
     empty = np.zeros(0, np.int64)
-    if not n:
+    if not len(sign):
         return empty, empty, empty
     # keep letters, and of each run of gaps the first; every text also starts and ends with a gap
-    keep = letter > 0
-    keep[1:] |= (letter[1:] == 0) & (letter[:-1] > 0) & (doc[1:] == doc[:-1])
-    letter, doc = letter[keep], doc[keep]
-    n = len(letter)
-    if not n:
+    keep = sign > 1
+    keep[1:] |= (sign[1:] == 1) & (sign[:-1] > 1) & (doc[1:] == doc[:-1])
+    sign, doc = sign[keep], doc[keep]
+    if not len(sign):
         return empty, empty, empty
     edge = np.flatnonzero(doc[1:] != doc[:-1]) + 1
-    around = np.concatenate(([0], edge, edge, [n]))
-    doc, letter = np.insert(doc, around, np.concatenate((doc[[0]], doc[edge - 1], doc[edge], doc[[-1]]))), np.insert(letter, around, 0)
+    around = np.concatenate(([0], edge, edge, [len(sign)]))
+    doc, sign = np.insert(doc, around, np.concatenate((doc[[0]], doc[edge - 1], doc[edge], doc[[-1]]))), np.insert(sign, around, 1)
+    # for sorting, a sign is its place among those that occur here
+    known, place = np.unique(sign, return_inverse=True)
+    place += 1
+    bits = int(len(known)).bit_length()
     # no n-gram has two gaps in a row, nor letters of two texts
-    keys, code, whole = [], letter, letter > 0
-    keys.append((doc << 47 | 1 << 45 | code)[whole])
+    code, texts, codes = place, [doc[sign > 1]], [place[sign > 1]]
     for size in range(2, longest + 1):
-        code = code[:-1] << LETTER_BITS | letter[size - 1 :]
+        code = code[:-1] << bits | place[size - 1 :]
         ends = len(code)
         inner = np.ones(ends, bool)
         for k in range(1, size - 1):
-            inner &= letter[k : k + ends] > 0
+            inner &= sign[k : k + ends] > 1
         if size == 2:
-            inner &= (letter[:ends] > 0) | (letter[1 : 1 + ends] > 0)
+            inner &= (sign[:ends] > 1) | (sign[1 : 1 + ends] > 1)
         inner &= doc[:ends] == doc[size - 1 :]
-        keys.append((doc[:ends] << 47 | size << 45 | code)[inner])
-    keys = np.concatenate(keys)
-    keys.sort()
-    at, count = _rt.runs(keys)
-    keys = keys[at]
-    return keys >> 47, keys & ((1 << 47) - 1), count
+        texts.append(doc[:ends][inner])
+        codes.append(code[inner])
+    doc, code = np.concatenate(texts), np.concatenate(codes)
+    if int(doc[-1]).bit_length() + longest * bits < 63:
+        keys, count = np.unique(doc << longest * bits | code, return_counts=True)
+        doc, code = keys >> longest * bits, keys & ((1 << longest * bits) - 1)
+    else:
+        order = np.lexsort((code, doc))
+        doc, code = doc[order], code[order]
+        at = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1]))))
+        doc, code, count = doc[at], code[at], np.diff(np.append(at, len(doc)))
+    known = np.concatenate(([0], known))
+    gram = np.zeros(len(code), np.int64)
+    for k in range(longest - 1, -1, -1):
+        gram = gram << SIGN_BITS | known[code >> k * bits & ((1 << bits) - 1)]
+    return doc, gram, count
 
 
 def gram_counts(docs: DataFrame, params: LangIdParams) -> DataFrame:
@@ -173,7 +183,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], params: LangIdPara
     fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", letters_col)]
     names = [f.name for f in fields]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(letters_col, T.BooleanType())] if letters_col else [])])
-    source = docs.select(*[f"`{n}`" for n in names], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_given_text"))
+    (given,) = _rt.fresh(names, "given_text")
+    source = docs.select(*[f"`{n}`" for n in names], _rt.text_or_empty(text_col).alias(given))
 
     def run(batches):
         import pyarrow as pa
@@ -181,10 +192,10 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], params: LangIdPara
         _rt.drop_large()
         model = Profiles(profiles, params)
         for whole in batches:
-            for batch in _rt.slices(whole, "_given_text", SLICE_BYTES):
+            for batch in _rt.slices(whole, given, SLICE_BYTES):
                 for at in range(0, batch.num_rows, 1 << 15):
                     part = batch.slice(at, 1 << 15)
-                    lang, score, letters = model.predict(part.column("_given_text"))
+                    lang, score, letters = model.predict(part.column(given))
                     found = [pa.array(lang, pa.string()), pa.array(score), *([pa.array(letters)] if letters_col else [])]
                     yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *found], names=schema.names)
 

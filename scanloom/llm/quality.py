@@ -130,26 +130,43 @@ def isotonic(position: np.ndarray, weight: np.ndarray, label_sum: np.ndarray) ->
 NAMES = [f"x{i}" for i in range(len(STATISTICS))]
 
 
+def _free_names(columns) -> list[str]:
+    """NAMES, with underscores before all of them where one would clash with a column."""
+    mark = ""
+    while {c.lower() for c in columns} & {mark + n for n in NAMES}:
+        mark += "_"
+    return [mark + n for n in NAMES]
+
+
+def _names_in(table: DataFrame) -> list[str]:
+    """The columns of a table that with_statistics made: those with most underscores."""
+    marks = [c[: -len(NAMES[0])] for c in table.columns if c.strip("_") == NAMES[0]]
+    return next([m + n for n in NAMES] for m in sorted(marks, key=len, reverse=True) if {m + n for n in NAMES} <= set(table.columns))
+
+
 def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns of `keep` and the statistics of the text (null: empty) as x0, x1, ..., about 200 bytes a row.
 
-    Repeated rows and null ids pass through; other columns are not read; nothing is shuffled."""
-    source = docs.select(*keep, _rt.text_or_empty(text_col).alias("_given_text"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "_given_text")
+    Where a kept column has such a name, these get underscores before theirs.  Repeated rows and null ids pass
+    through; other columns are not read; nothing is shuffled; no rows: no rows."""
+    (text,) = _rt.fresh(keep, "given_text")
+    names = _free_names(keep)
+    source = docs.select(*[f"`{c}`" for c in keep], _rt.text_or_empty(text_col).alias(text))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != text)
 
     def run(batches):
         import pyarrow as pa
 
         for whole in batches:
-            for batch in _rt.slices(whole, "_given_text"):
-                x = statistics(batch.column("_given_text"))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=[*keep, *NAMES])
+            for batch in _rt.slices(whole, text):
+                x = statistics(batch.column(text))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=[*keep, *names])
 
-    return source.mapInArrow(run, kinds + "".join(f", {n} double" for n in NAMES))
+    return source.mapInArrow(run, kinds + "".join(f", {n} double" for n in names))
 
 
-def _matrix(batch) -> np.ndarray:
-    return np.stack([batch.column(n).to_numpy() for n in NAMES], axis=1)
+def _matrix(batch, names: list[str] = NAMES) -> np.ndarray:
+    return np.stack([batch.column(n).to_numpy() for n in names], axis=1)
 
 
 def fit(labelled: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
@@ -158,7 +175,7 @@ def fit(labelled: DataFrame, params: QualityParams = QualityParams()) -> Quality
     Means, the normal equations and the calibration's histogram are sums over partitions; the driver gets
     8,515 numbers, then at most `bins` rows.  Without labels every score is 0.5; with labels of one kind, that kind."""
     scratch = _rt.Scratch(labelled.sparkSession)
-    table = scratch.write(labelled.where("y is not null").select(F.col("y").cast("double").alias("y"), *NAMES), "labelled")
+    table = scratch.write(labelled.where("y is not null").select(F.col("y").cast("double").alias("y"), *[F.col(c).alias(n) for c, n in zip(_names_in(labelled), NAMES, strict=True)]), "labelled")
     row = table.agg(F.count("*").alias("n"), *[f(n).alias(f"{k}{n}") for n in NAMES for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if not row["n"]:
         return QualityModel(params)
@@ -199,18 +216,23 @@ def fit(labelled: DataFrame, params: QualityParams = QualityParams()) -> Quality
 
     found = sorted((r["bin"], r["n"], r["y"]) for r in table.mapInArrow(histogram, "bin long, n double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect())
     b, n, y = (np.array(c, float) for c in zip(*found))
+    scratch.release()
     return QualityModel(params, mean, scale, model.weights, isotonic((b + 0.5) / params.bins * 2 - 0.5, n, y))
 
 
 def score(table: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
-    """The columns of `keep` with score (0 to 1), from a table of statistics; row by row."""
-    source = table.select(*keep, *NAMES)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields if f.name not in NAMES)
+    """The columns of `keep` with score (0 to 1; a column of that name is replaced), from a table of with_statistics; row by row.
+
+    Null ids and repeated rows pass through, null and empty texts have a score as any other; no rows: no rows."""
+    names = _names_in(table)
+    keep = [c for c in keep if c.lower() != "score"]
+    source = table.select(*[f"`{c}`" for c in keep], *names)
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[: len(keep)])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(_matrix(batch)))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(_matrix(batch, names)))], names=[*keep, "score"])
 
-    return source.mapInArrow(run, kinds + ", score double")
+    return source.mapInArrow(run, kinds + "score double")

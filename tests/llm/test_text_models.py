@@ -110,6 +110,72 @@ def test_gram_counts_against_plain_python(spark):
         assert sorted(count[doc == i].tolist()) == sorted(brute_profile([t or ""]).values())
 
 
+def plain_grams(text):
+    """n-grams of a text by their codes, counted: letters are lower-cased one by one, a run of other signs is one gap."""
+    from collections import Counter
+
+    signs = " ".join(["", *"".join(c.lower()[0] if c.isalpha() else " " for c in text or "").split(), ""])
+    count = Counter(signs[i : i + n] for n in (1, 2, 3) for i in range(len(signs) - n + 1))
+    code = lambda g: sum((1 if c == " " else 2 + ord(c)) << 21 * k for k, c in enumerate(reversed(g)))
+    return Counter({code(g): n for g, n in count.items() if g.strip() and (len(g) < 3 or g[1] != " ")})
+
+
+def ranked(count, top=300):
+    return {g: i for i, (g, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:top])}
+
+
+def plain_language(text, profiles, top=300):
+    own = ranked(plain_grams(text))
+    if not own:
+        return "und", 0.0
+    far = {name: sum(abs(p[g] - r) if g in p else top for g, r in own.items()) for name, p in profiles.items()}
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (len(own) * top)
+
+
+def test_language_query_against_plain_python(spark):
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    counts = {}
+    for r in docs:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            counts.setdefault(r["lang"], Counter()).update(plain_grams(r["text"]))
+    profiles = {name: ranked(c) for name, c in counts.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op8_language(spark, SF).collect()}
+    for r in docs:
+        lang, score = plain_language(r["text"], profiles)
+        assert got[r["doc_id"]][0] == lang and abs(got[r["doc_id"]][1] - score) < 1e-9
+
+
+def test_language_ties_and_letters_beyond_all_planes(spark):
+    """Equal distances go to the first name; letters of equal low bits are different letters."""
+    profiles = langid.learn_profiles(spark.createDataFrame([("ab", "zz"), ("ab", "aa"), ("abc abc", "latin"), ("\u8061\u8062\u8063", "han"), ("\U00020061", "far")], "text string, lang string"))
+    plain = {name: {g: i for i, g in enumerate(p)} for name, p in profiles.items()}
+    texts = ["ab", "\u8061\u8062\u8063", "abc", "\U00020061\U00020061", "\u0130x \u1e9e", "".join(chr(0x4E00 + i) for i in range(9000)) * 2, "a" * 70000]
+    got = langid.identify(spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, _given_text int"), profiles)
+    assert "_given_text" in got.columns
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert [rows[i]["lang_pred"] for i in range(4)] == ["aa", "han", "latin", "far"]
+    for i, t in enumerate(texts):
+        lang, score = plain_language(t, plain)
+        assert rows[i]["lang_pred"] == lang and abs(rows[i]["score"] - score) < 1e-9 and rows[i]["_given_text"] == 5
+
+
+def test_grams_of_many_letters_and_texts():
+    """The same n-grams where one number cannot hold text and signs."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(1)
+    texts = ["".join(chr(rnd.choice((0x4E00, 0xAC00, 0x20000)) + rnd.randrange(11000)) for _ in range(40)) for _ in range(700)] * 40
+    doc, gram, count = langid.gram_keys(pa.array(texts), 3)
+    for i in (0, 13, 699, 700 * 39 + 13):
+        own = doc == i
+        assert dict(zip(gram[own].tolist(), count[own].tolist())) == dict(plain_grams(texts[i]))
+    assert (np.diff(doc) >= 0).all()
+
+
 def test_language_edges(spark):
     train = spark.createDataFrame([("the cat and the hat", "en"), ("der Hund und die Katze", "de"), ("x", None)], "text string, lang string")
     profiles = langid.learn_profiles(train)
@@ -141,6 +207,53 @@ def test_quality_held_out(spark):
     assert (good.values[:, None] > bad.values).mean() > 0.95
 
 
+def test_quality_query_against_numpy(spark):
+    """Sums over partitions, weights and calibrated scores, against one process."""
+    import numpy as np
+    import pyarrow as pa
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas()
+    marks = spark.read.parquet(f"{sf}/labels.parquet").toPandas().dropna(subset=["quality"]).groupby("doc_id").quality.max()
+    x = quality.statistics(pa.array(docs.text))
+    held = np.array([zlib.crc32(str(d).encode()) % 3 == 1 for d in docs.doc_id])
+    use = ~held & docs.doc_id.isin(marks.index).to_numpy()
+    y = docs.doc_id[use].map(marks).to_numpy(float)
+    p = quality.QualityParams()
+    mean, scale = x[use].mean(0), np.maximum(x[use].std(0), 1e-3)
+    rng = np.random.default_rng(p.seed)
+    w, b = rng.normal(size=(x.shape[1], p.features)) * np.sqrt(2 * p.gamma), rng.uniform(0, 2 * np.pi, size=p.features)
+    z = np.sqrt(2 / p.features) * np.cos(np.clip((x - mean) / scale, -8, 8) @ w + b)
+    z = np.concatenate((z, np.ones((len(z), 1))), axis=1)
+    penalty = np.diag([p.ridge * use.sum() / p.features] * p.features + [0.0])
+    raw = z @ np.linalg.solve(z[use].T @ z[use] + penalty, z[use].T @ y)
+    bins = np.clip((raw[use] + 0.5) / 2 * p.bins, 0, p.bins - 1).astype(int)
+    blocks = [[(k + 0.5) / p.bins * 2 - 0.5, float((bins == k).sum()), y[bins == k].sum()] for k in np.unique(bins)]
+    blocks = [[at * n, n, s] for at, n, s in blocks]
+    k = 0
+    while k < len(blocks) - 1:  # pool neighbours until the means grow
+        if blocks[k][2] / blocks[k][1] >= blocks[k + 1][2] / blocks[k + 1][1]:
+            blocks[k : k + 2] = [[u + v for u, v in zip(*blocks[k : k + 2])]]
+            k = max(0, k - 1)
+        else:
+            k += 1
+    want = np.interp(raw, [at / n for at, n, _ in blocks], [s / n for _, n, s in blocks])
+    got = queries.op10_quality(spark, sf).toPandas().set_index("doc_id").loc[docs.doc_id]
+    assert (got.held_out.to_numpy() == held).all()
+    assert np.abs(got.score.to_numpy() - np.clip(want, 0, 1)).max() < 1e-3  # a raw value at the border of a bin may fall to either side
+    assert (np.abs(got.score.to_numpy() - np.clip(want, 0, 1)) < 1e-6).mean() > 0.99
+
+
+def test_quality_names_that_clash(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a b c", 5.0, "s"), (2, "", 6.0, None)], "doc_id long, text string, x0 double, _given_text string")
+    stats = quality.with_statistics(docs, ["doc_id", "x0", "_given_text"])
+    model = quality.fit(stats.withColumn("y", F.col("doc_id") - 1))
+    rows = sorted(tuple(r) for r in quality.score(stats, model, ["doc_id", "x0", "_given_text"]).collect())
+    assert [r[:3] for r in rows] == [(1, 5.0, "s"), (2, 6.0, None)] and rows[0][3] < rows[1][3]
+
+
 def test_quality_edges(spark, tmp_path):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b c"), (3, "x " * 50000), (3, "x")], "doc_id long, text string")
     stats = quality.with_statistics(docs, ["doc_id"])
