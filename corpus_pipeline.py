@@ -54,8 +54,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that hold passages of the benchmark; null and empty texts stay."""
-    _own(spark, sf_dir)
-    marks = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    marks = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch=_own(spark, sf_dir))
     d, t, h = fresh(docs.columns, "gone_id", "gone_th", "th")
     gone = marks.where("contaminated").select(F.col("doc_id").alias(d), F.col("th").alias(t)).distinct()
     keyed = docs.withColumn(h, row_hash(text_or_empty()))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._rt import row_hash, text_or_empty
+from ._rt import Scratch, row_hash, text_or_empty
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What stands between words, as a Java pattern.
@@ -49,7 +49,7 @@ def _sized(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams = DecontaminateParams()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams = DecontaminateParams(), scratch: Scratch | None = None) -> DataFrame:
     """Per document: doc_id, th (its text's hash), n_words, n_hit (words inside any occurrence of a window of an item),
     n_items, item_ids (array of strings, sorted), contaminated.
 
@@ -62,6 +62,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: DecontaminatePa
     all documents clean.
     """
     k = params.shingle
+    scratch = scratch or Scratch(docs.sparkSession)
     base = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", row_hash(F.col("text")).alias("th"), words(F.col("text")).alias("w"))
     by_item = item_windows(benchmark.select("item_id", "text").where("item_id is not null"), params.window)
     wins = by_item.select("win").distinct().select("win", F.xxhash64("win").alias("win_hash"), F.size("win").alias("len"))
@@ -76,7 +77,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: DecontaminatePa
     else:
         shingles = wins.select("win", "win_hash", "len", F.lit(0).alias("at"), F.lit(0).cast("long").alias("token")).where("false")
     vocabulary = shingles.select("token").distinct()
-    n_tokens = vocabulary.count()
+    n_tokens, n_windows = vocabulary.count(), wins.count()
 
     placed = base.select("doc_id", "th", "w", F.posexplode("w").alias("p", "word"))
     if len(kinds) > 1:
@@ -93,22 +94,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: DecontaminatePa
         .where("rare.n > 0")
         .select("win_hash", "win", "len", "rare.token", "rare.at")
     )
-    found = (
-        tokens.join(_sized(rarest, n_tokens), "token")
-        .where((F.col("p") >= F.col("at")) & (F.col("p") - F.col("at") + F.col("len") <= F.size("w")))
-        .where(F.slice("w", F.col("p") - F.col("at") + 1, F.col("len")) == F.col("win"))
-        .select("doc_id", "th", (F.col("p") - F.col("at")).alias("s"), "len", "win_hash")
-    )
+    fits = (F.col("p") >= F.col("at")) & (F.col("p") - F.col("at") + F.col("len") <= F.size("w"))
+    same_words = F.slice("w", F.col("p") - F.col("at") + 1, F.col("len")) == F.col("win")
+    place = ["doc_id", "th", (F.col("p") - F.col("at")).alias("s"), "len", "win_hash", "win"]
+    if n_windows <= BROADCAST_ROWS:
+        found = tokens.join(F.broadcast(rarest), "token").where(fits).where(same_words).select(*place)
+    else:
+        # places alone are shuffled by their token; the words come to the candidates that are left, once a document
+        at = tokens.select("doc_id", "th", "p", "token").join(rarest.select("token", "win_hash", "len", "at"), "token").where(F.col("p") >= F.col("at"))
+        at = at.groupBy("doc_id", "th").agg(F.collect_set(F.struct("p", "at", "len", "win_hash")).alias("places")).select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "places")
+        here = base.dropDuplicates(["doc_id", "th"]).join(at, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))).select("doc_id", "th", "w", F.explode("places").alias("x")).select("doc_id", "th", "w", "x.*").where(fits)
+        here = here.select("doc_id", "th", "p", "at", "len", "win_hash", F.slice("w", F.col("p") - F.col("at") + 1, F.col("len")).alias("win"))
+        found = here.join(wins.select("win_hash", "win"), ["win_hash", "win"], "left_semi").select(*place)
+    found = scratch.write(found.distinct(), "hits")
     covered = lambda acc, x: F.struct(
         (acc["n"] + F.greatest(F.lit(0), x["s"] + x["len"] - F.greatest(x["s"], acc["end"]))).alias("n"),
         F.greatest(acc["end"], x["s"] + x["len"]).alias("end"),
     )
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    hits = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "len")).alias("spans"), F.collect_set("win_hash").alias("wins"))
-    hits = hits.select("doc_id", "th", F.aggregate(F.array_sort("spans"), zero, covered)["n"].alias("n_hit"), "wins")
+    hits = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "len")).alias("spans"))
+    hits = hits.select("doc_id", "th", F.aggregate(F.array_sort("spans"), zero, covered)["n"].alias("n_hit"))
     items = (
-        hits.select("doc_id", "th", F.explode("wins").alias("win_hash"))
-        .join(by_item.select("item_id", F.xxhash64("win").alias("win_hash")), "win_hash")
+        found.select("doc_id", "th", "win_hash", "win")
+        .distinct()
+        .join(by_item.select("item_id", F.xxhash64("win").alias("win_hash"), "win"), ["win_hash", "win"])
         .groupBy("doc_id", "th")
         .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     )

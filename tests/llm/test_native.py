@@ -86,6 +86,12 @@ def test_decontaminate_edge_cases(spark):
     assert len(clean) == len(docs) and not any(r["contaminated"] for r in clean)
 
 
+def test_decontaminate_beyond_the_broadcast_limit(spark, monkeypatch):
+    """Where the benchmark is large, places are shuffled without the words, and results are the same."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    test_decontaminate_edge_cases(spark)
+
+
 # ---------------------------------------------------------------- fingerprints
 def test_fingerprint_estimates_weighted_jaccard(spark):
     from collections import Counter
@@ -129,6 +135,28 @@ def test_order_with_nulls_and_repeats(spark):
     assert one.rows().count() == 0
 
 
+def test_order_deals_null_and_repeated_ids(spark):
+    """No part holds all rows without an id, or all of one id."""
+    rows = [(None if i % 2 else (7 if i % 3 else i), f"text {i}") for i in range(2400)]
+    order = neighbours.Order(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = order.rows().select("pid", "rn", "doc_id", "text", "following").collect()
+    sizes = {}
+    for r in out:
+        sizes[r["pid"]] = sizes.get(r["pid"], 0) + 1
+    assert len(out) == 2400 and max(sizes.values()) < 400
+    walk = sorted(out, key=lambda r: (-r["pid"], r["rn"]))
+    assert [r["following"] for r in walk] == [r["text"] for r in walk[1:] + walk[:1]]
+    ids = [r["doc_id"] for r in walk]
+    assert ids == sorted(ids, key=lambda x: (x is None, -(x or 0)))
+
+
+def test_queries_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert queries.op6_fingerprint(spark, str(tmp_path)).count() == 0
+    assert [r["conv_id"] for r in queries.op1_chat_format(spark, str(tmp_path)).collect()] == [-1]
+
+
 def test_pair_signatures_equal_separate_ones(spark):
     rows = [(1, "a b b ", "c d", "c c b"), (2, "", "x", ""), (3, "p q ", "", ""), (4, "", "", ""), (5, "k ", "k", "k k")]
     df = spark.createDataFrame(rows, "id long, both string, a string, b string")
