@@ -23,10 +23,10 @@ class LineDedupParams:
     frequent: int = 1 << 15
     #: The counts of words are kept by 2 ** cell_bits cells of their hashes: a byte each is what all workers get.
     cell_bits: int = 24
-    #: In a key of many sets, each is held against so many of its earliest candidates first, and against all only where these do not decide.
-    first: int = 16
-    #: Keys of up to so many sets give all candidates at once.
-    small: int = 256
+    #: A set that has more than `most` candidates in a key, as in a crowd of like lines, is held against the `first`
+    #: earliest of them, and against all only where these do not decide.
+    most: int = 64
+    first: int = 4
     #: About as many sets of one pair of frequent words make a part, of which a task holds one.
     split: int = 1 << 15
 
@@ -189,15 +189,22 @@ def _lines(docs: DataFrame, levels, params: LineDedupParams) -> DataFrame:
 
 # ---------------------------------------------------------------- candidates
 def _sets(lines: DataFrame) -> DataFrame:
-    """a, b, first (the place of a set's first line), c (lines) and ord, which grows with that place."""
-    return lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"), F.count("*").alias("c")).orderBy("first").withColumn("ord", F.monotonically_increasing_id())
+    """a, b, the place of a set's first line (d, t, l), c (lines) and ord, which grows with that place."""
+    sets = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"), F.count("*").alias("c"))
+    flat = sets.select("a", "b", F.col("first.doc_id").alias("d"), F.col("first.th").alias("t"), F.col("first.line").alias("l"), "c")
+    return flat.orderBy("d", "t", "l").withColumn("ord", F.monotonically_increasing_id())
+
+
+def _is_first():
+    """Whether a line of a set stands at the set's first place; none of its lines has a lower doc_id."""
+    same_doc = (F.col("doc_id") <= F.col("d")) | (F.col("doc_id").isNull() & F.col("d").isNull())
+    return (F.col("th") == F.col("t")) & (F.col("line") == F.col("l")) & F.coalesce(same_doc, F.lit(False))
 
 
 def _at_first(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Those rows of a, b, doc_id, th, line and others that are of a set's first line, with ord in place of these."""
-    s = sets.select(F.col("a").alias("sa"), F.col("b").alias("sb"), "first", "ord")
-    here = (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")) & F.struct("doc_id", "th", "line").eqNullSafe(F.col("first"))
-    return rows.join(s, here).drop("a", "b", "doc_id", "th", "line", "sa", "sb", "first")
+    s = sets.select(F.col("a").alias("sa"), F.col("b").alias("sb"), "d", "t", "l", "ord")
+    return rows.join(s, (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")) & _is_first()).drop("a", "b", "doc_id", "th", "line", "sa", "sb", "d", "t", "l")
 
 
 _OF_LINE = ("a", "b", "doc_id", "th", "line")
@@ -221,8 +228,8 @@ def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return part.withColumn("unit", F.explode(units)).select(*rows.columns, "unit", (F.col("unit") != F.col("part")).alias("guest"))
 
 
-#: Larger groups are compared in blocks of so many sets.
-BLOCK = 1 << 10
+#: Groups of up to so many sets are compared together, larger ones in blocks.
+BLOCK = 1 << 8
 #: About as many rows, and pairs, are looked at together.
 _ROWS, _PAIRS = 1 << 17, 1 << 20
 
@@ -255,8 +262,8 @@ class Sieve:
         return i[keep], j[keep]
 
     def _small(self):
-        """(i, j) of all small groups."""
-        of = np.flatnonzero((self.sizes > 1) & (self.sizes <= self.params.small))
+        """(i, j) of all small groups, by i and then by ord of j."""
+        of = np.flatnonzero((self.sizes > 1) & (self.sizes <= BLOCK))
         starts, sizes = self.starts[of], self.sizes[of]
         count = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # rows before each in its group
         rows = np.repeat(starts, sizes) + count
@@ -275,34 +282,44 @@ class Sieve:
             yield self._passing(i, j)
             lo = hi
 
-    def pairs(self):
-        """(ord, earlier ord, whether there may be more): all candidates of small keys, the earliest ones of others."""
-        most = self.params.first
-        for i, j in self._small():
-            yield self.ord[i], self.ord[j], np.zeros(len(i), bool)
-        for k in np.flatnonzero(self.sizes > self.params.small):
+    def _large(self):
+        """As _small, of the other groups; of a set in a crowd, no more candidates than it takes to see that it is in one."""
+        for k in np.flatnonzero(self.sizes > BLOCK):
             group = np.arange(self.starts[k], self.starts[k] + self.sizes[k])
             others = group if self.guest is None else group[~self.guest[group]]
             mine = group if self.wanted is None else group[self.wanted[group]]
             for x in range(0, len(mine), BLOCK):
                 rows = mine[x : x + BLOCK]
                 before = np.searchsorted(others, rows)  # how many of the others stand before each row
-                got = np.zeros(len(rows), np.int64)
+                got, found = np.zeros(len(rows), np.int64), []
                 for y in range(0, int(before[-1]), BLOCK):
-                    on = np.flatnonzero((before > y) & ((got < most) | (self.wanted is not None)))  # in a crowd a set has enough after a block or two
+                    on = np.flatnonzero((before > y) & ((got <= self.params.most) | (self.wanted is not None)))
                     if not len(on):
                         break
                     count = np.minimum(before[on] - y, BLOCK)
                     each = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
                     i, j = self._passing(np.repeat(rows[on], count), others[each + y])
-                    if self.wanted is not None:
-                        yield self.ord[i], self.ord[j], np.zeros(len(i), bool)
-                        continue
-                    of = np.searchsorted(rows, i)
-                    at, size = _rt.runs(of)
-                    keep = np.arange(len(of)) - np.repeat(at, size) < np.repeat(most - got[of[at]], size)
-                    got[of[at]] += size
-                    yield self.ord[i[keep]], self.ord[j[keep]], got[of[keep]] >= most
+                    got += np.bincount(np.searchsorted(rows, i), minlength=len(rows))
+                    found.append((i, j))
+                    if self.wanted is not None and sum(len(f[0]) for f in found) > _PAIRS:
+                        yield tuple(map(np.concatenate, zip(*found)))
+                        found = []
+                if found:
+                    i, j = map(np.concatenate, zip(*found))
+                    by = np.argsort(i, kind="stable")
+                    yield i[by], j[by]
+
+    def pairs(self):
+        """(ord, earlier ord, whether there may be more) of the candidates of all sets, or of the wanted ones."""
+        for found in (self._small(), self._large()):
+            for i, j in found:
+                if self.wanted is not None:
+                    yield self.ord[i], self.ord[j], np.zeros(len(i), bool)
+                    continue
+                at, size = _rt.runs(i)
+                crowd = np.repeat(size > self.params.most, size)
+                keep = ~crowd | (np.arange(len(i)) - np.repeat(at, size) < self.params.first)
+                yield self.ord[i[keep]], self.ord[j[keep]], crowd[keep]
 
 
 def _changes(columns: dict, keys: tuple[str, ...]) -> np.ndarray:
@@ -346,9 +363,11 @@ def _pairs(rows: DataFrame, keys: tuple[str, ...], params: LineDedupParams) -> D
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "ord long, xord long, more boolean")
 
 
-def _compared(words: DataFrame, pairs: DataFrame, hot: DataFrame | None, params: LineDedupParams) -> DataFrame:
-    """Candidates among the rows of the keys of words and of pairs; sets of a hot pair are held against those of their part only."""
-    found = _pairs(words.unionByName(pairs if hot is None else pairs.join(hot, "key", "left_anti")), ("key",), params)
+def _compared(words: DataFrame, pairs: DataFrame | None, hot: DataFrame | None, params: LineDedupParams) -> DataFrame:
+    """Candidates among the rows of the keys of words and of pairs, where there are any; sets of a hot pair are held
+    against those of their part only."""
+    rows = words if pairs is None else words.unionByName(pairs if hot is None else pairs.join(hot, "key", "left_anti"))
+    found = _pairs(rows, ("key",), params)
     if hot is not None:
         found = found.unionByName(_pairs(_dealt(pairs, hot), ("key", "unit"), params))
     return found.groupBy("ord", "xord").agg(F.max("more").alias("more"))
@@ -358,7 +377,7 @@ def _compared(words: DataFrame, pairs: DataFrame, hot: DataFrame | None, params:
 BROADCAST_KEYS = 200_000
 
 
-def _all_candidates(lines: DataFrame, sets: DataFrame, wanted: DataFrame, hot: DataFrame | None, params: LineDedupParams, scratch: _rt.Scratch) -> DataFrame:
+def _all_candidates(lines: DataFrame, sets: DataFrame, wanted: DataFrame, paired: bool, hot: DataFrame | None, params: LineDedupParams, scratch: _rt.Scratch) -> DataFrame:
     """All candidates of the wanted sets (ord): only rows of their keys are moved."""
     own = scratch.write(sets.join(wanted, "ord"), "wanted")
     words, pairs = _key_rows(_at_first(lines, own))
@@ -370,7 +389,8 @@ def _all_candidates(lines: DataFrame, sets: DataFrame, wanted: DataFrame, hot: D
         rows = _at_first(rows.join(keys, "key", "left_semi"), sets)
         return rows.join(marks, "ord", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
 
-    return _compared(*map(of, _key_rows(lines, *_OF_LINE)), hot, params)
+    words, pairs = _key_rows(lines, *_OF_LINE)
+    return _compared(of(words), of(pairs) if paired else None, hot, params)
 
 
 # ---------------------------------------------------------------- verification
@@ -412,7 +432,7 @@ def _matching(pairs: DataFrame, sets: DataFrame, docs: DataFrame, params: LineDe
     """ord of the sets of which a pair (ord, xord) matches: decided on the words of both lines, and for the earliest
     candidate of each set before the others."""
     used = pairs.select("ord").unionAll(pairs.select(F.col("xord").alias("ord"))).distinct()
-    used = scratch.write(sets.join(used, "ord").select("ord", F.col("first.doc_id").alias("d"), F.col("first.th").alias("t"), F.col("first.line").alias("l")), "used")
+    used = scratch.write(sets.join(used, "ord").select("ord", "d", "t", "l"), "used")
     wanted = docs.sparkSession.sparkContext.broadcast(_rt.bitmap(used.select(_line_key("d", "t", "l").alias("k")), "k"))
     # text hash and line deal the rows out; those of repeated documents are one
     here = (F.col("th") == F.col("t")) & (F.col("line") == F.col("l"))
@@ -450,24 +470,27 @@ def find_duplicate_lines(docs: DataFrame, params: LineDedupParams = LineDedupPar
     levels = spark.sparkContext.broadcast(word_levels(docs, params))
     lines = scratch.write(_lines(docs, levels, params), "lines")
     sets = scratch.write(_sets(lines), "sets")
-    counted = lines.select(F.explode("pairs").alias("k")).groupBy(F.shiftright("k", 32).cast("int").alias("key")).count()
-    hot = scratch.write(counted.where(F.col("count") > params.split).select("key", F.ceil(F.col("count") / params.split).cast("long").alias("parts")), "hot")
-    hot_keys = hot if hot.limit(1).count() else None
-
-    pairs = scratch.write(_compared(*_key_rows(_at_first(lines, sets), "ord"), hot_keys, params), "pairs")
+    paired, hot = lines.where(F.size("pairs") > 0).limit(1).count() > 0, None
+    if paired:
+        counted = lines.select(F.explode("pairs").alias("k")).groupBy(F.shiftright("k", 32).cast("int").alias("key")).count()
+        hot = scratch.write(counted.where(F.col("count") > params.split).select("key", F.ceil(F.col("count") / params.split).cast("long").alias("parts")), "hot")
+        hot = hot if hot.limit(1).count() else None
+
+    words, of_pairs = _key_rows(_at_first(lines, sets), "ord")
+    pairs = scratch.write(_compared(words, of_pairs if paired else None, hot, params), "pairs")
     gone = _matching(pairs, sets, docs, params, scratch)
     # sets with more candidates, or with candidates in other parts of a key, where those so far did not decide
     more = pairs.where("more").select("ord")
-    if hot_keys is not None:
-        more = more.unionByName(_key_rows(_at_first(lines, sets), "ord")[1].join(hot_keys, "key", "left_semi").select("ord"))
+    if hot is not None:
+        more = more.unionByName(of_pairs.join(hot, "key", "left_semi").select("ord"))
     still_open = scratch.write(more.distinct().join(gone, "ord", "left_anti"), "open")
     if still_open.limit(1).count():
-        rest = scratch.write(_all_candidates(lines, sets, still_open, hot_keys, params, scratch).join(pairs, ["ord", "xord"], "left_anti"), "pairs")
+        rest = scratch.write(_all_candidates(lines, sets, still_open, paired, hot, params, scratch).join(pairs, ["ord", "xord"], "left_anti"), "pairs")
         gone = gone.unionByName(_matching(rest, sets, docs, params, scratch))
     # the first lines of the sets that go, and all later lines of any set
-    heads = sets.join(gone, "ord").select("first.*")
-    again = sets.where("c > 1").select("a", "b", "first")
-    later = lines.select("doc_id", "th", "line", "a", "b").join(again, ["a", "b"]).where(F.col("first") < F.struct("doc_id", "th", "line"))
+    heads = sets.join(gone, "ord").select(F.col("d").alias("doc_id"), F.col("t").alias("th"), F.col("l").alias("line"))
+    again = sets.where("c > 1").select("a", "b", "d", "t", "l")
+    later = lines.select("doc_id", "th", "line", "a", "b").join(again, ["a", "b"]).where(~_is_first())
     return heads.unionByName(later.select("doc_id", "th", "line"))
 
 

@@ -84,7 +84,7 @@ def test_line_dedup_is_exact_whatever_counts_as_frequent(spark):
         docs.append((i, "\n".join([" ".join(w), " ".join(w[: rnd.randrange(len(w)) + 1] + rnd.sample(vocab, 1))])))
     want = brute_lines(docs)
     for frequent, bits in ((1, 24), (8, 24), (1 << 20, 24), (8, 3)):
-        got = line_dedup.line_dedup(frame(spark, docs), line_dedup.LineDedupParams(frequent=frequent, cell_bits=bits, first=1, small=2)).collect()
+        got = line_dedup.line_dedup(frame(spark, docs), line_dedup.LineDedupParams(frequent=frequent, cell_bits=bits, first=1, most=2)).collect()
         assert {r["doc_id"]: list(r["removed"]) for r in got} == want, (frequent, bits)
 
 
@@ -143,7 +143,7 @@ def test_line_dedup_cuts_large_keys(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(line_dedup, "_dealt", spy)
-    params = line_dedup.LineDedupParams(frequent=2, split=16, first=2, small=4)
+    params = line_dedup.LineDedupParams(frequent=2, split=16, first=2, most=3)
     assert {r["doc_id"]: list(r["removed"]) for r in line_dedup.line_dedup(frame(spark, docs), params).collect()} == brute_lines(docs)
     (in_key, in_unit, units), (_, in_all, _) = dealt
     assert in_key <= 120 and in_unit < 64 and units > 10 and in_all <= 120
