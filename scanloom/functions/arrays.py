@@ -45,12 +45,13 @@ def _named(word: str) -> str:
 def compose(sequence: str | list[str]) -> str:
     """The one symmetry that a sequence, applied from left to right, amounts to.  Empty: identity."""
     words = sequence.split(",") if isinstance(sequence, str) else list(sequence)
-    h, w, grid = 2, 3, {(i, j): (i, j) for i in range(2) for j in range(3)}
+    swap = up = left = False
     for name in map(_named, words):
-        oh, ow = oriented_shape(name, h, w)
-        grid = {(i, j): grid[_source(name, i, j, h, w)] for i in range(oh) for j in range(ow)}
-        h, w = oh, ow
-    return next(n for n in SYMMETRIES if oriented_shape(n, 2, 3) == (h, w) and all(grid[i, j] == _source(n, i, j, 2, 3) for i, j in grid))
+        then_swap, then_up, then_left = SYMMETRIES[name]
+        if swap:  # the later flips act on axes that are swapped
+            then_up, then_left = then_left, then_up
+        swap, up, left = swap != then_swap, up != then_up, left != then_left
+    return next(n for n, flags in SYMMETRIES.items() if tuple(map(bool, flags)) == (swap, up, left))
 
 
 def inverse(name: str) -> str:

@@ -107,6 +107,11 @@ def in_um(max_abs_x: Column, max_abs_y: Column) -> Column:
     return (max_abs_x < 1e3) | (max_abs_y < 1e3)
 
 
+def as_counts(value: Column, um: Column, ratio: float, way: int) -> Column:
+    """Encoder counts of a position that is in um where `um` says so, and counts already elsewhere."""
+    return F.when(um, value / F.lit(ratio * way)).otherwise(value)
+
+
 def raster(index: Column, x_num: int, y_num: int, x_range: float, y_range: float, x_way: int = 1, y_way: int = 1) -> tuple[Column, Column]:
     """(x, y) of a simulated raster: x runs in each row, y from row to row."""
     return (index % x_num) * F.lit(x_range / x_num * x_way), F.floor(index / x_num) * F.lit(y_range / y_num * y_way)

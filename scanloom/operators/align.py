@@ -61,6 +61,13 @@ def ready_counts(frames: DataFrame, positions: DataFrame, most: int) -> DataFram
     return a.crossJoin(F.broadcast(b)).select("frames", "positions", F.least("frames", "positions", F.lit(most).cast("bigint")).alias("ready"))
 
 
+def within_capacity(positions: DataFrame, max_points: int, loaded: int = 0, target: int | None = None, key: str = "frame_id") -> DataFrame:
+    """Positions that the solver has room for: frames below max_points, and no more rows, in the order of frames, than are
+    missing to the target (max_points unless given) when `loaded` are there already."""
+    room = max(0, (max_points if target is None else target) - loaded)
+    return positions.where((F.col(key) >= 0) & (F.col(key) < max_points)).orderBy(key).limit(room)
+
+
 def compare(a: DataFrame, b: DataFrame, value: str, key: str = "frame_id") -> DataFrame:
     """Two tables of positions against each other: differences and the line from one to the other."""
     both = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key).where(known("a", "b"))

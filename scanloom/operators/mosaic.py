@@ -17,6 +17,16 @@ def scatter_add(patches: DataFrame, h: int, w: int, value: str = "px", y: str =
     return px.groupBy(*keys, "y", "x").agg(F.sum("_v").cast("double").alias("s"), F.count("_v").cast("bigint").alias("c"))
 
 
+def scatter_add_all(patches: DataFrame, h: int, w: int, values: tuple[str, ...], y: str = "cy", x: str = "cx", keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, y, x, c and s_<value> of each value: several arrays of one patch (such as amplitude and phase) in lockstep,
+    so a canvas never has a patch in one of them and not in the other.  Patches that lack one do not count."""
+    whole = patches.where(" AND ".join(f"`{v}` IS NOT NULL" for v in values))
+    top, left = F.rint(F.col(y)).cast("bigint") - h // 2, F.rint(F.col(x)).cast("bigint") - w // 2
+    px = whole.select(*keys, top.alias("_t"), left.alias("_l"), F.posexplode(F.arrays_zip(*[F.col(v) for v in values])).alias("_k", "_v"))
+    px = px.select(*keys, (F.col("_t") + F.floor(F.col("_k") / w)).alias("y"), (F.col("_l") + F.col("_k") % w).alias("x"), "_v")
+    return px.groupBy(*keys, "y", "x").agg(F.count("*").cast("bigint").alias("c"), *[F.sum(F.col("_v")[v]).cast("double").alias(f"s_{v}") for v in values])
+
+
 def in_canvas(patches: DataFrame, half_y: int, half_x: int, height: int, width: int, y: str = "cy", x: str = "cx") -> DataFrame:
     """Patches that lie in the canvas with one pixel to spare."""
     inside = lambda c, half, size: (F.col(c) >= half + 1) & (F.col(c) < size - (half + 1))

@@ -302,6 +302,25 @@ def unit_sniff(spark, sf):
     return samples(spark, sf).agg(G.in_um(F.max(F.abs("x")), F.max(F.abs("y"))).alias("um"))
 
 
+@query("sniffed_counts", f"WITH {POSITIONS}, u AS (SELECT max(abs(x)) < 1000 OR max(abs(y)) < 1000 AS um FROM p) SELECT frame_id, round(CASE WHEN um THEN x / (0.5 * -1) ELSE x END, 6) AS counts FROM p, u")
+def sniffed_counts(spark, sf):
+    p = positions(spark, sf)
+    um = p.agg(G.in_um(F.max(F.abs("x")), F.max(F.abs("y"))).alias("um"))
+    return p.crossJoin(F.broadcast(um)).select("frame_id", F.round(G.as_counts(F.col("x"), F.col("um"), RATIO, WAY), 6).alias("counts"))
+
+
+@query("position_capacity", f"WITH {POSITIONS} SELECT frame_id FROM p WHERE frame_id < 300 ORDER BY frame_id LIMIT 40")
+def position_capacity(spark, sf):
+    return align.within_capacity(positions(spark, sf), 300, loaded=10, target=50).select("frame_id")
+
+
+@query("stitch_lockstep", f"WITH {PATCHES} SELECT cy - 4 + k // 8 AS y, cx - 4 + k % 8 AS x, count(*) AS c, CAST(sum(px[k + 1]) AS DOUBLE) AS s_amp, CAST(sum(px[k + 1] % 17) AS DOUBLE) AS s_phase FROM j, (SELECT unnest(range(64)) AS k) WHERE frame_id % 6 <> 5 GROUP BY 1, 2")
+def stitch_lockstep(spark, sf):
+    """Two values of each patch on one canvas; every sixth frame lacks the second and is in neither."""
+    second = F.when(F.col("frame_id") % 6 != 5, F.transform("px", lambda v: v % 17))
+    return mosaic.scatter_add_all(patches(spark, sf).select("*", F.col("px").alias("amp"), second.alias("phase")), 8, 8, ("amp", "phase"))
+
+
 # ---------------------------------------------------------------- filters
 @query("stride_sample", "SELECT vec_id AS frame_id, vec_id // 7 AS row FROM embeddings WHERE vec_id % 7 = 0")
 def stride_sample(spark, sf):
@@ -414,12 +433,17 @@ def paired_rows(spark, sf):
 
 
 # ---------------------------------------------------------------- order
-@query("batch_64", "WITH b AS (SELECT event_id, event_id // 64 AS batch_no FROM events) SELECT event_id, batch_no FROM b WHERE batch_no < (SELECT count(*) FROM events) // 64")
+@query("batch_64", "WITH b AS (SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) // 64 AS batch_no FROM events) SELECT event_id, batch_no FROM b WHERE (SELECT count(*) FROM b c WHERE c.user_id = b.user_id AND c.batch_no = b.batch_no) = 64")
 def batch_64(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id")
-    # events' ids count without gaps, so a batch is arithmetic; the general form numbers arrivals within each run
-    whole = F.floor(F.col("n") / 64)
-    return e.select("event_id", F.floor(F.col("event_id") / 64).alias("batch_no")).crossJoin(F.broadcast(e.agg(F.count("*").alias("n")))).where(F.col("batch_no") < whole).drop("n")
+    return ordered.batches(e, 64, "event_id", ("user_id",)).select("event_id", "batch_no")
+
+
+@query("batch_carry", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) // 64 AS batch_no FROM events")
+def batch_carry(spark, sf):
+    """The rest of each run that fills no batch is kept."""
+    e = table(spark, sf, "events").select("event_id", "user_id")
+    return ordered.batches(e, 64, "event_id", ("user_id",), keep_rest=True).select("event_id", "batch_no")
 
 
 @query("batch_by_run", "WITH b AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 8 AS batch_no FROM events) SELECT user_id, event_id, batch_no FROM b QUALIFY count(*) OVER (PARTITION BY user_id, batch_no) = 8")
@@ -602,9 +626,12 @@ def candidate_columns(spark, sf):
     return lookup.first_of(table(spark, sf, "supplier"), ["absent", "s_name"], "name").select("s_suppkey", "name")
 
 
-@query("spread_sample")
+_CELL = "coalesce(least(3, floor(({0} - min({0}) OVER ()) * 4 / nullif(max({0}) OVER () - min({0}) OVER (), 0))), 0)"
+
+
+@query("spread_sample", f"WITH {POSITIONS}, c AS (SELECT frame_id, x, y, {_CELL.format('x')} * 4 + {_CELL.format('y')} AS cell FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY frame_id) AS nth FROM c) SELECT frame_id, round(x, 6) AS x, round(y, 6) AS y FROM (SELECT * FROM n ORDER BY nth, cell LIMIT 20)")
 def spread_sample(spark, sf):
-    return lookup.spread_sample(positions(spark, sf), 20, "x", "y", 4, "frame_id")
+    return lookup.spread_sample(positions(spark, sf), 20, "x", "y", 4, "frame_id").select("frame_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query("endpoint_host", "SELECT page_id, regexp_extract(url, '^\\w+://([^/:]+)', 1) AS host FROM pages")
@@ -661,18 +688,21 @@ def dense_buffer(spark, sf):
     return dense(e, "row", "v", "batch_no", 0)
 
 
-@query("fft_power")
+@query("fft_power", f"WITH {FRAMES} SELECT frame_id, round(CAST(list_sum(list_transform(px, lambda v: v * v)) AS DOUBLE), 2) AS power FROM f")
 def fft_power(spark, sf):
+    """The power of the spectrum, which is that of the frame."""
     from ..operators.recon import fft_power as power
 
-    return power(frames(spark, sf).select("frame_id", F.transform("px", lambda v: v.cast("double")).alias("amp")), 8)
+    return power(frames(spark, sf).select("frame_id", F.transform("px", lambda v: v.cast("double")).alias("amp")), 8).select("frame_id", F.round("power", 2).alias("power"))
 
 
-@query("infer_patches")
+@query("infer_patches", f"WITH {FRAMES}, s AS (SELECT frame_id, k, px[k + 1] / CASE WHEN list_sum(px) > 0 THEN list_sum(px) / 64.0 ELSE 1 END AS r FROM f, (SELECT unnest(range(64)) AS k)) SELECT frame_id, k, round(r, 6) AS amp, round(atan(r - 1), 6) AS phase FROM s")
 def infer_patches(spark, sf):
     from ..operators.recon import infer
 
-    return infer(frames(spark, sf).select("frame_id", F.transform("px", lambda v: v.cast("double")).alias("amp")), 8)
+    out = infer(frames(spark, sf).select("frame_id", F.transform("px", lambda v: v.cast("double")).alias("amp")), 8)
+    tall = out.select("frame_id", F.posexplode(F.arrays_zip("amp", "phase")).alias("k", "v"))
+    return tall.select("frame_id", F.col("k").cast("bigint").alias("k"), F.round("v.amp", 6).alias("amp"), F.round("v.phase", 6).alias("phase"))
 
 
 @query("center_box")
@@ -704,30 +734,49 @@ def epie(spark, sf):
     from ..operators import recon
 
     config = recon.SolverConfig(8, 100, 64)
-    one = solver_frames(spark, sf).withColumn("scan_seq", F.col("frame_id") % 2)
-    return recon.epie(one, config, np.ones((8, 8), complex))
+    scans = solver_frames(spark, sf).withColumn("scan_seq", F.floor(F.col("frame_id") / 32))
+    return recon.epie(scans, config, np.ones((8, 8), complex))
+
+
+_WAVE = "2 * pi() * ((u // 8) * ((k // 8 + 4) % 8) + (u % 8) * ((k % 8 + 4) % 8)) / 8"
 
 
-@query("probe_init")
+@query("probe_init", f"WITH {FRAMES}, {POSITIONS}, m AS (SELECT u, avg(sqrt(px[u + 1])) AS m FROM f JOIN p USING (frame_id), (SELECT unnest(range(64)) AS u) GROUP BY u) SELECT k, round(sqrt(sum(m * cos({_WAVE})) ** 2 + sum(m * sin({_WAVE})) ** 2) / 8, 5) AS amp FROM m, (SELECT unnest(range(64)) AS k) GROUP BY k")
 def probe_init(spark, sf):
     import numpy as np
 
     from ..operators import recon
 
     p = recon.start_probe(solver_frames(spark, sf), 8)
-    return spark.createDataFrame([(int(k), float(v)) for k, v in enumerate(np.abs(p).ravel())], "k long, amp double")
+    return spark.createDataFrame([(int(k), float(v)) for k, v in enumerate(np.abs(p).ravel())], "k long, amp double").select("k", F.round("amp", 5).alias("amp"))
+
+
+def _turned_sql(name: str) -> str:
+    swap, up, left = A.SYMMETRIES[name]
+    row, col = ("7 - r" if up else "r"), ("7 - c" if left else "c")
+    return f"SELECT '{name}' AS name, round(avg(abs(({col if swap else row}) - x / 10)), 6) AS score FROM m"
+
+
+_CENTRES = f"WITH {FRAMES}, {POSITIONS}, m AS (SELECT frame_id, x, sum(px[k + 1] * (k // 8)) / sum(px[k + 1]) AS r, sum(px[k + 1] * (k % 8)) / sum(px[k + 1]) AS c FROM f JOIN p USING (frame_id), (SELECT unnest(range(64)) AS k) GROUP BY 1, 2) "
 
 
-@query("orientation_scores")
+@query("orientation_scores", _CENTRES + " UNION ALL ".join(map(_turned_sql, A.SYMMETRIES)))
 def orientation_scores(spark, sf):
+    """Orientations by how far the centre of a frame's counts, in rows, is from what its position says."""
     from ..operators.recon import detect_orientation
 
-    return detect_orientation(frames(spark, sf), 8, lambda px: F.get(px, F.lit(0)) * 1.0)
+    total = lambda px, of: F.aggregate(F.transform(px, of), F.lit(0.0), lambda s, v: s + v)
+    score = lambda px, x, y: A.bound(px, lambda q: F.abs(total(q, lambda v, k: v * (k / 8).cast("int") * 1.0) / total(q, lambda v: v * 1.0) - x / 10))
+    found = detect_orientation(frames(spark, sf), positions(spark, sf), 8, score)
+    return found.select("name", F.round("score", 6).alias("score"))
+
+
+_DEALT = "SELECT floor(y) + dy AS y, floor(x) + dx AS x, v, CASE dy WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END * CASE dx WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END AS wt FROM t, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)"
 
 
-@query("stitch_interpolated")
+@query("stitch_interpolated", f"WITH {FRAMES}, {POSITIONS}, t AS (SELECT (p.y - 3.5) + k // 8 AS y, (p.x - 3.5) + k % 8 AS x, px[k + 1] AS v FROM f JOIN p USING (frame_id), (SELECT unnest(range(64)) AS k) WHERE px[k + 1] <> 0), d AS ({_DEALT}) SELECT CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(sum(wt), 5) AS c, round(sum(wt * v) / sum(wt), 4) AS v FROM d WHERE wt > 0 GROUP BY 1, 2")
 def stitch_interpolated(spark, sf):
-    return mosaic.stitch_interpolated(patches(spark, sf), 8, 8)
+    return mosaic.stitch_interpolated(patches(spark, sf), 8, 8).select("y", "x", F.round("c", 5).alias("c"), F.round("v", 4).alias("v"))
 
 
 @query("raster_source", "SELECT CAST(k AS BIGINT) AS frame_id, round((k % 20) * (10.0 / 20), 6) AS x, round((k // 20) * (5.0 / 10), 6) AS y FROM (SELECT unnest(range(200)) AS k)")

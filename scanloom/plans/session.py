@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import literal, missing_fields
@@ -16,6 +17,8 @@ from ..functions.text import literal, missing_fields
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares for checkpoints and intermediate tables; a local one only if none is named."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or "/tmp/checkpoints").rstrip("/")
 
 
@@ -36,7 +39,7 @@ class Settings:
         from pyspark.errors import AnalysisException
 
         try:
-            rows = self.spark.read.parquet(self.path).where(f"key = '{key}'").orderBy("at", ascending=False).limit(1).collect()
+            rows = self.spark.read.parquet(self.path).where(F.col("key") == key).orderBy("at", ascending=False).limit(1).collect()
         except AnalysisException:
             return default
         return rows[0]["value"] if rows else default
@@ -63,7 +66,13 @@ class Engine:
         self.config = config
         self.queries = self.build(self.spark, config)
         end = time.time() + ready_within
-        while not all(q.isActive or q.exception() is None for q in self.queries):
+        while not all(q.isActive or q.lastProgress for q in self.queries):
+            for q in self.queries:
+                if (failed := q.exception()) is not None:
+                    self.stop()
+                    raise failed
+            if all(not q.isActive for q in self.queries):
+                return  # ended, with nothing to read
             if time.time() > end:
                 self.stop()
                 raise TimeoutError("the queries did not start")

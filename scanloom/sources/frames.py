@@ -28,20 +28,32 @@ def decode_frames(messages: DataFrame, decoders: dict | None = None) -> DataFram
     def run(batches):
         import pyarrow as pa
 
+        def images(batch):
+            """(pixels of all images, pixels of each) of a batch; raw payloads of one type and size are read at once."""
+            kinds, encodings = batch.column("type").unique().to_pylist(), batch.column("encoding").unique().to_pylist()
+            if bad := [k for k in kinds if k not in TYPES]:
+                raise RuntimeError(f"pixels of type {bad[0]!r} cannot be read")
+            if bad := [e for e in encodings if e != "raw" and e not in decoders]:
+                raise RuntimeError(f"encoding {bad[0]!r} cannot be read")
+            size = batch.column("rows").to_numpy().astype(np.int64) * batch.column("cols").to_numpy()
+            payload = batch.column("payload")
+            if encodings == ["raw"] and len(kinds) == 1:
+                kind = np.dtype(TYPES[kinds[0]])
+                offsets = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + len(payload) + 1]
+                if (np.diff(offsets) == size * kind.itemsize).all():
+                    data = np.frombuffer(payload.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+                    return data.view(kind).astype(np.int64) if len(data) else np.zeros(0, np.int64), size
+            out = []
+            for t, e, raw, n in zip(batch.column("type").to_pylist(), batch.column("encoding").to_pylist(), payload.to_pylist(), size.tolist()):
+                kind = np.dtype(TYPES[t])
+                out.append((np.frombuffer(raw, kind, n) if e == "raw" else np.asarray(decoders[e](raw, kind, n))).astype(np.int64))
+            return np.concatenate(out), np.array([len(x) for x in out])
+
         for batch in batches:
-            px = []
-            for r in batch.select(["encoding", "type", "rows", "cols", "payload"]).to_pylist():
-                if r["type"] not in TYPES:
-                    raise RuntimeError(f"pixels of type {r['type']!r} cannot be read")
-                kind, n = np.dtype(TYPES[r["type"]]), r["rows"] * r["cols"]
-                if r["encoding"] == "raw":
-                    image = np.frombuffer(r["payload"], kind, n)
-                elif r["encoding"] in decoders:
-                    image = np.asarray(decoders[r["encoding"]](r["payload"], kind, n))
-                else:
-                    raise RuntimeError(f"encoding {r['encoding']!r} cannot be read")
-                px.append(image.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("frame_id"), batch.column("rows"), batch.column("cols"), pa.array(px, pa.list_(pa.int64()))], names=["frame_id", "rows", "cols", "px"])
+            if batch.num_rows:
+                px, size = images(batch)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(px))
+                yield pa.RecordBatch.from_arrays([batch.column("frame_id"), batch.column("rows"), batch.column("cols"), lists], names=["frame_id", "rows", "cols", "px"])
 
     return rows.mapInArrow(run, "frame_id long, rows int, cols int, px array<bigint>")
 

@@ -47,16 +47,54 @@ def newest(df: DataFrame, key: str | list[str], when: str = "batch_no") -> DataF
 
 
 def dense(df: DataFrame, row: str, value: str, when: str, fill) -> DataFrame:
-    """Every row number from 0 to the largest, the newest value of each, `fill` where none was written."""
+    """Every row number from 0 to the largest, the newest value of each, `fill` where none was written.
+
+    The largest number comes to the driver; the numbers themselves are a range that tasks make."""
     last = newest(df.select(row, value, when), row, when).select(row, value)
-    top = df.agg(F.max(row).alias("_top")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_top"))).alias(row))
-    return top.join(last, row, "left").withColumn(value, F.coalesce(value, F.lit(fill)))
+    top = df.agg(F.max(row)).first()[0]
+    rows = df.sparkSession.range(0 if top is None else int(top) + 1).select(F.col("id").alias(row))
+    return rows.join(last, row, "left").withColumn(value, F.coalesce(value, F.lit(fill)))
+
+
+def _scan_kind(kind: str, scan_seq: int | None) -> str:
+    return kind if scan_seq is None else f"{kind}/scan_seq={scan_seq}"
+
 
+def write_detector(frames: DataFrame, base: str, run_uid: str, batch_no: int, stride: int = 1, counts: str = "px", scan_seq: int | None = None) -> None:
+    """Frames as 8-bit roots of their counts, every stride-th one, at their compact row.
 
-def write_detector(frames: DataFrame, base: str, run_uid: str, batch_no: int, stride: int = 1, counts: str = "px") -> None:
-    """Frames as 8-bit roots of their counts, every stride-th one, at their compact row."""
+    With scan_seq each scan has rows of its own: a new scan starts from row 0 again and leaves the old ones stored."""
     kept = frames.where(F.col("frame_id") % stride == 0)
-    append(kept.select(F.floor(F.col("frame_id") / stride).cast("bigint").alias("row"), arrays.to_uint8(F.col(counts)).alias("px")), base, run_uid, "diffraction", batch_no)
+    append(kept.select(F.floor(F.col("frame_id") / stride).cast("bigint").alias("row"), arrays.to_uint8(F.col(counts)).alias("px")), base, run_uid, _scan_kind("diffraction", scan_seq), batch_no)
+
+
+def write_inference(results: DataFrame, base: str, run_uid: str, batch_no: int, stride: int = 1, scan_seq: int | None = None) -> None:
+    """frame_id, amp, phase of inference at the compact rows of the detector buffer, so that both pair by row."""
+    kept = results.where(F.col("frame_id") % stride == 0)
+    single = lambda c: F.transform(c, lambda v: v.cast("float")).alias(c)
+    append(kept.select(F.floor(F.col("frame_id") / stride).cast("bigint").alias("row"), single("amp"), single("phase")), base, run_uid, _scan_kind("inference", scan_seq), batch_no)
+
+
+def read_buffer(spark: SparkSession, base: str, run_uid: str, kind: str, scan_seq: int | None = None) -> DataFrame:
+    """The newest write of each row; with scan_seq, of that scan only."""
+    return newest(spark.read.parquet(table_path(base, run_uid, _scan_kind(kind, scan_seq))), "row")
+
+
+def write_batch(results: DataFrame, base: str, run_uid: str, batch_no: int, kind: str = "vit") -> None:
+    """Adds a batch to the history and makes it the latest one; a batch that is written again replaces itself."""
+    append(results, base, run_uid, f"{kind}_history", batch_no)
+    overwrite(results.withColumn("batch_no", F.lit(batch_no)), base, run_uid, f"{kind}_latest")
+
+
+def write_final(df: DataFrame, base: str, run_uid: str, iteration: int, stamps: dict | None = None) -> bool:
+    """The last result (probe and object as in write_live) under its own name, and the run marked as complete; unsound
+    numbers are not written and leave the run open."""
+    ok = _amplitudes(df, iteration)
+    if ok is None:
+        return False
+    overwrite(ok, base, run_uid, "final")
+    complete_run(df.sparkSession, base, run_uid, {"iterations": iteration} | (stamps or {}))
+    return True
 
 
 def sound(probe_re: Column, probe_im: Column, obj_re: Column, obj_im: Column) -> Column:
@@ -67,20 +105,42 @@ def sound(probe_re: Column, probe_im: Column, obj_re: Column, obj_im: Column) ->
     return ~F.exists(probe_re, bad) & ~F.exists(probe_im, bad) & ~F.exists(obj_re, infinite) & ~F.exists(obj_im, infinite) & F.exists(obj_re, lambda v: ~bad(v))
 
 
-def write_live(df: DataFrame, base: str, run_uid: str, iteration: int) -> bool:
-    """df: one row with probe_re, probe_im, obj_re, obj_im (arrays).  Writes amplitudes and phases unless the numbers are
-    unsound; says whether it did."""
+#: Probes are stored enlarged by this factor.
+PROBE_SCALE = 256.0
+
+
+def _amplitudes(df: DataFrame, iteration: int, probe_scale: float = 1.0) -> DataFrame | None:
+    """df: one row with probe_re, probe_im, obj_re, obj_im (arrays): amplitudes and phases, or None where they are unsound."""
     ok = df.where(sound(*[F.col(c) for c in ("probe_re", "probe_im", "obj_re", "obj_im")]))
     if not ok.limit(1).count():
-        return False
-    part = lambda name: (
-        F.zip_with(f"{name}_re", f"{name}_im", lambda a, b: F.hypot(a, b)).alias(f"{name}_amp"),
+        return None
+    part = lambda name, scale: (
+        F.zip_with(f"{name}_re", f"{name}_im", lambda a, b: F.hypot(a, b) * scale).alias(f"{name}_amp"),
         F.zip_with(f"{name}_re", f"{name}_im", lambda a, b: F.atan2(b, a)).alias(f"{name}_phase"),
     )
-    overwrite(ok.select(F.lit(iteration).alias("iteration"), *part("probe"), *part("obj")), base, run_uid, "live")
+    return ok.select(F.lit(iteration).alias("iteration"), *part("probe", probe_scale), *part("obj", 1.0))
+
+
+def write_live(df: DataFrame, base: str, run_uid: str, iteration: int, probe_scale: float = 1.0) -> bool:
+    """Writes amplitudes and phases unless the numbers are unsound; says whether it did."""
+    ok = _amplitudes(df, iteration, probe_scale)
+    if ok is None:
+        return False
+    overwrite(ok, base, run_uid, "live")
     return True
 
 
+def save_live(df: DataFrame, base: str, run_uid: str, iteration: int) -> bool:
+    """write_live with the enlarged probe; a write that fails is not an error of the run, as the next one replaces it."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    try:
+        return write_live(df, base, run_uid, iteration, PROBE_SCALE)
+    except (PySparkException, Py4JJavaError, OSError):
+        return False
+
+
 def write_positions(positions: DataFrame, base: str, run_uid: str) -> None:
     """In um, and in metres beside."""
     overwrite(positions.select("*", (F.col("slow_um") * 1e-6).alias("x_m"), (F.col("fast_um") * 1e-6).alias("y_m")), base, run_uid, "positions")
@@ -112,9 +172,11 @@ def dump_scan(frames: DataFrame, positions: DataFrame, base: str, run_uid: str,
 
 
 def publish(df: DataFrame, path: str, order: str, size: int) -> int:
-    """A table as a sequence of files in an input folder of a stream, `size` rows each; the number of files."""
+    """A table as files of `size` rows each, file_no=0, 1, ..., in an input folder of a stream; the number of files.
+
+    One write: rows are dealt by their file's number.  A stream that gives its schema without file_no reads them all."""
     last = df.agg(F.max(order)).first()[0]
-    n = 0 if last is None else last // size + 1
-    for k in range(n):
-        df.where((F.col(order) >= k * size) & (F.col(order) < (k + 1) * size)).coalesce(1).write.mode("append").parquet(path)
+    n = 0 if last is None else int(last) // size + 1
+    numbered = df.withColumn("file_no", F.floor(F.col(order) / size).cast("int"))
+    numbered.repartition(max(1, n), "file_no").sortWithinPartitions("file_no", order).write.mode("append").partitionBy("file_no").parquet(path)
     return n

@@ -1,13 +1,19 @@
-"""Registered streaming queries: each drains its stream, so its rows are those of the batch form."""
+"""Registered streaming queries: each drains its stream, so its rows are those of the batch form.
+
+Sources are shuffled files of which a micro-batch takes two, so rows come in another order than they are numbered and
+state has to last from batch to batch."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays as A
-from ..plans.catalog import CANVAS, FRAMES
-from .pipelines import drain, latest_wins, live_mosaic, stream_table, throughput, watermarked_join
-from .stateful import in_order, split_scans
+from ..operators import lines
+from ..plans.catalog import CANVAS, FRAMES, POSITIONS, frames, positions, table
+from ..plans.session import fresh_path
+from ..sources import sinks
+from .pipelines import drain, latest_wins, live_mosaic, published, stream_table, throughput, watermarked_join
+from .stateful import in_order, min_points, release_prefix, slow_gate, split_scans, state_store
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -22,57 +28,48 @@ def query(name, sql):
 
 
 def _frames(spark, sf):
-    px = F.transform("embedding", lambda v: F.floor(F.abs(v.cast("double")) * 1000).cast("bigint"))
-    return stream_table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), px.alias("px"))
-
-
-def _positions(spark, sf):
-    """Positions as a stream: the batch table of means, published as files, would do the same; here each event that
-    ends a group of ten brings the group's mean, looked up from the stored events."""
-    from ..plans.catalog import positions
-
-    means = positions(spark, sf).select("frame_id", F.col("y").alias("cy"), F.col("x").alias("cx"))
-    last = stream_table(spark, sf, "events").where("event_id % 10 = 9").select(F.floor(F.col("event_id") / 10).alias("frame_id"))
-    return last.join(means, "frame_id")
+    return published(frames(spark, sf).select("frame_id", "px"), "frames", "frame_id")
 
 
 @query("stream_stitch", f"WITH {CANVAS} SELECT y, x, s, c FROM canvas")
 def stream_stitch(spark, sf):
-    return drain(live_mosaic(_frames(spark, sf), _positions(spark, sf), 8, 8), "stitch", "complete")
+    places = positions(spark, sf).select("frame_id", F.col("y").alias("cy"), F.col("x").alias("cx"))
+    return drain(live_mosaic(_frames(spark, sf), published(places, "positions", "frame_id", 5), 8, 8), "stitch", "complete")
 
 
 @query("stream_join_late", f"WITH {FRAMES} SELECT frame_id, list_sum(px) AS total, CAST(user_id AS BIGINT) AS user_id FROM f JOIN events ON event_id = frame_id")
 def stream_join_late(spark, sf):
     at = F.lit("2024-01-01").cast("timestamp")
     f = _frames(spark, sf).select("frame_id", F.aggregate("px", F.lit(0).cast("bigint"), lambda s, v: s + v).alias("total"), at.alias("ts"))
-    p = stream_table(spark, sf, "events").select(F.col("event_id").alias("frame_id"), "user_id", at.alias("ts"))
+    p = published(table(spark, sf, "events").select(F.col("event_id").alias("frame_id"), "user_id"), "late", "frame_id").select("frame_id", "user_id", at.alias("ts"))
     return drain(watermarked_join(f, p, "10 minutes"), "late")
 
 
-@query("stream_packets", "SELECT user_id % 4 AS run, CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS number, value AS x FROM events")
+@query("stream_packets", "SELECT run, n // 5 AS number, CAST(n % 5 AS INTEGER) AS k, x, y FROM (SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS n, value AS x, CAST(event_id AS DOUBLE) AS y FROM events)")
 def stream_packets(spark, sf):
-    """Numbered events come shuffled and leave in order."""
-    from pyspark.sql import Window
-
-    from ..plans.session import fresh_path
-
-    w = Window.partitionBy("run").orderBy("event_id")
-    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", (F.col("user_id") % 4).alias("run"), F.col("value").alias("x"))
-    path = fresh_path(spark, "packets")
-    e.withColumn("number", F.row_number().over(w).cast("bigint") - 1).repartition(6, F.xxhash64("event_id")).select("run", "number", "x").write.parquet(path)
-    packets = spark.readStream.schema("run bigint, number bigint, x double").option("maxFilesPerTrigger", 2).parquet(path)
-    return drain(in_order(packets), "order")
+    """Packets of five samples of two channels come shuffled and leave in order."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint") - 1
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run"), n.alias("n"), F.col("value").alias("x"), F.col("event_id").cast("double").alias("y"))
+    packed = e.groupBy("run", F.floor(F.col("n") / 5).alias("number")).agg(F.array_sort(F.collect_list(F.struct("n", "x", "y"))).alias("s"))
+    packets = packed.select("run", "number", F.transform("s", lambda r: r["x"]).alias("x"), F.transform("s", lambda r: r["y"]).alias("y"))
+    out = drain(in_order(published(packets, "packets", "number")), "order")
+    return out.select("run", "number", F.posexplode(F.arrays_zip("x", "y")).alias("k", "s")).select("run", "number", "k", "s.x", "s.y")
 
 
-@query("stream_scan_split", "SELECT conv_id % 4 AS run, turn AS number, CAST(sum(CASE WHEN turn < prev THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn) AS BIGINT) AS scan_seq, conv_id * 1000 + turn AS arrival FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn) AS prev FROM conversations)")
+@query("stream_scan_split", "SELECT conv_id % 64 AS run, turn AS number, CAST(sum(CASE WHEN turn < prev THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id % 64 ORDER BY conv_id, turn) AS BIGINT) AS scan_seq, conv_id * 1000 + turn AS arrival FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id % 64 ORDER BY conv_id, turn) AS prev FROM conversations)")
 def stream_scan_split(spark, sf):
-    c = stream_table(spark, sf, "conversations").select((F.col("conv_id") % 4).alias("run"), (F.col("conv_id") * 1000 + F.col("turn")).alias("arrival"), F.col("turn").alias("number"))
-    return drain(split_scans(c), "split")
+    """Batches come in order of arrival, so the files are written one after the other; rows of a file are shuffled."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") % 64).alias("run"), (F.col("conv_id") * 1000 + F.col("turn")).alias("arrival"), F.col("turn").alias("number"))
+    path, (low, high) = fresh_path(spark, "arrivals"), c.agg(F.min("arrival"), F.max("arrival")).first()
+    third = F.least(F.lit(2), F.floor((F.col("arrival") - (low or 0)) * 3 / max(1, (high or 0) - (low or 0) + 1)))
+    for k in range(3):
+        c.where(third == k).repartition(1).write.mode("append").parquet(path)
+    return drain(split_scans(spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(path)), "split")
 
 
 @query("stream_latest_wins", "SELECT user_id, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY 1")
 def stream_latest_wins(spark, sf):
-    return latest_wins(stream_table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "latest")
+    return latest_wins(published(table(spark, sf, "events").select("user_id", "event_id", "value"), "updates", "event_id"), "user_id", "event_id", "latest")
 
 
 @query("stream_throughput", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS at, count(*) AS n FROM events GROUP BY 1")
@@ -84,6 +81,49 @@ def stream_throughput(spark, sf):
 
 @query("stream_detector_sink", f"WITH {FRAMES} SELECT frame_id // 5 AS row, CAST(list_sum(list_transform(px, lambda v: CAST(floor(least(255, sqrt(v))) AS INTEGER))) AS BIGINT) AS total FROM f WHERE frame_id % 5 = 0")
 def stream_detector_sink(spark, sf):
-    """Every fifth frame as 8-bit roots at its compact row."""
-    kept = _frames(spark, sf).where("frame_id % 5 = 0").select(F.floor(F.col("frame_id") / 5).alias("row"), A.to_uint8(F.col("px")).alias("u8"))
-    return drain(kept.select("row", F.aggregate("u8", F.lit(0).cast("bigint"), lambda s, v: s + v).alias("total")), "detector")
+    """Every fifth frame as 8-bit roots at its compact row of the detector buffer, read back from there."""
+    base = fresh_path(spark, "detector")
+    with state_store(spark):
+        q = _frames(spark, sf).writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        q.foreachBatch(lambda df, batch: sinks.write_detector(df, base, "stream", batch, stride=5, scan_seq=0)).start().awaitTermination()
+    rows = sinks.read_buffer(spark, base, "stream", "diffraction", scan_seq=0)
+    return rows.select("row", F.aggregate("px", F.lit(0).cast("bigint"), lambda s, v: s + v).alias("total"))
+
+
+_LAST = "(SELECT max(event_id) FROM events)"
+
+
+@query("stream_slow_gate", f"SELECT event_id % 2 AS run, event_id AS frame_id FROM events WHERE event_id % 50 <> 0 OR event_id % 7 = 0 OR {_LAST} < 1100")
+def stream_slow_gate(spark, sf):
+    """Two runs, each on a line but for every 50th frame (unless that has no value): those go once the gate has locked;
+    a table too small for a lock keeps them waiting, so it is held against the rule that gives up."""
+    i = F.col("event_id")
+    last = table(spark, sf, "events").agg(F.max("event_id")).first()[0]
+    u = F.when(i % 7 == 0, F.lit(float("nan"))).otherwise(i * 0.01 + F.when(i % 50 == 0, 0.01 * last).otherwise(0))
+    e = table(spark, sf, "events").select((i % 2).alias("run"), i.alias("frame_id"), u.alias("u"), F.col("value").cast("double").alias("v"))
+    least, most = (400, 6000) if last >= 1100 else (10_000, 0)
+    return drain(slow_gate(published(e, "slow", "frame_id"), span=0.01 * last, min_frames=least, most_waiting=most), "slow").select("run", "frame_id")
+
+
+@query("stream_min_points", "SELECT user_id AS run, event_id AS sample FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) > 65)")
+def stream_min_points(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("sample"), F.col("value").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    return drain(min_points(published(e, "points", "sample"), 65), "points").select("run", "sample")
+
+
+@query("stream_prefix_release", f"WITH {FRAMES}, {POSITIONS}, a AS (SELECT f.frame_id, f.frame_id % 16 AS run, f.frame_id // 16 AS arrival, p.x FROM f LEFT JOIN (SELECT * FROM p WHERE frame_id % 50 <> 49) p USING (frame_id)) SELECT run, arrival, frame_id FROM a WHERE arrival < coalesce((SELECT min(arrival) FROM a b WHERE x IS NULL AND b.run = a.run), 1000000000)")
+def stream_prefix_release(spark, sf):
+    f = published(frames(spark, sf).select((F.col("frame_id") % 16).alias("run"), "frame_id", F.floor(F.col("frame_id") / 16).alias("arrival")), "frames", "frame_id")
+    p = published(positions(spark, sf).where("frame_id % 50 != 49").select((F.col("frame_id") % 16).alias("run"), "frame_id", "x", "y"), "places", "frame_id", 5)
+    return drain(release_prefix(f, p), "prefix").select("run", "arrival", "frame_id")
+
+
+@query("slow_axis_nan", f"SELECT 'u' AS axis, CAST(0.0 AS DOUBLE) AS a, CAST(0.01 AS DOUBLE) AS b, count(*) AS kept FROM events WHERE event_id >= 60 AND event_id % 9 <> 0")
+def slow_axis_nan(spark, sf):
+    """The slow axis among two columns where the first 60 frames are stale and every ninth has no number."""
+    i = F.col("event_id")
+    u = F.when(i % 9 == 0, F.lit(float("nan"))).otherwise(i * 0.01 + F.when(i < 60, 5.0).otherwise(0.0))
+    rows = table(spark, sf, "events").select(i.alias("frame_id"), u.alias("u"), F.when(i % 4 != 0, F.col("value").cast("double")).alias("v"))
+    axis, (a, b), tol = lines.slow_axis(rows, ("u", "v"), span=40.0)
+    kept = lines.on_line(rows.where(~F.isnan("u")), axis, (a, b), tol).count()
+    return spark.range(1).select(F.lit(axis).alias("axis"), (F.round(F.lit(a), 6) + 0.0).alias("a"), F.round(F.lit(b), 6).alias("b"), F.lit(kept).cast("long").alias("kept"))

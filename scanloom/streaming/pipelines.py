@@ -20,11 +20,31 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
 
 
+def published(df: DataFrame, name: str, by: str, parts: int = 6) -> DataFrame:
+    """A table as a stream of shuffled files, two in a micro-batch: rows come in another order than they are numbered."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.repartition(parts, F.xxhash64(by)).write.parquet(path)
+    _delete_at_exit(spark, path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    fs, at = _at(spark, path)
+    fs.deleteOnExit(at)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote.
 
     In complete mode each micro-batch writes the whole result to a folder of its own number, so a batch that runs twice
-    replaces itself, and the newest folder is the answer."""
+    replaces itself, and the newest folder is the answer.  The state goes when the stream has ended, the result with the
+    session."""
     spark = stream.sparkSession
     out, check = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
     last = {"batch": -1}
@@ -36,6 +56,9 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     with state_store(spark):
         q = stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(write).start()
         q.awaitTermination()
+    fs, at = _at(spark, check)
+    fs.delete(at, True)
+    _delete_at_exit(spark, out)
     if last["batch"] < 0:
         return spark.createDataFrame([], stream.schema)
     df = spark.read.schema(stream.schema).parquet(out if mode == "append" else f"{out}/batch_no={last['batch']}")
@@ -102,8 +125,10 @@ def fan_out(stream: DataFrame, first, second, checkpoint: str):
 
     def both(df, batch):
         df = df.persist()
-        first(df, batch)
-        second(df, batch)
-        df.unpersist()
+        try:
+            first(df, batch)
+            second(df, batch)
+        finally:
+            df.unpersist()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(both).start()

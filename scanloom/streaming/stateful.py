@@ -1,4 +1,4 @@
-"""Stateful streaming operators: late positions, packets in order, scan boundaries."""
+"""Stateful streaming operators: late positions, packets in order, scan boundaries, gates."""
 
 from __future__ import annotations
 
@@ -67,51 +67,50 @@ def join_late(frames: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 class InOrder(StatefulProcessor):
-    """Lets numbers pass from 0 on without a gap; what comes early waits, what has passed is dropped.
+    """Lets packets (number, x, y: samples of two channels) pass from 0 on without a gap; what comes early waits, what has
+    passed is dropped.
 
-    patience: how many numbers may wait before a missing one is given up; None waits for ever."""
+    Waiting packets are read one by one as their turn comes, so a batch costs what it lets pass.  patience: how many
+    packets may wait before a missing one is given up; None waits for ever."""
 
     def __init__(self, patience: int | None = None):
         self.patience = patience
 
     def init(self, handle):
-        self.next = handle.getValueState("next", "n bigint")
-        self.early = handle.getMapState("early", "n bigint", "x double")
+        self.turn = handle.getValueState("turn", "due bigint, waiting bigint")
+        self.early = handle.getMapState("early", "n bigint", "x array<double>, y array<double>")
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        due = self.next.get()[0] if self.next.exists() else 0
-        held = {k[0]: v[0] for k, v in self.early.iterator()} if self.early.exists() else {}
-        stored = set(held)
+        due, waiting = self.turn.get() if self.turn.exists() else (0, 0)
         for pdf in rows:
-            for n, x in zip(pdf["number"], pdf["x"]):
-                if n >= due:
-                    held.setdefault(int(n), float(x))
+            for n, x, y in zip(pdf["number"], pdf["x"], pdf["y"]):
+                if n >= due and not self.early.containsKey((int(n),)):
+                    self.early.updateValue((int(n),), ([float(v) for v in x], [float(v) for v in y]))
+                    waiting += 1
         out = []
-        while held:
-            if due not in held:
-                if self.patience is None or len(held) <= self.patience:
+        while waiting:
+            if not self.early.containsKey((due,)):
+                if self.patience is None or waiting <= self.patience:
                     break
-                due = min(held)
-            out.append((key[0], due, held.pop(due)))
-            due += 1
-        for n in stored - set(held):
-            self.early.removeKey((n,))
-        for n, x in held.items():
-            if n not in stored:
-                self.early.updateValue((n,), (x,))
-        self.next.update((due,))
+                due = min(k[0] for k in self.early.keys())
+            x, y = self.early.getValue((due,))
+            self.early.removeKey((due,))
+            out.append((key[0], due, list(x), list(y)))
+            due, waiting = due + 1, waiting - 1
+        self.turn.update((due, waiting))
         if out:
-            yield pd.DataFrame(out, columns=["run", "number", "x"])
+            yield pd.DataFrame(out, columns=["run", "number", "x", "y"])
 
     def close(self):
         pass
 
 
 def in_order(packets: DataFrame, patience: int | None = None) -> DataFrame:
-    """run, number, x in order of number within each run (run bigint, number bigint, x double)."""
-    return packets.select("run", "number", "x").groupBy("run").transformWithStateInPandas(InOrder(patience), "run bigint, number bigint, x double", "append", "none")
+    """run, number, x, y in order of number within each run (x, y: arrays of the two channels)."""
+    kind = packets.schema["run"].dataType.simpleString()
+    return packets.select("run", "number", "x", "y").groupBy("run").transformWithStateInPandas(InOrder(patience), f"run {kind}, number bigint, x array<double>, y array<double>", "append", "none")
 
 
 class ScanSplit(StatefulProcessor):
@@ -141,3 +140,128 @@ class ScanSplit(StatefulProcessor):
 def split_scans(rows: DataFrame) -> DataFrame:
     """run, arrival, number, scan_seq.  Within a micro-batch rows are taken by arrival; batches must come in order."""
     return rows.select("run", "arrival", "number").groupBy("run").transformWithStateInPandas(ScanSplit(), "run bigint, arrival bigint, number bigint, scan_seq bigint", "append", "none")
+
+
+class SlowGate(StatefulProcessor):
+    """Holds a run's frames until one of two columns (u, v) turns out to be the slow axis, then lets those pass that lie
+    on its line.
+
+    With `min_frames` known values both columns are fitted; the one of the larger share of frames on its line is
+    locked if that is at least `least_share`.  Above `most_waiting` frames without a lock the gate gives up: all pass,
+    then and later.  Frames without a value pend before the lock and pass after it."""
+
+    def __init__(self, span: float | None, min_frames: int, least_share: float, most_waiting: int):
+        self.span, self.min_frames, self.least_share, self.most_waiting = span, min_frames, least_share, most_waiting
+
+    def init(self, handle):
+        self.line = handle.getValueState("line", "axis int, a double, b double, tol double")  # axis -1: given up
+        self.waiting = handle.getListState("waiting", "frame_id bigint, u double, v double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import numpy as np
+        import pandas as pd
+
+        from ..operators.lines import slow_axis_points
+
+        new = pd.concat(list(rows))[["frame_id", "u", "v"]]
+        if not self.line.exists():
+            self.waiting.appendList([(int(f), float(u), float(v)) for f, u, v in new.itertuples(index=False)])
+            new = pd.DataFrame(list(self.waiting.get()), columns=["frame_id", "u", "v"])
+            values = [new[c].to_numpy(float) for c in ("u", "v")]
+            found = slow_axis_points(new["frame_id"].to_numpy(float), values, self.span, self.min_frames, self.least_share)
+            if found is None and len(new) <= self.most_waiting:
+                return
+            self.line.update(found or (-1, 0.0, 0.0, 0.0))
+            self.waiting.clear()
+        axis, a, b, tol = self.line.get()
+        if axis >= 0:
+            value = new["uv"[axis]].to_numpy(float)
+            new = new[np.isnan(value) | (np.abs(value - (a + b * new["frame_id"].to_numpy(float))) <= tol)]
+        if len(new):
+            yield pd.DataFrame({"run": key[0], "frame_id": new["frame_id"].to_numpy(), "u": new["u"].to_numpy(float), "v": new["v"].to_numpy(float)})
+
+    def close(self):
+        pass
+
+
+def slow_gate(rows: DataFrame, span: float | None = None, min_frames: int = 512, least_share: float = 0.6, most_waiting: int = 6000) -> DataFrame:
+    """run, frame_id, u, v of the frames that the gate lets pass; span: the commanded range of the scan."""
+    source = rows.select("run", F.col("frame_id").cast("bigint").alias("frame_id"), F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+    return source.groupBy("run").transformWithStateInPandas(SlowGate(span, min_frames, least_share, most_waiting), f"run {source.schema['run'].dataType.simpleString()}, frame_id bigint, u double, v double", "append", "none")
+
+
+class PointGate(StatefulProcessor):
+    """Holds a run's samples until there are more than `least`; then those and all later ones pass."""
+
+    def __init__(self, least: int):
+        self.least = least
+
+    def init(self, handle):
+        self.open = handle.getValueState("open", "is boolean")
+        self.waiting = handle.getListState("waiting", "sample bigint, x double, y double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        new = pd.concat(list(rows))[["sample", "x", "y"]]
+        if not self.open.exists():
+            self.waiting.appendList([(int(s), float(x), float(y)) for s, x, y in new.itertuples(index=False)])
+            new = pd.DataFrame(list(self.waiting.get()), columns=["sample", "x", "y"])
+            if len(new) <= self.least:
+                return
+            self.open.update((True,))
+            self.waiting.clear()
+        yield pd.DataFrame({"run": key[0], "sample": new["sample"].to_numpy(), "x": new["x"].to_numpy(float), "y": new["y"].to_numpy(float)})
+
+    def close(self):
+        pass
+
+
+def min_points(samples: DataFrame, least: int) -> DataFrame:
+    """run, sample, x, y: nothing of a run before it has more than `least` samples (points times samples a point)."""
+    kind = samples.schema["run"].dataType.simpleString()
+    return samples.select("run", "sample", "x", "y").groupBy("run").transformWithStateInPandas(PointGate(least), f"run {kind}, sample bigint, x double, y double", "append", "none")
+
+
+class PrefixRelease(StatefulProcessor):
+    """Lets a run's frames pass in order of arrival (0, 1, ...) up to the first one whose position is not there yet."""
+
+    def init(self, handle):
+        self.due = handle.getValueState("due", "n bigint")
+        self.frames = handle.getMapState("frames", "arrival bigint", "frame_id bigint")
+        self.places = handle.getMapState("places", "frame_id bigint", "x double, y double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        for pdf in rows:
+            for f, arrival, x, y in zip(pdf["frame_id"], pdf["arrival"], pdf["x"], pdf["y"]):
+                if pd.isna(arrival):
+                    self.places.updateValue((int(f),), (float(x), float(y)))
+                else:
+                    self.frames.updateValue((int(arrival),), (int(f),))
+        n = self.due.get()[0] if self.due.exists() else 0
+        out = []
+        while self.frames.containsKey((n,)):
+            frame = self.frames.getValue((n,))[0]
+            if not self.places.containsKey((frame,)):
+                break
+            out.append((key[0], n, frame, *self.places.getValue((frame,))))
+            self.frames.removeKey((n,))
+            self.places.removeKey((frame,))
+            n += 1
+        self.due.update((n,))
+        if out:
+            yield pd.DataFrame(out, columns=["run", "arrival", "frame_id", "x", "y"])
+
+    def close(self):
+        pass
+
+
+def release_prefix(frames: DataFrame, positions: DataFrame) -> DataFrame:
+    """run, arrival, frame_id, x, y of frames (run, frame_id, arrival) whose own position (run, frame_id, x, y) and those
+    of all frames before are there; both sides may come in any order."""
+    kind = frames.schema["run"].dataType.simpleString()
+    f = frames.select("run", "frame_id", F.col("arrival").cast("bigint").alias("arrival"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+    both = f.unionByName(positions.select("run", "frame_id", F.lit(None).cast("bigint").alias("arrival"), "x", "y"))
+    return both.groupBy("run").transformWithStateInPandas(PrefixRelease(), f"run {kind}, arrival bigint, frame_id bigint, x double, y double", "append", "none")

@@ -145,7 +145,7 @@ def test_solver_matches_numpy(spark):
     places = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in range(0, 13, 2) for b in range(0, 17, 2))]
     rows = [(i, np.abs(np.fft.fft2(probe * truth[a : a + n, b : b + n], norm="ortho")).ravel().tolist(), a, b) for i, a, b in places]
     df = spark.createDataFrame(rows, "frame_id long, amp array<double>, y0 int, x0 int")
-    config = recon.SolverConfig(n, h, w)
+    config = recon.SolverConfig(n, h, w, start_probe_update=100)
     obj, _, errors = recon.reconstruct(df, config, probe, iterations=4)
     o = recon.start_object(config)
     top = max(max(r[1]) for r in rows)

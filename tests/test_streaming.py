@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from scanloom.operators import mosaic
-from scanloom.streaming.pipelines import drain, live_mosaic
-from scanloom.streaming.stateful import in_order, join_late
+from scanloom.streaming.pipelines import Progress, drain, fan_out, live_mosaic
+from scanloom.streaming.stateful import in_order, join_late, min_points, release_prefix, slow_gate
 
 
 def files(spark, tmp_path, name, df, parts, schema):
@@ -26,9 +26,58 @@ def test_mosaic_with_late_positions(spark, tmp_path):
 
 
 def test_packets_with_a_gap(spark, tmp_path):
-    rows = spark.createDataFrame([(1, n, float(n)) for n in (3, 0, 1, 5, 6, 1, 2)], "run long, number long, x double")
-    schema = "run long, number long, x double"
-    strict = drain(in_order(files(spark, tmp_path, "a", rows, 2, schema)), "test-strict")
-    assert sorted(r["number"] for r in strict.collect()) == [0, 1, 2, 3]
-    patient = drain(in_order(files(spark, tmp_path, "b", rows, 1, schema), patience=1), "test-patient")
+    rows = spark.createDataFrame([(1, n, [float(n), 0.5], [float(-n), 1.5]) for n in (3, 0, 1, 5, 6, 1, 2)], "run long, number long, x array<double>, y array<double>")
+    strict = drain(in_order(files(spark, tmp_path, "a", rows, 2, rows.schema)), "test-strict")
+    assert sorted((r["number"], list(r["x"]), list(r["y"])) for r in strict.collect()) == [(n, [float(n), 0.5], [float(-n), 1.5]) for n in range(4)]
+    patient = drain(in_order(files(spark, tmp_path, "b", rows, 1, rows.schema), patience=1), "test-patient")
     assert sorted(r["number"] for r in patient.collect()) == [0, 1, 2, 3, 5, 6]
+
+
+def test_slow_gate_locks_gives_up_and_lets_the_unknown_pass(spark, tmp_path):
+    nan = float("nan")
+    rows = [(1, i, nan if i % 20 == 7 else i * 0.1 + (50.0 if i % 20 == 3 else 0.0), float(i * 37 % 101)) for i in range(400)]
+    rows += [(2, i, float(i * 37 % 101), float(i * 53 % 97)) for i in range(400)]  # no line: given up
+    df = spark.createDataFrame(rows, "run long, frame_id long, u double, v double")
+    out = drain(slow_gate(files(spark, tmp_path, "g", df, 8, df.schema), span=100.0, min_frames=100, most_waiting=300), "test-gate").collect()
+    assert sorted(r["frame_id"] for r in out if r["run"] == 1) == [i for i in range(400) if i % 20 != 3]
+    assert sorted(r["frame_id"] for r in out if r["run"] == 2) == list(range(400))
+    held = drain(slow_gate(files(spark, tmp_path, "h", df.where("run = 2"), 4, df.schema), span=100.0, min_frames=100), "test-held")
+    assert held.count() == 0
+
+
+def test_point_gate_and_prefix(spark, tmp_path):
+    s = spark.createDataFrame([(r, i, 1.0, 2.0) for r, n in ((1, 5), (2, 6)) for i in range(n)], "run long, sample long, x double, y double")
+    out = drain(min_points(files(spark, tmp_path, "s", s, 4, s.schema), 5), "test-points").collect()
+    assert sorted((r["run"], r["sample"]) for r in out) == [(2, i) for i in range(6)]
+    f = spark.createDataFrame([(1, 10 + i, i) for i in range(8)], "run long, frame_id long, arrival long")
+    p = spark.createDataFrame([(1, 10 + i, float(i), 0.0) for i in range(8) if i != 5], "run long, frame_id long, x double, y double")
+    out = drain(release_prefix(files(spark, tmp_path, "f3", f, 3, f.schema), files(spark, tmp_path, "p3", p, 4, p.schema)), "test-prefix").collect()
+    assert sorted((r["arrival"], r["frame_id"], r["x"]) for r in out) == [(i, 10 + i, float(i)) for i in range(5)]
+
+
+def test_fan_out_gives_both_writers_the_same_rows(spark, tmp_path):
+    src = files(spark, tmp_path, "fan", spark.range(20), 3, "id long")
+    seen = ([], [])
+    first, second = (lambda df, b, k=k: seen[k].extend(r["id"] for r in df.collect()) for k in (0, 1))
+    q = fan_out(src, first, second, f"{tmp_path}/fan-state")
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(seen[0]) == sorted(seen[1]) == list(range(20))
+
+
+def test_progress_stamps(spark, tmp_path):
+    stamps = []
+    listener = Progress(lambda name, rows, rate: stamps.append((name, rows)), every=0.0)
+    spark.streams.addListener(listener)
+    try:
+        q = files(spark, tmp_path, "pr", spark.range(30), 3, "id long").writeStream.queryName("counted").format("noop").option("checkpointLocation", f"{tmp_path}/pr-state").start()
+        q.processAllAvailable()
+        q.stop()
+        import time
+
+        end = time.time() + 20
+        while time.time() < end and not any(rows == 30 for _, rows in stamps):
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert ("counted", 30) in stamps
