@@ -60,6 +60,7 @@ def word_levels(docs: DataFrame, params: LineDedupParams) -> np.ndarray:
     def count(batches):
         import pyarrow as pa
 
+        _rt.drop_large()
         total = np.zeros(1 << bits, np.uint32)
         for whole in batches:
             for batch in _rt.slices(whole, "text"):
@@ -103,17 +104,22 @@ def _line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def rare_first(line: np.ndarray, h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of each line from rare to frequent: (line, hash, level), by level and then by hash."""
-    clash = True
+    by = None
     if len(h) and line[-1] < 1 << 20:  # one number holds line, level and a part of the hash
-        key = line.astype(_U) << _U(44) | levels.astype(_U) << _U(36) | h & _U((1 << 36) - 1)
+        key = line.astype(_U) << _U(44)
+        key |= levels.astype(_U) << _U(36)
+        key |= h & _U((1 << 36) - 1)
         by = np.argsort(key)
-        same = key[by][1:] == key[by][:-1]
-        clash = bool((same & (h[by][1:] != h[by][:-1])).any())
-    if clash:
+        key, ordered = key[by], h[by]
+        if ((key[1:] == key[:-1]) & (ordered[1:] != ordered[:-1])).any():
+            by = None
+    if by is None:
         by = np.lexsort((h, levels, line))
-    line, h, levels = line[by], h[by], levels[by]
-    first = np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
-    return line[first], h[first], levels[first]
+        ordered = h[by]
+    line, levels = line[by], levels[by]
+    first = np.ones(len(h), bool)
+    first[1:] = (ordered[1:] != ordered[:-1]) | (line[1:] != line[:-1])
+    return line[first], ordered[first], levels[first]
 
 
 def prefix(n, params: LineDedupParams):
@@ -167,7 +173,7 @@ def _lines(docs: DataFrame, levels, params: LineDedupParams) -> DataFrame:
                 line, h, lev = rare_first(np.cumsum(new) - 1, h, levels.value[_cells(h, params.cell_bits)])
                 at, n = _rt.runs(line)
                 mixed = _rt.mix(h + _U(0x51ED270B))
-                a, b = np.add.reduceat(mixed, at), np.add.reduceat(_rt.mix(h ^ _U(0xA24BAED4963EE407)), at)
+                a, b = np.add.reduceat(mixed, at), np.add.reduceat((mixed ^ mixed >> _U(32)) * _U(0xA24BAED4963EE407), at)
                 bits = np.bitwise_xor.reduceat(_U(1) << (mixed & _U(63)), at)
                 skip, single, first, key, pos = _prefix_keys(line, h, lev, at, n, params)
                 take = pa.array(doc)
@@ -363,16 +369,97 @@ def _pairs(rows: DataFrame, keys: tuple[str, ...], params: LineDedupParams) -> D
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "ord long, xord long, more boolean")
 
 
-def _compared(words: DataFrame, pairs: DataFrame | None, hot: DataFrame | None, params: LineDedupParams) -> DataFrame:
-    """Candidates among the rows of the keys of words and of pairs, where there are any; sets of a hot pair are held
-    against those of their part only."""
-    rows = words if pairs is None else words.unionByName(pairs if hot is None else pairs.join(hot, "key", "left_anti"))
-    found = _pairs(rows, ("key",), params)
-    if hot is not None:
-        found = found.unionByName(_pairs(_dealt(pairs, hot), ("key", "unit"), params))
+#: Bytes of one row in a blob: key, ord, bits, n and pos, each kind for itself.
+_WIDTHS = (("key", np.int32), ("ord", np.int64), ("bits", np.int64), ("n", np.int32), ("pos", np.int32))
+_ROW = sum(np.dtype(kind).itemsize for _, kind in _WIDTHS)
+
+
+def _packed(columns: list[np.ndarray], lo: int, hi: int) -> bytes:
+    return b"".join(c[lo:hi].tobytes() for c in columns)
+
+
+def _unpacked(blobs) -> dict[str, np.ndarray]:
+    parts: dict[str, list] = {name: [] for name, _ in _WIDTHS}
+    for blob in blobs:
+        rows, at = len(blob) // _ROW, 0
+        for name, kind in _WIDTHS:
+            parts[name].append(np.frombuffer(blob, kind, rows, at))
+            at += rows * np.dtype(kind).itemsize
+    out = {name: np.concatenate(x) for name, x in parts.items()}
+    return {"key": out["key"], "ord": out["ord"], "bits": out["bits"], "pn": out["pos"].astype(np.int64) << 32 | out["n"]}
+
+
+def _word_pairs(at_first: DataFrame, params: LineDedupParams) -> DataFrame:
+    """As _pairs, for the keys of words: a range of keys travels as one row of a task, for all sets it has read."""
+    spark = at_first.sparkSession
+    ranges = 4 * _rt.shuffle_partitions(spark)
+
+    def pack(batches):
+        import pyarrow as pa
+
+        borders = (np.arange(ranges + 1, dtype=np.uint64) << _U(32)) // _U(ranges)
+
+        def out(held):
+            at, count = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            key, ord_, bits, n, skip = (np.concatenate([h[k] for h in held]) for k in range(2, 7))
+            of = np.repeat(np.arange(len(count)), count)
+            pos = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count) + skip[of]
+            by = np.argsort(key.view(np.uint32))
+            of = of[by]
+            columns = [key[by], ord_[of], bits[of], n[of].astype(np.int32), pos[by].astype(np.int32)]
+            cuts = np.searchsorted(columns[0].view(np.uint32), borders)
+            own = np.flatnonzero(np.diff(cuts))
+            blobs = [_packed(columns, int(cuts[r]), int(cuts[r + 1])) for r in own]
+            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(blobs, pa.binary())], names=["range", "blob"])
+
+        held, size = [], 0
+        for batch in batches:
+            lists = batch.column("keys")
+            offsets = lists.offsets.to_numpy()
+            number = lambda c: batch.column(c).to_numpy()
+            held.append((offsets[:-1], np.diff(offsets), lists.flatten().to_numpy(), number("ord"), number("bits"), number("n"), number("skip")))
+            size += len(held[-1][2])
+            if size > 1 << 19:
+                yield out(held)
+                held, size = [], 0
+        if size:
+            yield out(held)
+
+    def compare(batches):
+        import pyarrow as pa
+
+        def whole_ranges():
+            held, size, last = [], 0, None
+            for batch in batches:
+                for r, blob in zip(batch.column("range").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                    if r != last and size >= _ROWS:
+                        yield _unpacked(held)
+                        held, size = [], 0
+                    held.append(blob)
+                    size, last = size + len(blob) // _ROW, r
+            if size:
+                yield _unpacked(held)
+
+        for columns in whole_ranges():
+            for a, xa, more in Sieve(columns, ("key",), params).pairs():
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(xa), pa.array(more)], names=["ord", "xord", "more"])
+
+    packed = at_first.select("ord", "bits", "n", "skip", "keys").mapInArrow(pack, "range int, blob binary")
+    return packed.repartition("range").sortWithinPartitions("range").mapInArrow(compare, "ord long, xord long, more boolean")
+
+
+def _distinct(found: DataFrame) -> DataFrame:
     return found.groupBy("ord", "xord").agg(F.max("more").alias("more"))
 
 
+def _compared(pairs: DataFrame, hot: DataFrame | None, params: LineDedupParams) -> DataFrame:
+    """Candidates among the rows of pairs of frequent words; sets of a hot pair are held against those of their part only."""
+    if hot is None:
+        return _pairs(pairs, ("key",), params)
+    return _pairs(pairs.join(hot, "key", "left_anti"), ("key",), params).unionByName(_pairs(_dealt(pairs, hot), ("key", "unit"), params))
+
+
 #: A table of keys goes to all executors only up to this many rows, of 4 bytes; beyond it, Spark shuffles both sides.
 BROADCAST_KEYS = 200_000
 
@@ -390,7 +477,8 @@ def _all_candidates(lines: DataFrame, sets: DataFrame, wanted: DataFrame, paired
         return rows.join(marks, "ord", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
 
     words, pairs = _key_rows(lines, *_OF_LINE)
-    return _compared(of(words), of(pairs) if paired else None, hot, params)
+    found = _pairs(of(words), ("key",), params)
+    return _distinct(found.unionByName(_compared(of(pairs), hot, params)) if paired else found)
 
 
 # ---------------------------------------------------------------- verification
@@ -476,8 +564,10 @@ def find_duplicate_lines(docs: DataFrame, params: LineDedupParams = LineDedupPar
         hot = scratch.write(counted.where(F.col("count") > params.split).select("key", F.ceil(F.col("count") / params.split).cast("long").alias("parts")), "hot")
         hot = hot if hot.limit(1).count() else None
 
-    words, of_pairs = _key_rows(_at_first(lines, sets), "ord")
-    pairs = scratch.write(_compared(words, of_pairs if paired else None, hot, params), "pairs")
+    at_first = _at_first(lines, sets)
+    of_pairs = _key_rows(_at_first(lines.where(F.size("pairs") > 0), sets), "ord")[1]
+    found = _word_pairs(at_first, params)
+    pairs = scratch.write(_distinct(found.unionByName(_compared(of_pairs, hot, params)) if paired else found), "pairs")
     gone = _matching(pairs, sets, docs, params, scratch)
     # sets with more candidates, or with candidates in other parts of a key, where those so far did not decide
     more = pairs.where("more").select("ord")
