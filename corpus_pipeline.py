@@ -62,9 +62,9 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with n_tokens, ids (as text), and the text decoded from the ids; a null text counts as empty."""
+    """The documents with n_tokens, ids (as text), and the text decoded from the ids, in one pass; a null text counts as empty."""
     _own(spark, sf_dir)
-    return bpe.decode(bpe.encode(docs))
+    return bpe.encode(docs, decode=True)
 
 
 #: Name and function of each stage, in order.

@@ -115,13 +115,13 @@ def large_state(name: str, build):
     home = _home()
     held = getattr(home, "large", None)
     if held is None or held[0] != name:
-        home.large = held = None
-        home.large = held = (name, build())
-    return held[1]
+        drop_large()
+        home.large = (name, build())
+    return home.large[1]
 
 
 def drop_large() -> None:
-    """Gives back what a large state took, to the system too where its C library can do that."""
+    """Gives back what a large state and earlier operators took, to the system too where its C library can do that."""
     import ctypes
     import gc
 
@@ -129,9 +129,9 @@ def drop_large() -> None:
     if getattr(home, "large", None) is not None:
         home.large = None
         gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 # ---------------------------------------------------------------- hashing
