@@ -274,6 +274,30 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_minhash_crowd_around_one_text(spark, monkeypatch):
+    """Two thousand near copies of one text, most of which are not near each other: one class, and no pairs of all with all."""
+    base = words(60)
+    docs = [(0, " ".join(base))] + [(i, " ".join(f"q{i}" if k == i % 60 else w for k, w in enumerate(base))) for i in range(1, 2001)]
+    counts = written_counts(monkeypatch)
+    rows = minhash.near_duplicates(minhash.with_keys(frame(spark, docs))).collect()
+    assert len(rows) == 2001 and sum(r["class_doc_id"] == 0 for r in rows) >= 1999 and sum(r["kept"] for r in rows) <= 3
+    made = [n for name, n in counts if name == "pairs"]
+    assert sum(made) < 2001 * 20
+
+
+def test_near_dedup_keeps_columns_and_settings(spark):
+    """Columns called like inner ones stay, results outlive later calls, and the session's settings are as before."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = [spark.conf.get(n) for n in names]
+    text = " ".join(words(20))
+    docs = spark.createDataFrame([("a", text, 1, 2, 3), ("b", text, 4, 5, 6), ("c", "other words", 7, 8, 9), (None, None, 0, 0, 0)], "doc_id string, text string, _key int, th int, gone_id int")
+    one = minhash.near_dedup(docs)
+    two = minhash.near_dedup(docs.where("doc_id = 'c'"))
+    assert sorted(map(tuple, one.collect()), key=str) == sorted([("a", text, 1, 2, 3), ("c", "other words", 7, 8, 9), (None, None, 0, 0, 0)], key=str)
+    assert [tuple(r) for r in two.collect()] == [("c", "other words", 7, 8, 9)]
+    assert [spark.conf.get(n) for n in names] == before
+
+
 # ---------------------------------------------------------------- pipeline
 @pytest.fixture(scope="module")
 def stages(spark):
@@ -314,7 +338,17 @@ def test_pipeline_against_brute_force(stages):
 def test_pipeline_run(spark, stages):
     import corpus_pipeline
 
+    classes = minhash.near_duplicates(minhash.with_keys(spark.read.parquet(f"{SF}/documents.parquet")))
     assert corpus_pipeline.run(spark, SF).count() > 0
+    assert classes.count() == spark.read.parquet(f"{SF}/documents.parquet").count()  # tables of other results are not the pipeline's
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_language_stage_without_labels(spark):

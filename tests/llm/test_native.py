@@ -112,6 +112,27 @@ def test_fingerprint_estimates_weighted_jaccard(spark):
         assert abs(near - jaccard(x, y)) < 0.16, (x, y, near, jaccard(x, y))
 
 
+def test_fingerprint_error_with_the_query_s_samples(spark):
+    """With as many samples as the query takes, the mean squared error is that of so many draws."""
+    import random
+    from collections import Counter
+
+    rnd, params = random.Random(8), fingerprint.FingerprintParams()
+    texts = {}
+    for i in range(60):
+        w = [f"t{rnd.randrange(60)}" for _ in range(rnd.randrange(20, 200))]
+        texts[2 * i], texts[2 * i + 1] = w, w[: rnd.randrange(len(w))] + [f"u{rnd.randrange(60)}" for _ in range(rnd.randrange(60))]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    sig = {r["doc_id"]: r["sig"] for r in fingerprint.fingerprint(df, ["doc_id"], "text", params).collect()}
+    error = expected = 0.0
+    for i in range(60):
+        p, q = Counter(texts[2 * i]), Counter(texts[2 * i + 1])
+        true = sum((p & q).values()) / sum((p | q).values())
+        error += (sum(a == b for a, b in zip(sig[2 * i], sig[2 * i + 1], strict=True)) / params.samples - true) ** 2
+        expected += true * (1 - true) / params.samples
+    assert error < 1.8 * expected
+
+
 def test_fingerprint_query_against_plain_python(spark, tmp_path):
     rows = [(5, "one two three four"), (2, "one two three four"), (9, ""), (7, None), (1, "α β γ δ ε ζ η"), (3, "x" * 50), (4, "a b")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
