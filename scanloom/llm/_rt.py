@@ -87,6 +87,25 @@ class Scratch:
         self.drop(*[table for table, _ in self._paths.values()])
 
 
+def ranked(table: DataFrame, order: list[Column], scratch: Scratch, name: str = "rank") -> DataFrame:
+    """The rows with their number, 1, 2, 3 ..., in a global order, stored.
+
+    A range partition, each part sorted by itself; the driver adds up the parts' sizes, a row a part.  Rows that are equal
+    in the order may change places."""
+    parts = 4 * shuffle_partitions(table.sparkSession)
+    (at,) = fresh(table.columns, "at")
+    placed = scratch.write(table.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright(F.col(at), 33)
+    before, rows = 0, []
+    for p, n in sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
+        rows.append((p, before))
+        before += n
+    p, b = fresh((*table.columns, at), "part", "before")
+    sizes = table.sparkSession.createDataFrame(rows, f"{p} bigint, {b} bigint")
+    out = placed.withColumn(p, part).join(F.broadcast(sizes), p)
+    return out.select(*table.columns, (F.col(b) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
+
+
 def fresh(taken, *names: str) -> tuple[str, ...]:
     """The names, each with underscores before it until no column is called that, whatever the case of its letters."""
     used, out = {c.lower() for c in taken}, []

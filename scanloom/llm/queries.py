@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, fingerprint, langid, line_dedup, minhash, neighbours, quality, substring_dedup, token_counts
+from . import bpe, chat_format, decontaminate, fingerprint, importance, langid, line_dedup, minhash, mixing, neighbours, quality, substring_dedup, token_counts, turn_repair
 from ._rt import Scratch, documents
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -146,6 +146,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's copies in a mix of half as many words again, the sources weighing 5, 2, 1 in turn."""
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate")
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by their likeness to the benchmark; the best quarter of those of 20 words is numbered."""
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by their rows' places, with their faults and cheapest repair."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = turn_repair.audits(turn_repair.repair(turn_repair.damaged(rows), copies="n")).withColumnRenamed("conv_id", "_conv")
+    every = rows.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT k, i, w[i:i + 34] AS win FROM (SELECT k, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
@@ -168,5 +191,8 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "op11_mix": op11_mix,
+    "op12_resample": op12_resample,
+    "op13_turn_repair": op13_turn_repair,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_decontaminate": OP3_SQL, "op7_substring_dedup": OP7_SQL}
