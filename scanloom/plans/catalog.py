@@ -672,6 +672,26 @@ def decode_raw(spark, sf):
     return tall(decode_frames(encode_frames(frames(spark, sf), 8, 8)), "px")
 
 
+@query("decode_compressed", f"WITH {FRAMES}, w AS (SELECT unnest(['bs16-lz4<', 'bs32-lz4<', 'lz4<']) AS encoding, unnest([1, 1000, 1]) AS scale) SELECT frame_id, encoding, k, CAST(px[k + 1] * scale AS BIGINT) AS v FROM f, w, (SELECT unnest(range(64)) AS k)")
+def decode_compressed(spark, sf):
+    """Frames of 16 and 32 bits in each compressed encoding, and back."""
+    from ..sources.frames import compress_frames, decode_frames
+
+    out = None
+    for encoding, kind, by in (("bs16-lz4<", "uint16", 1), ("bs32-lz4<", "uint32", 1000), ("lz4<", "uint16", 1)):
+        f = frames(spark, sf).select("frame_id", F.transform("px", lambda v: v * by).alias("px"))
+        back = decode_frames(compress_frames(f, 8, 8, encoding, kind)).select("frame_id", F.lit(encoding).alias("encoding"), F.posexplode("px").alias("k", "v"))
+        out = back if out is None else out.unionByName(back)
+    return out.withColumn("k", F.col("k").cast("bigint"))
+
+
+@query("decode_cbor", tall_sql("px[k + 1]"))
+def decode_cbor(spark, sf):
+    from ..sources.frames import decode_cbor, encode_cbor
+
+    return tall(decode_cbor(encode_cbor(frames(spark, sf), 8, 8)), "px")
+
+
 @query("packet_parse", "SELECT event_id AS sample, value AS x, CAST(user_id AS DOUBLE) AS y FROM events")
 def packet_parse(spark, sf):
     from ..sources.frames import packet_messages, parse_packets, samples_of

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from .codecs import compress, decompress, image_message, image_of, read_cbor
+
 #: Header of a detector message, and the description of its payload (shape is [columns, rows]).
 HEADER = "frame bigint, series bigint"
 DESCRIPTION = "htype string, encoding string, shape array<int>, type string"
@@ -15,57 +17,112 @@ PACKET = "msg_type string, frame_number bigint, datasets map<string, struct<dtyp
 TYPES = {"uint16": "<u2", "uint32": "<u4"}
 
 
+#: Encodings that are read here, and whether their bits are shuffled.
+PACKED = {"bs16-lz4<": True, "bs32-lz4<": True, "lz4<": False}
+
+
+def _frame_batch(frame_id, rows, cols, px: list[np.ndarray]):
+    import pyarrow as pa
+
+    size = np.array([len(x) for x in px], np.int64)
+    flat = np.concatenate(px).astype(np.int64) if px else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat))
+    return pa.RecordBatch.from_arrays([frame_id, rows, cols, lists], names=["frame_id", "rows", "cols", "px"])
+
+
 def decode_frames(messages: DataFrame, decoders: dict | None = None) -> DataFrame:
     """frame_id, rows, cols, px from header, description (JSON) and payload (bytes).
 
-    Messages without a frame or of another kind of image give no row.  Raw payloads are read here; for each other
-    encoding `decoders` may name a function (bytes, dtype, n) -> array; without one, and for types that are not
-    unsigned 16 or 32 bit, the job fails."""
+    Messages without a frame or of another kind of image give no row.  Raw payloads and those in LZ4, with or without
+    shuffled bits, are read here, all of a batch that have one type and encoding together; for each other encoding
+    `decoders` may name a function (bytes, dtype, n) -> array.  Without one, for types that are not unsigned 16 or 32 bit,
+    and for payloads that are damaged or have another number of pixels than their shape, the job fails."""
     decoders = decoders or {}
     parsed = messages.select(F.from_json("header", HEADER)["frame"].alias("frame_id"), F.from_json("description", DESCRIPTION).alias("d"), "payload")
     rows = parsed.where("frame_id IS NOT NULL AND d.htype = 'dimage_d-1.0'").select("frame_id", F.col("d.encoding").alias("encoding"), F.col("d.type").alias("type"), F.col("d.shape")[0].alias("cols"), F.col("d.shape")[1].alias("rows"), "payload")
 
     def run(batches):
-        import pyarrow as pa
-
-        def images(batch):
-            """(pixels of all images, pixels of each) of a batch; raw payloads of one type and size are read at once."""
-            kinds, encodings = batch.column("type").unique().to_pylist(), batch.column("encoding").unique().to_pylist()
-            if bad := [k for k in kinds if k not in TYPES]:
+        for batch in batches:
+            kinds, encodings = (np.array(batch.column(c).to_pylist(), object) for c in ("type", "encoding"))
+            if bad := [k for k in set(kinds) if k not in TYPES]:
                 raise RuntimeError(f"pixels of type {bad[0]!r} cannot be read")
-            if bad := [e for e in encodings if e != "raw" and e not in decoders]:
+            if bad := [e for e in set(encodings) if e != "raw" and e not in PACKED and e not in decoders]:
                 raise RuntimeError(f"encoding {bad[0]!r} cannot be read")
             size = batch.column("rows").to_numpy().astype(np.int64) * batch.column("cols").to_numpy()
-            payload = batch.column("payload")
-            if encodings == ["raw"] and len(kinds) == 1:
-                kind = np.dtype(TYPES[kinds[0]])
-                offsets = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + len(payload) + 1]
-                if (np.diff(offsets) == size * kind.itemsize).all():
-                    data = np.frombuffer(payload.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-                    return data.view(kind).astype(np.int64) if len(data) else np.zeros(0, np.int64), size
-            out = []
-            for t, e, raw, n in zip(batch.column("type").to_pylist(), batch.column("encoding").to_pylist(), payload.to_pylist(), size.tolist()):
-                kind = np.dtype(TYPES[t])
-                out.append((np.frombuffer(raw, kind, n) if e == "raw" else np.asarray(decoders[e](raw, kind, n))).astype(np.int64))
-            return np.concatenate(out), np.array([len(x) for x in out])
+            payloads, px = batch.column("payload").to_pylist(), [None] * batch.num_rows
+            for kind, encoding in {*zip(kinds, encodings)}:
+                at, dtype = np.flatnonzero((kinds == kind) & (encodings == encoding)), np.dtype(TYPES[kind])
+                some = [payloads[i] for i in at]
+                if encoding in decoders:
+                    images = [np.asarray(decoders[encoding](raw, dtype, n)) for raw, n in zip(some, size[at].tolist())]
+                elif encoding == "raw":
+                    images = [np.frombuffer(raw, dtype) for raw in some]
+                else:
+                    images = decompress(some, dtype, PACKED[encoding])
+                for i, image in zip(at, images, strict=True):
+                    if len(image) != size[i]:
+                        raise RuntimeError(f"a payload of {len(image)} pixels for a frame of {size[i]}")
+                    px[i] = image
+            yield _frame_batch(batch.column("frame_id"), batch.column("rows"), batch.column("cols"), px)
+
+    return rows.mapInArrow(run, "frame_id long, rows int, cols int, px array<bigint>")
+
+
+def decode_cbor(messages: DataFrame, value: str = "value", channel: str = "threshold_1") -> DataFrame:
+    """frame_id, rows, cols, px of image messages in CBOR; messages of another type give no row, damaged ones, unknown
+    elements and unknown compressions fail the job."""
+
+    def run(batches):
+        import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows:
-                px, size = images(batch)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(px))
-                yield pa.RecordBatch.from_arrays([batch.column("frame_id"), batch.column("rows"), batch.column("cols"), lists], names=["frame_id", "rows", "cols", "px"])
+            found = [image_of(m, channel) for m in map(read_cbor, batch.column(0).to_pylist()) if m.get("type") == "image"]
+            number, rows, cols, px = zip(*found) if found else ((), (), (), ())
+            yield _frame_batch(pa.array(number, pa.int64()), pa.array(rows, pa.int32()), pa.array(cols, pa.int32()), list(px))
 
-    return rows.mapInArrow(run, "frame_id long, rows int, cols int, px array<bigint>")
+    return messages.where(F.col(value).isNotNull()).select(value).mapInArrow(run, "frame_id long, rows int, cols int, px array<bigint>")
+
+
+def encode_cbor(frames: DataFrame, rows: int, cols: int, compression: str | None = "bslz4", kind: str = "uint32") -> DataFrame:
+    """value: an image message in CBOR of each frame (frame_id, px); compression None, "lz4" or "bslz4"."""
+    dtype = TYPES[kind]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [image_message(i, np.array(px, dtype), rows, cols, compression) for i, px in zip(batch.column("frame_id").to_pylist(), batch.column("px").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+    return frames.select("frame_id", "px").mapInArrow(run, "value binary")
+
+
+def compress_frames(frames: DataFrame, rows: int, cols: int, encoding: str = "bs16-lz4<", kind: str = "uint16", series: int = 1) -> DataFrame:
+    """As encode_frames, with payloads in one of the compressed encodings."""
+    dtype, shuffled = TYPES[kind], PACKED[encoding]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [compress(np.array(px, dtype), shuffled) for px in batch.column("px").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("frame_id"), pa.array(out, pa.binary())], names=["frame_id", "payload"])
+
+    packed = frames.select("frame_id", "px").mapInArrow(run, "frame_id bigint, payload binary")
+    return packed.select(*_about(rows, cols, series, encoding, kind), "payload")
+
+
+def _about(rows: int, cols: int, series: int, encoding: str, kind: str) -> list[Column]:
+    """Header and description of a frame."""
+    header = F.to_json(F.struct(F.col("frame_id").alias("frame"), F.lit(series).alias("series"))).alias("header")
+    shape = F.array(F.lit(cols), F.lit(rows)).alias("shape")
+    return [header, F.to_json(F.struct(F.lit("dimage_d-1.0").alias("htype"), F.lit(encoding).alias("encoding"), shape, F.lit(kind).alias("type"))).alias("description")]
 
 
 def encode_frames(frames: DataFrame, rows: int, cols: int, series: int = 1) -> DataFrame:
     """Messages with raw 16-bit payloads of frames (frame_id, px): what a replay publishes."""
     pair = F.transform("px", lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0")))
-    return frames.select(
-        F.to_json(F.struct(F.col("frame_id").alias("frame"), F.lit(series).alias("series"))).alias("header"),
-        F.to_json(F.struct(F.lit("dimage_d-1.0").alias("htype"), F.lit("raw").alias("encoding"), F.array(F.lit(cols), F.lit(rows)).alias("shape"), F.lit("uint16").alias("type"))).alias("description"),
-        F.unhex(F.array_join(pair, "")).alias("payload"),
-    )
+    return frames.select(*_about(rows, cols, series, "raw", "uint16"), F.unhex(F.array_join(pair, "")).alias("payload"))
 
 
 def parse_packets(messages: DataFrame, channels: tuple[str, str], value: str = "value") -> DataFrame:

@@ -5,14 +5,18 @@ state has to last from batch to batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import lines
 from ..plans.catalog import CANVAS, FRAMES, POSITIONS, frames, positions, table
 from ..plans.session import fresh_path
 from ..sources import sinks
-from .pipelines import drain, latest_wins, live_mosaic, published, stream_table, throughput, watermarked_join
+from ..sources.frames import compress_frames, decode_frames, encode_frames, packet_messages, parse_packets, samples_of
+from ..sources.messages import MessageLog
+from .pipelines import delete_at_exit, drain, latest_wins, live_mosaic, published, stream_table, throughput, watermarked_join
 from .stateful import in_order, min_points, release_prefix, slow_gate, split_scans, state_store
 
 QUERIES: dict = {}
@@ -67,6 +71,50 @@ def stream_scan_split(spark, sf):
     return drain(split_scans(spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(path)), "split")
 
 
+def _through_log(spark, messages, number, kind, decode, name, bound):
+    """Messages (parts, in the order of `number`) published into a log in two goes and read by a query that takes `bound`
+    messages a batch and is stopped and started again in between; what it wrote, decoded."""
+    spark.dataSource.register(MessageLog)
+    base = fresh_path(spark, name)
+    half = messages.agg(F.percentile_approx(number, 0.5)).first()[0] or 0
+    schema = decode(spark.createDataFrame([], "header string, description string, payload binary, value string")).schema
+    for later in (False, True):
+        some = messages.where(F.col(number) > half if later else F.col(number) <= half)
+        some.repartitionByRange(3, number).sortWithinPartitions(number).select("parts").write.format("scan_messages").mode("append").save(f"{base}/log")
+        stream = spark.readStream.format("scan_messages").options(kind=kind, max_messages=str(bound), messages_per_task="200", state=f"{base}/given").load(f"{base}/log")
+        q = stream.writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(lambda df, batch: decode(df).write.mode("overwrite").parquet(f"{base}/out/batch_no={batch}")).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    delete_at_exit(spark, base)
+    return spark.read.schema(schema).parquet(f"{base}/out").select(*schema.names)
+
+
+@query("stream_messages", f"WITH {FRAMES} SELECT frame_id, 8 AS rows, 8 AS cols, CAST(list_sum(list_transform(range(64), lambda k: CAST(px[k + 1] AS BIGINT) * (k + 1))) AS BIGINT) AS total FROM f")
+def stream_messages(spark, sf):
+    """Frames as detector messages, plain and in three compressed encodings, through a log and back."""
+    f = frames(spark, sf).select("frame_id", "px")
+    kinds = ((0, None, None), (1, "bs16-lz4<", "uint16"), (2, "bs32-lz4<", "uint32"), (3, "lz4<", "uint16"))
+    said = [encode_frames(some, 8, 8) if e is None else compress_frames(some, 8, 8, e, t) for k, e, t in kinds for some in [f.where(F.col("frame_id") % 4 == k)]]
+    messages = reduce(DataFrame.unionByName, said)
+    binary = [F.col(c).cast("binary") for c in ("header", "description", "payload")]
+    messages = messages.select(F.get_json_object("header", "$.frame").cast("bigint").alias("frame_id"), F.array(*binary).alias("parts"))
+    out = _through_log(spark, messages, "frame_id", "detector", decode_frames, "messages", 600)
+    total = F.aggregate(F.zip_with("px", F.sequence(F.lit(1), F.lit(64)), lambda v, k: v * k), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    return out.select("frame_id", "rows", "cols", total.alias("total"))
+
+
+@query("stream_encoder", "SELECT event_id AS sample, value AS x, CAST(user_id AS DOUBLE) AS y FROM events")
+def stream_encoder(spark, sf):
+    """Encoder samples as packets of two channels through a log and back; what only announces or ends a scan is no packet."""
+    channels = ("/fast", "/slow")
+    s = table(spark, sf, "events").select(F.col("event_id").alias("sample"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
+    n = F.coalesce(F.get_json_object("value", "$.frame_number").cast("bigint"), F.lit(-1))
+    messages = packet_messages(s, 41, channels).select(n.alias("n"), F.array(F.col("value").cast("binary")).alias("parts"))
+    return samples_of(_through_log(spark, messages, "n", "encoder", lambda df: parse_packets(df, channels), "encoder", 1000), 41)
+
+
 @query("stream_latest_wins", "SELECT user_id, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY 1")
 def stream_latest_wins(spark, sf):
     return latest_wins(published(table(spark, sf, "events").select("user_id", "event_id", "value"), "updates", "event_id"), "user_id", "event_id", "latest")

@@ -25,7 +25,7 @@ def published(df: DataFrame, name: str, by: str, parts: int = 6) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.repartition(parts, F.xxhash64(by)).write.parquet(path)
-    _delete_at_exit(spark, path)
+    delete_at_exit(spark, path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
@@ -34,7 +34,7 @@ def _at(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
+def delete_at_exit(spark: SparkSession, path: str) -> None:
     fs, at = _at(spark, path)
     fs.deleteOnExit(at)
 
@@ -58,7 +58,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         q.awaitTermination()
     fs, at = _at(spark, check)
     fs.delete(at, True)
-    _delete_at_exit(spark, out)
+    delete_at_exit(spark, out)
     if last["batch"] < 0:
         return spark.createDataFrame([], stream.schema)
     df = spark.read.schema(stream.schema).parquet(out if mode == "append" else f"{out}/batch_no={last['batch']}")
