@@ -21,8 +21,13 @@ SIGN_BITS = 21
 class LangIdParams:
     #: n-grams in a profile, and the distance of one that the other profile lacks.
     top: int = 300
+    #: Signs in an n-gram: its code of 21 bits a sign is a long, so 3 at most.
     longest: int = 3
 
+    def __post_init__(self):
+        if not 1 <= self.longest <= 63 // SIGN_BITS:
+            raise ValueError(f"n-grams have 1 to {63 // SIGN_BITS} signs")
+
 
 def _letters() -> np.ndarray:
     """The sign of each code point: its lower-case letter's (of several letters, the first), or a gap."""

@@ -30,6 +30,10 @@ class LineDedupParams:
     #: About as many sets of one pair of frequent words make a part, of which a task holds one.
     split: int = 1 << 15
 
+    def __post_init__(self):
+        if not 0 < self.num <= self.den:
+            raise ValueError("a likeness is above 0 and 1 at most")
+
     def needed(self, total):
         """The least overlap of two sets with `total` words together: ceil(total num / (num + den))."""
         return -(-total * self.num // (self.num + self.den))
@@ -122,9 +126,14 @@ def rare_first(line: np.ndarray, h: np.ndarray, levels: np.ndarray) -> tuple[np.
     return line[first], ordered[first], levels[first]
 
 
+def least_common(n, params: LineDedupParams):
+    """How many words a set of n has in common with any match, at least: those with the smallest."""
+    return params.needed(n + -(-n * params.num // params.den))
+
+
 def prefix(n, params: LineDedupParams):
-    """How many of a set's rarest words hold at least one that any match has too."""
-    return np.where(n < params.num, 0, n - params.needed(n + -(-n * params.num // params.den)) + 1)
+    """How many of a set's rarest words hold at least one that any match has too; none where only equal sets match."""
+    return np.where(n * (params.den - params.num) < params.num, 0, n - least_common(n, params) + 1)
 
 
 def _prefix_keys(line, h, levels, at, n, params: LineDedupParams):
@@ -132,12 +141,13 @@ def _prefix_keys(line, h, levels, at, n, params: LineDedupParams):
     there on, as indexes; and (index, key, pos) of pairs for the frequent ones among the first `prefix` words.
 
     If the first common word is frequent, so are all that follow, and the next common word is among the first
-    prefix + 1: such a word is keyed together with each later one, which keeps the groups of frequent words small."""
+    prefix + 1: such a word is keyed together with each later one, which keeps the groups of frequent words small.  Sets
+    that may have one word only in common with a match are keyed by single frequent words too."""
     frequent = level(np.array([float(params.frequent)]))[0]
     most = prefix(n, params)
     pos = np.arange(len(h)) - np.repeat(at, n)
     inside = pos < np.repeat(most, n)
-    single = np.flatnonzero(inside & (levels > 0) & (levels <= frequent))
+    single = np.flatnonzero(inside & (levels > 0) & ((levels <= frequent) | (np.repeat(least_common(n, params), n) < 2)))
     skip = np.bincount(line[inside & (levels == 0)], minlength=len(at))
     hot = np.flatnonzero(inside & (levels > frequent))
     later = np.minimum(most, n - 1)[line[hot]] - pos[hot]  # how many later words up to place `prefix`

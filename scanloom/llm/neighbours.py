@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ._rt import row_hash, shuffle_partitions
 
@@ -24,7 +25,9 @@ class Order:
     row comes the first."""
 
     def __init__(self, docs: DataFrame):
-        """docs: doc_id (an integer) and text."""
+        """docs: doc_id (an integer, which is checked at once) and text."""
+        if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+            raise ValueError("the order of rows goes by whole numbers: doc_id must be one")
         self.docs = docs
         self.tasks = 4 * shuffle_partitions(docs.sparkSession)
         parts = 4 * self.tasks

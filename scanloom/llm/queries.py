@@ -87,7 +87,8 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all texts and of their edited forms, and their likeness."""
+    """Fingerprints of all texts and of their edited forms, and their likeness.  doc_id must be a whole number, as the next
+    row is the one with the next lower."""
     params = fingerprint.FingerprintParams()
     order = neighbours.Order(documents(table(spark, sf_dir, "documents")))
     rows = order.rows()

@@ -21,14 +21,14 @@ def words(n, start=0, stem="w"):
 
 
 # ---------------------------------------------------------------- lines
-def brute_lines(docs):
+def brute_lines(docs, num=4, den=5):
     seen, out = [], {}
     for i, t in sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0)):
         gone = []
         for k, line in enumerate((t or "").split("\n")):
             s = frozenset(line.encode().split())
             if s:
-                if any(5 * len(s & x) >= 4 * len(s | x) for x in seen):
+                if any(den * len(s & x) >= num * len(s | x) for x in seen):
                     gone.append(k)
                 seen.append(s)
         out[i] = gone
@@ -88,6 +88,23 @@ def test_line_dedup_is_exact_whatever_counts_as_frequent(spark):
         assert {r["doc_id"]: list(r["removed"]) for r in got} == want, (frequent, bits)
 
 
+@pytest.mark.parametrize("num, den", [(1, 2), (3, 5), (7, 10), (9, 10), (1, 1), (1, 5)])
+def test_line_dedup_of_other_likenesses(spark, num, den):
+    rnd = random.Random(num * 10 + den)
+    vocab = words(25)
+    docs = [(i, "\n".join(" ".join(rnd.sample(vocab, rnd.randrange(1, 8)) + rnd.choice([[], [f"own{i}"]])) for _ in range(2))) for i in range(70)]
+    want = brute_lines(docs, num, den)
+    for frequent in (1, 1 << 15):
+        got = line_dedup.line_dedup(frame(spark, docs), line_dedup.LineDedupParams(num=num, den=den, frequent=frequent, first=2, most=3)).collect()
+        assert {r["doc_id"]: list(r["removed"]) for r in got} == want, frequent
+
+
+def test_line_dedup_refuses_likenesses_beyond_one():
+    for num, den in ((0, 5), (6, 5), (-1, 2)):
+        with pytest.raises(ValueError):
+            line_dedup.LineDedupParams(num=num, den=den)
+
+
 def test_word_levels_follow_counts(spark):
     from scanloom.llm import _rt
     import numpy as np
@@ -359,3 +376,15 @@ def test_language_stage_without_labels(spark):
     assert sorted((r["doc_id"], r["text"], r["lang"]) for r in out) == [(1, "some words", None), (4, "слова", None)]
     out = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.when(F.col("doc_id") == 1, "en")), SF).collect()
     assert sorted((r["doc_id"], r["lang"]) for r in out) == [(1, "en"), (4, "en")]
+
+
+def test_stages_share_nothing(spark):
+    """Stages in any order, results read after others were made."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = corpus_pipeline.near_dedup_stage(spark, docs, SF)
+    second = corpus_pipeline.line_dedup_stage(spark, docs, SF)
+    third = corpus_pipeline.near_dedup_stage(spark, docs.limit(50), SF)
+    n = first.count()
+    assert second.count() == docs.count() and third.count() <= 50 and first.count() == n
