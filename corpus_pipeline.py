@@ -1,7 +1,8 @@
 """A text corpus in five stages, each on all rows that the stage before it kept.
 
-Every stage takes (spark, docs, sf_dir) and returns documents of the same columns; the last one adds tokens.  A stage
-first deletes what the stage before it wrote for itself: that result has been stored by then.
+Every stage takes (spark, docs, sf_dir) and returns documents of the same columns; the last one adds tokens.  Stages share
+nothing: what a result still reads (numbers of removed lines, ids of documents that go, places of passages) are small tables
+of its own, which go with the session.
 """
 
 from __future__ import annotations
@@ -15,24 +16,11 @@ from scanloom.llm import bpe, decontaminate, langid, line_dedup, minhash
 from scanloom.llm._rt import Scratch, fresh, row_hash, text_or_empty
 
 
-#: The intermediate tables of the latest stage of each corpus.
-_LATEST: dict[str, Scratch] = {}
-
-
-def _own(spark: SparkSession, sf_dir: str) -> Scratch:
-    """A stage's tables; those of the stage before it go, as that stage's result has been stored."""
-    if sf_dir in _LATEST:
-        _LATEST.pop(sf_dir).release()
-    _LATEST[sf_dir] = Scratch(spark)
-    return _LATEST[sf_dir]
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sets lang to the predicted language; documents without letters go, null and empty texts with them.
 
     Profiles are learned from the documents' own labels; where there are none to learn from, lang stays null.
     Repeated rows stay."""
-    _own(spark, sf_dir)
     profiles = langid.learn_profiles(docs.select("text", "lang"))
     (letters,) = fresh(docs.columns, "letters")
     found = langid.identify(docs, profiles, letters_col=letters).where(F.col(letters))
@@ -42,19 +30,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later matches of lines; n_chars follows the text.  Documents stay, if need be with an empty text; a null
     text stays null, with null n_chars.  Rows that repeat doc_id and text lose the same lines."""
-    out = line_dedup.line_dedup(docs, scratch=_own(spark, sf_dir))
+    out = line_dedup.line_dedup(docs, scratch=Scratch(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near-duplicates; null and empty texts stay, as do rows that repeat the kept one's
     doc_id and text."""
-    return minhash.near_dedup(docs, scratch=_own(spark, sf_dir)).select(*docs.columns)
+    return minhash.near_dedup(docs, scratch=Scratch(spark)).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that hold passages of the benchmark; null and empty texts stay."""
-    marks = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch=_own(spark, sf_dir))
+    marks = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch=Scratch(spark))
     d, t, h = fresh(docs.columns, "gone_id", "gone_th", "th")
     gone = marks.where("contaminated").select(F.col("doc_id").alias(d), F.col("th").alias(t)).distinct()
     keyed = docs.withColumn(h, row_hash(text_or_empty()))
@@ -63,7 +51,6 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with n_tokens, ids (as text), and the text decoded from the ids, in one pass; a null text counts as empty."""
-    _own(spark, sf_dir)
     return bpe.encode(docs, decode=True)
 
 
