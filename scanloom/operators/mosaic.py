@@ -5,26 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import stored
+from . import quantiles, tiles
+
 
 def scatter_add(patches: DataFrame, h: int, w: int, value: str = "px", y: str = "cy", x: str = "cx", keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, y, x, s, c: the sum and the count of all pixels that fall on a canvas pixel.
 
-    A patch is centred on the nearest whole pixel (halves to the even one).  Pixels are explained by arithmetic on
-    their place in the flat array and summed before they are shuffled."""
-    top, left = F.rint(F.col(y)).cast("bigint") - h // 2, F.rint(F.col(x)).cast("bigint") - w // 2
-    px = patches.select(*keys, top.alias("_t"), left.alias("_l"), F.posexplode(value).alias("_k", "_v"))
-    px = px.select(*keys, (F.col("_t") + F.floor(F.col("_k") / w)).alias("y"), (F.col("_l") + F.col("_k") % w).alias("x"), "_v")
-    return px.groupBy(*keys, "y", "x").agg(F.sum("_v").cast("double").alias("s"), F.count("_v").cast("bigint").alias("c"))
+    A patch is centred on the nearest whole pixel (halves to the even one).  Tasks add up their patches on tiles, so the
+    shuffle has a row for each tile of a task."""
+    canvas = tiles.pixels(tiles.partial_tiles(patches, h, w, (value,), y, x, keys), (value,), keys)
+    return canvas.select(*keys, "y", "x", F.col(f"s_{value}").alias("s"), "c")
 
 
 def scatter_add_all(patches: DataFrame, h: int, w: int, values: tuple[str, ...], y: str = "cy", x: str = "cx", keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, y, x, c and s_<value> of each value: several arrays of one patch (such as amplitude and phase) in lockstep,
     so a canvas never has a patch in one of them and not in the other.  Patches that lack one do not count."""
-    whole = patches.where(" AND ".join(f"`{v}` IS NOT NULL" for v in values))
-    top, left = F.rint(F.col(y)).cast("bigint") - h // 2, F.rint(F.col(x)).cast("bigint") - w // 2
-    px = whole.select(*keys, top.alias("_t"), left.alias("_l"), F.posexplode(F.arrays_zip(*[F.col(v) for v in values])).alias("_k", "_v"))
-    px = px.select(*keys, (F.col("_t") + F.floor(F.col("_k") / w)).alias("y"), (F.col("_l") + F.col("_k") % w).alias("x"), "_v")
-    return px.groupBy(*keys, "y", "x").agg(F.count("*").cast("bigint").alias("c"), *[F.sum(F.col("_v")[v]).cast("double").alias(f"s_{v}") for v in values])
+    return tiles.pixels(tiles.partial_tiles(patches, h, w, values, y, x, keys), values, keys)
 
 
 def in_canvas(patches: DataFrame, half_y: int, half_x: int, height: int, width: int, y: str = "cy", x: str = "cx") -> DataFrame:
@@ -34,12 +31,18 @@ def in_canvas(patches: DataFrame, half_y: int, half_x: int, height: int, width:
 
 
 def normalise(canvas: DataFrame, min_overlap: float = 0.5, keys: tuple[str, ...] = ()) -> DataFrame:
-    """v: the mean where enough patches overlap, elsewhere the median of those means.  One median a canvas."""
+    """v: the mean where enough patches overlap, elsewhere the median of those means.
+
+    The median is exact, found by histograms: no canvas is sorted or gathered in one task."""
     least = max(0.5, min_overlap)
-    mean = canvas.withColumn("_m", F.when(F.col("c") >= least, F.col("s") / F.col("c")))
-    middle = mean.groupBy(*keys).agg(F.percentile("_m", F.lit(0.5)).alias("_fill"))
-    joined = mean.join(middle, list(keys)) if keys else mean.crossJoin(F.broadcast(middle))
-    return joined.withColumn("v", F.coalesce("_m", "_fill")).drop("_m", "_fill")
+    mean = stored(canvas.withColumn("_m", F.when(F.col("c") >= least, F.col("s") / F.col("c"))), "canvas")
+    if not keys:
+        (middle,) = quantiles.exact(mean, "_m", (0.5,)) or (None,)
+        return mean.withColumn("v", F.coalesce("_m", F.lit(middle).cast("double"))).drop("_m")
+    fill = quantiles.exact_table(mean, "_m", (0.5,), keys).withColumnRenamed("q0", "_fill")
+    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    fill = fill.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_fill")
+    return mean.join(fill, match, "left").withColumn("v", F.coalesce("_m", "_fill")).drop("_m", "_fill", *[f"_k_{k}" for k in keys])
 
 
 def coverage(canvas: DataFrame, height: int, width: int) -> DataFrame:
@@ -77,11 +80,14 @@ def mean_frame(frames: DataFrame, value: str = "px", keys: tuple[str, ...] = ())
 
 def brightest(frames: DataFrame, hot: float, value: str = "px") -> DataFrame:
     """The largest pixel that is not hot."""
-    return frames.select(F.explode(value).alias("_v")).where(F.col("_v") <= hot).agg(F.max("_v").alias("most"))
+    return frames.agg(F.max(F.array_max(F.filter(value, lambda v: v <= hot))).alias("most"))
 
 
 def percentile_stretch(canvas: DataFrame, value: str = "v") -> DataFrame:
-    return canvas.agg(F.percentile(value, F.lit(0.02)).alias("p2"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.98)).alias("p98"))
+    """p2, p50, p98 of a canvas, exact."""
+    low, middle, high = quantiles.exact(canvas, value, (0.02, 0.5, 0.98)) or (None,) * 3
+    kind = "p2 double, p50 double, p98 double"
+    return canvas.sparkSession.createDataFrame([(low, middle, high)], kind)
 
 
 def mask_uncovered(obj: DataFrame, alpha: float) -> DataFrame:
@@ -92,11 +98,5 @@ def mask_uncovered(obj: DataFrame, alpha: float) -> DataFrame:
 def stitch_interpolated(patches: DataFrame, h: int, w: int, value: str = "px") -> DataFrame:
     """As scatter_add, but each pixel is dealt to the four canvas pixels around its exact place by distance; only
     pixels that are not 0 count.  v: the weighted mean."""
-    top, left = F.col("cy") - (h - 1) / 2, F.col("cx") - (w - 1) / 2
-    px = patches.select(top.alias("_t"), left.alias("_l"), F.posexplode(value).alias("_k", "_v")).where("_v != 0")
-    px = px.select((F.col("_t") + F.floor(F.col("_k") / w)).alias("_y"), (F.col("_l") + F.col("_k") % w).alias("_x"), "_v")
-    fy, fx = F.col("_y") - F.floor("_y"), F.col("_x") - F.floor("_x")
-    part = lambda dy, dx: F.struct((F.floor("_y") + dy).alias("y"), (F.floor("_x") + dx).alias("x"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("wt"))
-    dealt = px.select("_v", F.explode(F.array(*[part(a, b) for a in (0, 1) for b in (0, 1)])).alias("p")).where("p.wt > 0")
-    out = dealt.groupBy("p.y", "p.x").agg(F.sum(F.col("p.wt") * F.col("_v")).alias("_s"), F.sum("p.wt").alias("c"))
-    return out.select("y", "x", "c", (F.col("_s") / F.col("c")).alias("v"))
+    dealt = tiles.pixels(tiles.partial_tiles(patches, h, w, (value,), linear=True), (value,), whole_counts=False)
+    return dealt.select("y", "x", "c", (F.col(f"s_{value}") / F.col("c")).alias("v"))

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,6 +26,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scanloom-{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) as the JVM knows them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.deleteOnExit(at)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written in the shared folder and read back: it is worked out once, and lost executors do not matter."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    schema = df.schema
+    df.write.parquet(path)
+    delete_at_exit(spark, path)
+    return spark.read.schema(schema).parquet(path)
+
+
 class Settings:
     """Named texts in a small Parquet table; the newest value of a key counts."""
 
@@ -66,17 +86,20 @@ class Engine:
         self.config = config
         self.queries = self.build(self.spark, config)
         end = time.time() + ready_within
-        while not all(q.isActive or q.lastProgress for q in self.queries):
-            for q in self.queries:
-                if (failed := q.exception()) is not None:
-                    self.stop()
-                    raise failed
-            if all(not q.isActive for q in self.queries):
-                return  # ended, with nothing to read
+        # a query is ready when it has looked at its source once, or has ended
+        while not all(q.lastProgress or not q.isActive for q in self.queries):
+            self._check()
             if time.time() > end:
                 self.stop()
                 raise TimeoutError("the queries did not start")
             time.sleep(0.1)
+        self._check()
+
+    def _check(self) -> None:
+        for q in self.queries:
+            if (failed := q.exception()) is not None:
+                self.stop()
+                raise failed
 
     def status(self) -> str:
         if not self.queries:

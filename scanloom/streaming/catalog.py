@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from ..operators import lines
 from ..plans.catalog import CANVAS, FRAMES, POSITIONS, frames, positions, table
-from ..plans.session import fresh_path
+from ..plans.session import delete_at_exit, fresh_path
 from ..sources import sinks
 from ..sources.frames import compress_frames, decode_frames, encode_frames, packet_messages, parse_packets, samples_of
 from ..sources.messages import MessageLog
-from .pipelines import delete_at_exit, drain, latest_wins, live_mosaic, published, stream_table, throughput, watermarked_join
-from .stateful import in_order, min_points, release_prefix, slow_gate, split_scans, state_store
+from ..sources.sinks import table_path
+from .mosaics import LiveMosaic, archive_ended
+from .pipelines import drain, latest_wins, live_mosaic, published, stream_table, throughput, until, watermarked_join, written
+from .stateful import in_order, join_late, min_points, release_prefix, scan_ends, slow_gate, split_scans, state_store
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -38,7 +40,51 @@ def _frames(spark, sf):
 @query("stream_stitch", f"WITH {CANVAS} SELECT y, x, s, c FROM canvas")
 def stream_stitch(spark, sf):
     places = positions(spark, sf).select("frame_id", F.col("y").alias("cy"), F.col("x").alias("cx"))
-    return drain(live_mosaic(_frames(spark, sf), published(places, "positions", "frame_id", 5), 8, 8), "stitch", "complete")
+    canvas = live_mosaic(_frames(spark, sf), published(places, "positions", "frame_id", 5), 8, 8)
+    return canvas.select("y", "x", F.col("s_px").alias("s"), "c")
+
+
+#: Two runs of two scans each, whose frames are numbered anew in each scan; of ten positions two are unknown.
+_SCANS = f"""{FRAMES}, {POSITIONS}, j AS (SELECT 'run ' || grp % 2 AS run, f.frame_id % 2 AS scan_seq, px, f.frame_id AS id, CAST(round_even(y, 0) AS BIGINT) - 4 AS t, CAST(round_even(x, 0) AS BIGINT) - 4 AS l
+  FROM f JOIN p USING (frame_id) WHERE f.frame_id % 10 NOT IN (3, 8) AND f.frame_id % 6 <> 5)"""
+
+
+def _scans(spark, sf):
+    """Frames (run, scan_seq, frame_id, amp, phase) and positions (run, scan_seq, frame_id, cy, cx) of those."""
+    f = frames(spark, sf).select(F.concat(F.lit("run "), F.col("grp") % 2).alias("run"), (F.col("frame_id") % 2).alias("scan_seq"), F.floor(F.col("frame_id") / 2).alias("no"), "px", F.col("frame_id").alias("id"))
+    nan = F.lit(float("nan"))
+    where = positions(spark, sf).select(F.col("frame_id").alias("id"), F.when(F.col("frame_id") % 10 == 3, nan).when(F.col("frame_id") % 10 != 8, F.col("y")).alias("cy"), F.col("x").alias("cx"))
+    p = f.select("id", "run", "scan_seq", F.col("no").alias("frame_id")).join(where, "id").select("run", "scan_seq", "frame_id", "cy", "cx")
+    phase = F.when(F.col("id") % 6 != 5, F.transform("px", lambda v: v % 17))
+    return f.select("run", "scan_seq", F.col("no").alias("frame_id"), F.col("px").alias("amp"), phase.alias("phase")), p
+
+
+@query("stream_mosaics", f"WITH {_SCANS} SELECT run, scan_seq, t + k // 8 AS y, l + k % 8 AS x, count(*) AS c, CAST(sum(px[k + 1]) AS DOUBLE) AS s_amp, CAST(sum(px[k + 1] % 17) AS DOUBLE) AS s_phase FROM j, (SELECT unnest(range(64)) AS k) GROUP BY 1, 2, 3, 4")
+def stream_mosaics(spark, sf):
+    """Amplitude and phase of several runs and scans in lockstep, with positions that stay unknown."""
+    f, p = _scans(spark, sf)
+    return live_mosaic(published(f, "frames", "frame_id"), published(p, "positions", "frame_id", 5), 8, 8, "mosaics", ("amp", "phase"), ("run", "scan_seq"), keep_seconds=3600)
+
+
+@query("stream_archive", f"WITH {_SCANS}, c AS (SELECT run, scan_seq, t + k // 8 AS y, l + k % 8 AS x, sum(px[k + 1]) AS s FROM j, (SELECT unnest(range(64)) AS k) GROUP BY 1, 2, 3, 4) SELECT run, scan_seq, count(*) AS pixels, CAST(sum(s) AS DOUBLE) AS total FROM c WHERE y BETWEEN 0 AND 119 AND x BETWEEN 0 AND 159 GROUP BY 1, 2")
+def stream_archive(spark, sf):
+    """The canvas of each scan in its run's archive once the scan is over: the last one by the clock."""
+    base = fresh_path(spark, "archive")
+    f, p = _scans(spark, sf)
+    mosaic = LiveMosaic(spark, f"{base}/tiles", 8, 8, ("amp", "phase"), ("run", "scan_seq"), every=2)
+    runs = [r["run"] for r in f.select("run").distinct().collect()]  # two
+    with state_store(spark, drains=True):
+        joined = join_late(published(f, "frames", "frame_id"), published(p, "positions", "frame_id", 5), ("run", "scan_seq", "frame_id"))
+        joined.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(mosaic.write).start().awaitTermination()
+    with state_store(spark):
+        ends = scan_ends(published(f.select("run", "scan_seq"), "scans", "scan_seq", 2), 2.0)
+        q = ends.writeStream.option("checkpointLocation", f"{base}/ends").trigger(processingTime="1 second").foreachBatch(archive_ended(mosaic, base, (120, 160))).start()
+        until(lambda: all(written(spark, f"{table_path(base, r, 'mosaics')}/scan_seq=1") for r in runs), q, 120)
+        q.stop()
+    delete_at_exit(spark, base)
+    kind = "y bigint, x bigint, c bigint, s_amp double, s_phase double, scan_seq bigint"
+    stored = [spark.read.schema(kind).parquet(table_path(base, r, "mosaics")).withColumn("run", F.lit(r)) for r in runs]
+    return reduce(DataFrame.unionByName, stored).groupBy("run", "scan_seq").agg(F.count("*").alias("pixels"), F.sum("s_amp").alias("total"))
 
 
 @query("stream_join_late", f"WITH {FRAMES} SELECT frame_id, list_sum(px) AS total, CAST(user_id AS BIGINT) AS user_id FROM f JOIN events ON event_id = frame_id")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from ..operators import mosaic
-from ..plans.session import fresh_path
+from ..plans.session import delete_at_exit, file_system, fresh_path
+from .mosaics import LiveMosaic
 from .stateful import join_late, state_store
 
 
@@ -29,16 +29,6 @@ def published(df: DataFrame, name: str, by: str, parts: int = 6) -> DataFrame:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-def _at(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def delete_at_exit(spark: SparkSession, path: str) -> None:
-    fs, at = _at(spark, path)
-    fs.deleteOnExit(at)
-
-
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote.
 
@@ -53,10 +43,10 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         df.write.mode("overwrite").parquet(f"{out}/batch_no={batch}")
         last["batch"] = batch
 
-    with state_store(spark):
+    with state_store(spark, drains=True):
         q = stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(write).start()
         q.awaitTermination()
-    fs, at = _at(spark, check)
+    fs, at = file_system(spark, check)
     fs.delete(at, True)
     delete_at_exit(spark, out)
     if last["batch"] < 0:
@@ -65,9 +55,41 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return df.select(*stream.columns)
 
 
-def live_mosaic(frames: DataFrame, positions: DataFrame, h: int, w: int) -> DataFrame:
-    """The canvas (y, x, s, c) of all frames whose position is known so far; one query, complete output."""
-    return mosaic.scatter_add(join_late(frames, positions), h, w)
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    fs, at = file_system(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
+
+
+def until(done, query, seconds: float) -> None:
+    """Waits until done() holds; a query that fails, or takes longer, is an error."""
+    end = time.monotonic() + seconds
+    while not done():
+        if query.exception() is not None:
+            raise query.exception()
+        if time.monotonic() > end:
+            query.stop()
+            raise TimeoutError("the stream did not get there in time")
+        time.sleep(0.2)
+
+
+def live_mosaic(frames: DataFrame, positions: DataFrame, h: int, w: int, name: str = "mosaic", values: tuple[str, ...] = ("px",), keys: tuple[str, ...] = (), keep_seconds: float | None = None) -> DataFrame:
+    """The canvas (keys, y, x, c, s_<value>) of all frames whose position is known by the end of the streams: frames wait
+    for their positions in state, and each micro-batch adds the tiles of its own patches."""
+    spark = frames.sparkSession
+    base = fresh_path(spark, name)
+    mosaic = LiveMosaic(spark, f"{base}/tiles", h, w, values, keys)
+    joined = join_late(frames, positions, (*keys, "frame_id"), keep_seconds)
+    with state_store(spark, drains=True):
+        joined.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(mosaic.write).start().awaitTermination()
+    delete_at_exit(spark, base)
+    canvas = mosaic.canvas()
+    return canvas if canvas is not None else spark.createDataFrame([], _canvas_kind(frames, values, keys))
+
+
+def _canvas_kind(frames: DataFrame, values: tuple[str, ...], keys: tuple[str, ...]) -> str:
+    own = [f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys]
+    return ", ".join([*own, "y bigint", "x bigint", "c bigint", *[f"s_{v} double" for v in values]])
 
 
 def watermarked_join(frames: DataFrame, positions: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -6,64 +6,98 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from ..operators.align import known
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
-def state_store(spark: SparkSession):
-    """The store that keyed state needs, for the queries started inside."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)
+def state_store(spark: SparkSession, drains: bool = False):
+    """The store that keyed state needs, for the queries started inside.  drains: they end when all input is read, so state
+    that goes by the clock must not keep them running."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS} | ({"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if drains else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _plain(kind: T.DataType):
+    """A function that turns a value from pandas into one that a state of this type takes."""
+    if isinstance(kind, T.ArrayType):
+        inner = _plain(kind.elementType)
+        return lambda v: None if v is None else [inner(x) for x in v]
+    cast = int if isinstance(kind, T.IntegralType) else float if isinstance(kind, (T.FloatType, T.DoubleType)) else bool if isinstance(kind, T.BooleanType) else lambda v: v
+    return lambda v: None if v is None or v != v and cast is not float else cast(v)
+
+
+def _kinds(df: DataFrame, columns) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 class LatePositions(StatefulProcessor):
     """Holds frames until their position comes; a key's state is its position or its waiting frames.
 
-    A second frame of a number is a frame of its own; a second position takes the place of the first."""
+    A second frame of a key is a frame of its own; a second position takes the place of the first.  keep_ms: how long a
+    position or a waiting frame is kept after it was written."""
+
+    def __init__(self, keys: list[str], payload: list[tuple[str, T.DataType]], keep_ms: int | None):
+        self.keys, self.names = keys, [n for n, _ in payload]
+        self.casts, self.kind, self.keep_ms = [_plain(k) for _, k in payload], ", ".join(f"`{n}` {k.simpleString()}" for n, k in payload), keep_ms
 
     def init(self, handle):
-        self.place = handle.getValueState("place", "cy double, cx double")
-        self.waiting = handle.getListState("waiting", "px array<bigint>")
+        self.place = handle.getValueState("place", "cy double, cx double", self.keep_ms)
+        self.waiting = handle.getListState("waiting", self.kind, self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
         new = []
         for pdf in rows:
-            for px, cy, cx in zip(pdf["px"], pdf["cy"], pdf["cx"]):
-                if px is None:
-                    self.place.update((cy, cx))
+            # by their order, as pandas gets other names for some: keys, whether it is a position, the frame's columns, cy, cx
+            columns = [pdf.iloc[:, i] for i in range(len(self.keys), pdf.shape[1])]
+            for is_place, cy, cx, *values in zip(columns[0], *columns[-2:], *columns[1:-2]):
+                if is_place:
+                    self.place.update((float(cy), float(cx)))
                 else:
-                    new.append([int(v) for v in px])
+                    new.append(tuple(cast(v) for cast, v in zip(self.casts, values)))
         if not self.place.exists():
             if new:
-                self.waiting.appendList([(px,) for px in new])
+                self.waiting.appendList(new)
             return
         if self.waiting.exists():
-            new = [list(w[0]) for w in self.waiting.get()] + new
+            new = [tuple(cast(v) for cast, v in zip(self.casts, w)) for w in self.waiting.get()] + new
             self.waiting.clear()
         if new:
             cy, cx = self.place.get()
-            yield pd.DataFrame({"frame_id": [key[0]] * len(new), "px": new, "cy": [cy] * len(new), "cx": [cx] * len(new)})
+            columns = {k: [v] * len(new) for k, v in zip(self.keys, key)} | {n: list(c) for n, c in zip(self.names, zip(*new))}
+            yield pd.DataFrame(columns | {"cy": [cy] * len(new), "cx": [cx] * len(new)})
 
     def close(self):
         pass
 
 
-def join_late(frames: DataFrame, positions: DataFrame) -> DataFrame:
-    """frame_id, px, cy, cx of frames (frame_id, px) as soon as both they and their position (frame_id, cy, cx) are
-    there, whichever comes first.  One stateful step, so an aggregate may follow in the same query."""
-    f = frames.select("frame_id", "px", F.lit(None).cast("double").alias("cy"), F.lit(None).cast("double").alias("cx"))
-    p = positions.select("frame_id", F.lit(None).cast("array<bigint>").alias("px"), "cy", "cx")
-    both = f.unionByName(p)
-    return both.groupBy("frame_id").transformWithStateInPandas(LatePositions(), "frame_id bigint, px array<bigint>, cy double, cx double", "append", "none")
+def join_late(frames: DataFrame, positions: DataFrame, keys: tuple[str, ...] = ("frame_id",), keep_seconds: float | None = None) -> DataFrame:
+    """The frames (keys and any other columns) with cy, cx as soon as both they and their position (keys, cy, cx) are there,
+    whichever comes first.
+
+    A position that is null, NaN or infinite in one axis is not there yet: its frame waits for another.  Where frame
+    numbers start anew, run and scan belong into the keys.  State of a key is freed keep_seconds after it was last written
+    (processing time); None keeps it for ever."""
+    payload = [c for c in frames.columns if c not in keys]
+    kinds = [(c, frames.schema[c].dataType) for c in payload]
+    f = frames.select(*keys, F.lit(False).alias("is_place"), *payload, F.lit(None).cast("double").alias("cy"), F.lit(None).cast("double").alias("cx"))
+    p = positions.where(known("cy", "cx")).select(*keys, F.lit(True).alias("is_place"), *[F.lit(None).cast(k).alias(c) for c, k in kinds], F.col("cy").cast("double").alias("cy"), F.col("cx").cast("double").alias("cx"))
+    keep_ms = None if keep_seconds is None else max(1, int(keep_seconds * 1000))
+    out = f"{_kinds(frames, [*keys, *payload])}, cy double, cx double"
+    return f.unionByName(p).groupBy(*keys).transformWithStateInPandas(LatePositions(list(keys), kinds, keep_ms), out, "append", "none" if keep_ms is None else "processingTime")
 
 
 class InOrder(StatefulProcessor):
@@ -130,7 +164,7 @@ class ScanSplit(StatefulProcessor):
                 most, seq = -1, seq + 1
             most = max(most, int(n))
             seqs.append(seq)
-        self.state.update((most, seq))
+        self.state.update((int(most), int(seq)))
         yield pd.DataFrame({"run": key[0], "arrival": pdf["arrival"].to_numpy(), "number": pdf["number"].to_numpy(), "scan_seq": seqs})
 
     def close(self):
@@ -138,8 +172,55 @@ class ScanSplit(StatefulProcessor):
 
 
 def split_scans(rows: DataFrame) -> DataFrame:
-    """run, arrival, number, scan_seq.  Within a micro-batch rows are taken by arrival; batches must come in order."""
-    return rows.select("run", "arrival", "number").groupBy("run").transformWithStateInPandas(ScanSplit(), "run bigint, arrival bigint, number bigint, scan_seq bigint", "append", "none")
+    """run (of any type), arrival, number, scan_seq.  Within a micro-batch rows are taken by arrival; batches must come in
+    order."""
+    source = rows.select("run", "arrival", F.col("number").cast("bigint").alias("number"))
+    return source.groupBy("run").transformWithStateInPandas(ScanSplit(), f"{_kinds(source, source.columns)}, scan_seq bigint", "append", "none")
+
+
+class ScanEnds(StatefulProcessor):
+    """Tells when a run's scan is over: when rows of a later one come, or when no rows come for idle_ms.
+
+    Rows of a scan that was over already make it end once more."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle):
+        self.handle = handle
+        self.open = handle.getValueState("open", "scan_seq bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        scans = {int(s) for pdf in rows for s in pdf["scan_seq"].unique()}
+        if self.open.exists():
+            scans.add(self.open.get()[0])
+        newest = max(scans)
+        self.open.update((newest,))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        over = sorted(scans - {newest})
+        if over:
+            yield pd.DataFrame({"run": [key[0]] * len(over), "scan_seq": over})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        if self.open.exists():
+            over = self.open.get()[0]
+            self.open.clear()
+            yield pd.DataFrame({"run": [key[0]], "scan_seq": [over]})
+
+    def close(self):
+        pass
+
+
+def scan_ends(rows: DataFrame, idle_seconds: float) -> DataFrame:
+    """run, scan_seq of each scan that is over, of rows (run, scan_seq); the last one too, by the clock."""
+    source = rows.select("run", F.col("scan_seq").cast("bigint").alias("scan_seq")).where("scan_seq IS NOT NULL")
+    return source.groupBy("run").transformWithStateInPandas(ScanEnds(int(idle_seconds * 1000)), _kinds(source, source.columns), "append", "processingTime")
 
 
 class SlowGate(StatefulProcessor):
@@ -260,8 +341,8 @@ class PrefixRelease(StatefulProcessor):
 
 def release_prefix(frames: DataFrame, positions: DataFrame) -> DataFrame:
     """run, arrival, frame_id, x, y of frames (run, frame_id, arrival) whose own position (run, frame_id, x, y) and those
-    of all frames before are there; both sides may come in any order."""
+    of all frames before are there and known; both sides may come in any order."""
     kind = frames.schema["run"].dataType.simpleString()
     f = frames.select("run", "frame_id", F.col("arrival").cast("bigint").alias("arrival"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
-    both = f.unionByName(positions.select("run", "frame_id", F.lit(None).cast("bigint").alias("arrival"), "x", "y"))
+    both = f.unionByName(positions.where(known("x", "y")).select("run", "frame_id", F.lit(None).cast("bigint").alias("arrival"), "x", "y"))
     return both.groupBy("run").transformWithStateInPandas(PrefixRelease(), f"run {kind}, arrival bigint, frame_id bigint, x double, y double", "append", "none")

@@ -2,9 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from scanloom.operators import mosaic
-from scanloom.streaming.pipelines import Progress, drain, fan_out, live_mosaic
-from scanloom.streaming.stateful import in_order, join_late, min_points, release_prefix, slow_gate
+import time
+
+import pytest
+
+from scanloom.functions.text import REQUIRED_FIELDS
+from scanloom.operators import align, mosaic, tiles
+from scanloom.plans.session import Engine
+from scanloom.sources import sinks
+from scanloom.streaming.mosaics import LiveMosaic, archive_ended
+from scanloom.streaming.pipelines import Progress, drain, fan_out, live_mosaic, until
+from scanloom.streaming.stateful import in_order, join_late, min_points, release_prefix, scan_ends, slow_gate, split_scans, state_store
 
 
 def files(spark, tmp_path, name, df, parts, schema):
@@ -18,7 +26,7 @@ def test_mosaic_with_late_positions(spark, tmp_path):
     p = spark.range(25).select(F.col("id").alias("frame_id"), (F.col("id") % 7 + 3.0).alias("cy"), (F.col("id") % 5 + 3.0).alias("cx"))
     frames = files(spark, tmp_path, "f", f, 4, "frame_id long, px array<bigint>")
     places = files(spark, tmp_path, "p", p, 3, "frame_id long, cy double, cx double")
-    got = drain(live_mosaic(frames, places, 2, 2), "test-mosaic", "complete")
+    got = live_mosaic(frames, places, 2, 2).select("y", "x", F.col("s_px").alias("s"), "c")
     want = mosaic.scatter_add(f.join(p, "frame_id"), 2, 2)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     joined = drain(join_late(files(spark, tmp_path, "f2", f, 3, frames.schema), files(spark, tmp_path, "p2", p, 2, places.schema)), "test-join")
@@ -81,3 +89,111 @@ def test_progress_stamps(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert ("counted", 30) in stamps
+
+
+NAN = float("nan")
+
+
+def in_turn(spark, tmp_path, name, batches, schema):
+    """A stream of one file a batch, in this order."""
+    path = f"{tmp_path}/{name}"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)  # files go by their times
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_unknown_positions_are_not_there_yet(spark, tmp_path):
+    """NULL, NaN and infinite positions let no frame through, a known one that comes later does; as in the batch form."""
+    kind = "frame_id long, cy double, cx double"
+    rows = [(0, 1.0, 1.0), (1, None, 1.0), (2, NAN, 1.0), (3, 1.0, float("inf")), (4, 2.0, 2.0), (5, NAN, NAN)]
+    f = spark.createDataFrame([(i, [i, i]) for i in range(6)] + [(4, None)], "frame_id long, px array<bigint>")
+    p = in_turn(spark, tmp_path, "p", [rows, [(5, 7.0, 8.0)]], kind)
+    out = drain(join_late(files(spark, tmp_path, "f", f, 2, f.schema), p), "test-unknown").collect()
+    got = sorted((r["frame_id"], r["cy"], r["cx"], r["px"] or []) for r in out)
+    assert got == [(0, 1.0, 1.0, [0, 0]), (4, 2.0, 2.0, []), (4, 2.0, 2.0, [4, 4]), (5, 7.0, 8.0, [5, 5])]
+    batch = align.ready(f, spark.createDataFrame(rows, kind)).collect()
+    assert sorted(r["frame_id"] for r in batch) == [0, 4, 4]
+
+
+def test_prefix_stops_at_an_unknown_position(spark, tmp_path):
+    f = spark.createDataFrame([("a", i, i) for i in range(6)], "run string, frame_id long, arrival long")
+    p = spark.createDataFrame([("a", i, NAN if i == 2 else float(i), 0.0) for i in range(6)], "run string, frame_id long, x double, y double")
+    out = drain(release_prefix(files(spark, tmp_path, "f", f, 2, f.schema), files(spark, tmp_path, "p", p, 2, p.schema)), "test-stop").collect()
+    assert sorted((r["run"], r["frame_id"]) for r in out) == [("a", 0), ("a", 1)]
+    want = align.prefix_release(f, p, ("run",)).collect()
+    assert sorted(r["frame_id"] for r in want) == [0, 1]
+
+
+def test_a_new_scan_does_not_take_positions_of_the_old_one(spark, tmp_path):
+    keys = ("run", "scan_seq", "frame_id")
+    f = in_turn(spark, tmp_path, "f", [[("r", 0, 0, [1])], [("r", 1, 0, [2])]], "run string, scan_seq int, frame_id long, px array<bigint>")
+    p = in_turn(spark, tmp_path, "p", [[("r", 0, 0, 5.0, 5.0)], [("r", 0, 9, 0.0, 0.0)], [("r", 1, 0, 9.0, 9.0)]], "run string, scan_seq int, frame_id long, cy double, cx double")
+    out = drain(join_late(f, p, keys), "test-scans").collect()
+    assert sorted((r["run"], r["scan_seq"], r["px"][0], r["cy"]) for r in out) == [("r", 0, 1, 5.0), ("r", 1, 2, 9.0)]
+
+
+def test_state_goes_after_its_time(spark, tmp_path):
+    kind = "frame_id long, px array<bigint>"
+    path, check = f"{tmp_path}/f", f"{tmp_path}/check"
+    places = f"{tmp_path}/p"
+    spark.createDataFrame([(i, 0.0, 0.0) for i in range(50, 90)], "frame_id long, cy double, cx double").write.parquet(places)
+
+    def run(rows, keep):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+        f, p = spark.readStream.schema(kind).parquet(path), spark.readStream.schema("frame_id long, cy double, cx double").parquet(places)
+        with state_store(spark, drains=True):
+            join_late(f, p, keep_seconds=keep).writeStream.option("checkpointLocation", check).trigger(availableNow=True).format("noop").start().awaitTermination()
+        state = lambda var: spark.read.format("statestore").option("stateVarName", var).load(check).count()
+        return state("waiting") + state("place")
+
+    assert run([(i, [i]) for i in range(40)], 4.0) == 80
+    time.sleep(5)
+    assert run([(100, [1])], 4.0) == 1
+
+
+def test_scans_of_a_run_named_by_text(spark, tmp_path):
+    s = in_turn(spark, tmp_path, "s", [[("a", k, n) for k, n in enumerate((0, 1, 2, 0, 1, 0))]], "run string, arrival long, number long")
+    out = drain(split_scans(s), "test-split").collect()
+    assert sorted((r["run"], r["arrival"], r["scan_seq"]) for r in out) == [("a", k, s) for k, s in enumerate((0, 0, 0, 1, 1, 2))]
+
+
+def test_three_scans_give_three_archives(spark, tmp_path):
+    keys = ("run", "scan_seq")
+    f = [("r", s, i, [float(s + 1)] * 4) for s in range(3) for i in range(4)]
+    patches = spark.createDataFrame([(*r, 2.0 + r[2], 2.0) for r in f], "run string, scan_seq long, frame_id long, px array<double>, cy double, cx double")
+    live = LiveMosaic(spark, f"{tmp_path}/tiles", 2, 2, ("px",), keys, every=2)
+    for k in range(5):  # a batch that runs again replaces itself, and sums do not count twice
+        live.write(patches.where(F.col("frame_id") % 5 == k), k)
+    live.write(patches.where(F.col("frame_id") % 5 == 4), 4)
+    want = mosaic.scatter_add_all(patches, 2, 2, ("px",), keys=keys)
+    assert sorted(map(tuple, live.canvas().collect())) == sorted(map(tuple, want.collect()))
+    s = in_turn(spark, tmp_path, "s", [[("r", 0)], [("r", 0), ("r", 1)], [("r", 2)]], "run string, scan_seq long")
+    with state_store(spark):
+        q = scan_ends(s, 2.0).writeStream.option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="500 milliseconds").foreachBatch(archive_ended(live, str(tmp_path), (10, 10), most=1024)).start()
+        until(lambda: (tmp_path / "run_uid=r" / "mosaics" / "scan_seq=2" / "_SUCCESS").exists(), q, 90)
+        q.stop()
+    stored = spark.read.parquet(sinks.table_path(str(tmp_path), "r", "mosaics")).groupBy("scan_seq").agg(F.sum("s_px").alias("s"), F.count("*").alias("n")).collect()
+    assert sorted(tuple(r) for r in stored) == [(0, 16.0, 10), (1, 32.0, 10), (2, 48.0, 10)]
+
+
+def test_tiles_send_a_row_for_each_tile_and_task(spark):
+    """Patches of 20 x 20 on a canvas of four tiles by four, in 4 tasks: no task sends a tile twice, and none sends pixels."""
+    p = spark.range(400, numPartitions=4).select(F.array(*[F.lit(1.0)] * 400).alias("px"), (F.col("id") * 37 % 230 + 10.0).alias("cy"), (F.col("id") * 91 % 230 + 10.0).alias("cx"))
+    sent = tiles.partial_tiles(p, 20, 20, ("px",))
+    assert sent.count() <= 4 * 16
+    canvas = mosaic.scatter_add(p, 20, 20)
+    assert canvas.agg(F.sum("s"), F.sum("c")).first() == (160_000.0, 160_000)
+    assert "Generate" not in canvas._jdf.queryExecution().executedPlan().toString()
+    lost = p.withColumn("cy", F.when(F.col("cy") < 100, F.lit(NAN)).otherwise(F.col("cy")))
+    assert mosaic.scatter_add(lost, 20, 20).where("y IS NULL").count() == 0
+    with pytest.raises(Exception, match="pixels"):
+        mosaic.scatter_add(p, 20, 21).collect()
+
+
+def test_a_start_waits_for_the_first_look_at_the_source(spark, tmp_path):
+    q = lambda s, c: [files(s, tmp_path, "e", s.range(5), 1, "id long").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/ec").start()]
+    engine = Engine(spark, q)
+    engine.start(dict.fromkeys(REQUIRED_FIELDS, "1"))
+    assert engine.queries[0].lastProgress is not None
+    engine.stop()
