@@ -747,6 +747,17 @@ def ml_iteration(spark, sf):
     return spark.createDataFrame(list(enumerate(errors)), "iteration long, error double")
 
 
+@query("ml_tiled")
+def ml_tiled(spark, sf):
+    """The object after three rounds on tiles, where windows cover it."""
+    from ..operators import object_tiles, recon
+
+    config = recon.SolverConfig(8, 100, 64)
+    tiles, _, _ = object_tiles.reconstruct_tiled(solver_frames(spark, sf), config, iterations=3)
+    out = object_tiles.object_pixels(tiles, config.alpha)
+    return out.select("y", "x", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+
+
 @query("epie")
 def epie(spark, sf):
     import numpy as np
