@@ -54,11 +54,20 @@ def _cells(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def word_levels(docs: DataFrame, params: LineDedupParams) -> np.ndarray:
-    """The level of each cell's count over all texts, one byte each.
+    """The level of each cell's count over all words of all texts, one byte each."""
 
-    A task adds up its words in one array and sends it by ranges of cells, so a word is one number of each task
+    def words(batch):
+        data, offsets = _rt.text_buffers(batch.column("text"))
+        return _rt.spans_hash(data, *_rt.word_ends(data, offsets))
+
+    return cell_levels(docs.select("text"), words, params.cell_bits)
+
+
+def cell_levels(texts: DataFrame, hashes, bits: int) -> np.ndarray:
+    """The level of each cell's count over the hashes of all texts (hashes: of a batch), one byte each.
+
+    A task adds up its hashes in one array and sends it by ranges of cells, so a word is one number of each task
     however often it occurs; the driver gets the bytes, as many for any input."""
-    bits = params.cell_bits
     size = min(_RANGE, 1 << bits)
 
     def count(batches):
@@ -68,9 +77,7 @@ def word_levels(docs: DataFrame, params: LineDedupParams) -> np.ndarray:
         total = np.zeros(1 << bits, np.uint32)
         for whole in batches:
             for batch in _rt.slices(whole, "text"):
-                data, offsets = _rt.text_buffers(batch.column("text"))
-                s, e = _rt.word_ends(data, offsets)
-                at = np.sort(_cells(_rt.spans_hash(data, s, e), bits).astype(np.uint32))
+                at = np.sort(_cells(hashes(batch), bits).astype(np.uint32))
                 first, n = _rt.runs(at)
                 total[at[first]] += n.astype(np.uint32)
         for part in range((1 << bits) // size):
@@ -92,7 +99,7 @@ def word_levels(docs: DataFrame, params: LineDedupParams) -> np.ndarray:
         for part, own in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level(own.astype(float)).astype(np.uint8).tobytes()], pa.binary())], names=["part", "levels"])
 
-    counted = docs.select("text").mapInArrow(count, "part int, at binary, n binary").repartition("part").mapInArrow(add, "part int, levels binary")
+    counted = texts.mapInArrow(count, "part int, at binary, n binary").repartition("part").mapInArrow(add, "part int, levels binary")
     out = np.zeros(1 << bits, np.uint8)
     for part, levels in zip(*(c.to_pylist() for c in counted.toArrow().columns), strict=True):
         out[part * size : (part + 1) * size] = np.frombuffer(levels, np.uint8)

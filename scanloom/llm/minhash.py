@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _rt
+from .line_dedup import cell_levels
 
 _U = np.uint64
 
@@ -167,31 +168,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, params: NearDupParams) -> Data
     return both.select("v", "w", "vt", "wt").mapInArrow(run, "v struct<a:long,b:long>, w struct<a:long,b:long>").distinct()
 
 
+#: Cells of the counts of shingles that order them, 2 ** CELL_BITS bytes for any input.
+CELL_BITS = 22
+
+
+def _occurrences(batch, params: NearDupParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash) of each occurrence of each shingle, the first, second, ... being apart, and the texts' sizes."""
+    row, h, count, texts = shingles(batch, params)
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(row, count), _rt.mix(np.repeat(h, count) + nth.astype(_U) * _U(0xD1342543DE82EF95)), np.bincount(row, count, minlength=texts).astype(np.int64)
+
+
 def _prefix_pairs(nodes: DataFrame, texts: DataFrame, params: NearDupParams, scratch: _rt.Scratch) -> DataFrame:
     """All pairs (v < w) of the nodes (v, root) of different classes that may match, by an exact prefix filter.
 
-    A node's shingles, each occurrence for itself, are ordered by how many of these nodes have them; of two that
-    match, one of the first n - ceil(n num / den) + 1 of each is common.  Nodes of which much is found nowhere else
-    drop out, so a crowd that shares a part too small for a match makes no pairs."""
+    A node's shingles, each occurrence for itself, are ordered by how many of these nodes have them (by level of the
+    count of a cell of hashes, then by hash: one order for all); of two that match, one of the first
+    n - ceil(n num / den) + 1 of each is common.  Only those leave a task, and of them none that is found nowhere else, so
+    a crowd that shares a part too small for a match makes no pairs."""
+    own = texts.join(nodes.select("v"), "v", "left_semi").dropDuplicates(["v"])
+    own = scratch.write(own, "open")
+    levels = own.sparkSession.sparkContext.broadcast(cell_levels(own.select("text"), lambda batch: _occurrences(batch, params)[1], CELL_BITS))
 
     def run(batches):
         import pyarrow as pa
 
         for whole in batches:
             for batch in _rt.slices(whole, "text"):
-                row, h, count, n = shingles(batch, params)
-                ends = np.cumsum(count)
-                nth = np.arange(int(count.sum())) - np.repeat(ends - count, count)
-                each = _rt.mix(np.repeat(h, count) + nth.astype(_U) * _U(0xD1342543DE82EF95))
-                of = np.repeat(row, count)
-                yield pa.RecordBatch.from_arrays([batch.column("v").take(pa.array(of)), pa.array(each.view(np.int64)), pa.array(np.bincount(row, count, minlength=n).astype(np.int32)[of])], names=["v", "e", "n"])
-
-    each = texts.join(nodes.select("v"), "v", "left_semi").dropDuplicates(["v"]).mapInArrow(run, "v struct<a:long,b:long>, e long, n int")
-    each = scratch.write(each, "elements")
-    counted = each.join(each.groupBy("e").agg(F.count("*").alias("c")), "e")
-    ordered = counted.groupBy("v").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "e"))).alias("es"))
-    most = (F.col("n") - F.ceil(F.col("n") * params.num / params.den) + 1).cast("int")
-    prefix = ordered.select("v", "n", F.posexplode(F.slice("es", F.lit(1), most)).alias("pos", "x")).where("x.c > 1").select("v", "n", "pos", "x.e")
+                of, e, n = _occurrences(batch, params)
+                level = levels.value[(e >> _U(64 - CELL_BITS)).astype(np.int64)]
+                by = np.lexsort((e, level, of))
+                of, e, level = of[by], e[by], level[by]
+                pos = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+                keep = np.flatnonzero((pos < (n + (-n * params.num) // params.den + 1)[of]) & (level > 0))
+                of = of[keep]
+                yield pa.RecordBatch.from_arrays([batch.column("v").take(pa.array(of)), pa.array(n[of].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(e[keep].view(np.int64))], names=["v", "n", "pos", "e"])
+
+    prefix = own.mapInArrow(run, "v struct<a:long,b:long>, n int, pos int, e long")
     prefix = scratch.write(prefix.join(nodes, "v"), "prefixes")
     other = prefix.select("e", F.col("v").alias("w"), F.col("root").alias("wroot"), F.col("n").alias("m"), F.col("pos").alias("wpos"))
     sizes = (F.col("n") * params.den >= F.col("m") * params.num) & (F.col("m") * params.den >= F.col("n") * params.num)
