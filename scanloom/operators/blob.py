@@ -49,6 +49,16 @@ def blob_box(mean: np.ndarray, threshold: float, saturation: float) -> tuple[int
     return int(y.min()), int(y.max()) + 1, int(x.min()), int(x.max()) + 1
 
 
+def placed_box(box: tuple[int, int, int, int], origin: tuple[int, int], size: tuple[int, int], ny: int, nx: int) -> tuple[int, int, int, int, bool]:
+    """y0, y1, x0, x1 of an ny x nx window around the centre of a box, kept inside an area (its corner and size in the whole
+    detector, the box in the area), and whether it had to be moved for that."""
+    a, b, c, d = box
+    (oy, ox), (h, w) = origin, size
+    y0, x0 = round(oy + (a + b) / 2 - ny / 2), round(ox + (c + d) / 2 - nx / 2)
+    ky, kx = min(max(y0, oy), oy + h - ny), min(max(x0, ox), ox + w - nx)
+    return ky, ky + ny, kx, kx + nx, (ky, kx) != (y0, x0)
+
+
 def center_box(frames: DataFrame, h: int, w: int, ny: int, nx: int, window: tuple[int, int] = (0, 0), threshold: float = 0.02, saturation: float = 2**32 - 2, value: str = "px", keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, y0, y1, x0, x1, clamped, and the blob's box by0, by1, bx0, bx1: an ny x nx window around the centre of the
     blob's box in the mean of the frames, kept inside them.  window: where row 0 and column 0 lie in the whole
@@ -68,9 +78,7 @@ def center_box(frames: DataFrame, h: int, w: int, ny: int, nx: int, window: tupl
             row |= dict.fromkeys(fields) | {"clamped": False}
         else:
             a, b, c, d = box
-            y0, x0 = round(oy + (a + b) / 2 - ny / 2), round(ox + (c + d) / 2 - nx / 2)
-            ky, kx = min(max(y0, oy), oy + h - ny), min(max(x0, ox), ox + w - nx)
-            row |= dict(zip(fields, (ky, ky + ny, kx, kx + nx, (ky, kx) != (y0, x0), oy + a, oy + b, ox + c, ox + d)))
+            row |= dict(zip(fields, (*placed_box(box, window, (h, w), ny, nx), oy + a, oy + b, ox + c, ox + d)))
         return pd.DataFrame([row])
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in mean.schema.fields if f.name in keys)

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import SYMMETRIES
 from ..operators import lines
 from ..plans.catalog import CANVAS, FRAMES, POSITIONS, frames, positions, table
 from ..plans.session import delete_at_exit, fresh_path
@@ -17,6 +19,7 @@ from ..sources import sinks
 from ..sources.frames import compress_frames, decode_frames, encode_frames, packet_messages, parse_packets, samples_of
 from ..sources.messages import MessageLog
 from ..sources.sinks import table_path
+from .latches import auto_centre, orientation
 from .mosaics import LiveMosaic, archive_ended
 from .pipelines import drain, latest_wins, live_mosaic, published, stream_table, throughput, until, watermarked_join, written
 from .stateful import in_order, join_late, min_points, release_prefix, scan_ends, slow_gate, split_scans, state_store
@@ -137,6 +140,45 @@ def _through_log(spark, messages, number, kind, decode, name, bound):
     return spark.read.schema(schema).parquet(f"{base}/out").select(*schema.names)
 
 
+_RUN = "m AS (SELECT f.frame_id // 128 AS run, f.frame_id, x, sum(px[k + 1] * (k // 8)) / sum(px[k + 1]) AS r, sum(px[k + 1] * (k % 8)) / sum(px[k + 1]) AS c FROM f JOIN p USING (frame_id), (SELECT unnest(range(64)) AS k) GROUP BY 1, 2, 3)"
+
+
+def _turned(name: str) -> str:
+    swap, up, left = SYMMETRIES[name]
+    row, col = ("7 - r" if up else "r"), ("7 - c" if left else "c")
+    return f"SELECT run, '{name}' AS name, round(avg(abs(({col if swap else row}) - x / 10)), 6) AS score FROM m GROUP BY run HAVING count(*) = 128"
+
+
+@query("stream_orientation", f"WITH {FRAMES}, {POSITIONS}, {_RUN} " + " UNION ALL ".join(map(_turned, SYMMETRIES)))
+def stream_orientation(spark, sf):
+    """The orientation of each run of 128 frames, once all of them have a position: as orientation_scores, but in the run."""
+
+    def score(px, x, y):
+        rows = np.arange(8)[None, :, None]
+        return np.abs((px * rows).sum(axis=(1, 2)) / px.sum(axis=(1, 2)) - x / 10)
+
+    f = frames(spark, sf).select(F.floor(F.col("frame_id") / 128).alias("run"), "frame_id", "px")
+    p = positions(spark, sf).select(F.floor(F.col("frame_id") / 128).alias("run"), "frame_id", "x", "y")
+    out = drain(orientation(published(f, "frames", "frame_id"), published(p, "places", "frame_id", 5), (8, 8), score, least=128, most=256), "orientation")
+    return out.select("run", "name", F.round("score", 6).alias("score"))
+
+
+@query("stream_auto_centre", f"WITH {FRAMES}, g AS (SELECT frame_id // 64 AS run, frame_id, px FROM f WHERE (SELECT max(frame_id) FROM f) // 64 > frame_id // 64), b AS (SELECT frame_id, run, greatest(0, least(4, 1 + run % 5)) AS t, greatest(0, least(4, 2 + run % 3)) AS l, px FROM g) SELECT run, frame_id, CAST(t AS INTEGER) AS y0, CAST(l AS INTEGER) AS x0, CAST(list_sum(list_transform(range(16), lambda k: px[CAST((t + k // 4) * 8 + l + k % 4 + 1 AS INTEGER)])) AS BIGINT) AS total FROM b")
+def stream_auto_centre(spark, sf):
+    """Frames cut to a window around a bright spot that lies elsewhere in each run of 64 frames and that only the first 40
+    frames of a run have; runs that are not whole wait."""
+    run, k = F.floor(F.col("frame_id") / 64), F.col("frame_id") % 64
+    f = frames(spark, sf).select(run.alias("run"), "frame_id", "px", k.alias("k"))
+    spot = lambda i: (F.floor(i / 8) == 2 + F.col("run") % 5) | (F.floor(i / 8) == 3 + F.col("run") % 5)  # noqa: E731  two rows of the spot
+    there = lambda i: spot(i) & ((i % 8 == 3 + F.col("run") % 3) | (i % 8 == 4 + F.col("run") % 3)) & (F.col("k") < 40)
+    lit = F.transform("px", lambda v, i: v + F.when(there(i), 1_000_000).otherwise(0))
+    out = drain(auto_centre(published(f.select("run", "frame_id", lit.alias("px")), "beam", "frame_id"), 8, 8, (2, 6, 2, 6), least=64, threshold=0.5), "centre")
+    # the spot is taken off again, so that the sums are those of the frames
+    spots = F.when(F.col("frame_id") % 64 < 40, 4_000_000).otherwise(0)
+    total = F.aggregate("px", F.lit(0).cast("bigint"), lambda s, v: s + v)
+    return out.select("run", "frame_id", "y0", "x0", (total - spots).alias("total"))
+
+
 @query("stream_messages", f"WITH {FRAMES} SELECT frame_id, 8 AS rows, 8 AS cols, CAST(list_sum(list_transform(range(64), lambda k: CAST(px[k + 1] AS BIGINT) * (k + 1))) AS BIGINT) AS total FROM f")
 def stream_messages(spark, sf):
     """Frames as detector messages, plain and in three compressed encodings, through a log and back."""
