@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import stored
@@ -90,6 +92,12 @@ def percentile_stretch(canvas: DataFrame, value: str = "v") -> DataFrame:
     return canvas.sparkSession.createDataFrame([(low, middle, high)], kind)
 
 
+def centroid_angle(weight: str, place: str, period: int) -> Column:
+    """The direction of the centre of weight on a circle of `period` places, an aggregate; no edge counts as a border."""
+    angle = F.col(place) * F.lit(2 * math.pi / period)
+    return F.atan2(F.sum(F.col(weight) * F.sin(angle)), F.sum(F.col(weight) * F.cos(angle)))
+
+
 def mask_uncovered(obj: DataFrame, alpha: float) -> DataFrame:
     """Null where the probe's norm is not above alpha."""
     return obj.withColumn("v", F.when(F.col("norm") > alpha, F.col("v")))

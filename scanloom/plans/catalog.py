@@ -403,12 +403,18 @@ def finite_object(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), F.size(F.filter("embedding", good)).cast("bigint").alias("finite"))
 
 
-@query("live_result_guard", "SELECT count(*) AS written FROM embeddings WHERE NOT list_bool_or(list_transform(embedding, lambda v: NOT isfinite(v)))")
+@query("live_result_guard", "SELECT vec_id FROM embeddings WHERE vec_id % 5 <> 1 AND vec_id % 7 <> 2 AND vec_id % 11 <> 3 AND vec_id % 13 <> 4")
 def live_result_guard(spark, sf):
+    """Numbers that are not finite in the probe, infinite ones in the object, and an object of NaN alone are held back; some
+    NaN in the object is not."""
     from ..sources.sinks import sound
 
-    e = F.transform("embedding", lambda v: v.cast("double"))
-    return table(spark, sf, "embeddings").where(sound(e, e, e, e)).agg(F.count("*").alias("written"))
+    e, k = F.transform("embedding", lambda v: v.cast("double")), F.col("vec_id")
+    nan, inf = F.lit(float("nan")), F.lit(float("-inf"))
+    spoilt = lambda where, by: F.transform(e, lambda v, i: F.when(where & (i == k % 64), by).otherwise(v))
+    obj = F.transform(spoilt(k % 3 == 0, nan), lambda v: F.when(k % 13 == 4, nan).otherwise(v))
+    ok = sound(spoilt(k % 5 == 1, nan), spoilt(k % 7 == 2, inf), obj, spoilt(k % 11 == 3, inf))
+    return table(spark, sf, "embeddings").where(ok).select("vec_id")
 
 
 @query("sample_pixel", "SELECT s_suppkey, round(1e-10 * (1 + s_suppkey % 3) * 0.5 / (64 * (55 + s_suppkey % 2 * 20) * 1e-6) * 1e9, 6) AS nm FROM supplier")
@@ -560,9 +566,7 @@ def error_metric(spark, sf):
 
 @query("circular_centroid", f"WITH {CANVAS} SELECT round(atan2(sum(s * sin(2 * pi() * y / 128)), sum(s * cos(2 * pi() * y / 128))), 6) AS ay, round(atan2(sum(s * sin(2 * pi() * x / 128)), sum(s * cos(2 * pi() * x / 128))), 6) AS ax FROM canvas")
 def circular_centroid(spark, sf):
-    turn = lambda c: F.col(c) * (2 * 3.141592653589793 / 128)
-    angle = lambda c: F.round(F.atan2(F.sum(F.col("s") * F.sin(turn(c))), F.sum(F.col("s") * F.cos(turn(c)))), 6)
-    return canvas(spark, sf).agg(angle("y").alias("ay"), angle("x").alias("ax"))
+    return canvas(spark, sf).agg(*[F.round(mosaic.centroid_angle("s", c, 128), 6).alias(n) for c, n in (("y", "ay"), ("x", "ax"))])
 
 
 # ---------------------------------------------------------------- lines

@@ -4,12 +4,14 @@ from pyspark.sql import functions as F
 
 import time
 
+import numpy as np
 import pytest
 
 from scanloom.functions.text import REQUIRED_FIELDS
 from scanloom.operators import align, mosaic, tiles
 from scanloom.plans.session import Engine
 from scanloom.sources import sinks
+from scanloom.streaming.latches import auto_centre, orientation, oriented
 from scanloom.streaming.mosaics import LiveMosaic, archive_ended
 from scanloom.streaming.pipelines import Progress, drain, fan_out, live_mosaic, until
 from scanloom.streaming.stateful import in_order, join_late, min_points, release_prefix, scan_ends, slow_gate, split_scans, state_store
@@ -197,3 +199,57 @@ def test_a_start_waits_for_the_first_look_at_the_source(spark, tmp_path):
     engine.start(dict.fromkeys(REQUIRED_FIELDS, "1"))
     assert engine.queries[0].lastProgress is not None
     engine.stop()
+
+
+def beam(y, x, h=12, w=14):
+    px = np.ones((h, w), int)
+    px[y - 1 : y + 2, x - 1 : x + 2] = 500
+    return px.ravel().tolist()
+
+
+def test_the_first_frames_decide_the_window(spark, tmp_path):
+    """Later frames, whose beam is elsewhere, keep it; a run without a beam keeps its region; one of few frames waits."""
+    kind = "run string, frame_id long, px array<bigint>"
+    first = [("a", i, beam(7, 3)) for i in range(3)] + [("dark", i, [0] * 168) for i in range(4)] + [("few", 0, beam(5, 5))]
+    second = [("a", 3, beam(7, 3)), ("corner", 9, None)] + [("corner", i, beam(1, 12)) for i in range(4)]
+    third = [("a", i, beam(2, 10)) for i in range(4, 8)] + [("dark", 8, beam(7, 3))]
+    s = in_turn(spark, tmp_path, "s", [first, second, third], kind)
+    out = drain(auto_centre(s, 12, 14, (2, 6, 4, 8), least=4, threshold=0.5), "test-centre").collect()
+    box = {r: {(x["y0"], x["y1"], x["x0"], x["x1"], x["found"], x["clamped"]) for x in out if x["run"] == r} for r in ("a", "dark", "corner", "few")}
+    assert box == {"a": {(6, 10, 2, 6, True, False)}, "dark": {(2, 6, 4, 8, False, False)}, "corner": {(0, 4, 10, 14, True, False)}, "few": set()}
+    assert sorted(x["frame_id"] for x in out if x["run"] == "a") == list(range(8))
+    for x in out:
+        whole = {("a", True): beam(7, 3), ("a", False): beam(2, 10)}.get((x["run"], x["frame_id"] < 4))
+        if whole:
+            assert list(x["px"]) == np.reshape(whole, (12, 14))[6:10, 2:6].ravel().tolist()
+    near = drain(auto_centre(in_turn(spark, tmp_path, "n", [first + second], kind), 12, 14, (2, 6, 4, 8), headroom=1, least=4, threshold=0.5), "test-near").collect()
+    assert {(x["y0"], x["x0"], x["clamped"]) for x in near if x["run"] == "a"} == {(3, 3, True)}  # the nearest place in the grown region
+
+
+def test_orientation_is_decided_once(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    images = rng.integers(0, 100, (30, 4, 4))
+
+    def score(px, x, y):  # the second pixel of the right orientation is the frame's x
+        return np.abs(px[:, 0, 1] - x)
+
+    def rows(run, i):
+        return (run, i, images[i].ravel().tolist())
+
+    truth = oriented(images, "rot90_cw")[:, 0, 1]
+    f = in_turn(spark, tmp_path, "f", [[rows("a", i) for i in range(6)], [rows("a", i) for i in range(6, 20)] + [rows("b", i) for i in range(5)]], "run string, frame_id long, px array<bigint>")
+    p = in_turn(spark, tmp_path, "p", [[("a", i, float(truth[i]), 0.0) for i in range(10, 30)] + [("a", 3, NAN, 0.0)], [("a", i, float(truth[i]), 0.0) for i in range(4)] + [("b", i, 0.0, 0.0) for i in range(5)]], "run string, frame_id long, x double, y double")
+    out = drain(orientation(f, p, (4, 4), score, least=8, most=12), "test-orientation").collect()
+    assert {r["run"] for r in out} <= {"a"} and len(out) in (0, 8)  # 12 frames are held; of these at most 6 have positions
+    out = drain(orientation(f, p, (4, 4), score, least=5, most=12), "test-orientation-2").collect()
+    assert [r["name"] for r in sorted(out, key=lambda r: r["place"]) if r["run"] == "a"][0] == "rot90_cw"
+    assert sorted(r["run"] for r in out) == ["a"] * 8 + ["b"] * 8 and {r["frames"] for r in out if r["run"] == "b"} == {5}
+
+
+def test_stream_symmetries_are_those_of_the_batch(spark):
+    from scanloom.functions.arrays import SYMMETRIES, orient
+
+    px = list(range(16))
+    row = spark.createDataFrame([(px,)], "px array<bigint>").select(*[orient(F.col("px"), n, 4, 4).alias(n) for n in SYMMETRIES]).first()
+    for n in SYMMETRIES:
+        assert list(row[n]) == oriented(np.reshape(px, (1, 4, 4)), n).ravel().tolist(), n
