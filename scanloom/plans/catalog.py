@@ -417,6 +417,28 @@ def live_result_guard(spark, sf):
     return table(spark, sf, "embeddings").where(ok).select("vec_id")
 
 
+_OFFLINE = f"{FRAMES}, u AS (SELECT greatest(1, (SELECT count(*) FROM events) // (SELECT count(*) FROM embeddings)) AS n), p AS (SELECT event_id // n AS frame_id, avg(value) AS x, avg(CAST(user_id AS DOUBLE)) AS y FROM events, u GROUP BY event_id // n, n HAVING count(*) = n), r AS (SELECT f.frame_id, p.x, p.y, list_transform(range(24), lambda k: px[(7 - (k // 4 + 1)) * 8 + k % 4 + 2 + 1]) AS c FROM f LEFT JOIN p USING (frame_id)), h AS (SELECT frame_id, x, y, list_transform(c, lambda v: CASE WHEN v > 250 THEN 0 ELSE v END) AS c FROM r)"
+
+
+@query("offline_dump", f"WITH {_OFFLINE} SELECT frame_id, k, CAST(c[(5 - k % 6) * 4 + k // 6 + 1] AS BIGINT) AS v, round(y, 6) AS slow, round(-x * abs(sin(radians(-60))), 6) AS fast, (SELECT CAST(max(list_max(list_filter(c, lambda v: v <= 250))) AS BIGINT) FROM h) AS top FROM h, (SELECT unnest(range(24)) AS k)")
+def offline_dump(spark, sf):
+    """A scan dumped for offline work and read back: flipped, cropped to 6 x 4, without hot pixels, turned clockwise; its
+    positions under a tilt; and the normalisation among its scalars."""
+    import json
+
+    from ..sources import sinks
+    from .session import delete_at_exit, fresh_path
+
+    base = fresh_path(spark, "offline")
+    scan = sinks.OfflineScan(8, 8, (1, 7, 2, 6), orientation="rot90_cw", hot=250, angle=-60.0)
+    sinks.write_offline(frames(spark, sf).select("frame_id", "px"), samples(spark, sf), base, "scan", scan)
+    delete_at_exit(spark, base)
+    dp, p, run = (spark.read.parquet(sinks.table_path(base, "scan", kind)) for kind in ("frames", "positions", "run"))
+    top = int(json.loads(run.first()["metadata"]["normalization"]))
+    pixels = dp.join(p, "frame_id").select("frame_id", F.posexplode("dp").alias("k", "v"), "slow_um", "fast_um")
+    return pixels.select("frame_id", F.col("k").cast("bigint").alias("k"), "v", F.round("slow_um", 6).alias("slow"), F.round("fast_um", 6).alias("fast"), F.lit(top).cast("bigint").alias("top"))
+
+
 @query("sample_pixel", "SELECT s_suppkey, round(1e-10 * (1 + s_suppkey % 3) * 0.5 / (64 * (55 + s_suppkey % 2 * 20) * 1e-6) * 1e9, 6) AS nm FROM supplier")
 def sample_pixel(spark, sf):
     k = F.col("s_suppkey")

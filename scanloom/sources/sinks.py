@@ -7,11 +7,13 @@ appended with a batch number, and the state at any time is the newest row of eac
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays
+from ..functions import arrays, geometry
+from ..operators import align
 
 
 def table_path(base: str, run_uid: str, kind: str) -> str:
@@ -171,6 +173,70 @@ def dump_scan(frames: DataFrame, positions: DataFrame, base: str, run_uid: str,
     return meta
 
 
+@dataclass(frozen=True)
+class OfflineScan:
+    """How raw frames and samples become a scan for offline work.
+
+    h, w: of the raw frames; roi: rows y0 to y1 and columns x0 to x1 after the flip; flip and orientation: symmetries before
+    and after the crop; top: the number that marks saturation; hot: above it a pixel is hot (None: none is); bad: pixels of
+    the cropped frame that are inpainted; ratios, ways and the angle turn encoder counts into um; meta: further scalars."""
+
+    h: int
+    w: int
+    roi: tuple[int, int, int, int]
+    flip: str = "flipud"
+    orientation: str = "identity"
+    top: int = 65535
+    hot: float | None = None
+    bad: tuple[int, ...] = ()
+    x_ratio: float = 1.0
+    y_ratio: float = 1.0
+    x_way: int = 1
+    y_way: int = 1
+    angle: float = 0.0
+    meta: dict = field(default_factory=dict)
+
+
+def offline_frames(frames: DataFrame, scan: OfflineScan) -> DataFrame:
+    """frame_id, dp: frames flipped, cropped, without saturated and hot pixels, bad ones inpainted, then oriented."""
+    y0, y1, x0, x1 = scan.roi
+    px = arrays.crop(arrays.orient(F.col("px"), scan.flip, scan.h, scan.w), scan.w, y0, y1, x0, x1)
+    px = arrays.hot_to_zero(arrays.saturated_to_zero(px, scan.top), scan.hot)
+    px = arrays.inpaint(px, y1 - y0, x1 - x0, list(scan.bad))
+    return frames.select("frame_id", arrays.orient(px, scan.orientation, y1 - y0, x1 - x0).alias("dp"))
+
+
+def offline_positions(frames: DataFrame, samples: DataFrame, scan: OfflineScan) -> DataFrame:
+    """frame_id, slow_um, fast_um of every frame, null where no position is known.
+
+    samples: sample, x (fast), y (slow), as many a frame as there are whole multiples of frames.  Values below 1,000 on
+    either axis are um already and taken as such.  The fast axis is foreshortened by the angle, and from -45 degrees down it
+    is mirrored."""
+    counts = frames.agg(F.count("*").alias("n")).crossJoin(F.broadcast(samples.agg(F.count("*").alias("m"), F.max(F.abs("x")).alias("x"), F.max(F.abs("y")).alias("y")))).first()
+    per_frame = max(1, counts["m"] // max(1, counts["n"]))
+    in_um = (counts["x"] or 0.0) < 1e3 or (counts["y"] or 0.0) < 1e3
+    scale = lambda c, ratio, way: F.col(c) if in_um and ratio else geometry.to_um(F.col(c), ratio, way)
+    mean = align.downsample(samples, per_frame)
+    fast = geometry.handed(geometry.foreshorten(scale("x", scan.x_ratio, scan.x_way), scan.angle), scan.angle, True) if scan.angle else scale("x", scan.x_ratio, scan.x_way)
+    return frames.select("frame_id").join(mean.select("frame_id", scale("y", scan.y_ratio, scan.y_way).alias("slow_um"), fast.alias("fast_um")), "frame_id", "left")
+
+
+def write_offline(frames: DataFrame, samples: DataFrame, base: str, run_uid: str, scan: OfflineScan) -> dict:
+    """Frames, positions and scalars of a scan as tables of the run; the normalisation, the brightest pixel that is neither
+    hot nor saturated, is one aggregate, the frames are written in a second pass.  Returns the scalars."""
+    y0, y1, x0, x1 = scan.roi
+    cut = arrays.saturated_to_zero(arrays.crop(arrays.orient(F.col("px"), scan.flip, scan.h, scan.w), scan.w, y0, y1, x0, x1), scan.top)
+    within = F.filter(cut, lambda v: v <= scan.hot) if scan.hot is not None else cut
+    top = frames.agg(F.max(F.array_max(within)).alias("m")).first()["m"]
+    overwrite(offline_frames(frames, scan), base, run_uid, "frames")
+    overwrite(offline_positions(frames, samples, scan), base, run_uid, "positions")
+    h, w = arrays.oriented_shape(scan.orientation, y1 - y0, x1 - x0)
+    meta = scan.meta | {"normalization": float(top or 0), "dp_orient": scan.orientation, "flip": scan.flip, "hot_pixel_count_threshold": scan.hot, "batch_x0": x0, "batch_y0": y0, "nx": w, "ny": h}
+    meta |= {"x_ratio": scan.x_ratio, "y_ratio": scan.y_ratio, "x_direction": scan.x_way, "y_direction": scan.y_way, "angle": scan.angle}
+    start_run(frames.sparkSession, base, run_uid, meta)
+    return meta
+
+
 def publish(df: DataFrame, path: str, order: str, size: int) -> int:
     """A table as files of `size` rows each, file_no=0, 1, ..., in an input folder of a stream; the number of files.
 
