@@ -751,7 +751,16 @@ def infer_patches(spark, sf):
     return tall.select("frame_id", F.col("k").cast("bigint").alias("k"), F.round("v.amp", 6).alias("amp"), F.round("v.phase", 6).alias("phase"))
 
 
-@query("center_box")
+_BEAM = f"""WITH RECURSIVE {FRAMES}, m AS (SELECT grp, k, avg(px[k + 1]) AS m FROM f, (SELECT unnest(range(64)) AS k) GROUP BY 1, 2),
+t AS (SELECT grp, max(m) AS top FROM m GROUP BY 1), b AS (SELECT grp, k FROM m JOIN t USING (grp) WHERE m > 0.5 * top AND top > 0),
+r AS (SELECT grp, k AS src, k FROM b UNION SELECT r.grp, r.src, b.k FROM r JOIN b ON b.grp = r.grp AND (abs(b.k - r.k) = 8 OR (abs(b.k - r.k) = 1 AND b.k // 8 = r.k // 8))),
+l AS (SELECT grp, k, min(src) AS root FROM r GROUP BY 1, 2), s AS (SELECT grp, root, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, root) AS n FROM l GROUP BY 1, 2),
+x AS (SELECT grp, min(k // 8) AS a, max(k // 8) + 1 AS b, min(k % 8) AS c, max(k % 8) + 1 AS d FROM l JOIN s USING (grp, root) WHERE n = 1 GROUP BY 1),
+p AS (SELECT *, round_even((a + b) / 2.0 - 2, 0) AS py, round_even((c + d) / 2.0 - 2, 0) AS px FROM x), q AS (SELECT *, least(greatest(py, 0), 4) AS ky, least(greatest(px, 0), 4) AS kx FROM p)
+SELECT t.grp, CAST(ky AS INTEGER) AS y0, CAST(ky + 4 AS INTEGER) AS y1, CAST(kx AS INTEGER) AS x0, CAST(kx + 4 AS INTEGER) AS x1, coalesce(ky <> py OR kx <> px, false) AS clamped, CAST(a AS INTEGER) AS by0, CAST(b AS INTEGER) AS by1, CAST(c AS INTEGER) AS bx0, CAST(d AS INTEGER) AS bx1 FROM t LEFT JOIN q USING (grp)"""
+
+
+@query("center_box", _BEAM)
 def center_box(spark, sf):
     from ..operators.blob import center_box as box
 
