@@ -28,6 +28,16 @@ def test_slow_axis_is_the_same_with_missing_numbers(spark):
     assert lines.slow_axis(track(spark).select("frame_id", F.lit(None).cast("double").alias("u"), "v"), ("u", "v")) is None
 
 
+def test_slow_axis_is_no_column_that_hardly_moves(spark):
+    """Every value of v is within the tolerance of a flat line, more than the share of u, which has stale frames."""
+    df = track(spark, missing=False).select("frame_id", (F.col("u") + F.when(F.col("frame_id") % 25 == 0, 20.0).otherwise(0.0)).alias("u"), (F.col("frame_id") * 37 % 101 / 101).alias("v"))
+    name, (a, b), tol = lines.slow_axis(df, ("u", "v"), span=20.0)
+    assert name == "u" and abs(b - 0.01) < 1e-9
+    pdf = df.toPandas()
+    found = lines.slow_axis_points(pdf.frame_id.to_numpy(float), [pdf.u.to_numpy(), pdf.v.to_numpy()], 20.0, 512, 0.6)
+    assert found[0] == 0 and abs(found[2] - 0.01) < 1e-9
+
+
 def test_line_of_points_equals_the_line_of_rows(spark):
     df = track(spark, missing=False)
     pdf = df.toPandas()
