@@ -15,15 +15,15 @@ def scatter_add(patches: DataFrame, h: int, w: int, value: str = "px", y: str =
     """keys, y, x, s, c: the sum and the count of all pixels that fall on a canvas pixel.
 
     A patch is centred on the nearest whole pixel (halves to the even one).  Tasks add up their patches on tiles, so the
-    shuffle has a row for each tile of a task."""
-    canvas = tiles.pixels(tiles.partial_tiles(patches, h, w, (value,), y, x, keys), (value,), keys)
+    shuffle has a pixel once for each task that covers it."""
+    canvas = tiles.pixels(tiles.partial_pixels(patches, h, w, (value,), y, x, keys), (value,), keys)
     return canvas.select(*keys, "y", "x", F.col(f"s_{value}").alias("s"), "c")
 
 
 def scatter_add_all(patches: DataFrame, h: int, w: int, values: tuple[str, ...], y: str = "cy", x: str = "cx", keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, y, x, c and s_<value> of each value: several arrays of one patch (such as amplitude and phase) in lockstep,
     so a canvas never has a patch in one of them and not in the other.  Patches that lack one do not count."""
-    return tiles.pixels(tiles.partial_tiles(patches, h, w, values, y, x, keys), values, keys)
+    return tiles.pixels(tiles.partial_pixels(patches, h, w, values, y, x, keys), values, keys)
 
 
 def in_canvas(patches: DataFrame, half_y: int, half_x: int, height: int, width: int, y: str = "cy", x: str = "cx") -> DataFrame:
@@ -106,5 +106,5 @@ def mask_uncovered(obj: DataFrame, alpha: float) -> DataFrame:
 def stitch_interpolated(patches: DataFrame, h: int, w: int, value: str = "px") -> DataFrame:
     """As scatter_add, but each pixel is dealt to the four canvas pixels around its exact place by distance; only
     pixels that are not 0 count.  v: the weighted mean."""
-    dealt = tiles.pixels(tiles.partial_tiles(patches, h, w, (value,), linear=True), (value,), whole_counts=False)
+    dealt = tiles.pixels(tiles.partial_pixels(patches, h, w, (value,), linear=True), (value,), whole_counts=False)
     return dealt.select("y", "x", "c", (F.col(f"s_{value}") / F.col("c")).alias("v"))

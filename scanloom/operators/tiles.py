@@ -1,4 +1,4 @@
-"""Patches added up on dense tiles: a task keeps tiles of the canvas as arrays and sends each once, not a row a pixel."""
+"""Patches added up on dense tiles: a task keeps tiles of the canvas as arrays and sends each once, whole or as its pixels."""
 
 from __future__ import annotations
 
@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 TILE = 64
 #: Tiles that a task holds at most before it sends them on.
 HELD = 256
+#: Tiles that a task sends in one batch of rows.
+SENT = 16
 
 
 def _kinds(df: DataFrame, columns: tuple[str, ...]) -> str:
     return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
 
 
-def partial_tiles(patches: DataFrame, h: int, w: int, values: tuple[str, ...], y: str = "cy", x: str = "cx", keys: tuple[str, ...] = (), linear: bool = False) -> DataFrame:
-    """keys, ty, tx, tile: the sums of each task's patches; tile is the count and then each value, 64-bit floats row by row.
+def _summed(patches: DataFrame, h: int, w: int, values: tuple[str, ...], y: str, x: str, keys: tuple[str, ...], linear: bool, sent, kind: str) -> DataFrame:
+    """The sums of each task's patches: sent(places, tiles) gives the columns of some tiles, as kind names them.
 
     A patch (h x w numbers in each of `values`) lies with its centre on the nearest whole pixel, halves on the even one; with
     `linear` each pixel is dealt to the four around its exact place by distance, and only pixels that are not 0 count.  A
@@ -35,10 +37,11 @@ def partial_tiles(patches: DataFrame, h: int, w: int, values: tuple[str, ...], y
         tiles: dict[tuple, np.ndarray] = {}
 
         def out():
-            names, data = list(tiles), [t.tobytes() for t in tiles.values()]
-            tiles.clear()
-            columns = [pa.array([k[0][i] for k in names], kinds[i]) for i in range(len(keys))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([k[1] for k in names], pa.int64()), pa.array([k[2] for k in names], pa.int64()), pa.array(data, pa.binary())], names=[*keys, "ty", "tx", "tile"])
+            """The tiles held longest."""
+            places = list(tiles)[:SENT]
+            repeats, columns = sent([p[1:] for p in places], [tiles.pop(p) for p in places])
+            own = [pa.array([p[0][i] for p in places], kinds[i]).take(pa.array(repeats)) for i in range(len(keys))]
+            return pa.RecordBatch.from_arrays([*own, *columns.values()], names=[*keys, *columns])
 
         def add(key, top: int, left: int, stack: np.ndarray):
             """Adds count and values of a patch at a place of the canvas."""
@@ -81,7 +84,8 @@ def partial_tiles(patches: DataFrame, h: int, w: int, values: tuple[str, ...], y
             else:
                 ys, xs = np.rint(cy) - h // 2, np.rint(cx) - w // 2
             tops, lefts = np.floor(ys).astype(np.int64).tolist(), np.floor(xs).astype(np.int64).tolist()
-            for i in range(rows):
+            # patches of a tile one after the other, so that few tiles are open at a time
+            for i in np.lexsort((np.floor_divide(lefts, TILE), np.floor_divide(tops, TILE))).tolist():
                 if not linear:
                     add(names[i], tops[i], lefts[i], stack[i])
                 else:
@@ -89,13 +93,51 @@ def partial_tiles(patches: DataFrame, h: int, w: int, values: tuple[str, ...], y
                         for dx, share in ((0, (1 - fx[i]) * part), (1, fx[i] * part)):
                             if share > 0:
                                 add(names[i], tops[i] + dy, lefts[i] + dx, stack[i] * share)
-                if len(tiles) > HELD:
+                while len(tiles) > HELD:
                     yield out()
-        if tiles:
+        while tiles:
             yield out()
 
     source = whole.select(*keys, F.col(y).cast("double").alias("_cy"), F.col(x).cast("double").alias("_cx"), *values)
-    return source.mapInArrow(run, f"{_kinds(patches, keys)}ty bigint, tx bigint, tile binary")
+    return source.mapInArrow(run, _kinds(patches, keys) + kind)
+
+
+def partial_tiles(patches: DataFrame, h: int, w: int, values: tuple[str, ...], y: str = "cy", x: str = "cx", keys: tuple[str, ...] = (), linear: bool = False) -> DataFrame:
+    """keys, ty, tx, tile: the sums of each task's patches; tile is the count and then each value, 64-bit floats row by row."""
+
+    def sent(places, tiles):
+        import pyarrow as pa
+
+        ty, tx = (pa.array([p[i] for p in places], pa.int64()) for i in (0, 1))
+        return np.arange(len(places)), {"ty": ty, "tx": tx, "tile": pa.array([t.tobytes() for t in tiles], pa.binary())}
+
+    return _summed(patches, h, w, values, y, x, keys, linear, sent, "ty bigint, tx bigint, tile binary")
+
+
+def partial_pixels(patches: DataFrame, h: int, w: int, values: tuple[str, ...], y: str = "cy", x: str = "cx", keys: tuple[str, ...] = (), linear: bool = False) -> DataFrame:
+    """keys, y, x, c and s_<value> (64-bit floats): the same sums as rows of the pixels that any patch covers.
+
+    A tile takes as much memory for one patch as for many, and where the canvas grows with the input there are as many as
+    patches; pixels are no more than the patches have."""
+    names = [f"s_{v}" for v in values]
+
+    def sent(places, tiles):
+        import pyarrow as pa
+
+        at = [np.flatnonzero(t[0]) for t in tiles]
+        repeats = np.repeat(np.arange(len(places)), [len(a) for a in at])
+        place, (ty, tx) = np.concatenate(at), np.array(places, np.int64).reshape(-1, 2).T
+        sums = [np.concatenate([t[j].ravel()[a] for t, a in zip(tiles, at)]) for j in range(len(names) + 1)]
+        where = {"y": ty[repeats] * TILE + place // TILE, "x": tx[repeats] * TILE + place % TILE}
+        return repeats, {k: pa.array(v) for k, v in (where | dict(zip(["c", *names], sums))).items()}
+
+    return _summed(patches, h, w, values, y, x, keys, linear, sent, ", ".join(["y bigint", "x bigint", "c double", *[f"`{n}` double" for n in names]]))
+
+
+def pixels(partial: DataFrame, values: tuple[str, ...], keys: tuple[str, ...] = (), whole_counts: bool = True) -> DataFrame:
+    """keys, y, x, c and s_<value> of each pixel, of partial sums of pixels."""
+    out = partial.groupBy(*keys, "y", "x").agg(F.sum("c").alias("c"), *[F.sum(f"s_{v}").alias(f"s_{v}") for v in values])
+    return out.withColumn("c", F.rint("c").cast("bigint")) if whole_counts else out
 
 
 def _merged(batches, keys: tuple[str, ...]):
@@ -152,26 +194,3 @@ def _chunks(items, most: int):
             held = []
     if held:
         yield held
-
-
-def pixels(tiles: DataFrame, values: tuple[str, ...], keys: tuple[str, ...] = (), whole_counts: bool = True) -> DataFrame:
-    """keys, y, x, c and s_<value> of each pixel that any patch covers, of tiles that may come in several parts."""
-    n = len(values)
-    count = "bigint" if whole_counts else "double"
-    types = _arrow_types(tiles, keys)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for name, tile in _merged(batches, keys):
-            stack = tile.reshape(n + 1, TILE * TILE)
-            at = np.flatnonzero(stack[0])
-            ty, tx = name[-2:]
-            columns = [pa.repeat(pa.scalar(k, t), len(at)) for k, t in zip(name[:-2], types(pa))]
-            c = stack[0][at]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(ty * TILE + at // TILE), pa.array(tx * TILE + at % TILE), pa.array(np.rint(c).astype(np.int64) if whole_counts else c), *(pa.array(stack[j + 1][at]) for j in range(n))], names=[*keys, "y", "x", "c", *(f"s_{v}" for v in values)]
-            )
-
-    sums = "".join(f", `s_{v}` double" for v in values)
-    return _together(tiles, keys).mapInArrow(run, f"{_kinds(tiles, keys)}y bigint, x bigint, c {count}{sums}")

@@ -1,4 +1,4 @@
-"""Mosaics that grow with a stream: each micro-batch adds its own tiles, and a scan's canvas is archived when it ends."""
+"""Mosaics that grow with a stream: each micro-batch adds its own pixels, and a scan's canvas is archived when it ends."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ class LiveMosaic:
     """Canvases below a folder, one for each value of `keys`, of patches (keys, cy, cx and an h x w array in each of
     `values`) that come in micro-batches.
 
-    A batch writes the sums of its own patches, one row a tile, to a folder of its number: a batch that runs again replaces
+    A batch writes the sums of its own patches, one row a pixel, to a folder of its number: a batch that runs again replaces
     itself, and its cost is that of its patches, not of the canvas.  Every `every` batches what was written so far is
     added up into one folder, which counts in place of all up to it; those before it go at the next time."""
 
@@ -26,7 +26,7 @@ class LiveMosaic:
 
     def write(self, patches: DataFrame, batch: int) -> None:
         """For foreachBatch."""
-        added = tiles.merged_tiles(tiles.partial_tiles(patches, self.h, self.w, self.values, keys=self.keys), self.keys)
+        added = tiles.pixels(tiles.partial_pixels(patches, self.h, self.w, self.values, keys=self.keys), self.values, self.keys, whole_counts=False)
         self.schema = added.schema
         added.write.mode("overwrite").parquet(f"{self.base}/batch={batch}")
         if batch % self.every == self.every - 1:
@@ -34,7 +34,7 @@ class LiveMosaic:
 
     def _add_up(self, upto: int) -> None:
         before, sums = self._folders()
-        tiles.merged_tiles(self._read(), self.keys).write.mode("overwrite").parquet(f"{self.base}/sum={upto}")
+        tiles.pixels(self._read(), self.values, self.keys, whole_counts=False).write.mode("overwrite").parquet(f"{self.base}/sum={upto}")
         fs, _ = file_system(self.spark, self.base)
         for name in [f"sum={n}" for n in sums if n < upto] + [f"batch={n}" for n in before if n <= max(sums, default=-1)]:
             fs.delete(file_system(self.spark, f"{self.base}/{name}")[1], True)

@@ -193,6 +193,15 @@ def test_tiles_send_a_row_for_each_tile_and_task(spark):
         mosaic.scatter_add(p, 20, 21).collect()
 
 
+def test_scattered_patches_send_their_pixels_and_no_more(spark):
+    """Each patch lies on a tile of its own, so whole tiles would be 1,024 times its pixels."""
+    p = spark.range(300, numPartitions=3).select(F.array(*[F.lit(2.0)] * 4).alias("px"), (F.col("id") * 64 + 10.0).alias("cy"), (F.col("id") * 7 % 11 * 64 + 10.0).alias("cx"))
+    sent = tiles.partial_pixels(p, 2, 2, ("px",))
+    assert sent.count() == 1200 and sent.agg(F.sum("c"), F.sum("s_px")).first() == (1200.0, 2400.0)
+    canvas = mosaic.scatter_add(p, 2, 2)
+    assert canvas.count() == 1200 and "binary" not in canvas._jdf.queryExecution().analyzed().treeString() and "tile" not in canvas._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_start_waits_for_the_first_look_at_the_source(spark, tmp_path):
     q = lambda s, c: [files(s, tmp_path, "e", s.range(5), 1, "id long").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/ec").start()]
     engine = Engine(spark, q)
