@@ -42,43 +42,71 @@ def _kinds(df: DataFrame, columns) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
+#: Runs are dealt to this many groups of state: a group's runs share its calls of the state store.
+BUCKETS = 4096
+#: Numbers (of frames, of packets) whose state is read and written together.
+BLOCK = 64
+
+
+def _bucket(*keys: str):
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")
+
+
 class LatePositions(StatefulProcessor):
     """Holds frames until their position comes; a key's state is its position or its waiting frames.
 
     A second frame of a key is a frame of its own; a second position takes the place of the first.  keep_ms: how long a
-    position or a waiting frame is kept after it was written."""
+    position or a waiting frame is kept after it was written.  The keys of a group share its lists, which are read whole."""
 
-    def __init__(self, keys: list[str], payload: list[tuple[str, T.DataType]], keep_ms: int | None):
-        self.keys, self.names = keys, [n for n, _ in payload]
-        self.casts, self.kind, self.keep_ms = [_plain(k) for _, k in payload], ", ".join(f"`{n}` {k.simpleString()}" for n, k in payload), keep_ms
+    def __init__(self, key: tuple[str, T.DataType], payload: list[tuple[str, T.DataType]], names: list[str], keep_ms: int | None):
+        self.key, self.names, self.keep_ms, kind = _plain(key[1]), names, keep_ms, f"k {key[1].simpleString()}, at bigint"
+        self.casts = [_plain(k) for _, k in payload]
+        self.places = f"{kind}, cy double, cx double"
+        self.frames = ", ".join([kind, *(f"`p{i}` {k.simpleString()}" for i, (_, k) in enumerate(payload))])
 
     def init(self, handle):
-        self.place = handle.getValueState("place", "cy double, cx double", self.keep_ms)
-        self.waiting = handle.getListState("waiting", self.kind, self.keep_ms)
+        self.place = handle.getListState("place", self.places, self.keep_ms)
+        self.waiting = handle.getListState("waiting", self.frames, self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        new = []
+        now = 0 if self.keep_ms is None else timerValues.getCurrentProcessingTimeInMs()
+        live = lambda row: self.keep_ms is None or row[1] + self.keep_ms > now  # noqa: E731  rows that are written again keep their time
+        frames, placed = [], {}
         for pdf in rows:
-            # by their order, as pandas gets other names for some: keys, whether it is a position, the frame's columns, cy, cx
-            columns = [pdf.iloc[:, i] for i in range(len(self.keys), pdf.shape[1])]
-            for is_place, cy, cx, *values in zip(columns[0], *columns[-2:], *columns[1:-2]):
+            # by their order, as pandas gets other names for some: group, key, whether it is a position, the frame's columns, cy, cx
+            columns = [pdf.iloc[:, i] for i in range(len(key), pdf.shape[1])]
+            for k, is_place, cy, cx, *values in zip(*columns[:2], *columns[-2:], *columns[2:-2]):
+                k = self.key(k)
                 if is_place:
-                    self.place.update((float(cy), float(cx)))
+                    placed[k] = (k, now, float(cy), float(cx))
                 else:
-                    new.append(tuple(cast(v) for cast, v in zip(self.casts, values)))
-        if not self.place.exists():
-            if new:
-                self.waiting.appendList(new)
-            return
-        if self.waiting.exists():
-            new = [tuple(cast(v) for cast, v in zip(self.casts, w)) for w in self.waiting.get()] + new
-            self.waiting.clear()
-        if new:
-            cy, cx = self.place.get()
-            columns = {k: [v] * len(new) for k, v in zip(self.keys, key)} | {n: list(c) for n, c in zip(self.names, zip(*new))}
-            yield pd.DataFrame(columns | {"cy": [cy] * len(new), "cx": [cx] * len(new)})
+                    frames.append((k, now, *(cast(v) for cast, v in zip(self.casts, values))))
+        old = [tuple(p) for p in self.place.get() if live(p)] if self.place.exists() else []
+        places = {p[0]: p for p in old} | placed
+        if placed:
+            if len(places) < len(old) + len(placed):
+                self.place.put(list(places.values()))
+            else:
+                self.place.appendList(list(placed.values()))
+        ready = [f for f in frames if f[0] in places]
+        wait = [f for f in frames if f[0] not in places]
+        if placed and self.waiting.exists():
+            held = [(self.key(w[0]), w[1], *(cast(v) for cast, v in zip(self.casts, w[2:]))) for w in self.waiting.get() if live(w)]
+            came = [w for w in held if w[0] in placed]
+            if came:
+                ready = came + ready
+                wait = [w for w in held if w[0] not in placed] + wait
+                self.waiting.clear()
+        if wait:
+            self.waiting.appendList(wait)
+        if ready:
+            known = list(zip(*(places[f[0]] for f in ready)))
+            group = {k: [v] * len(ready) for k, v in zip(self.names, key[1:])}
+            numbers, _, *values = zip(*ready)
+            rest = self.names[len(group) :]
+            yield pd.DataFrame(group | {n: list(c) for n, c in zip(rest, (numbers, *values))} | {"cy": list(known[2]), "cx": list(known[3])})
 
     def close(self):
         pass
@@ -89,54 +117,97 @@ def join_late(frames: DataFrame, positions: DataFrame, keys: tuple[str, ...] = (
     whichever comes first.
 
     A position that is null, NaN or infinite in one axis is not there yet: its frame waits for another.  Where frame
-    numbers start anew, run and scan belong into the keys.  State of a key is freed keep_seconds after it was last written
-    (processing time); None keeps it for ever."""
+    numbers start anew, run and scan belong into the keys.  The last key is the frame's number: 64 of them in a row are
+    a group of state.  State of a key is freed keep_seconds after it was last written (processing time); None keeps it for
+    ever."""
+    *outer, last = keys
+    kind = frames.schema[last].dataType
     payload = [c for c in frames.columns if c not in keys]
     kinds = [(c, frames.schema[c].dataType) for c in payload]
-    f = frames.select(*keys, F.lit(False).alias("is_place"), *payload, F.lit(None).cast("double").alias("cy"), F.lit(None).cast("double").alias("cx"))
-    p = positions.where(known("cy", "cx")).select(*keys, F.lit(True).alias("is_place"), *[F.lit(None).cast(k).alias(c) for c, k in kinds], F.col("cy").cast("double").alias("cy"), F.col("cx").cast("double").alias("cx"))
+    group = F.floor(F.col(last) / BLOCK) if isinstance(kind, T.IntegralType) else F.xxhash64(last)
+    own = [group.cast("bigint").alias("_block"), *outer, F.col(last).cast(kind).alias(last)]
+    f = frames.select(*own, F.lit(False).alias("is_place"), *payload, F.lit(None).cast("double").alias("cy"), F.lit(None).cast("double").alias("cx"))
+    p = positions.where(known("cy", "cx")).select(*own, F.lit(True).alias("is_place"), *[F.lit(None).cast(k).alias(c) for c, k in kinds], F.col("cy").cast("double").alias("cy"), F.col("cx").cast("double").alias("cx"))
     keep_ms = None if keep_seconds is None else max(1, int(keep_seconds * 1000))
     out = f"{_kinds(frames, [*keys, *payload])}, cy double, cx double"
-    return f.unionByName(p).groupBy(*keys).transformWithStateInPandas(LatePositions(list(keys), kinds, keep_ms), out, "append", "none" if keep_ms is None else "processingTime")
+    processor = LatePositions((last, kind), kinds, [*keys, *payload], keep_ms)
+    return f.unionByName(p).groupBy("_block", *outer).transformWithStateInPandas(processor, out, "append", "none" if keep_ms is None else "processingTime")
 
 
 class InOrder(StatefulProcessor):
     """Lets packets (number, x, y: samples of two channels) pass from 0 on without a gap; what comes early waits, what has
     passed is dropped.
 
-    Waiting packets are read one by one as their turn comes, so a batch costs what it lets pass.  patience: how many
-    packets may wait before a missing one is given up; None waits for ever."""
+    Packets wait by blocks of numbers, those of all runs of a group together, so a batch costs the blocks that it brings or
+    lets pass.  patience: how many packets of a run may wait before a missing one is given up; None waits for ever."""
 
-    def __init__(self, patience: int | None = None):
-        self.patience = patience
+    def __init__(self, patience: int | None, kind: str):
+        self.patience, self.kind = patience, kind
 
     def init(self, handle):
-        self.turn = handle.getValueState("turn", "due bigint, waiting bigint")
-        self.early = handle.getMapState("early", "n bigint", "x array<double>, y array<double>")
+        self.turn = handle.getValueState("turn", f"run array<{self.kind}>, due array<bigint>, waiting array<bigint>")
+        self.early = handle.getMapState("early", "block bigint", f"run array<{self.kind}>, n array<bigint>, x array<array<double>>, y array<array<double>>")
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        due, waiting = self.turn.get() if self.turn.exists() else (0, 0)
+        turns = {run: [due, waiting] for run, due, waiting in zip(*self.turn.get())} if self.turn.exists() else {}
+        blocks: dict[int, dict] = {}  # those looked at: packets by run and number
+        changed, stored = set(), set()
+
+        def block(b: int) -> dict:
+            if b not in blocks:
+                blocks[b] = {}
+                if self.early.containsKey((b,)):
+                    blocks[b] = {(run, n): (x, y) for run, n, x, y in zip(*self.early.getValue((b,)))}
+                    stored.add(b)
+            return blocks[b]
+
+        touched = []
         for pdf in rows:
-            for n, x, y in zip(pdf["number"], pdf["x"], pdf["y"]):
-                if n >= due and not self.early.containsKey((int(n),)):
-                    self.early.updateValue((int(n),), ([float(v) for v in x], [float(v) for v in y]))
-                    waiting += 1
+            for run, n, x, y in zip(pdf["run"].tolist(), pdf["number"].tolist(), pdf["x"], pdf["y"]):
+                run = None if run != run else run
+                if run not in turns:
+                    turns[run] = [0, 0]
+                touched.append(run)
+                if n >= turns[run][0] and (run, n) not in block(n // BLOCK):
+                    block(n // BLOCK)[run, n] = (x, y)
+                    changed.add(n // BLOCK)
+                    turns[run][1] += 1
         out = []
-        while waiting:
-            if not self.early.containsKey((due,)):
-                if self.patience is None or waiting <= self.patience:
-                    break
-                due = min(k[0] for k in self.early.keys())
-            x, y = self.early.getValue((due,))
-            self.early.removeKey((due,))
-            out.append((key[0], due, list(x), list(y)))
-            due, waiting = due + 1, waiting - 1
-        self.turn.update((due, waiting))
+        for run in dict.fromkeys(touched):
+            due, waiting = turns[run]
+            while waiting:
+                packet = block(due // BLOCK).pop((run, due), None)
+                if packet is None:
+                    if self.patience is None or waiting <= self.patience:
+                        break
+                    due = self._next(run, due, block, {*blocks, *(k[0] for k in self.early.keys())})
+                    continue
+                changed.add(due // BLOCK)
+                out.append((run, due, list(packet[0]), list(packet[1])))
+                due, waiting = due + 1, waiting - 1
+            turns[run] = [due, waiting]
+        for b in changed:
+            if blocks[b]:
+                runs, numbers = zip(*blocks[b])
+                x, y = ([[float(v) for v in packet[i]] for packet in blocks[b].values()] for i in (0, 1))
+                self.early.updateValue((b,), (list(runs), list(numbers), x, y))
+            elif b in stored:
+                self.early.removeKey((b,))
+        self.turn.update((list(turns), *([t[i] for t in turns.values()] for i in (0, 1))))
         if out:
             yield pd.DataFrame(out, columns=["run", "number", "x", "y"])
 
+    @staticmethod
+    def _next(run, due: int, block, known: set[int]) -> int:
+        """The least number of a run's waiting packets."""
+        for b in sorted(known):
+            numbers = [n for r, n in block(b) if r == run] if b >= due // BLOCK else []
+            if numbers:
+                return min(numbers)
+        raise RuntimeError(f"packets of run {run} wait that are not there")
+
     def close(self):
         pass
 
@@ -144,7 +215,7 @@ class InOrder(StatefulProcessor):
 def in_order(packets: DataFrame, patience: int | None = None) -> DataFrame:
     """run, number, x, y in order of number within each run (x, y: arrays of the two channels)."""
     kind = packets.schema["run"].dataType.simpleString()
-    return packets.select("run", "number", "x", "y").groupBy("run").transformWithStateInPandas(InOrder(patience), f"run {kind}, number bigint, x array<double>, y array<double>", "append", "none")
+    return packets.select(_bucket("run"), "run", "number", "x", "y").groupBy("_bucket").transformWithStateInPandas(InOrder(patience, kind), f"run {kind}, number bigint, x array<double>, y array<double>", "append", "none")
 
 
 class ScanSplit(StatefulProcessor):
@@ -272,27 +343,46 @@ def slow_gate(rows: DataFrame, span: float | None = None, min_frames: int = 512,
 
 
 class PointGate(StatefulProcessor):
-    """Holds a run's samples until there are more than `least`; then those and all later ones pass."""
+    """Holds each run's samples until there are more than `least`; then those and all later ones pass.
 
-    def __init__(self, least: int):
-        self.least = least
+    Only what has to wait is written into state: no more than `least` samples of a run."""
+
+    def __init__(self, least: int, kind: str):
+        self.least, self.kind = least, kind
 
     def init(self, handle):
-        self.open = handle.getValueState("open", "is boolean")
-        self.waiting = handle.getListState("waiting", "sample bigint, x double, y double")
+        self.seen = handle.getValueState("seen", f"run array<{self.kind}>, n array<bigint>")  # n -1: open
+        self.waiting = handle.getListState("waiting", f"run {self.kind}, sample bigint, x double, y double")
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        new = pd.concat(list(rows))[["sample", "x", "y"]]
-        if not self.open.exists():
-            self.waiting.appendList([(int(s), float(x), float(y)) for s, x, y in new.itertuples(index=False)])
-            new = pd.DataFrame(list(self.waiting.get()), columns=["sample", "x", "y"])
-            if len(new) <= self.least:
-                return
-            self.open.update((True,))
+        names = ["run", "sample", "x", "y"]
+        new = pd.concat(list(rows))[names]
+        seen = dict(zip(*self.seen.get())) if self.seen.exists() else {}
+        before = dict(seen)
+        for run, n in new.groupby("run", dropna=False, sort=False).size().items():
+            run = None if run != run else run.item() if hasattr(run, "item") else run
+            have = seen.get(run, 0)
+            if have >= 0:
+                seen[run] = have + n if have + n <= self.least else -1
+        if seen != before:
+            self.seen.update((list(seen), [int(n) for n in seen.values()]))
+        open_runs = {run for run, n in seen.items() if n < 0}
+        passes = new["run"].isin(open_runs - {None}) | (new["run"].isna() & (None in open_runs))
+        hold = list(new[~passes].itertuples(index=False, name=None))
+        hold = [(None if r != r else r, int(s), float(x), float(y)) for r, s, x, y in hold]
+        out = [new[passes]]
+        if any(before.get(run, 0) > 0 for run in open_runs):
+            held = list(self.waiting.get())
+            out.insert(0, pd.DataFrame([w for w in held if w[0] in open_runs], columns=names))
+            hold = [tuple(w) for w in held if w[0] not in open_runs] + hold
             self.waiting.clear()
-        yield pd.DataFrame({"run": key[0], "sample": new["sample"].to_numpy(), "x": new["x"].to_numpy(float), "y": new["y"].to_numpy(float)})
+        if hold:
+            self.waiting.appendList(hold)
+        out = pd.concat([o for o in out if len(o)]) if any(map(len, out)) else out[0]
+        if len(out):
+            yield pd.DataFrame({"run": out["run"].to_numpy(), "sample": out["sample"].to_numpy(), "x": out["x"].to_numpy(float), "y": out["y"].to_numpy(float)})
 
     def close(self):
         pass
@@ -301,7 +391,7 @@ class PointGate(StatefulProcessor):
 def min_points(samples: DataFrame, least: int) -> DataFrame:
     """run, sample, x, y: nothing of a run before it has more than `least` samples (points times samples a point)."""
     kind = samples.schema["run"].dataType.simpleString()
-    return samples.select("run", "sample", "x", "y").groupBy("run").transformWithStateInPandas(PointGate(least), f"run {kind}, sample bigint, x double, y double", "append", "none")
+    return samples.select(_bucket("run"), "run", "sample", "x", "y").groupBy("_bucket").transformWithStateInPandas(PointGate(least, kind), f"run {kind}, sample bigint, x double, y double", "append", "none")
 
 
 class PrefixRelease(StatefulProcessor):

@@ -193,6 +193,33 @@ def test_tiles_send_a_row_for_each_tile_and_task(spark):
         mosaic.scatter_add(p, 20, 21).collect()
 
 
+def test_runs_that_share_a_group_of_state_stay_apart(spark, tmp_path, monkeypatch):
+    from scanloom.streaming import stateful
+
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    names = [None, "a", "b", "c", "d"]
+    packets = [(r, n, [float(n)], [float(k)]) for k, r in enumerate(names) for n in range(150) if n != (k == 2) * 70 + (k != 2) * -1]
+    rows = spark.createDataFrame(packets, "run string, number long, x array<double>, y array<double>")
+    strict = drain(in_order(files(spark, tmp_path, "a", rows, 3, rows.schema)), "test-shared").collect()
+    want = [p for p in packets if p[0] != "b" or p[1] < 70]
+    assert sorted((str(r["run"]), r["number"], r["y"][0]) for r in strict) == sorted((str(r), n, y[0]) for r, n, _, y in want)
+    patient = drain(in_order(files(spark, tmp_path, "b", rows, 1, rows.schema), patience=20), "test-shared-2").collect()
+    assert sorted((str(r["run"]), r["number"]) for r in patient) == sorted((str(r), n) for r, n, _, _ in packets)
+    samples = spark.createDataFrame([(r, i, 1.0, 2.0) for k, r in enumerate(names) for i in range(10 + k)], "run string, sample long, x double, y double")
+    out = drain(min_points(files(spark, tmp_path, "s", samples, 4, samples.schema), 11), "test-shared-3").collect()
+    assert sorted((r["run"], r["sample"]) for r in out) == [(r, i) for k, r in enumerate(names) if k > 1 for i in range(10 + k)]
+
+
+def test_frames_in_a_row_share_a_group_of_state(spark, tmp_path):
+    kind = "frame_id long, px array<bigint>"
+    f = files(spark, tmp_path, "f", spark.createDataFrame([(i, [i]) for i in range(128)], kind), 2, kind)
+    p = files(spark, tmp_path, "p", spark.createDataFrame([(200, 0.0, 0.0)], "frame_id long, cy double, cx double"), 1, "frame_id long, cy double, cx double")
+    with state_store(spark, drains=True):
+        join_late(f, p).writeStream.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).format("noop").start().awaitTermination()
+    state = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{tmp_path}/c")
+    assert state.count() == 128 and state.select("key").distinct().count() == 2
+
+
 def test_scattered_patches_send_their_pixels_and_no_more(spark):
     """Each patch lies on a tile of its own, so whole tiles would be 1,024 times its pixels."""
     p = spark.range(300, numPartitions=3).select(F.array(*[F.lit(2.0)] * 4).alias("px"), (F.col("id") * 64 + 10.0).alias("cy"), (F.col("id") * 7 % 11 * 64 + 10.0).alias("cx"))
