@@ -1,7 +1,7 @@
 """A log of messages as a table, as a stream and as a sink: what detector and encoder publish, in the order of arrival.
 
 A log is a folder of segments, `segment-<number>-<messages>.log`, each a sequence of messages behind their lengths (4 bytes,
-big-endian).  Segments appear whole, by renaming, and are numbered without gaps, so a place in the log is a segment's number
+big-endian), with a file beside it of where some of them begin; one without is walked.  Segments appear whole, by renaming, and are numbered without gaps, so a place in the log is a segment's number
 and a message's place in it, the same for every reader and after every restart."""
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 _NAME = re.compile(r"segment-(\d+)-(\d+)\.log$")
 #: A message's length before it, and its bytes.
 _LENGTH, _LENGTH_BYTES = ">I", 4
+#: One message in this many has its place noted beside the segment, so that a reader need not walk to it.
+PLACED = 100
+_PLACE, _PLACE_BYTES = ">Q", 8
 
 
 def _folder(path: str):
@@ -35,11 +38,30 @@ def segments(path: str) -> list[tuple[int, int, str]]:
     return [s for i, s in enumerate(found) if s[0] == found[0][0] + i]
 
 
+def _places(file: str) -> str:
+    """The file beside a segment that says where every PLACED-th message begins: 8 bytes each, big-endian."""
+    return file.removesuffix(".log") + ".places"
+
+
+def _begin(files, file: str, skip: int) -> tuple[int, int]:
+    """(message, byte) of the last known place up to the message at `skip`; the segment's start where none is known."""
+    from pyarrow import fs
+
+    at = skip // PLACED
+    if at and files.get_file_info(_places(file)).type == fs.FileType.File:
+        with files.open_input_file(_places(file)) as f:
+            at = min(at, f.size() // _PLACE_BYTES - 1)
+            if at > 0:
+                return at * PLACED, struct.unpack(_PLACE, f.read_at(_PLACE_BYTES, at * _PLACE_BYTES))[0]
+    return 0, 0
+
+
 def read_messages(path: str, file: str, skip: int):
     """The messages of a segment from the one at `skip` on."""
     files, _ = _folder(path)
+    k, at = _begin(files, file, skip)
     with files.open_input_file(file) as f:
-        size, at, k = f.size(), 0, 0
+        size = f.size()
         while at < size:
             (n,) = struct.unpack(_LENGTH, f.read_at(_LENGTH_BYTES, at))
             if k >= skip:
@@ -47,6 +69,13 @@ def read_messages(path: str, file: str, skip: int):
             at, k = at + _LENGTH_BYTES + n, k + 1
 
 
+def _delete_places(files, file: str) -> None:
+    from pyarrow import fs
+
+    if files.get_file_info(_places(file)).type == fs.FileType.File:
+        files.delete_file(_places(file))
+
+
 def _is_header(message: bytes) -> bool:
     """Whether a message announces a frame: JSON with the key `frame`."""
     if not message.startswith(b"{"):
@@ -236,6 +265,7 @@ class _LogStream(_Log, DataSourceStreamReader):
             for number, _, file in segments(self.path):
                 if number < end["segment"]:
                     files.delete_file(file)
+                    _delete_places(files, file)
 
     def stop(self) -> None:
         pass
@@ -255,25 +285,36 @@ class _LogWriter(DataSourceWriter):
 
     def write(self, rows):
         files, base = _folder(self.path)
-        file, n = f"{base}/_writing-{uuid.uuid4().hex}", 0
+        file, n, at, places = f"{base}/_writing-{uuid.uuid4().hex}", 0, 0, []
         try:
             with files.open_output_stream(file) as f:
                 for row in rows:
                     for part in row[0]:
+                        if n % PLACED == 0:
+                            places.append(struct.pack(_PLACE, at))
                         f.write(struct.pack(_LENGTH, len(part)) + bytes(part))
-                        n += 1
+                        n, at = n + 1, at + _LENGTH_BYTES + len(part)
+            if len(places) > 1:
+                with files.open_output_stream(_places(file)) as f:
+                    f.write(b"".join(places))
         except BaseException:
             files.delete_file(file)
+            _delete_places(files, file)
             raise
         return _Written(file, n)
 
     def commit(self, messages):
+        from pyarrow import fs
+
         files, base = _folder(self.path)
         have = segments(self.path)
         number = have[-1][0] + 1 if have else 0
         for m in messages:
             if m is not None and m.messages:
-                files.move(m.file, f"{base}/segment-{number:010d}-{m.messages}.log")
+                name = f"{base}/segment-{number:010d}-{m.messages}.log"
+                if files.get_file_info(_places(m.file)).type == fs.FileType.File:
+                    files.move(_places(m.file), _places(name))  # first, so that a segment has its places when it appears
+                files.move(m.file, name)
                 number += 1
             elif m is not None:
                 files.delete_file(m.file)
@@ -283,3 +324,4 @@ class _LogWriter(DataSourceWriter):
         for m in messages:
             if m is not None:
                 files.delete_file(m.file)
+                _delete_places(files, m.file)

@@ -175,3 +175,45 @@ def test_stream_takes_all_without_a_bound_and_deletes_what_was_read(log, tmp_pat
     assert [s[0] for s in segments(path)][0] > 0
     with pytest.raises(Exception, match="state"):
         log.readStream.format("scan_messages").option("max_messages", "5").load(path).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c2").start().processAllAvailable()
+
+
+def test_a_reader_begins_near_its_message(spark, tmp_path, monkeypatch):
+    """A task that reads from message 990 of 1,000 on walks over no more than 100; without the noted places it walks all."""
+    import pyarrow.fs
+
+    from scanloom.sources import messages
+
+    spark.dataSource.register(messages.MessageLog)
+    path = f"{tmp_path}/log"
+    rows = spark.createDataFrame([([b"m%d" % i],) for i in range(1000)], "parts array<binary>").coalesce(1)
+    rows.write.format("scan_messages").mode("append").save(path)
+    (_, n, file), reads = messages.segments(path)[0], []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *e):
+            self.f.close()
+
+        def size(self):
+            return self.f.size()
+
+        def read_at(self, n, at):
+            reads.append(at)
+            return self.f.read_at(n, at)
+
+    local = pyarrow.fs.LocalFileSystem()
+
+    class Files:
+        get_file_info = staticmethod(local.get_file_info)
+        open_input_file = staticmethod(lambda p: Counted(local.open_input_file(p)))
+
+    monkeypatch.setattr(messages, "_folder", lambda p: (Files, p))
+    last = [b"m%d" % i for i in range(990, 1000)]
+    assert n == 1000 and list(messages.read_messages(path, file, 990)) == last and len(reads) <= 1 + 100 + 10
+    local.delete_file(messages._places(file))
+    assert list(messages.read_messages(path, file, 990)) == last
