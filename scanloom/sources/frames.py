@@ -19,6 +19,43 @@ TYPES = {"uint16": "<u2", "uint32": "<u4"}
 
 #: Encodings that are read here, and whether their bits are shuffled.
 PACKED = {"bs16-lz4<": True, "bs32-lz4<": True, "lz4<": False}
+#: Pixels that a task packs or unpacks at once.  A batch can hold many times its own size in pixels; what a task needs beside
+#: the batch does not grow with it, only with a single frame of more pixels.
+AT_ONCE = 1 << 18
+
+
+def _runs(pixels: np.ndarray):
+    """(first, end) of runs of frames with AT_ONCE pixels together at most; a larger frame is a run of its own."""
+    first, total = 0, 0
+    for i, n in enumerate(pixels.tolist()):
+        if i > first and total + n > AT_ONCE:
+            yield first, i
+            first, total = i, 0
+        total += n
+    if first < len(pixels):
+        yield first, len(pixels)
+
+
+def _elements(px, dtype: np.dtype) -> list[np.ndarray]:
+    """The pixels of each frame (an Arrow array of lists), without a Python number for each; missing ones and such as the type
+    cannot hold are errors."""
+    flat = px.flatten()
+    if px.null_count or flat.null_count:
+        raise ValueError("a frame has missing pixels")
+    found = flat.to_numpy(zero_copy_only=False)
+    if not ((found > -1) & (found < np.iinfo(dtype).max + 1)).all():
+        raise OverflowError(f"a frame has pixels that {dtype} cannot hold")
+    return np.split(found.astype(dtype), np.cumsum(px.value_lengths().to_numpy())[:-1])
+
+
+def _packed(batch, dtype: np.dtype, pack, name: str):
+    """Batches of frame_id and `name`, pack(frame_id, px) of each frame, in runs."""
+    import pyarrow as pa
+
+    for first, end in _runs(batch.column("px").value_lengths().fill_null(0).to_numpy()):
+        some = batch.slice(first, end - first)
+        out = list(map(pack, some.column("frame_id").to_pylist(), _elements(some.column("px"), dtype)))
+        yield pa.RecordBatch.from_arrays([some.column("frame_id"), pa.array(out, pa.binary())], names=["frame_id", name])
 
 
 def _frame_batch(frame_id, rows, cols, px: list[np.ndarray]):
@@ -34,13 +71,30 @@ def decode_frames(messages: DataFrame, decoders: dict | None = None) -> DataFram
     """frame_id, rows, cols, px from header, description (JSON) and payload (bytes).
 
     Messages without a frame or of another kind of image give no row.  Raw payloads and those in LZ4, with or without
-    shuffled bits, are read here, all of a batch that have one type and encoding together; for each other encoding
+    shuffled bits, are read here, all of a run of frames that have one type and encoding together; for each other encoding
     `decoders` may name a function (bytes, dtype, n) -> array.  Without one, for types that are not unsigned 16 or 32 bit,
     and for payloads that are damaged or have another number of pixels than their shape, the job fails."""
     decoders = decoders or {}
     parsed = messages.select(F.from_json("header", HEADER)["frame"].alias("frame_id"), F.from_json("description", DESCRIPTION).alias("d"), "payload")
     rows = parsed.where("frame_id IS NOT NULL AND d.htype = 'dimage_d-1.0'").select("frame_id", F.col("d.encoding").alias("encoding"), F.col("d.type").alias("type"), F.col("d.shape")[0].alias("cols"), F.col("d.shape")[1].alias("rows"), "payload")
 
+    def unpacked(payloads, kinds, encodings, size):
+        px = [None] * len(payloads)
+        for kind, encoding in {*zip(kinds, encodings)}:
+            at, dtype = np.flatnonzero((kinds == kind) & (encodings == encoding)), np.dtype(TYPES[kind])
+            some = [payloads[i] for i in at]
+            if encoding in decoders:
+                images = [np.asarray(decoders[encoding](raw, dtype, n)) for raw, n in zip(some, size[at].tolist())]
+            elif encoding == "raw":
+                images = [np.frombuffer(raw, dtype) for raw in some]
+            else:
+                images = decompress(some, dtype, PACKED[encoding])
+            for i, image in zip(at, images, strict=True):
+                if len(image) != size[i]:
+                    raise RuntimeError(f"a payload of {len(image)} pixels for a frame of {size[i]}")
+                px[i] = image
+        return px
+
     def run(batches):
         for batch in batches:
             kinds, encodings = (np.array(batch.column(c).to_pylist(), object) for c in ("type", "encoding"))
@@ -49,21 +103,10 @@ def decode_frames(messages: DataFrame, decoders: dict | None = None) -> DataFram
             if bad := [e for e in set(encodings) if e != "raw" and e not in PACKED and e not in decoders]:
                 raise RuntimeError(f"encoding {bad[0]!r} cannot be read")
             size = batch.column("rows").to_numpy().astype(np.int64) * batch.column("cols").to_numpy()
-            payloads, px = batch.column("payload").to_pylist(), [None] * batch.num_rows
-            for kind, encoding in {*zip(kinds, encodings)}:
-                at, dtype = np.flatnonzero((kinds == kind) & (encodings == encoding)), np.dtype(TYPES[kind])
-                some = [payloads[i] for i in at]
-                if encoding in decoders:
-                    images = [np.asarray(decoders[encoding](raw, dtype, n)) for raw, n in zip(some, size[at].tolist())]
-                elif encoding == "raw":
-                    images = [np.frombuffer(raw, dtype) for raw in some]
-                else:
-                    images = decompress(some, dtype, PACKED[encoding])
-                for i, image in zip(at, images, strict=True):
-                    if len(image) != size[i]:
-                        raise RuntimeError(f"a payload of {len(image)} pixels for a frame of {size[i]}")
-                    px[i] = image
-            yield _frame_batch(batch.column("frame_id"), batch.column("rows"), batch.column("cols"), px)
+            for first, end in _runs(size):
+                some = batch.slice(first, end - first)
+                about = (kinds[first:end], encodings[first:end], size[first:end])
+                yield _frame_batch(some.column("frame_id"), some.column("rows"), some.column("cols"), unpacked(some.column("payload").to_pylist(), *about))
 
     return rows.mapInArrow(run, "frame_id long, rows int, cols int, px array<bigint>")
 
@@ -75,38 +118,45 @@ def decode_cbor(messages: DataFrame, value: str = "value", channel: str = "thres
     def run(batches):
         import pyarrow as pa
 
+        def together(found):
+            number, rows, cols, px = zip(*found)
+            return _frame_batch(pa.array(number, pa.int64()), pa.array(rows, pa.int32()), pa.array(cols, pa.int32()), list(px))
+
         for batch in batches:
-            found = [image_of(m, channel) for m in map(read_cbor, batch.column(0).to_pylist()) if m.get("type") == "image"]
-            number, rows, cols, px = zip(*found) if found else ((), (), (), ())
-            yield _frame_batch(pa.array(number, pa.int64()), pa.array(rows, pa.int32()), pa.array(cols, pa.int32()), list(px))
+            found, pixels = [], 0
+            for raw in batch.column(0):
+                if (m := read_cbor(raw.as_py())).get("type") != "image":
+                    continue
+                found.append(image_of(m, channel))
+                pixels += len(found[-1][3])
+                if pixels >= AT_ONCE:
+                    yield together(found)
+                    found, pixels = [], 0
+            if found:
+                yield together(found)
 
     return messages.where(F.col(value).isNotNull()).select(value).mapInArrow(run, "frame_id long, rows int, cols int, px array<bigint>")
 
 
 def encode_cbor(frames: DataFrame, rows: int, cols: int, compression: str | None = "bslz4", kind: str = "uint32") -> DataFrame:
     """value: an image message in CBOR of each frame (frame_id, px); compression None, "lz4" or "bslz4"."""
-    dtype = TYPES[kind]
+    dtype = np.dtype(TYPES[kind])
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            out = [image_message(i, np.array(px, dtype), rows, cols, compression) for i, px in zip(batch.column("frame_id").to_pylist(), batch.column("px").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            for out in _packed(batch, dtype, lambda i, px: image_message(i, px, rows, cols, compression), "value"):
+                yield out.select(["value"])
 
     return frames.select("frame_id", "px").mapInArrow(run, "value binary")
 
 
 def compress_frames(frames: DataFrame, rows: int, cols: int, encoding: str = "bs16-lz4<", kind: str = "uint16", series: int = 1) -> DataFrame:
     """As encode_frames, with payloads in one of the compressed encodings."""
-    dtype, shuffled = TYPES[kind], PACKED[encoding]
+    dtype, shuffled = np.dtype(TYPES[kind]), PACKED[encoding]
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            out = [compress(np.array(px, dtype), shuffled) for px in batch.column("px").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("frame_id"), pa.array(out, pa.binary())], names=["frame_id", "payload"])
+            yield from _packed(batch, dtype, lambda i, px: compress(px, shuffled), "payload")
 
     packed = frames.select("frame_id", "px").mapInArrow(run, "frame_id bigint, payload binary")
     return packed.select(*_about(rows, cols, series, encoding, kind), "payload")

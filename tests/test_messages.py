@@ -1,6 +1,8 @@
 """Message logs, compressed payloads, CBOR."""
 
 import json
+import tracemalloc
+import weakref
 
 import numpy as np
 import pytest
@@ -95,6 +97,59 @@ def test_compressed_frames_of_mixed_kinds(spark):
         frames.decode_frames(frames.encode_frames(df, 8, 7)).collect()
 
 
+def test_frames_of_a_batch_are_unpacked_in_runs(spark):
+    alive = []
+
+    def counting(raw, dtype, n):
+        image = np.full(n, 1 + sum(r() is not None for r in alive), dtype)
+        alive.append(weakref.ref(image))
+        return image
+
+    about = json.dumps({"htype": "dimage_d-1.0", "encoding": "counting", "shape": [256, 256], "type": "uint16"})
+    df = spark.range(0, 40, 1, 1).select(F.format_string('{"frame": %d, "series": 1}', "id").alias("header"), F.lit(about).alias("description"), F.lit(b"x").alias("payload"))
+    out = frames.decode_frames(df, {"counting": counting}).select("frame_id", F.size("px").alias("n"), F.array_max("px").alias("alive")).collect()
+    assert sorted((r["frame_id"], r["n"]) for r in out) == [(i, 65536) for i in range(40)]
+    assert max(r["alive"] for r in out) <= 5  # 4 make a run; 40 with whole batches
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_bits_are_spread_out_by_parts(kind):
+    px = np.tile(np.arange(4096, dtype=kind), 1 << 10)
+    payload = codecs.compress(px, True)
+    tracemalloc.start()
+    try:
+        (out,) = codecs.decompress([payload], np.dtype(kind), True)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(out, px) and peak < 6 * px.nbytes  # 11 times with all bits at once
+
+
+def test_runs_lose_no_frame(spark, monkeypatch):
+    monkeypatch.setattr(frames, "AT_ONCE", 200)
+    assert list(frames._runs(np.array([64, 64, 64, 64, 400, 0, 200, 1]))) == [(0, 3), (3, 4), (4, 5), (5, 7), (7, 8)]
+    assert list(frames._runs(np.array([], np.int64))) == []
+    want, packed, cbor = [], None, None
+    for side in (0, 1, 8, 20):
+        rows = [(100 * side + i, [(i * 300 + k) % 65536 for k in range(side * side)]) for i in range(20)]
+        want += [(i, side, side, tuple(px)) for i, px in rows]
+        df = spark.createDataFrame(rows, "frame_id long, px array<bigint>").coalesce(1)
+        for encoding, how in (("bs16-lz4<", "bslz4"), ("lz4<", "lz4")):
+            a, b = frames.compress_frames(df, side, side, encoding), frames.encode_cbor(df, side, side, how, "uint16")
+            packed, cbor = a if packed is None else packed.unionByName(a), b if cbor is None else cbor.unionByName(b)
+    for out in (frames.decode_frames(packed.coalesce(1)), frames.decode_cbor(cbor.coalesce(1))):
+        assert sorted((r["frame_id"], r["rows"], r["cols"], tuple(r["px"])) for r in out.collect()) == sorted(2 * want)
+
+
+def test_pixels_that_cannot_be_packed_are_errors(spark):
+    for px, kind, says in (("array(1, null)", "uint16", "missing pixels"), ("null", "uint16", "missing pixels"), ("array(65536)", "uint16", "cannot hold"), ("array(-1)", "uint32", "cannot hold"), ("array(4294967296D)", "uint32", "cannot hold"), ("array(double('nan'))", "uint16", "cannot hold")):
+        of = "array<double>" if "D" in px or "double" in px else "array<bigint>"
+        df = spark.range(2).select(F.col("id").alias("frame_id"), F.expr(f"CAST({px} AS {of})").alias("px"))
+        for out in (frames.compress_frames(df, 1, 1, "bs16-lz4<", kind), frames.encode_cbor(df, 1, 1, "bslz4", kind)):
+            with pytest.raises(Exception, match=says):
+                out.collect()
+
+
 # ---------------------------------------------------------------- the log
 def test_log_passes_over_what_is_no_frame(log, tmp_path):
     path = f"{tmp_path}/log"
